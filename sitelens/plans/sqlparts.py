@@ -54,3 +54,38 @@ def kw_tokens_cte() -> str:
         f"generate_subscripts({tokens('html')}, 1) - 1 AS pos) w), "
         f"kw AS (SELECT * FROM tok WHERE {keep_keyword('keyword')})"
     )
+
+
+# ---- HTML helpers (DuckDB / RE2) --------------------------------------------------
+from sitelens.functions.text import ENTITIES, WS_CLASS  # noqa: E402
+from sitelens.operators.elements import MASK_RE, TAG_RE  # noqa: E402
+
+
+def decode(x: str) -> str:
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS_CLASS}+|{WS_CLASS}+$', '', 'g')"
+
+
+def strip_tags(x: str) -> str:
+    return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+
+
+def node_text(x: str) -> str:
+    return strip_ws(decode(strip_tags(x)))
+
+
+def masked(html: str) -> str:
+    return f"regexp_replace({html}, '{sq(MASK_RE)}', '\\1\\2\\3\\4', 'g')"
+
+
+def tag_re() -> str:
+    return TAG_RE.replace("'", "''")
+
+
+def sq(s: str) -> str:
+    return s.replace("'", "''")
