@@ -185,20 +185,21 @@ def forms(pages: DataFrame) -> DataFrame:
 
     rows = F.transform(
         of_tag(EL, "form"),
-        lambda f: F.struct(
+        lambda f, i: F.struct(
             f["seq"].alias("seq"),
+            i.alias("ord"),
             F.coalesce(attr(f, "action"), F.lit("")).alias("action"),
             F.upper(F.coalesce(attr(f, "method"), F.lit("get"))).alias("method"),
             fields(f).alias("fields"),
         ),
     )
     out = df.select("page_id", "url", "site", F.explode(rows).alias("f"))
-    return out.select("page_id", "url", "site", "f.seq", "f.action", "f.method", "f.fields")
+    return out.select("page_id", "url", "site", "f.seq", "f.ord", "f.action", "f.method", "f.fields")
 
 
 def form_fields(forms_df: DataFrame) -> DataFrame:
-    out = forms_df.select("page_id", "url", "site", F.col("seq").alias("form_seq"), F.posexplode("fields").alias("field_pos", "fl"))
-    return out.select("page_id", "url", "site", "form_seq", "field_pos", "fl.type", "fl.name", "fl.id", "fl.required")
+    out = forms_df.select("page_id", "url", "site", F.col("ord").alias("form_ord"), F.posexplode("fields").alias("field_pos", "fl"))
+    return out.select("page_id", "url", "site", "form_ord", "field_pos", "fl.type", "fl.name", "fl.id", "fl.required")
 
 
 # ---- E15, E16, E17: images, videos, JSON-LD ----------------------------------------

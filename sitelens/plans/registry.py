@@ -25,6 +25,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # Importing the plan modules fills the registry.
     from sitelens.plans import (  # noqa: F401
+        composed_plans,
         extract_plans,
         keyword_plans,
     )
