@@ -117,3 +117,50 @@ def customer_pages(spark, sf_dir: str) -> DataFrame:
             F.lit("text/html").alias("content_type"),
         )
     )
+
+
+# ---- fetch log derived from ``events`` ------------------------------------------
+# event_type → (status, content type); "error" events become failed fetches.
+EVENT_FETCH = {
+    "view": (200, "text/html; charset=utf-8"),
+    "click": (200, "text/html"),
+    "signup": (404, "text/html"),
+    "purchase": (500, "application/json"),
+}
+ERROR_TYPES = ["ConnectionError", "Timeout", "TooManyRedirects"]
+
+
+def event_fetches(spark, sf_dir: str) -> DataFrame:
+    """One fetch attempt per event: the user is the page, the event the attempt."""
+    e = read_table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    site = F.concat(F.lit("site"), (u % 5).cast("string"), F.lit(".example.com"))
+    url = F.concat(F.lit("https://"), site, F.lit("/u/"), u.cast("string"))
+    status = F.lit(None).cast("int")
+    ctype = F.lit(None).cast("string")
+    for et, (code, ct) in EVENT_FETCH.items():
+        status = F.when(F.col("event_type") == et, F.lit(code)).otherwise(status)
+        ctype = F.when(F.col("event_type") == et, F.lit(ct)).otherwise(ctype)
+    is_err = F.col("event_type") == "error"
+    err_type = F.when(is_err, F.element_at(F.array(*[F.lit(x) for x in ERROR_TYPES]), (k % 3 + 1).cast("int")))
+    hop = F.concat(F.lit("http://"), site, F.lit("/u/"), u.cast("string"))
+    redirects = (
+        F.when(F.col("event_type") == "purchase", F.array(hop))
+        .when((F.col("event_type") == "click") & (k % 10 == 0), F.array(hop, F.concat(hop, F.lit("/"))))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return e.select(
+        "event_id",
+        url.alias("url"),
+        site.alias("site"),
+        F.when(~is_err, status).alias("status_code"),
+        F.when(~is_err, ctype).alias("content_type"),
+        F.when(~is_err, (k * 37 + 100)).cast("bigint").alias("size"),
+        (F.col("event_id") % 4).cast("int").alias("depth"),
+        F.when(~is_err, F.col("value") / 100.0).alias("response_time"),
+        F.col("ts"),
+        F.when(is_err, F.concat(F.lit("failed: "), k.cast("string"))).alias("error"),
+        err_type.alias("error_type"),
+        redirects.alias("redirects"),
+    )

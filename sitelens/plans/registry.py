@@ -27,5 +27,6 @@ def load_all() -> None:
     from sitelens.plans import (  # noqa: F401
         composed_plans,
         extract_plans,
+        fetch_plans,
         keyword_plans,
     )
