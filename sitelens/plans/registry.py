@@ -29,4 +29,5 @@ def load_all() -> None:
         extract_plans,
         fetch_plans,
         keyword_plans,
+        traverse_plans,
     )
