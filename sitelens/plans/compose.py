@@ -132,7 +132,10 @@ ERROR_TYPES = ["ConnectionError", "Timeout", "TooManyRedirects"]
 
 def event_fetches(spark, sf_dir: str) -> DataFrame:
     """One fetch attempt per event: the user is the page, the event the attempt."""
-    e = read_table(spark, sf_dir, "events")
+    return fetches_from_events(read_table(spark, sf_dir, "events"))
+
+
+def fetches_from_events(e: DataFrame) -> DataFrame:
     u = F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
     site = F.concat(F.lit("site"), (u % 5).cast("string"), F.lit(".example.com"))

@@ -29,5 +29,6 @@ def load_all() -> None:
         extract_plans,
         fetch_plans,
         keyword_plans,
+        merge_plans,
         traverse_plans,
     )
