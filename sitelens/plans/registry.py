@@ -31,4 +31,5 @@ def load_all() -> None:
         keyword_plans,
         merge_plans,
         traverse_plans,
+        usecase_plans,
     )
