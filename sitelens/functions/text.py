@@ -39,9 +39,11 @@ WS_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}
 
 
 def decode_entities(c: Column) -> Column:
+    """Decode the fixed entity set; strings without '&' skip the chain (CASE is lazy)."""
+    d = c
     for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+        d = F.replace(d, F.lit(ent), F.lit(ch))
+    return F.when(F.instr(c, "&") > 0, d).otherwise(c)
 
 
 def strip_ws(c: Column) -> Column:

@@ -81,16 +81,20 @@ def resolve(base: Column, href: Column) -> Column:
     hpath = F.regexp_extract(href, r"^([^?#]*)", 1)
     hrest = F.substring(href, F.length(hpath) + 1, 1 << 30)
 
-    # Relative path: base directory segments + href segments, empty middle
-    # segments dropped, then dot segments folded away.
+    # Relative path: base directory + href path. The segment fold (empty middle
+    # segments dropped, dot segments resolved) runs only when the joined path
+    # has a dot segment or an empty segment; otherwise plain concatenation is exact.
+    bdir = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*/|/)?", 1)
+    joined = F.concat(F.when(bdir == "", F.lit("/")).otherwise(bdir), hpath)
     bsegs = F.split(bpath, "/")
-    bdir = F.when(F.element_at(bsegs, -1) != "", F.slice(bsegs, 1, F.greatest(F.size(bsegs) - 1, F.lit(0)))).otherwise(bsegs)
-    allsegs = F.concat(bdir, F.split(hpath, "/"))
+    bdir_segs = F.when(F.element_at(bsegs, -1) != "", F.slice(bsegs, 1, F.greatest(F.size(bsegs) - 1, F.lit(0)))).otherwise(bsegs)
+    allsegs = F.concat(bdir_segs, F.split(hpath, "/"))
     n = F.size(allsegs)
     middle = F.filter(F.slice(allsegs, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
     merged = F.when(n <= 2, allsegs).otherwise(
         F.concat(F.slice(allsegs, 1, 1), middle, F.slice(allsegs, -1, 1))
     )
+    relative = F.when(joined.rlike(r"(^|/)\.\.?(/|$)|//"), _remove_dots(merged)).otherwise(joined)
     needs_fold_abs = hpath.rlike(r"(^|/)\.\.?(/|$)")
     rooted = F.when(needs_fold_abs, _remove_dots(F.split(hpath, "/"))).otherwise(hpath)
 
@@ -102,7 +106,7 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
         .when(href.startswith("/"), F.concat(origin, rooted, hrest))
-        .otherwise(F.concat(origin, _remove_dots(merged), hrest))
+        .otherwise(F.concat(origin, relative, hrest))
     )
 
 

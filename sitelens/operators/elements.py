@@ -30,6 +30,8 @@ MASK_RE = (
 )
 TAG_RE = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q})>"""
 ATTR_RE = r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?"""
+# Same attribute grammar with the (possibly quoted) value as one group.
+ATTR_RE2 = r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 COMMENT_RE = r"(?s)<!--(.*?)-->"
 SCRIPT_BODY_RE = rf"(?is)<script\b{_Q}>(.*?)</script\s*>"
 STYLE_BLANK_RE = rf"(?is)(<style\b{_Q}>).*?(</style\s*>)"
@@ -41,30 +43,39 @@ def mask_html(html: Column) -> Column:
 
 
 def _attrs(attr_text: Column) -> Column:
-    names = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 1)
-    dq = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 2)
-    sq = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 3)
-    uq = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 4)
+    names = F.regexp_extract_all(attr_text, F.lit(ATTR_RE2), 1)
+    vals = F.regexp_extract_all(attr_text, F.lit(ATTR_RE2), 2)
+
+    def unquote(v: Column) -> Column:
+        quoted = (F.length(v) >= 2) & (
+            (v.startswith('"') & v.endswith('"')) | (v.startswith("'") & v.endswith("'"))
+        )
+        return F.when(quoted, F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+
     return F.transform(
-        names,
-        lambda n, j: F.struct(
-            F.lower(n).alias("k"),
-            decode_entities(F.concat(F.get(dq, j), F.get(sq, j), F.get(uq, j))).alias("v"),
-        ),
+        F.arrays_zip(names.alias("n"), vals.alias("v")),
+        lambda a: F.struct(F.lower(a["n"]).alias("k"), decode_entities(unquote(a["v"])).alias("v")),
     )
 
 
 def element_array(html: Column) -> Column:
     masked = mask_html(html)
     raw = F.regexp_extract_all(masked, F.lit(TAG_RE), 0)
+    # Text after tag k is split piece k+1. Zip first so that the per-tag lambda
+    # never refers to a whole-page expression (which would re-run per tag).
     texts = F.split(masked, TAG_RE)
+    tail = F.slice(texts, 2, F.greatest(F.size(raw), F.lit(0)))
+    zipped = F.arrays_zip(raw.alias("r"), tail.alias("t"))
+    empty = F.array().cast("array<struct<k:string,v:string>>")
     return F.transform(
-        raw,
-        lambda r, k: F.struct(
+        zipped,
+        lambda z, k: F.struct(
             k.alias("seq"),
-            F.lower(F.regexp_extract(r, r"^<(/?[a-zA-Z][^\s/>]*)", 1)).alias("tag"),
-            _attrs(F.regexp_extract(r, r"^</?[a-zA-Z][^\s/>]*(.*)>$", 1)).alias("attrs"),
-            F.get(texts, k + 1).alias("text"),
+            F.lower(F.regexp_extract(z["r"], r"^<(/?[a-zA-Z][^\s/>]*)", 1)).alias("tag"),
+            # End tags and bare start tags carry no attributes: skip the regex work.
+            F.when(z["r"].startswith("</") | ~z["r"].rlike(r"^<[a-zA-Z][^\s/>]*[\s/]"), empty)
+            .otherwise(_attrs(F.regexp_extract(z["r"], r"^<[a-zA-Z][^\s/>]*(.*)>$", 1))).alias("attrs"),
+            F.coalesce(z["t"], F.lit("")).alias("text"),
         ),
     )
 
