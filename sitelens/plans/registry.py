@@ -30,6 +30,7 @@ def load_all() -> None:
         fetch_plans,
         keyword_plans,
         merge_plans,
+        queue_plans,
         sink_plans,
         traverse_plans,
         usecase_plans,
