@@ -32,6 +32,7 @@ def load_all() -> None:
         merge_plans,
         queue_plans,
         sink_plans,
+        stream_plans,
         traverse_plans,
         usecase_plans,
     )
