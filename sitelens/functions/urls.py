@@ -75,6 +75,10 @@ def resolve(base: Column, href: Column) -> Column:
 
     Fragments and trailing slashes are kept as they are (no normalisation).
     """
+    # "//" with an empty host keeps the base host: resolve the rest as a path.
+    empty_net = href.rlike(r"^//([/?#]|$)")
+    raw_href = href
+    href = F.when(empty_net, F.substring(href, 3, 1 << 30)).otherwise(href)
     origin = F.regexp_extract(base, ORIGIN_RE, 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
     bpath = F.regexp_extract(base, PATH_RE, 1)
@@ -99,10 +103,11 @@ def resolve(base: Column, href: Column) -> Column:
     rooted = F.when(needs_fold_abs, _remove_dots(F.split(hpath, "/"))).otherwise(hpath)
 
     return (
-        F.when(href.isNull(), F.lit(None).cast("string"))
+        F.when(raw_href.isNull(), F.lit(None).cast("string"))
+        .when(empty_net & (href == ""), F.regexp_extract(base, r"^([^#]*)", 1))
         .when(href == "", base)
         .when(href.rlike(SCHEME_RE), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(~empty_net & href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
         .when(href.startswith("/"), F.concat(origin, rooted, hrest))

@@ -36,7 +36,9 @@ from sitelens.operators.elements import (
     of_tag,
 )
 
-EL = F.col("el")
+def el_col() -> Column:
+    """The element array column (built lazily: no session needed at import)."""
+    return F.col("el")
 
 
 def ensure_elements(pages: DataFrame) -> DataFrame:
@@ -66,9 +68,9 @@ def metadata(pages: DataFrame) -> DataFrame:
     """One row per page with title, meta map, description, keywords,
     Open Graph and Twitter maps, canonical link and language."""
     df = ensure_elements(pages)
-    metas = of_tag(EL, "meta")
-    title_el = _first(of_tag(EL, "title"))
-    title = F.when(title_el.isNull(), F.lit("")).otherwise(inner_text(EL, title_el))
+    metas = of_tag(el_col(), "meta")
+    title_el = _first(of_tag(el_col(), "title"))
+    title = F.when(title_el.isNull(), F.lit("")).otherwise(inner_text(el_col(), title_el))
     meta_entries = F.filter(
         F.transform(metas, lambda e: F.struct(_meta_key(e).alias("k"), F.coalesce(attr(e, "content"), F.lit("")).alias("v"))),
         lambda x: (x["k"] != "") & (x["v"] != ""),
@@ -88,11 +90,11 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
     canon_el = _first(
         F.filter(
-            of_tag(EL, "link"),
+            of_tag(el_col(), "link"),
             lambda e: F.array_contains(F.split(F.coalesce(attr(e, "rel"), F.lit("")), r"\s+"), "canonical"),
         )
     )
-    html_el = _first(of_tag(EL, "html"))
+    html_el = _first(of_tag(el_col(), "html"))
     meta_map = _last_wins_map(meta_entries)
     return df.select(
         "page_id",
@@ -115,8 +117,8 @@ def headings(pages: DataFrame) -> DataFrame:
     df = ensure_elements(pages)
     def level(n: int) -> Column:
         return F.transform(
-            of_tag(EL, f"h{n}"),
-            lambda e, i: F.struct(F.lit(f"h{n}").alias("level"), i.alias("ord"), inner_text(EL, e).alias("text")),
+            of_tag(el_col(), f"h{n}"),
+            lambda e, i: F.struct(F.lit(f"h{n}").alias("level"), i.alias("ord"), inner_text(el_col(), e).alias("text")),
         )
 
     per_level = [level(n) for n in range(1, 7)]
@@ -124,7 +126,8 @@ def headings(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "site", "h.level", "h.ord", "h.text")
 
 
-def h1_texts(el: Column = EL) -> Column:
+def h1_texts(el: Column | None = None) -> Column:
+    el = el_col() if el is None else el
     return F.transform(of_tag(el, "h1"), lambda e: inner_text(el, e))
 
 
@@ -150,8 +153,9 @@ def phones(pages: DataFrame, text_col: str = "html") -> DataFrame:
 
 # ---- E12: social links ------------------------------------------------------------
 
-def _a_hrefs(el: Column = EL) -> Column:
+def _a_hrefs(el: Column | None = None) -> Column:
     """``find_all('a', href=True)`` as structs (seq, href, anchor element)."""
+    el = el_col() if el is None else el
     return F.filter(of_tag(el, "a"), lambda e: has_attr(e, "href"))
 
 
@@ -169,7 +173,7 @@ def forms(pages: DataFrame) -> DataFrame:
     df = ensure_elements(pages)
 
     def fields(f: Column) -> Column:
-        rest = F.slice(EL, f["seq"] + 2, 1 << 30)
+        rest = F.slice(el_col(), f["seq"] + 2, 1 << 30)
         off = F.array_position(F.transform(rest, lambda x: x["tag"]), "/form")
         span = F.when(off > 0, F.slice(rest, 1, (off - 1).cast("int"))).otherwise(rest)
         inputs = F.filter(span, lambda x: x["tag"].isin("input", "select", "textarea"))
@@ -184,7 +188,7 @@ def forms(pages: DataFrame) -> DataFrame:
         )
 
     rows = F.transform(
-        of_tag(EL, "form"),
+        of_tag(el_col(), "form"),
         lambda f, i: F.struct(
             f["seq"].alias("seq"),
             i.alias("ord"),
@@ -207,7 +211,7 @@ def form_fields(forms_df: DataFrame) -> DataFrame:
 def images(pages: DataFrame) -> DataFrame:
     df = ensure_elements(pages)
     rows = F.transform(
-        of_tag(EL, "img"),
+        of_tag(el_col(), "img"),
         lambda e: F.struct(
             e["seq"].alias("seq"),
             F.coalesce(attr(e, "src"), F.lit("")).alias("raw_src"),
@@ -227,7 +231,7 @@ def images(pages: DataFrame) -> DataFrame:
 def videos(pages: DataFrame) -> DataFrame:
     df = ensure_elements(pages)
     rows = F.transform(
-        of_tag(EL, "video", "iframe"),
+        of_tag(el_col(), "video", "iframe"),
         lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(attr(e, "src"), F.lit("")).alias("src"), e["tag"].alias("type")),
     )
     out = df.select("page_id", "url", "site", F.explode(rows).alias("v"))
@@ -297,11 +301,11 @@ def links(pages: DataFrame) -> DataFrame:
     """E19 + F12: every a/link with a non-empty href; duplicates kept."""
     df = ensure_elements(pages)
     rows = F.transform(
-        F.filter(of_tag(EL, "a", "link"), lambda e: F.coalesce(attr(e, "href"), F.lit("")) != ""),
+        F.filter(of_tag(el_col(), "a", "link"), lambda e: F.coalesce(attr(e, "href"), F.lit("")) != ""),
         lambda e, i: F.struct(
             i.alias("ord"),
             attr(e, "href").alias("target_url"),
-            F.when(e["tag"] == "a", inner_text(EL, e)).otherwise(F.lit("")).alias("anchor_text"),
+            F.when(e["tag"] == "a", inner_text(el_col(), e)).otherwise(F.lit("")).alias("anchor_text"),
         ),
     )
     out = df.select("page_id", F.col("url").alias("source_url"), "site", F.explode(rows).alias("l"))
@@ -327,7 +331,7 @@ def endpoint_candidates(pages: DataFrame) -> DataFrame:
     df = ensure_elements(pages)
 
     def attr_values(tags, name, kind):
-        vals = F.transform(of_tag(EL, *tags), lambda e: attr(e, name))
+        vals = F.transform(of_tag(el_col(), *tags), lambda e: attr(e, name))
         return F.transform(F.filter(vals, lambda v: F.coalesce(v, F.lit("")) != ""), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
 
     scripts_ = script_strings(F.col("html"))

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.lookups import SEO_DESCRIPTION_RANGE, SEO_MAX_PAGE_BYTES, SEO_MAX_SECONDS, SEO_TITLE_RANGE
 from sitelens.operators.elements import attr, has_attr, inner_text, of_tag
-from sitelens.operators.extract import EL, _first, ensure_elements, h1_texts
+from sitelens.operators.extract import el_col, _first, ensure_elements, h1_texts
 from sitelens.sources.pages import page_bytes
 
 
 def seo(pages: DataFrame) -> DataFrame:
     df = ensure_elements(pages)
-    title_el = _first(of_tag(EL, "title"))
-    title = F.when(title_el.isNull(), F.lit("")).otherwise(inner_text(EL, title_el))
-    desc_el = _first(F.filter(of_tag(EL, "meta"), lambda e: attr(e, "name") == "description"))
+    title_el = _first(of_tag(el_col(), "title"))
+    title = F.when(title_el.isNull(), F.lit("")).otherwise(inner_text(el_col(), title_el))
+    desc_el = _first(F.filter(of_tag(el_col(), "meta"), lambda e: attr(e, "name") == "description"))
     desc = F.when(desc_el.isNull(), F.lit("")).otherwise(F.coalesce(attr(desc_el, "content"), F.lit("")))
-    imgs = of_tag(EL, "img")
+    imgs = of_tag(el_col(), "img")
     n_img = F.size(imgs)
     no_alt = F.size(F.filter(imgs, lambda e: F.coalesce(attr(e, "alt"), F.lit("")) == ""))
-    anchors = F.filter(of_tag(EL, "a"), lambda e: has_attr(e, "href"))
+    anchors = F.filter(of_tag(el_col(), "a"), lambda e: has_attr(e, "href"))
     internal = F.size(F.filter(anchors, lambda e: F.instr(attr(e, "href"), F.col("site")) > 0))
     size = F.coalesce(F.col("size"), page_bytes()) if "size" in df.columns else page_bytes()
-    h1 = h1_texts(EL)
+    h1 = h1_texts(el_col())
     out = df.select(
         "page_id",
         "url",
@@ -36,7 +36,7 @@ def seo(pages: DataFrame) -> DataFrame:
         size.alias("page_bytes"),
         F.col("elapsed").alias("response_seconds"),
         F.col("url").startswith("https").alias("https"),
-        F.exists(of_tag(EL, "meta"), lambda e: F.coalesce(attr(e, "name") == "viewport", F.lit(False))).alias("mobile_friendly"),
+        F.exists(of_tag(el_col(), "meta"), lambda e: F.coalesce(attr(e, "name") == "viewport", F.lit(False))).alias("mobile_friendly"),
         F.size(anchors).alias("links_total"),
         internal.alias("links_internal"),
     )
