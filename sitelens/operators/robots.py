@@ -56,13 +56,13 @@ def groups(robots: DataFrame) -> DataFrame:
     ln = ln.withColumn(
         "last_ub", F.last(F.when(F.col("kind").isin("blank", "ua"), F.col("kind")), ignorenulls=True).over(w_prev)
     )
-    ln = ln.withColumn("valid", ~is_rule | (F.col("last_ub") == "ua"))
+    ln = ln.withColumn("valid", ~is_rule | F.coalesce(F.col("last_ub") == "ua", F.lit(False)))
     eff = F.when(F.col("kind").isin("blank", "ua") | (is_rule & F.col("valid")), F.col("kind"))
     ln = ln.withColumn("last_eff", F.last(eff, ignorenulls=True).over(w_prev))
     boundary = ((F.col("kind") == "ua") & F.col("last_eff").isin("allow", "disallow")) | (
         (F.col("kind") == "blank") & F.col("last_eff").isin("ua", "allow", "disallow")
     )
-    ln = ln.withColumn("entry_no", F.sum(boundary.cast("int")).over(w_run))
+    ln = ln.withColumn("entry_no", F.sum(F.coalesce(boundary, F.lit(False)).cast("int")).over(w_run))
     return ln.where(F.col("kind").isin("ua", "allow", "disallow") & F.col("valid"))
 
 
