@@ -87,4 +87,27 @@ def new_per_page(edges: DataFrame, t: Traversal, max_depth: int) -> DataFrame:
 
 def fetch_visited(t: Traversal, pages: DataFrame) -> DataFrame:
     """Visited URLs joined to the page store (the crawl's result rows)."""
-    return t.visited.join(pages, "url")
+    return t.visited.join(pages.drop("depth"), "url")
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 3, robots: DataFrame | None = None,
+          agent: str | None = None, respect_robots: bool = True) -> tuple[DataFrame, Traversal]:
+    """Crawl a page store from ``seeds(url)``.
+
+    Links come from the in-scope endpoints (E25) of every stored page; only
+    pages that are stored, HTML, not challenge pages and allowed by robots
+    expand. Returns the result rows (J2: visited ⋈ page store) and the traversal.
+    """
+    from sitelens.functions.lookups import USER_AGENTS
+    from sitelens.operators import challenge as C
+    from sitelens.operators import extract as X
+    from sitelens.operators import robots as RB
+
+    html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(True))
+    ok = pages.where(html & ~C.is_challenge(F.coalesce(F.col("status_code"), F.lit(200)), F.col("html")))
+    allowed = RB.can_fetch(ok.select("site", "url"), robots, agent or USER_AGENTS["pc"], respect_robots)
+    expandable = allowed.where("allowed").select("url")
+    edges = X.endpoints(ok).where("in_scope").select(F.col("url").alias("src"), F.col("endpoint").alias("dst"))
+    t = traverse(edges, seeds, max_depth, expandable=expandable)
+    results = fetch_visited(t, C.drop_challenges(pages.withColumn("status_code", F.coalesce("status_code", F.lit(200)))))
+    return results, t

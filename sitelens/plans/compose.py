@@ -167,3 +167,20 @@ def fetches_from_events(e: DataFrame) -> DataFrame:
         err_type.alias("error_type"),
         redirects.alias("redirects"),
     )
+
+
+def tree_pages(spark, sf_dir: str) -> DataFrame:
+    """A binary tree of pages over ``part``: page k links to 2k+1 and 2k+2
+    (relative hrefs, one of them through ``./``) and back to the root."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    html = F.concat(
+        F.lit("<html><head><title>"), F.col("p_name"), F.lit("</title></head><body>"),
+        F.lit('<a href="../'), (2 * k + 1).cast("string"), F.lit('/index.html">left</a>'),
+        F.lit('<a href="./../'), (2 * k + 2).cast("string"), F.lit('/index.html">right</a>'),
+        F.lit('<a href="/t/0/index.html">home</a><a href="https://elsewhere.example.org/">out</a></body></html>'),
+    )
+    return conform_pages(
+        p.select(k.alias("page_id"), F.concat(F.lit(SHOP + "/t/"), k.cast("string"), F.lit("/index.html")).alias("url"),
+                 html.alias("html"), F.lit("text/html").alias("content_type"), F.lit(200).alias("status_code"))
+    )

@@ -30,6 +30,7 @@ def load_all() -> None:
         fetch_plans,
         keyword_plans,
         merge_plans,
+        more_plans,
         queue_plans,
         sink_plans,
         stream_plans,
