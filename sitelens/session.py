@@ -67,3 +67,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Give CPU-heavy per-page work enough tasks.
+
+    Page tables are few bytes per unit of regex work, so file-size based splits
+    can leave a small table in one task. When the input has fewer partitions
+    than ``per_core`` × the cluster's cores we redistribute it round-robin;
+    a large store (thousands of files) already has more and is left untouched,
+    so HTML is never shuffled at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
