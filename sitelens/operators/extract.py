@@ -326,25 +326,24 @@ def comment_bodies(html: Column) -> Column:
     return F.regexp_extract_all(no_code, F.lit(r"(?s)<!--(.*?)-->"), 1)
 
 
-def endpoint_candidates(pages: DataFrame) -> DataFrame:
-    """Raw candidates per page with their origin kind (not yet distinct)."""
-    df = ensure_elements(pages)
+def candidate_array(el: Column, html: Column) -> Column:
+    """E20–E23 as one per-page array<struct<kind, raw>> (not yet distinct)."""
 
     def attr_values(tags, name, kind):
-        vals = F.transform(of_tag(el_col(), *tags), lambda e: attr(e, name))
+        vals = F.transform(of_tag(el, *tags), lambda e: attr(e, name))
         return F.transform(F.filter(vals, lambda v: F.coalesce(v, F.lit("")) != ""), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
 
-    scripts_ = script_strings(F.col("html"))
+    scripts_ = script_strings(html)
     js_urls = F.flatten(F.transform(scripts_, lambda s: F.regexp_extract_all(s, F.lit(JS_URL_PATTERN), 1)))
     api = F.flatten(F.transform(scripts_, lambda s: F.regexp_extract_all(s, F.lit(API_PATTERN), 0)))
     api = F.transform(api, lambda x: F.regexp_replace(x, r"""^["']+|["']+$""", ""))
-    comments = comment_bodies(F.col("html"))
+    comments = comment_bodies(html)
     com_urls = F.flatten(F.transform(comments, lambda c: F.regexp_extract_all(c, F.lit(COMMENT_URL_PATTERN), 0)))
 
     def kinded(arr, kind):
         return F.transform(arr, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
 
-    allc = F.concat(
+    return F.concat(
         attr_values(("a", "link"), "href", "href"),
         attr_values(("script",), "src", "script"),
         attr_values(("img",), "src", "img"),
@@ -353,10 +352,22 @@ def endpoint_candidates(pages: DataFrame) -> DataFrame:
         kinded(api, "api"),
         kinded(com_urls, "comment"),
     )
-    out = df.select("page_id", "url", "site", F.explode(allc).alias("c"))
+
+
+def endpoint_candidates(pages: DataFrame) -> DataFrame:
+    """Raw candidates per page with their origin kind (not yet distinct)."""
+    df = ensure_elements(pages)
+    out = df.select("page_id", "url", "site", F.explode(candidate_array(el_col(), F.col("html"))).alias("c"))
     return out.select("page_id", "url", "site", "c.kind", "c.raw")
 
 
+def in_scope_endpoint_array(el: Column, html: Column, url: Column, site: Column) -> Column:
+    """Distinct resolved in-scope endpoints of one page, as an array."""
+    raws = F.array_distinct(F.transform(F.filter(candidate_array(el, html), lambda c: c["raw"] != ""), lambda c: c["raw"]))
+    resolved = F.array_distinct(F.transform(raws, lambda r: resolve(url, r)))
+    return F.filter(resolved, lambda u: in_scope(u, site))
+
+
 def endpoints(pages: DataFrame) -> DataFrame:
     """Distinct resolved endpoints per page with scope flag."""
     c = endpoint_candidates(pages).select("page_id", "url", "site", "raw").distinct()

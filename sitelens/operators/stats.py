@@ -1,13 +1,12 @@
-"""Site statistics (A3, A4, A20): one row per site, joined from per-site aggregates.
+"""Site statistics (A3, A4, A20): one row per site from a single pass over the HTML.
 
-Each aggregate is a partial/final ``groupBy(site)``; the final join is on the
-site key over tables with one row per site.
+Every page contributes a small fact vector (counts and the values whose
+distinct number is wanted); one partial/final aggregation over
+``(site, kind, value)`` yields all statistics at once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,37 +22,73 @@ STAT_NAMES = [
 ]
 
 
-def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetches: DataFrame | None = None,
-                    peak_queue: DataFrame | None = None) -> DataFrame:
-    """The statistics block of the result document, per site."""
+def page_fact_rows(pages: DataFrame) -> DataFrame:
+    """One pass over each page's HTML: every fact the statistics need, as
+    ``(site, kind, value, n)`` rows. Distinct kinds carry the value; count kinds
+    carry ``n`` with a NULL value."""
+    from sitelens.functions.lookups import API_PATTERN, EMAIL_PATTERN, PHONE_PATTERNS
+    from sitelens.operators.elements import attr, of_tag
+
     p = X.ensure_elements(pages)
-    base = p.groupBy("site").agg(
-        F.count(F.lit(1)).alias("total_urls_visited"),
-        F.coalesce(F.avg(page_bytes()), F.lit(0.0)).alias("average_page_size"),
-        F.coalesce(F.sum(page_bytes()), F.lit(0)).cast("bigint").alias("total_data_downloaded"),
+    el, html = F.col("el"), F.col("html")
+
+    def distinct_kind(kind: str, arr) -> F.Column:
+        return F.transform(arr, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(1).cast("bigint").alias("n")))
+
+    def count_kind(kind: str, n) -> F.Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("value"), n.cast("bigint").alias("n")))
+
+    words = F.filter(K.tokens(html), lambda w: K.keep_keyword(w))
+    emails = F.regexp_extract_all(html, F.lit(EMAIL_PATTERN), 0)
+    phones = F.concat(*[F.regexp_extract_all(html, F.lit(ph), 0) for ph in PHONE_PATTERNS])
+    eps = X.in_scope_endpoint_array(el, html, F.col("url"), F.col("site"))
+    api = F.transform(
+        F.filter(X.candidate_array(el, html), lambda c: c["kind"] == "api"), lambda c: c["raw"]
+    )
+    files = F.filter(X._a_hrefs(el), lambda e: X.file_type(attr(e, "href")).isNotNull())
+    facts = F.concat(
+        count_kind("pages", F.lit(1)),
+        count_kind("bytes", page_bytes()),
+        count_kind("forms", F.size(of_tag(el, "form"))),
+        count_kind("images", F.size(of_tag(el, "img"))),
+        count_kind("videos", F.size(of_tag(el, "video", "iframe"))),
+        count_kind("files", F.size(files)),
+        distinct_kind("keywords", words),
+        distinct_kind("emails", emails),
+        distinct_kind("phones", phones),
+        distinct_kind("endpoints", eps),
+        distinct_kind("api", api),
     )
+    return p.select("site", F.explode(facts).alias("f")).select("site", "f.kind", "f.value", "f.n")
 
-    def count_distinct(df: DataFrame, col: str, name: str) -> DataFrame:
-        return df.groupBy("site").agg(F.count_distinct(col).alias(name))
-
-    def count_rows(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("site").agg(F.count(F.lit(1)).alias(name))
-
-    eps = X.endpoints(p)
-    parts = [
-        count_distinct(eps.where("in_scope"), "endpoint", "total_endpoints_found"),
-        count_distinct(K.page_tokens(p), "keyword", "total_keywords"),
-        count_distinct(X.emails(p), "email", "unique_emails"),
-        count_distinct(X.phones(p), "phone", "unique_phones"),
-        count_rows(X.forms(p), "forms_found"),
-        count_rows(X.images(p), "images_found"),
-        count_rows(X.videos(p), "videos_found"),
-        count_rows(X.files(p), "files_found"),
-        count_distinct(X.api_endpoints(p), "api", "api_endpoints"),
-    ]
+
+FACT_TO_STAT = {
+    "pages": "total_urls_visited", "endpoints": "total_endpoints_found", "keywords": "total_keywords",
+    "emails": "unique_emails", "phones": "unique_phones", "forms": "forms_found", "images": "images_found",
+    "videos": "videos_found", "files": "files_found", "api": "api_endpoints", "bytes": "total_data_downloaded",
+}
+
+
+def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetches: DataFrame | None = None,
+                    peak_queue: DataFrame | None = None) -> DataFrame:
+    """The statistics block of the result document, per site.
+
+    One pass over the HTML (``page_fact_rows``); then a partial/final
+    ``groupBy(site, kind, value)`` — the only large shuffle, carrying distinct
+    values per site — and small per-site rollups.
+    """
+    f = page_fact_rows(pages)
+    per_value = f.groupBy("site", "kind", "value").agg(F.sum("n").alias("n"))
+    per_kind = per_value.groupBy("site", "kind").agg(
+        # count kinds have one NULL-valued row per site; distinct kinds never NULL
+        F.when(F.bool_or(F.col("value").isNull()), F.sum("n")).otherwise(F.count("value")).alias("v")
+    )
+    wide = per_kind.groupBy("site").pivot("kind", list(FACT_TO_STAT)).agg(F.first("v"))
+    for kind, stat in FACT_TO_STAT.items():
+        wide = wide.withColumnRenamed(kind, stat)
+    out = wide.withColumn("average_page_size", F.col("total_data_downloaded") / F.col("total_urls_visited"))
     if subdomains is not None:
-        parts.append(count_distinct(subdomains, "subdomain", "total_subdomains_found"))
-    out = reduce(lambda a, b: a.join(b, "site", "left"), parts, base)
+        out = out.join(subdomains.groupBy("site").agg(F.count_distinct("subdomain").alias("total_subdomains_found")), "site", "left")
     if fetches is not None:
         from sitelens.operators import fetch as FT
 
@@ -62,11 +97,10 @@ def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetch
         )
     if peak_queue is not None:
         out = out.join(peak_queue, "site", "left")
-    zeros = {c: 0 for c in STAT_NAMES if c in out.columns}
     for c in STAT_NAMES:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(0))
-    return out.fillna(zeros).select("site", *STAT_NAMES)
+    return out.fillna({c: 0 for c in STAT_NAMES}).select("site", *STAT_NAMES)
 
 
 def to_long(stats: DataFrame) -> DataFrame:
