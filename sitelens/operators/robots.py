@@ -1,26 +1,29 @@
-"""Robots rules (S13, F2, F17, J3) as window functions over robots.txt lines.
+"""Robots rules.
 
 ``robots(site, body)`` holds one robots.txt per target domain (the file of the
-target domain governs all its subdomains). Parsing follows the standard
-library's ``urllib.robotparser`` state machine, expressed declaratively:
+target domain governs all its subdomains). A robots file is small and bounded
+(crawlers cap it at a few hundred KiB), so each file is parsed inside its own
+row: an ``aggregate`` fold over its lines implements the standard library's
+``urllib.robotparser`` state machine —
 
 * a line is blank only if it is empty before comment removal;
 * ``allow``/``disallow`` lines count only after a ``user-agent`` line with no
   blank line in between;
-* a new group starts at a ``user-agent`` line that follows a rule, or at a blank
-  line that ends a group; groups without rules are dropped;
+* a new group starts at a ``user-agent`` line that follows a rule, or after a
+  blank line that ends a group; groups without rules are dropped;
 * the first group listing ``*`` is the default and is consulted last; other
   groups apply when one of their agent names occurs in the crawler's token;
 * inside the chosen group the first rule (file order) whose path prefixes the
   URL path (or is ``*``) decides; an empty ``Disallow:`` allows; no match allows.
 
-Everything is per-site windows over a small table; URLs then meet only the
-rules of the single group that applies to them.
+The result is one row per site with the governing rule list. URLs meet it with
+a single equi-join on site (broadcast after a size check, otherwise a shuffle
+join that AQE splits for hot sites) and a per-row first-match over that list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.lookups import USER_AGENTS
@@ -30,85 +33,97 @@ def agent_token(agent: str) -> str:
     return agent.split("/")[0].lower()
 
 
-def rule_lines(robots: DataFrame) -> DataFrame:
-    """(site, line_no, kind, value) with kind in blank/ua/allow/disallow/other."""
-    lines = robots.select("site", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n")).alias("line_no", "raw"))
-    text = F.regexp_replace(F.regexp_replace(F.col("raw"), "#.*$", ""), r"^\s+|\s+$", "")
+def _classify(raw: Column) -> Column:
+    text = F.regexp_replace(F.regexp_replace(raw, "#.*$", ""), r"^\s+|\s+$", "")
     field = F.lower(F.regexp_replace(F.regexp_extract(text, "^([^:]*):", 1), r"^\s+|\s+$", ""))
     value = F.regexp_replace(F.regexp_extract(text, "^[^:]*:(.*)$", 1), r"^\s+|\s+$", "")
     kind = (
-        F.when(F.col("raw") == "", F.lit("blank"))
+        F.when(raw == "", F.lit("blank"))
         .when(~text.contains(":"), F.lit("other"))
         .when(field == "user-agent", F.lit("ua"))
         .when(field == "allow", F.lit("allow"))
         .when(field == "disallow", F.lit("disallow"))
         .otherwise(F.lit("other"))
     )
-    return lines.select("site", "line_no", kind.alias("kind"), value.alias("value"))
+    return F.struct(kind.alias("kind"), value.alias("value"))
 
 
-def groups(robots: DataFrame) -> DataFrame:
-    """Assign every ua/rule line to its group: (site, entry_no, line_no, kind, value, valid)."""
-    ln = rule_lines(robots)
-    w_prev = Window.partitionBy("site").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    w_run = Window.partitionBy("site").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_rule = F.col("kind").isin("allow", "disallow")
-    ln = ln.withColumn(
-        "last_ub", F.last(F.when(F.col("kind").isin("blank", "ua"), F.col("kind")), ignorenulls=True).over(w_prev)
+def parse(body: Column) -> Column:
+    """Fold the lines of one robots.txt into its groups (agents and rules)."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), _classify)
+    init = F.struct(
+        F.lit(0).alias("mode"), F.lit(0).alias("entry"),
+        F.array().cast("array<struct<entry:int,agent:string>>").alias("agents"),
+        F.array().cast("array<struct<entry:int,line:int,allow:boolean,path:string>>").alias("rules"),
     )
-    ln = ln.withColumn("valid", ~is_rule | F.coalesce(F.col("last_ub") == "ua", F.lit(False)))
-    eff = F.when(F.col("kind").isin("blank", "ua") | (is_rule & F.col("valid")), F.col("kind"))
-    ln = ln.withColumn("last_eff", F.last(eff, ignorenulls=True).over(w_prev))
-    boundary = ((F.col("kind") == "ua") & F.col("last_eff").isin("allow", "disallow")) | (
-        (F.col("kind") == "blank") & F.col("last_eff").isin("ua", "allow", "disallow")
-    )
-    ln = ln.withColumn("entry_no", F.sum(F.coalesce(boundary, F.lit(False)).cast("int")).over(w_run))
-    return ln.where(F.col("kind").isin("ua", "allow", "disallow") & F.col("valid"))
-
 
-def applicable_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """Rules of the one group that governs ``agent`` on each site: (site, line_no, allow, path)."""
+    def step(st: Column, ln: Column) -> Column:
+        mode, entry, kind = st["mode"], st["entry"], ln["kind"]
+        is_rule = kind.isin("allow", "disallow")
+        new_entry = (
+            F.when((kind == "blank") & (mode != 0), entry + 1)
+            .when((kind == "ua") & (mode == 2), entry + 1)
+            .otherwise(entry)
+        )
+        new_mode = (
+            F.when(kind == "blank", F.lit(0))
+            .when(kind == "ua", F.lit(1))
+            .when(is_rule & (mode != 0), F.lit(2))
+            .otherwise(mode)
+        )
+        agents = F.when(
+            kind == "ua", F.concat(st["agents"], F.array(F.struct(new_entry.alias("entry"), ln["value"].alias("agent"))))
+        ).otherwise(st["agents"])
+        rule = F.struct(
+            entry.alias("entry"), F.size(st["rules"]).alias("line"), (kind == "allow").alias("allow"), ln["value"].alias("path")
+        )
+        rules = F.when(is_rule & (mode != 0), F.concat(st["rules"], F.array(rule))).otherwise(st["rules"])
+        return F.struct(new_mode.alias("mode"), new_entry.alias("entry"), agents.alias("agents"), rules.alias("rules"))
+
+    return F.aggregate(lines, init, step)
+
+
+def governing_rules(parsed: Column, agent: str) -> Column:
+    """The rule list (file order) of the one group that governs ``agent``."""
     token = agent_token(agent)
-    g = groups(robots)
-    rules = g.where(F.col("kind") != "ua").select(
-        "site", "entry_no", "line_no", (F.col("kind") == "allow").alias("allow"), F.col("value").alias("path")
-    )
-    with_rules = rules.select("site", "entry_no").distinct()
-    agents = g.where(F.col("kind") == "ua").groupBy("site", "entry_no").agg(
-        F.bool_or(F.col("value") == "*").alias("has_star"),
-        F.bool_or(F.instr(F.lit(token), F.lower("value")) > 0).alias("matches"),
+    rules, agents = parsed["rules"], parsed["agents"]
+    with_rules = F.array_distinct(F.transform(rules, lambda r: r["entry"]))
+    star = F.array_distinct(F.transform(F.filter(agents, lambda a: a["agent"] == "*"), lambda a: a["entry"]))
+    named = F.array_distinct(
+        F.transform(F.filter(agents, lambda a: F.instr(F.lit(token), F.lower(a["agent"])) > 0), lambda a: a["entry"])
     )
-    entries = agents.join(with_rules, ["site", "entry_no"])
-    specific = entries.where(~F.col("has_star") & F.col("matches")).groupBy("site").agg(F.min("entry_no").alias("spec"))
-    default = entries.where(F.col("has_star")).groupBy("site").agg(F.min("entry_no").alias("dflt"))
-    chosen = specific.join(default, "site", "full").select("site", F.coalesce("spec", "dflt").alias("entry_no"))
-    return rules.join(chosen, ["site", "entry_no"]).select("site", "line_no", "allow", "path")
+    specific = F.array_min(F.filter(with_rules, lambda e: F.array_contains(named, e) & ~F.array_contains(star, e)))
+    default = F.array_min(F.filter(with_rules, lambda e: F.array_contains(star, e)))
+    chosen = F.coalesce(specific, default)
+    return F.filter(rules, lambda r: r["entry"] == chosen)
+
+
+def site_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(site, rules) — map-only over the robots table."""
+    return robots.select("site", governing_rules(parse(F.col("body")), agent).alias("rules"))
 
 
-def url_path(url) -> F.Column:
+def url_path(url) -> Column:
     p = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(.*)$", 1)
     return F.when(p == "", F.lit("/")).otherwise(p)
 
 
+def decide(rules: Column, path: Column) -> Column:
+    """First matching rule decides; an empty Disallow allows; no match allows."""
+    hit = F.try_element_at(F.filter(rules, lambda r: (r["path"] == "*") | path.startswith(r["path"])), F.lit(1))
+    return F.when(hit.isNull(), F.lit(True)).otherwise(hit["allow"] | (hit["path"] == ""))
+
+
 def can_fetch(urls: DataFrame, robots: DataFrame | None, agent: str = USER_AGENTS["pc"],
-              respect_robots: bool = True, broadcast_rule_limit: int = 100_000) -> DataFrame:
+              respect_robots: bool = True, broadcast_site_limit: int = 50_000, out: str = "allowed") -> DataFrame:
     """Adds ``allowed`` to ``urls(site, url, …)``. Without rules (or when robots
     are ignored) everything is allowed."""
     if robots is None or not respect_robots:
-        return urls.withColumn("allowed", F.lit(True))
-    rules = applicable_rules(robots, agent)
-    # Size check before broadcasting: rules are tiny per site, but there may be
-    # very many sites; beyond the limit the join shuffles on site (AQE splits skew).
-    n_rules = rules.count()
-    r = F.broadcast(rules) if n_rules <= broadcast_rule_limit else rules
-    path = url_path(F.col("url"))
-    distinct_urls = urls.select("site", "url").distinct()
-    hits = distinct_urls.select("site", "url", path.alias("_path")).join(
-        r.withColumnRenamed("site", "_rsite"),
-        (F.col("site") == F.col("_rsite")) & ((F.col("path") == "*") | F.col("_path").startswith(F.col("path"))),
-    )
-    # Empty Disallow means allow (the standard library turns it into an allow rule).
-    first = hits.groupBy("site", "url").agg(F.min_by(F.col("allow") | (F.col("path") == ""), F.col("line_no")).alias("_allow"))
-    return urls.join(first, ["site", "url"], "left").select(
-        *[F.col(c) for c in urls.columns], F.coalesce(F.col("_allow"), F.lit(True)).alias("allowed")
-    )
+        return urls.withColumn(out, F.lit(True))
+    rules = site_rules(robots, agent).withColumnRenamed("site", "_rsite")
+    # Size check before broadcasting: one row per site with a bounded rule list.
+    n_sites = rules.count()
+    r = F.broadcast(rules) if n_sites <= broadcast_site_limit else rules
+    j = urls.join(r, urls["site"] == r["_rsite"], "left")
+    allowed = F.when(F.col("rules").isNull(), F.lit(True)).otherwise(decide(F.col("rules"), url_path(F.col("url"))))
+    return j.withColumn(out, allowed).drop("_rsite", "rules")

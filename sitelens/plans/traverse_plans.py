@@ -142,9 +142,9 @@ def robots_filter(spark, sf_dir):
     """Robots decision per URL for the desktop and mobile agents."""
     robots = graph_robots(spark, sf_dir)
     nodes = graph_nodes(spark, sf_dir)
-    pc = RB.can_fetch(nodes, robots, USER_AGENTS["pc"]).select("url", F.col("allowed").alias("allowed_pc"))
-    mob = RB.can_fetch(nodes, robots, USER_AGENTS["mobile"]).select("url", F.col("allowed").alias("allowed_mobile"))
-    return pc.join(mob, "url")
+    both = RB.can_fetch(nodes, robots, USER_AGENTS["pc"], out="allowed_pc")
+    both = RB.can_fetch(both, robots, USER_AGENTS["mobile"], out="allowed_mobile")
+    return both.select("url", "allowed_pc", "allowed_mobile")
 
 
 BFS_ROBOTS_SQL = (
