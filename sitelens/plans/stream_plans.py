@@ -17,8 +17,13 @@ from sitelens.plans.fetch_plans import FETCH_CTE, UPSERT_SQL
 from sitelens.plans.registry import register
 from sitelens.sinks.writers import scratch_path
 from sitelens.sources.pages import read_table
+from sitelens.session import session_conf
 from sitelens.streaming import incremental as ST
 
+# State partitions for these small checkpoints (fixed when a checkpoint is created;
+# size it to the state volume on a cluster).
+STATE_CONF = {"spark.sql.shuffle.partitions": "8"}
+
 N_FILES = 4
 
 
@@ -35,7 +40,8 @@ def stream_dedupe(spark, sf_dir):
     """Every URL processed at most once as fetch records stream in."""
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "dedupe-out"), scratch_path(spark, "dedupe-ck")
-    ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, schema)), out, ck)
+    with session_conf(spark, STATE_CONF):
+        ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, schema)), out, ck)
     return spark.read.parquet(out)
 
 
@@ -48,7 +54,8 @@ def stream_counts(spark, sf_dir):
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
     recs = FT.ok_rows(fetches_from_events(ST.file_stream(spark, src, schema)))
-    ST.counts_stream(recs, ["site", "status_code"], out, ck)
+    with session_conf(spark, STATE_CONF):
+        ST.counts_stream(recs, ["site", "status_code"], out, ck)
     return spark.read.parquet(out)
 
 
@@ -58,7 +65,8 @@ def stream_upsert(spark, sf_dir):
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "upsert-out"), scratch_path(spark, "upsert-ck")
     recs = fetches_from_events(ST.file_stream(spark, src, schema)).select("url", "event_id", "status_code", "ts", "content_type", "error_type")
-    versions = ST.upsert_stream(recs, out, ck, prepare=ST.html_latest)
+    with session_conf(spark, STATE_CONF):
+        versions = ST.upsert_stream(recs, out, ck, prepare=ST.html_latest)
     return spark.read.parquet(versions[-1]).select("url", "event_id", "status_code", "ts")
 
 
@@ -67,7 +75,8 @@ def stream_progress(spark, sf_dir):
     """One progress row per micro-batch (rows-only check: batch sizes depend on arrival)."""
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
-    ST.progress_stream(fetches_from_events(ST.file_stream(spark, src, schema)), out, ck)
+    with session_conf(spark, STATE_CONF):
+        ST.progress_stream(fetches_from_events(ST.file_stream(spark, src, schema)), out, ck)
     return spark.read.parquet(out)
 
 
@@ -80,7 +89,9 @@ def stream_resume(spark, sf_dir):
     out, ck = scratch_path(spark, "resume-out"), scratch_path(spark, "resume-ck")
     cut = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]  # one scalar
     e.where(F.col("event_id") <= cut).write.mode("append").parquet(os.path.join(src, "part=1"))
-    ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, e.schema, 8)), out, ck)
+    with session_conf(spark, STATE_CONF):
+        ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, e.schema, 8)), out, ck)
     e.where(F.col("event_id") > cut).write.mode("append").parquet(os.path.join(src, "part=2"))
-    ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, e.schema, 8)), out, ck)
+    with session_conf(spark, STATE_CONF):
+        ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, e.schema, 8)), out, ck)
     return spark.read.parquet(out)

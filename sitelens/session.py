@@ -80,3 +80,25 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+class session_conf:
+    """Temporarily set SQL confs (restored on exit), e.g. the number of state
+    partitions a new streaming checkpoint is created with."""
+
+    def __init__(self, spark: SparkSession, conf: dict[str, str]):
+        self.spark, self.conf, self.saved = spark, conf, {}
+
+    def __enter__(self):
+        for k, v in self.conf.items():
+            self.saved[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+        return self.spark
+
+    def __exit__(self, *exc):
+        for k, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False
