@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,17 @@ class Traversal:
 
 
 def prepare_edges(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst), hash-partitioned on src, materialised once."""
-    e = edges.select("src", "dst").where(F.col("dst").isNotNull()).distinct().repartition("src")
-    return cut_lineage(e)
+    """Distinct (src, dst), hash-partitioned on src, materialised once.
+
+    Persisted (memory and disk) rather than checkpointed: its lineage is just
+    scan + one shuffle, so a lost block is cheap to recompute, and nothing is
+    written to the shared folder."""
+    # Partitioning on src already clusters equal (src, dst) pairs, so the
+    # distinct reuses this single shuffle.
+    e = edges.select("src", "dst").where(F.col("dst").isNotNull()).repartition("src").distinct()
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    e.count()
+    return e
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable: DataFrame | None = None,
@@ -71,6 +80,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable:
         t.levels.append(nxt)
         t.sizes.append(n)
         frontier = nxt
+    if not prepared:
+        e.unpersist()
     return t
 
 

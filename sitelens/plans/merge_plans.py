@@ -62,16 +62,16 @@ def merge_sets(spark, sf_dir):
     """U2 + S4/S12: the old run's sets are written as result documents, read
     back, and union-merged with the new run (new endpoints capped at 1000)."""
     old, new = _runs(spark, sf_dir)
-    old_ep = X.endpoints(old).where("in_scope").select("site", F.col("endpoint").alias("value"))
-    old_em = X.emails(old).select("site", F.col("email").alias("value"))
-    doc = old_ep.groupBy("site").agg(F.sort_array(F.collect_set("value")).alias("endpoints")).join(
-        old_em.groupBy("site").agg(F.sort_array(F.collect_set("value")).alias("emails")), "site", "full"
-    ).withColumn("output_name", W.output_name(F.col("site")))
+    old_ep = X.endpoints(old).where("in_scope").select("site", F.col("endpoint").alias("value")).distinct()
+    old_em = X.emails(old).select("site", F.col("email").alias("value")).distinct()
+    # The old run's sets are written as per-item sections of its result document.
     path = W.scratch_path(spark, "merge-sets")
-    W.write_document(doc, path)
-    prior = W.read_document(spark, path, "site string, endpoints array<string>, emails array<string>, output_name string")
-    prior_ep = prior.select("site", F.explode_outer("endpoints").alias("value")).where(F.col("value").isNotNull())
-    prior_em = prior.select("site", F.explode_outer("emails").alias("value")).where(F.col("value").isNotNull())
+    doc = old_ep.select("site").distinct().select(F.col("site").alias("target_domain"), W.output_name(F.col("site")).alias("output_name"))
+    W.write_document(doc, path, {"endpoints": old_ep, "emails": old_em})
+    # Read the prior run back.
+    item = "site string, value string, output_name string"
+    prior_ep = W.read_document(spark, path, item, section="endpoints").select("site", "value")
+    prior_em = W.read_document(spark, path, item, section="emails").select("site", "value")
     ep = M.union_sets(prior_ep, X.endpoints(new).where("in_scope").select("site", F.col("endpoint").alias("value")), "value", new_cap=1000)
     em = M.union_sets(prior_em, X.emails(new).select("site", F.col("email").alias("value")), "value")
     return ep.withColumn("kind", F.lit("endpoints")).unionByName(em.withColumn("kind", F.lit("emails"))).select("site", "kind", "value")

@@ -18,8 +18,7 @@ from sitelens.sources.pages import load_pages
 
 DOC_SCHEMA = (
     "target_domain string, crawler_mode string, statistics struct<total_urls_visited:bigint,total_keywords:bigint>, "
-    "top_keywords map<string,bigint>, endpoints array<string>, emails array<string>, "
-    "technologies map<string,array<string>>, output_name string"
+    "top_keywords map<string,bigint>, endpoints array<string>, output_name string"
 )
 
 
@@ -51,15 +50,21 @@ def json_round_trip(spark, sf_dir):
     from pyspark.sql import Window
 
     eps = eps.withColumn("_r", F.row_number().over(Window.partitionBy("site").orderBy("endpoint"))).where("_r <= 1000")
-    sets = {"endpoints": eps.select("site", "endpoint"), "emails": X.emails(p).select("site", "email")}
-    doc = W.result_document(stats, top, sets, X.technologies(p))
+    doc = W.result_document(stats, top, {"endpoints": eps.select("site", "endpoint")})
+    sections = {
+        "emails": X.emails(p).select("site", "email").distinct(),
+        "technologies": X.technologies(p).select("site", "url", "technology"),
+    }
     path = W.scratch_path(spark, "documents")
-    W.write_document(doc, path)
+    W.write_document(doc, path, sections)
     back = W.read_document(spark, path, DOC_SCHEMA)
+    emails = W.read_document(spark, path, "site string, email string, output_name string", section="emails")
+    n_em = emails.groupBy("output_name").agg(F.count(F.lit(1)).alias("n_emails"))
     size0 = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
-    return back.select(
+    return back.join(n_em, "output_name", "left").select(
         "output_name", "target_domain", F.col("statistics.total_urls_visited").alias("total_urls_visited"),
-        size0("top_keywords").alias("n_top_keywords"), size0("endpoints").alias("n_endpoints"), size0("emails").alias("n_emails"),
+        size0("top_keywords").alias("n_top_keywords"), size0("endpoints").alias("n_endpoints"),
+        F.coalesce("n_emails", F.lit(0)).cast("bigint").alias("n_emails"),
     )
 
 

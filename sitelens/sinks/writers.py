@@ -33,10 +33,14 @@ def output_name(site) -> F.Column:
 
 # ---- S4: result document -------------------------------------------------------
 
-def result_document(stats: DataFrame, top_keywords: DataFrame, sets: dict[str, DataFrame],
-                    technologies: DataFrame, agent_mode: str = "pc") -> DataFrame:
-    """One JSON-able row per site: statistics struct, top keywords map, sorted
-    lists and the per-URL technology map. Each list is aggregated per site."""
+def result_document(stats: DataFrame, top_keywords: DataFrame, bounded_sets: dict[str, DataFrame],
+                    agent_mode: str = "pc") -> DataFrame:
+    """One JSON-able row per site holding only bounded sections: the statistics
+    struct, the top-k keyword map and lists capped by construction (first 1000
+    endpoints, enumerated subdomains). Unbounded sections (e-mails, phones, API
+    endpoints, per-URL technologies, forms, files …) are written by
+    ``write_document`` as one-row-per-item datasets instead, so no site — however
+    large — is ever collected into a single row or task."""
     stat_cols = [c for c in stats.columns if c != "site"]
     doc = stats.select("site", F.struct(*stat_cols).alias("statistics"))
     kw = top_keywords.groupBy("site").agg(
@@ -44,30 +48,31 @@ def result_document(stats: DataFrame, top_keywords: DataFrame, sets: dict[str, D
                                        lambda x: F.struct(x["keyword"], x["frequency"]))).alias("top_keywords")
     )
     doc = doc.join(kw, "site", "left")
-    for name, df in sets.items():
+    for name, df in bounded_sets.items():
         value = [c for c in df.columns if c != "site"][0]
         doc = doc.join(df.groupBy("site").agg(F.sort_array(F.collect_set(value)).alias(name)), "site", "left")
-    tech = technologies.groupBy("site", "url").agg(F.sort_array(F.collect_set("technology")).alias("t")).groupBy("site").agg(
-        F.map_from_entries(F.collect_list(F.struct("url", "t"))).alias("technologies")
-    )
-    doc = doc.join(tech, "site", "left")
     return doc.select(
         F.col("site").alias("target_domain"), F.lit(agent_mode).alias("crawler_mode"),
         *[c for c in doc.columns if c != "site"], output_name(F.col("site")).alias("output_name"),
     )
 
 
-def write_document(doc: DataFrame, path: str) -> None:
-    """S4 + S15: one JSON document per domain, in a folder named after it."""
-    doc.write.mode("overwrite").partitionBy("output_name").json(path)
+def write_document(doc: DataFrame, path: str, sections: dict[str, DataFrame] | None = None) -> None:
+    """S4 + S15: the bounded document per domain under ``document/``, and every
+    unbounded section as JSON lines under ``<section>/``, all partitioned by the
+    per-domain output name."""
+    doc.write.mode("overwrite").partitionBy("output_name").json(os.path.join(path, "document"))
+    for name, df in (sections or {}).items():
+        out = df.withColumn("output_name", output_name(F.col("site")))
+        out.write.mode("overwrite").partitionBy("output_name").json(os.path.join(path, name))
 
 
-def read_document(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_document(spark: SparkSession, path: str, schema=None, section: str = "document") -> DataFrame:
     """Prior results; unreadable rows come back as NULLs (PERMISSIVE)."""
     r = spark.read.option("mode", "PERMISSIVE")
     if schema is not None:
         r = r.schema(schema)
-    return r.json(path)
+    return r.json(os.path.join(path, section))
 
 
 # ---- S5: report lines ----------------------------------------------------------
