@@ -12,6 +12,8 @@ import os
 from pyspark.sql import functions as F
 
 from sitelens.operators import fetch as FT
+from sitelens.operators import keywords as K
+from sitelens.plans import sqlparts as S
 from sitelens.plans.compose import fetches_from_events
 from sitelens.plans.fetch_plans import FETCH_CTE, UPSERT_SQL
 from sitelens.plans.registry import register
@@ -95,3 +97,31 @@ def stream_resume(spark, sf_dir):
     with session_conf(spark, STATE_CONF):
         ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, e.schema, 8)), out, ck)
     return spark.read.parquet(out)
+
+
+def _page_arrivals(spark, sf_dir):
+    """The page store as N_FILES arrival files."""
+    p = read_table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "pages-arrivals")
+    p.repartitionByRange(N_FILES, "page_id").write.mode("overwrite").parquet(path)
+    return path, p.schema
+
+
+STREAM_KW_SQL = f"""
+WITH {S.pages_cte()}, {S.kw_tokens_cte()}
+SELECT site, keyword, count(*) AS frequency FROM kw GROUP BY site, keyword
+"""
+
+
+@register("stream_keyword_counts", STREAM_KW_SQL)
+def stream_keyword_counts(spark, sf_dir):
+    """X2 on pages: running per-site keyword counts as pages arrive."""
+    from sitelens.functions.urls import site_of
+
+    src, schema = _page_arrivals(spark, sf_dir)
+    out, ck = scratch_path(spark, "kwstream-out"), scratch_path(spark, "kwstream-ck")
+    pages = ST.file_stream(spark, src, schema).withColumn("site", site_of(F.col("url")))
+    toks = K.page_tokens(pages).select("site", "keyword")
+    with session_conf(spark, STATE_CONF):
+        ST.counts_stream(toks, ["site", "keyword"], out, ck)
+    return spark.read.parquet(out).withColumnRenamed("n", "frequency")
