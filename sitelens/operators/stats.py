@@ -70,7 +70,7 @@ FACT_TO_STAT = {
 
 
 def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetches: DataFrame | None = None,
-                    peak_queue: DataFrame | None = None) -> DataFrame:
+                    peak_queue: DataFrame | None = None, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """The statistics block of the result document, per site.
 
     One pass over the HTML (``page_fact_rows``); then a partial/final
@@ -78,11 +78,19 @@ def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetch
     values per site — and small per-site rollups.
     """
     f = page_fact_rows(pages)
-    per_value = f.groupBy("site", "kind", "value").agg(F.sum("n").alias("n"))
-    per_kind = per_value.groupBy("site", "kind").agg(
-        # count kinds have one NULL-valued row per site; distinct kinds never NULL
-        F.when(F.bool_or(F.col("value").isNull()), F.sum("n")).otherwise(F.count("value")).alias("v")
-    )
+    if approx:
+        # A3 opt-in: HyperLogLog++ sketches merge map-side, so the shuffle carries
+        # one small sketch per (task, site, kind) instead of every distinct value.
+        per_kind = f.groupBy("site", "kind").agg(
+            F.when(F.bool_or(F.col("value").isNull()), F.sum("n"))
+            .otherwise(F.approx_count_distinct("value", rsd)).alias("v")
+        )
+    else:
+        per_value = f.groupBy("site", "kind", "value").agg(F.sum("n").alias("n"))
+        per_kind = per_value.groupBy("site", "kind").agg(
+            # count kinds have one NULL-valued row per site; distinct kinds never NULL
+            F.when(F.bool_or(F.col("value").isNull()), F.sum("n")).otherwise(F.count("value")).alias("v")
+        )
     wide = per_kind.groupBy("site").pivot("kind", list(FACT_TO_STAT)).agg(F.first("v"))
     for kind, stat in FACT_TO_STAT.items():
         wide = wide.withColumnRenamed(kind, stat)

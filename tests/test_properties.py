@@ -64,3 +64,15 @@ def test_subdomain_insert_if_absent(spark):
     new = spark.createDataFrame([("www.a.com", "9.9.9.9"), ("m.a.com", "2.2.2.2")], "subdomain string, ip string")
     got = {r.subdomain: r.ip for r in SD.insert_if_absent(old, new).collect()}
     assert got == {"www.a.com": "1.1.1.1", "m.a.com": "2.2.2.2"}
+
+
+def test_statistics_approx_close_to_exact(spark):
+    from sitelens.operators import stats as ST
+    from sitelens.sources.pages import load_pages
+
+    p = load_pages(spark, "/root/testdata/sf0.001")
+    exact = {r.site: r.total_keywords for r in ST.site_statistics(p).collect()}
+    approx = {r.site: r.total_keywords for r in ST.site_statistics(p, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert abs(exact[k] - approx[k]) <= max(3, 0.05 * exact[k])
