@@ -29,9 +29,8 @@ MASK_RE = (
     rf"|(<style\b{_Q}>).*?(</style\s*>)"
 )
 TAG_RE = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q})>"""
-ATTR_RE = r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?"""
-# Same attribute grammar with the (possibly quoted) value as one group.
-ATTR_RE2 = r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
+# Attribute name and its (possibly quoted) value as one group.
+ATTR_RE = r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 COMMENT_RE = r"(?s)<!--(.*?)-->"
 SCRIPT_BODY_RE = rf"(?is)<script\b{_Q}>(.*?)</script\s*>"
 STYLE_BLANK_RE = rf"(?is)(<style\b{_Q}>).*?(</style\s*>)"
@@ -43,8 +42,8 @@ def mask_html(html: Column) -> Column:
 
 
 def _attrs(attr_text: Column) -> Column:
-    names = F.regexp_extract_all(attr_text, F.lit(ATTR_RE2), 1)
-    vals = F.regexp_extract_all(attr_text, F.lit(ATTR_RE2), 2)
+    names = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 1)
+    vals = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 2)
 
     def unquote(v: Column) -> Column:
         quoted = (F.length(v) >= 2) & (

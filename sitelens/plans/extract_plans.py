@@ -341,8 +341,8 @@ def domain_normalise(spark, sf_dir):
 
 INVENTORY_SQL = f"""
 WITH {S.pages_cte()}, {MH}
-SELECT site, count(*) AS pages, count(DISTINCT {S.host('url')}) AS hosts, sum(octet_length(encode(html))) AS bytes,
-       sum(len(regexp_extract_all(mh, '(?is)<a\\s[^>]*href="([^"]*)"', 1))) AS anchors
+SELECT site, count(*) AS pages, count(DISTINCT {S.host('url')}) AS hosts, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes,
+       CAST(sum(len(regexp_extract_all(mh, '(?is)<a\\s[^>]*href="([^"]*)"', 1))) AS BIGINT) AS anchors
 FROM mh GROUP BY site
 """
 
