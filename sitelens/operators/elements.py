@@ -22,13 +22,24 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.text import decode_entities, node_text
 
-_Q = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-MASK_RE = (
-    r"(?is)<!--.*?-->"
-    rf"|(<script\b{_Q}>).*?(</script\s*>)"
-    rf"|(<style\b{_Q}>).*?(</style\s*>)"
-)
+# Attribute text of a tag: quote-aware for up to 50 quoted values (a quoted '>'
+# does not end the tag), then a plain fallback. The bound and the possessive
+# quantifiers keep java.util.regex from recursing once per attribute (a tag with
+# thousands of attributes would otherwise overflow the executor's stack) and
+# from backtracking. The alternatives are disjoint by first character, so the
+# possessive form matches exactly what the RE2 form (used by the SQL oracle) does.
+_Q = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+){0,50}+[^>]*+"""
+_Q_RE2 = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,50}[^>]*"""
+
+
+def _mask_re(q: str) -> str:
+    return rf"(?is)<!--.*?-->|(<script\b{q}>).*?(</script\s*>)|(<style\b{q}>).*?(</style\s*>)"
+
+
+MASK_RE = _mask_re(_Q)
+MASK_RE2 = _mask_re(_Q_RE2)
 TAG_RE = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q})>"""
+TAG_RE2 = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q_RE2})>"""
 # Attribute name and its (possibly quoted) value as one group.
 ATTR_RE = r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 COMMENT_RE = r"(?s)<!--(.*?)-->"

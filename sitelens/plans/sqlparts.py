@@ -58,7 +58,7 @@ def kw_tokens_cte() -> str:
 
 # ---- HTML helpers (DuckDB / RE2) --------------------------------------------------
 from sitelens.functions.text import ENTITIES, WS_CLASS  # noqa: E402
-from sitelens.operators.elements import MASK_RE, TAG_RE  # noqa: E402
+from sitelens.operators.elements import MASK_RE2, TAG_RE2  # noqa: E402
 
 
 def decode(x: str) -> str:
@@ -80,11 +80,11 @@ def node_text(x: str) -> str:
 
 
 def masked(html: str) -> str:
-    return f"regexp_replace({html}, '{sq(MASK_RE)}', '\\1\\2\\3\\4', 'g')"
+    return f"regexp_replace({html}, '{sq(MASK_RE2)}', '\\1\\2\\3\\4', 'g')"
 
 
 def tag_re() -> str:
-    return TAG_RE.replace("'", "''")
+    return TAG_RE2.replace("'", "''")
 
 
 def sq(s: str) -> str:

@@ -93,3 +93,14 @@ def test_quoted_gt_and_unquoted_attrs(spark):
     assert [r.target_url for r in X.links(p).collect()] == ["/x?a>b"]
     i = X.images(p).first()
     assert (i.src, i.alt) == ("https://example.com/plain.png", "y")
+
+
+def test_huge_tags_do_not_overflow_the_regex_stack(spark):
+    # Thousands of attributes in one tag used to recurse once per attribute in
+    # java.util.regex and kill the executor; the bounded possessive form must not.
+    plain = "<div " + "a " * 20000 + ">x</div>"
+    quoted = "<div " + 'a="1" ' * 5000 + ">y</div>"
+    p = one(spark, plain + quoted + "<img src=\"a.png\" alt='q>r'><a href=\"/q\">q</a>")
+    assert X.images(p).first().alt == "q>r"
+    assert X.links(p).count() == 1
+    assert X.page_text(p).first().text == "xyq"
