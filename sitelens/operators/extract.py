@@ -30,6 +30,7 @@ from sitelens.operators.elements import (
     _Q,
     attr,
     element_array,
+    start_tags,
     has_attr,
     inner_text,
     mask_html,
@@ -45,6 +46,14 @@ def ensure_elements(pages: DataFrame) -> DataFrame:
     return pages if "el" in pages.columns else pages.withColumn("el", element_array(F.col("html")))
 
 
+def tags_of(df: DataFrame, *names: str) -> Column:
+    """Start tags by name: from ``el`` when the caller already built it (shared
+    across extractors), else a targeted scan of just those tags."""
+    if "el" in df.columns:
+        return of_tag(el_col(), *names)
+    return start_tags(F.col("html"), *names)
+
+
 def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
@@ -160,11 +169,15 @@ def _a_hrefs(el: Column | None = None) -> Column:
 
 
 def social_links(pages: DataFrame) -> DataFrame:
-    df = ensure_elements(pages)
-    links = df.select("page_id", "url", "site", F.explode(F.transform(_a_hrefs(), lambda e: attr(e, "href"))).alias("href"))
-    full = resolve(F.col("url"), F.col("href"))
+    anchors = F.filter(tags_of(pages, "a"), lambda e: has_attr(e, "href"))
+    links = pages.select("page_id", "url", "site", F.explode(F.transform(anchors, lambda e: attr(e, "href"))).alias("href"))
+    # Resolve once in its own projection: expressions holding higher-order
+    # functions are not shared by subexpression elimination, and the resolved
+    # link is tested against every platform.
+    resolved = links.select("page_id", "url", "site", resolve(F.col("url"), F.col("href")).alias("link"))
+    full = F.col("link")
     hits = F.array_compact(F.array(*[F.when(full.rlike("(?i)" + p), F.lit(name)) for name, p in SOCIAL_PLATFORMS]))
-    return links.select("page_id", "url", "site", full.alias("link"), F.explode(hits).alias("platform"))
+    return resolved.select("page_id", "url", "site", "link", F.explode(hits).alias("platform"))
 
 
 # ---- E13, E14: forms and fields (J11: field → enclosing form by position) ------------
@@ -209,9 +222,9 @@ def form_fields(forms_df: DataFrame) -> DataFrame:
 # ---- E15, E16, E17: images, videos, JSON-LD ----------------------------------------
 
 def images(pages: DataFrame) -> DataFrame:
-    df = ensure_elements(pages)
+    df = pages
     rows = F.transform(
-        of_tag(el_col(), "img"),
+        tags_of(pages, "img"),
         lambda e: F.struct(
             e["seq"].alias("seq"),
             F.coalesce(attr(e, "src"), F.lit("")).alias("raw_src"),
@@ -229,9 +242,9 @@ def images(pages: DataFrame) -> DataFrame:
 
 
 def videos(pages: DataFrame) -> DataFrame:
-    df = ensure_elements(pages)
+    df = pages
     rows = F.transform(
-        of_tag(el_col(), "video", "iframe"),
+        tags_of(pages, "video", "iframe"),
         lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(attr(e, "src"), F.lit("")).alias("src"), e["tag"].alias("type")),
     )
     out = df.select("page_id", "url", "site", F.explode(rows).alias("v"))
@@ -283,10 +296,10 @@ def file_type(href: Column) -> Column:
 
 
 def files(pages: DataFrame) -> DataFrame:
-    df = ensure_elements(pages)
-    out = df.select(
+    anchors = F.filter(tags_of(pages, "a"), lambda e: has_attr(e, "href"))
+    out = pages.select(
         "page_id", "url", "site",
-        F.explode(F.transform(_a_hrefs(), lambda e: F.struct(e["seq"].alias("seq"), attr(e, "href").alias("href")))).alias("a"),
+        F.explode(F.transform(anchors, lambda e: F.struct(e["seq"].alias("seq"), attr(e, "href").alias("href")))).alias("a"),
     )
     return (
         out.select("page_id", "url", "site", "a.seq", file_type(F.col("a.href")).alias("file_type"),
@@ -327,7 +340,8 @@ def comment_bodies(html: Column) -> Column:
 
 
 def candidate_array(el: Column, html: Column) -> Column:
-    """E20–E23 as one per-page array<struct<kind, raw>> (not yet distinct)."""
+    """E20–E23 as one per-page array<struct<kind, raw>> (not yet distinct).
+    ``el`` may be the full element array or just the a/link/script/img/form tags."""
 
     def attr_values(tags, name, kind):
         vals = F.transform(of_tag(el, *tags), lambda e: attr(e, name))
@@ -354,10 +368,13 @@ def candidate_array(el: Column, html: Column) -> Column:
     )
 
 
+ENDPOINT_TAGS = ("a", "link", "script", "img", "form")
+
+
 def endpoint_candidates(pages: DataFrame) -> DataFrame:
     """Raw candidates per page with their origin kind (not yet distinct)."""
-    df = ensure_elements(pages)
-    out = df.select("page_id", "url", "site", F.explode(candidate_array(el_col(), F.col("html"))).alias("c"))
+    tags = tags_of(pages, *ENDPOINT_TAGS)
+    out = pages.select("page_id", "url", "site", F.explode(candidate_array(tags, F.col("html"))).alias("c"))
     return out.select("page_id", "url", "site", "c.kind", "c.raw")
 
 

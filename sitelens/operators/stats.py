@@ -29,8 +29,11 @@ def page_fact_rows(pages: DataFrame) -> DataFrame:
     from sitelens.functions.lookups import API_PATTERN, EMAIL_PATTERN, PHONE_PATTERNS
     from sitelens.operators.elements import attr, of_tag
 
-    p = X.ensure_elements(pages)
-    el, html = F.col("el"), F.col("html")
+    p = pages
+    # Every fact here needs start-tag attributes only: one targeted scan (or
+    # the caller's element array when it already built one).
+    el = X.tags_of(pages, *X.ENDPOINT_TAGS, "video", "iframe")
+    html = F.col("html")
 
     def distinct_kind(kind: str, arr) -> F.Column:
         return F.transform(arr, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(1).cast("bigint").alias("n")))
