@@ -386,10 +386,17 @@ def in_scope_endpoint_array(el: Column, html: Column, url: Column, site: Column)
 
 
 def endpoints(pages: DataFrame) -> DataFrame:
-    """Distinct resolved endpoints per page with scope flag."""
-    c = endpoint_candidates(pages).select("page_id", "url", "site", "raw").distinct()
-    r = c.select("page_id", "url", "site", resolve(F.col("url"), F.col("raw")).alias("endpoint"))
-    return r.distinct().withColumn("in_scope", in_scope(F.col("endpoint"), F.col("site")))
+    """Distinct resolved endpoints per page with the scope flag.
+
+    The per-page "set" is an ``array_distinct`` inside the row (before and
+    after resolution), so this is map-only: no shuffle."""
+    tags = tags_of(pages, *ENDPOINT_TAGS)
+    raws = F.array_distinct(
+        F.transform(F.filter(candidate_array(tags, F.col("html")), lambda c: c["raw"] != ""), lambda c: c["raw"])
+    )
+    resolved = F.array_distinct(F.transform(raws, lambda r: resolve(F.col("url"), r)))
+    out = pages.select("page_id", "url", "site", F.explode(resolved).alias("endpoint"))
+    return out.withColumn("in_scope", in_scope(F.col("endpoint"), F.col("site")))
 
 
 def api_endpoints(pages: DataFrame) -> DataFrame:
