@@ -58,7 +58,7 @@ def prepare_edges(edges: DataFrame) -> DataFrame:
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable: DataFrame | None = None,
-             prepared: bool = False) -> Traversal:
+             prepared: bool = False, compact_after: int = 6) -> Traversal:
     """BFS from ``seeds(url)`` over ``edges(src, dst)`` up to ``max_depth`` (inclusive).
 
     ``expandable(url)``, when given, limits which visited URLs emit links
@@ -80,6 +80,10 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable:
         t.levels.append(nxt)
         t.sizes.append(n)
         frontier = nxt
+        if len(t.levels) > compact_after:
+            # Deep traversals: fold the visited levels into one url-partitioned
+            # checkpoint so each level anti-joins a bounded number of tables.
+            t.levels = [cut_lineage(t.visited.repartition("url"))]
     if not prepared:
         e.unpersist()
     return t
