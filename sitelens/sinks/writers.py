@@ -78,32 +78,36 @@ def read_document(spark: SparkSession, path: str, schema=None, section: str = "d
 # ---- S5: report lines ----------------------------------------------------------
 
 def report_lines(stats_long: DataFrame, top_keywords: DataFrame, emails: DataFrame, subdomains: DataFrame) -> DataFrame:
-    """(site, section, ord, line) rows in report order; write with ``write_report``."""
+    """(site, section, ord, line) rows; a report is these lines in
+    (section, ord, line) order. Sorted lists (subdomains, e-mails) use ord 0 and
+    sort by the line itself, so no per-site window is needed."""
     def title(stat):
         return F.initcap(F.replace(stat, F.lit("_"), F.lit(" ")))
 
     stat_lines = stats_long.select(
-        "site", F.lit(1).alias("section"), F.col("ord"), F.concat(F.lit("  "), title(F.col("stat")), F.lit(": "), F.col("value").cast("string")).alias("line")
+        "site", F.lit(1).alias("section"), F.col("ord").cast("long").alias("ord"),
+        F.concat(F.lit("  "), title(F.col("stat")), F.lit(": "), F.col("value").cast("string")).alias("line"),
     )
     sub_lines = subdomains.select(
-        "site", F.lit(2).alias("section"), F.dense_rank().over(Window.partitionBy("site").orderBy("subdomain")).alias("ord"),
-        F.concat(F.lit("  - "), F.col("subdomain")).alias("line"),
+        "site", F.lit(2).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("  - "), F.col("subdomain")).alias("line")
     )
     kw_lines = top_keywords.where(F.col("rank") <= 50).select(
-        "site", F.lit(3).alias("section"), F.col("rank").alias("ord"),
+        "site", F.lit(3).alias("section"), F.col("rank").cast("long").alias("ord"),
         F.concat(F.lit("  "), F.col("keyword"), F.lit(": "), F.col("frequency").cast("string")).alias("line"),
     )
-    em = emails.select("site", "email").distinct()
-    em_lines = em.select(
-        "site", F.lit(5).alias("section"), F.row_number().over(Window.partitionBy("site").orderBy("email")).alias("ord"),
-        F.concat(F.lit("  - "), F.col("email")).alias("line"),
+    em_lines = emails.select("site", "email").distinct().select(
+        "site", F.lit(5).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("  - "), F.col("email")).alias("line")
     )
     return stat_lines.unionByName(sub_lines).unionByName(kw_lines).unionByName(em_lines)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """One text report per domain, lines in (section, ord) order."""
-    out = lines.repartition("site").sortWithinPartitions("site", "section", "ord")
+def write_report(lines: DataFrame, path: str, files: int | None = None) -> None:
+    """One text report per domain. Range partitioning on (site, section,
+    ord, line) keeps every part file in report order, and a large site spans
+    several files instead of one task."""
+    n = files or lines.sparkSession.sparkContext.defaultParallelism
+    keys = ["site", "section", "ord", "line"]
+    out = lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     out.select(output_name(F.col("site")).alias("output_name"), "line").write.mode("overwrite").partitionBy("output_name").text(path)
 
 
