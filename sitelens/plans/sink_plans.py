@@ -117,31 +117,25 @@ SELECT 'urls' AS table_name, count(*) AS n FROM pages
 UNION ALL SELECT 'keywords', 2 * count(*) FROM ({PAGE_TOP_SQL})
 UNION ALL SELECT 'links', count(*) FROM ({LINKS_SQL})
 UNION ALL SELECT 'technologies', count(*) FROM ({TECH_SQL})
+UNION ALL SELECT 'files', count(*) FROM pages WHERE regexp_matches(html, '(?i)<a\\s[^>]*href="[^"]*\\.(pdf|docx?|xlsx?|pptx?|zip|rar|tar|gz|csv|txt|xml|json)')
+UNION ALL SELECT 'forms', count(*) FROM (SELECT unnest(regexp_extract_all(html, '(?i)<form\\b', 0)) FROM pages)
+UNION ALL SELECT 'images', count(*) FROM (SELECT unnest(regexp_extract_all(html, '(?i)<img\\b', 0)) FROM pages)
+UNION ALL SELECT 'subdomains', 0
 """
 
 
 @register("warehouse_round_trip", WAREHOUSE_SQL)
 def warehouse_round_trip(spark, sf_dir):
-    """S7 + S10 + S11: tables written as site-bucketed Parquet (keywords appended
-    twice), read back and counted."""
+    """S7 + S10 + S11: the eight tables written from one element build as
+    site-bucketed Parquet, keywords appended once more, read back and counted."""
+    from sitelens.sinks.warehouse import TABLES, warehouse_tables, write_warehouse
+
     p = load_pages(spark, sf_dir)
     base = W.scratch_path(spark, "warehouse")
-    meta = X.metadata(p)
-    urls = W.with_ids(meta.select("url", "site", "title", "description", "keywords"), ["url"])
-    kw = K.page_top_keywords(p, 100).select("site", "keyword", "frequency", "url")
-    tables = {
-        "urls": urls,
-        "links": X.links(p).select("site", "source_url", "target_url", "anchor_text", "link_type"),
-        "technologies": X.technologies(p).select("site", "url", "technology", F.lit("").alias("version")),
-    }
-    for name, df in tables.items():
-        W.write_table(df, f"{base}/{name}", mode="overwrite")
-    W.write_table(kw, f"{base}/keywords", mode="append")
-    W.write_table(kw, f"{base}/keywords", mode="append")
-    schemas = {name: df.schema.add("site_bucket", IntegerType()) for name, df in tables.items()}
-    schemas["keywords"] = kw.schema.add("site_bucket", IntegerType())
+    schemas = write_warehouse(p, base)
+    W.write_table(warehouse_tables(p)["keywords"], f"{base}/keywords", mode="append")
     out = None
-    for name in ["urls", "keywords", "links", "technologies"]:
+    for name in TABLES:
         # Explicit schema: an empty table has no data files to infer one from.
         c = spark.read.schema(schemas[name]).parquet(f"{base}/{name}").agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(name).alias("table_name"), "n"
