@@ -125,3 +125,23 @@ def stream_keyword_counts(spark, sf_dir):
     with session_conf(spark, STATE_CONF):
         ST.counts_stream(toks, ["site", "keyword"], out, ck)
     return spark.read.parquet(out).withColumnRenamed("n", "frequency")
+
+
+TYPE_ERR_SQL = f"""
+WITH {FETCH_CTE}
+SELECT site, CASE WHEN error_type IS NULL THEN split_part(content_type, ';', 1) END AS content_type, error_type, count(*) AS n
+FROM f GROUP BY ALL
+"""
+
+
+@register("stream_type_error_counts", TYPE_ERR_SQL)
+def stream_type_error_counts(spark, sf_dir):
+    """Running content-type and error-type counters per site."""
+    src, schema = _arrivals(spark, sf_dir)
+    out, ck = scratch_path(spark, "typeerr-out"), scratch_path(spark, "typeerr-ck")
+    recs = fetches_from_events(ST.file_stream(spark, src, schema)).select(
+        "site", F.when(F.col("error_type").isNull(), FT.content_type_base(F.col("content_type"))).alias("content_type"), "error_type"
+    )
+    with session_conf(spark, STATE_CONF):
+        ST.counts_stream(recs, ["site", "content_type", "error_type"], out, ck)
+    return spark.read.parquet(out)
