@@ -33,14 +33,60 @@ ENTITIES = [
     ("&amp;", "&"),
 ]
 
+# FIXED VALUES: numeric references 0x80–0x9F name windows-1252 characters in
+# HTML (the standard remap); the five codes windows-1252 leaves undefined stay
+# as the raw code point.
+CP1252_REMAP = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ",
+    0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“",
+    0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›",
+    0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
+NUM_REF = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
 # Characters str.strip() removes (Unicode whitespace), as a regex class valid
 # for both Java regex and RE2.
 WS_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def _utf8_char(cp: Column) -> Column:
+    """The character for a Unicode code point, built from its UTF-8 bytes."""
+    def byte(x: Column) -> Column:
+        return F.lpad(F.hex(x), 2, "0")
+
+    def cont(shift: int) -> Column:
+        return byte(F.shiftright(cp, shift).bitwiseAND(0x3F).bitwiseOR(0x80))
+
+    hexs = (
+        F.when(cp < 0x80, byte(cp))
+        .when(cp < 0x800, F.concat(byte(F.shiftright(cp, 6).bitwiseOR(0xC0)), cont(0)))
+        .when(cp < 0x10000, F.concat(byte(F.shiftright(cp, 12).bitwiseOR(0xE0)), cont(6), cont(0)))
+        .otherwise(F.concat(byte(F.shiftright(cp, 18).bitwiseOR(0xF0)), cont(12), cont(6), cont(0)))
+    )
+    return F.decode(F.unhex(hexs), "UTF-8")
+
+
+def _numeric_char(ref: Column) -> Column:
+    body = F.regexp_extract(ref, r"^&#([xX]?)([0-9a-fA-F]+);$", 2)
+    is_hex = F.regexp_extract(ref, r"^&#([xX]?)", 1) != ""
+    cp = F.when(is_hex, F.conv(body, 16, 10)).otherwise(body).cast("long")
+    remap = None
+    for code, ch in CP1252_REMAP.items():
+        remap = F.when(cp == code, F.lit(ch)) if remap is None else remap.when(cp == code, F.lit(ch))
+    valid = (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF) & (cp != 0)
+    return F.coalesce(remap, F.when(valid, _utf8_char(cp)).otherwise(F.lit("\ufffd")))
+
+
+def decode_numeric(c: Column) -> Column:
+    """Decimal and hex character references, JVM-side."""
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(NUM_REF), 0))
+    return F.aggregate(refs, c, lambda acc, r: F.replace(acc, r, _numeric_char(r)))
+
+
 def decode_entities(c: Column) -> Column:
-    """Decode the fixed entity set; strings without '&' skip the chain (CASE is lazy)."""
-    d = c
+    """Decode numeric references, then the fixed named set ('&amp;' last, so
+    '&amp;#39;' stays the text '&#39;'). Strings without '&' skip it all."""
+    d = F.when(F.instr(c, "&#") > 0, decode_numeric(c)).otherwise(c)
     for ent, ch in ENTITIES:
         d = F.replace(d, F.lit(ent), F.lit(ch))
     return F.when(F.instr(c, "&") > 0, d).otherwise(c)

@@ -104,3 +104,12 @@ def test_huge_tags_do_not_overflow_the_regex_stack(spark):
     assert X.images(p).first().alt == "q>r"
     assert X.links(p).count() == 1
     assert X.page_text(p).first().text == "xyq"
+
+
+def test_numeric_character_references(spark):
+    from sitelens.functions.text import decode_entities
+
+    cases = {"&#8217;s": "’s", "&#x2019;": "’", "&#X1F600;": "😀", "&#128;": "€", "&#233;t&#xE9;": "été",
+             "a&amp;#39;b": "a&#39;b", "&lt;&#60;&amp;": "<<&", "&#160;": "\xa0"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", decode_entities(F.col("s")).alias("d"))
+    assert {r.s: r.d for r in df.collect()} == cases
