@@ -93,3 +93,24 @@ def latest_by_url(fetches: DataFrame, order_cols=("ts", "event_id")) -> DataFram
     order = F.struct(*[F.col(c) for c in order_cols])
     latest = html.groupBy("url").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("r"))
     return latest.select("url", "r.*")
+
+
+def cookies(headers: Column) -> Column:
+    """cookies map (name → value) from the Set-Cookie header(s).
+
+    Several cookies folded into one header are split at commas that start a
+    new ``name=`` pair (commas inside an Expires date do not); attributes after
+    the first ';' are dropped; a repeated name keeps its last value."""
+    sc = F.coalesce(F.try_element_at(F.coalesce(headers, F.create_map().cast("map<string,string>")), F.lit("Set-Cookie")), F.lit(""))
+    parts = F.filter(F.split(sc, r",\s*(?=[^;=,\s]+=)"), lambda x: x.contains("="))
+    pairs = F.transform(
+        parts,
+        lambda x: F.struct(
+            F.trim(F.substring_index(F.substring_index(x, ";", 1), "=", 1)).alias("k"),
+            F.trim(F.regexp_extract(F.substring_index(x, ";", 1), "^[^=]*=(.*)$", 1)).alias("v"),
+        ),
+    )
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_entries(
+        F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v")))
+    )

@@ -115,6 +115,11 @@ def customer_pages(spark, sf_dir: str) -> DataFrame:
             html.alias("html"),
             status.alias("status_code"),
             F.lit("text/html").alias("content_type"),
+            F.create_map(
+                F.lit("Set-Cookie"),
+                F.concat(F.lit("sid="), ks, F.lit("; Path=/; Expires=Wed, 21 Oct 2026 07:28:00 GMT, seg="),
+                         F.col("c_mktsegment"), F.lit("; HttpOnly, sid="), ks, F.lit("b")),
+            ).alias("headers"),
         )
     )
 

@@ -225,3 +225,18 @@ KEPT_SQL = f"SELECT page_id, status_code FROM ({CHALLENGE_SQL}) WHERE NOT is_cha
 def challenge_dropped(spark, sf_dir):
     """F16: pages that survive challenge filtering."""
     return C.drop_challenges(customer_pages(spark, sf_dir)).select("page_id", "status_code")
+
+
+COOKIES_SQL = """
+SELECT c_custkey AS page_id, 'sid' AS name, c_custkey || 'b' AS value FROM customer
+UNION ALL SELECT c_custkey, 'seg', c_mktsegment FROM customer
+"""
+
+
+@register("cookies", COOKIES_SQL)
+def cookies(spark, sf_dir):
+    """cookies map from Set-Cookie headers (Expires commas kept, last value wins)."""
+    from sitelens.operators.fetch import cookies as cookie_map
+
+    p = customer_pages(spark, sf_dir)
+    return p.select("page_id", F.explode(cookie_map(F.col("headers"))).alias("name", "value"))

@@ -113,3 +113,14 @@ def test_numeric_character_references(spark):
              "a&amp;#39;b": "a&#39;b", "&lt;&#60;&amp;": "<<&", "&#160;": "\xa0"}
     df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", decode_entities(F.col("s")).alias("d"))
     assert {r.s: r.d for r in df.collect()} == cases
+
+
+def test_cookies_from_set_cookie(spark):
+    from sitelens.operators.fetch import cookies
+
+    df = spark.createDataFrame(
+        [({"Set-Cookie": "a=1; Expires=Wed, 21 Oct 2026 07:28:00 GMT, b=2; Path=/, a=3"},), ({"Server": "x"},), (None,)],
+        "headers map<string,string>",
+    )
+    got = [r.c for r in df.select(cookies(F.col("headers")).alias("c")).collect()]
+    assert got == [{"a": "3", "b": "2"}, {}, {}]
