@@ -83,6 +83,13 @@ def decode_numeric(c: Column) -> Column:
     return F.aggregate(refs, c, lambda acc, r: F.replace(acc, r, _numeric_char(r)))
 
 
+def _let(c: Column, body) -> Column:
+    """Evaluate ``c`` once and use it several times in ``body``: a lambda
+    variable is bound once, whereas a repeated expression inside a tree holding
+    higher-order functions is not shared by subexpression elimination."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def decode_entities(c: Column) -> Column:
     """Decode numeric references, then the fixed named set ('&amp;' last, so
     '&amp;#39;' stays the text '&#39;'). Strings without '&' skip it all."""

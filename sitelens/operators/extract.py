@@ -422,4 +422,7 @@ def technologies(pages: DataFrame) -> DataFrame:
 def page_text(pages: DataFrame, limit: int = 10000) -> DataFrame:
     """E32 + F18: visible text (no script/style/comment text), first ``limit`` chars."""
     txt = F.regexp_replace(mask_html(F.col("html")), TAG_RE + r"|<![^>]*>|<\?[^>]*>", "")
-    return pages.select("page_id", "url", "site", F.left(decode_entities(txt), F.lit(limit)).alias("text"))
+    # Own projection first: the decode refers to its input several times and
+    # expressions with higher-order functions are not shared between uses.
+    stripped = pages.select("page_id", "url", "site", txt.alias("_t"))
+    return stripped.select("page_id", "url", "site", F.left(decode_entities(F.col("_t")), F.lit(limit)).alias("text"))
