@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import secret_scan
+from sitelens.llm import perplexity, quality_trees, secret_scan, toxicity
 from sitelens.llm.common import prepare, read_table
 
 QUERIES: dict = {}
@@ -46,3 +46,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["example"])).cast("long").alias("n_examples"),
         F.size(F.filter("spans", lambda s: ~s["example"])).cast("long").alias("n_live"),
     )
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op6_perplexity_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(read_table(spark, sf_dir, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *base, "base_failed", "kept", "log_ppl", "median", "width")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
