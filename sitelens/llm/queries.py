@@ -3,10 +3,11 @@ production parameters. ``SQL`` holds DuckDB statements for those that SQL can ex
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import perplexity, quality_trees, secret_scan, toxicity
+from sitelens.llm import main_text, packing, perplexity, quality_trees, secret_scan, simhash, toxicity
 from sitelens.llm.common import prepare, read_table
 
 QUERIES: dict = {}
@@ -48,6 +49,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_simhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of 3 words, at most 2 differing bits."""
+    docs = simhash.link(read_table(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=2)
+    return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -60,6 +68,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept", "log_ppl", "median", "width")
 
 
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = packing.tokenize(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack(pieces, capacity=4096).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
