@@ -7,7 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import main_text, packing, perplexity, quality_trees, secret_scan, simhash, toxicity
+from sitelens.llm import (
+    chat_rotation,
+    decontaminate,
+    main_text,
+    packing,
+    perplexity,
+    quality_trees,
+    secret_scan,
+    simhash,
+    toxicity,
+    url_cascade,
+)
 from sitelens.llm.common import prepare, read_table
 
 QUERIES: dict = {}
@@ -28,6 +39,29 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query(
+    "op1_perspective_rotation",
+    """
+    WITH said AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS text FROM conversations),
+    people AS (SELECT DISTINCT conv_id AS of, speaker AS perspective FROM said
+               WHERE speaker IS NOT NULL AND speaker <> 'system'),
+    cast_ AS (
+      SELECT conv_id, perspective, turn, text,
+             CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
+             CASE WHEN coalesce(speaker, '') NOT IN ('system', perspective) THEN coalesce(speaker, 'unknown') END AS name
+      FROM said JOIN people ON conv_id IS NOT DISTINCT FROM of),
+    headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS header FROM cast_)
+    SELECT conv_id, perspective, turn, role, name, header || text || '<|im_end|>' || chr(10) AS rendered,
+           length(header)::BIGINT AS mask_start,
+           (CASE WHEN role = 'assistant' THEN length(header) + length(text) + 10 ELSE length(header) END)::BIGINT AS mask_end,
+           role = 'assistant' AS loss
+    FROM headed
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
 @query("op2_secret_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner: the document's source; repository: its source and language."""
@@ -56,6 +90,42 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query(
+    "op4_decontamination",
+    """
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),
+                 lambda x: x <> '') AS w, row_number() OVER () AS rid FROM documents),
+    b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),
+                 lambda x: x <> '') AS w FROM benchmark),
+    phrases AS (SELECT item_id, unnest(list_transform(range(greatest(len(w) - 10, 0) + 1), lambda i: w[i + 1:i + 10])) AS p
+                FROM b WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT len(p) AS n FROM phrases),
+    at_ AS (SELECT rid, n, unnest(range(len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n),
+    found AS (SELECT DISTINCT at_.rid, at_.n, at_.s, item_id FROM at_ JOIN d ON d.rid = at_.rid
+              JOIN phrases ON phrases.p = d.w[at_.s + 1:at_.s + at_.n]),
+    hit AS (SELECT rid, count(DISTINCT pos) AS n_hit
+            FROM (SELECT rid, unnest(range(s, s + n)) AS pos FROM found) GROUP BY rid),
+    named AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+                     string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -68,6 +138,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept", "log_ppl", "median", "width")
 
 
+#: verdict, host, path
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query(
+    "op7_url_cascade",
+    r"""
+    WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    u AS (SELECT page_id, row_number() OVER () AS rid,
+                 translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    rules(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                              ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    best AS (SELECT rid, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
+             FROM u JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY rid)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (rid)
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_cascade.judge(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
