@@ -63,3 +63,15 @@ def label_of(labels: DataFrame, key: str, col: str) -> DataFrame:
         .filter("label = label_max")
         .drop("label_max")
     )
+
+
+def label_sample(labels: DataFrame, key: str, col: str, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` training labels (label_key, label, h) outside the held-out fold: those whose
+    hash ``h`` lies below a bound that their counted number sets, so nothing is sorted or
+    gathered to choose them, and the same labels are chosen in any partitioning."""
+    known = label_of(labels, key, col).filter(~held_out(F.col("label_key")))
+    known = known.withColumn("h", F.pmod(F.xxhash64(F.col("label_key").cast("string"), F.lit(max_rows)), F.lit(1 << 40)))
+    n = known.count()
+    if n > max_rows:
+        known = known.filter(F.col("h") < int((1 << 40) * max_rows / n))
+    return known.orderBy("h", "label_key").limit(max_rows)

@@ -1,11 +1,10 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics (operator 5).
 
 Each text becomes a row of statistics (shares of character classes, word and line shape,
-repetition). Statistics of all documents are computed once, inside their own rows, and written
-as a narrow table; only those numbers meet the labels, never the texts. Trees are fitted on a
-bounded sample of labelled rows (``max_train_rows``, by a hash of the key) with histograms of at most
-``BINS`` bins a statistic, and flattened into arrays; scoring walks all rows through all trees with
-numpy, one level at a time.
+repetition). Trees are fitted on a bounded sample of labelled rows (``max_train_rows``, by a hash of
+the key), which alone is sent to the texts, with histograms of at most ``BINS`` bins a statistic. The
+trees are flattened into arrays; every text is scored in its own row, whole batches going through
+the arrays with numpy one level at a time. Nothing but the sample is shuffled or collected.
 
 Cases: null and empty texts have zero statistics and get a score like any other; rows without a
 usable label are only scored; repeated rows are scored each; without two classes of labels every
@@ -14,15 +13,15 @@ score is the labelled share (0.5 without labels); other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sitelens.llm.common import held_out, label_of, store
+from sitelens.llm.common import held_out, label_sample
 
 BINS = 64
 FEATURES = (
@@ -78,17 +77,14 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, stats array<double> for every row."""
+def statistics_column(text: Column) -> Column:
+    """array<double> with the values of FEATURES."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            stats = pa.array([statistics(t or b"") for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=["key", "stats"])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t or b"") for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
 
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, stats array<double>")
+    return run(text.cast("string"))
 
 
 @dataclass
@@ -163,14 +159,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     return Trees(prior, *map(np.array, out))
 
 
-def train(stats: DataFrame, labels: DataFrame, key: str, label: str, max_train_rows: int = 20_000) -> Trees:
-    """Fit on at most ``max_train_rows`` labelled rows outside the held-out fold, those with the
-    smallest hash of the key (the same rows in any partitioning)."""
-    known = label_of(labels, key, label)
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_train_rows: int = 20_000) -> Trees:
+    """Fit on at most ``max_train_rows`` labelled rows outside the held-out fold."""
+    chosen = F.broadcast(label_sample(labels, key, label, max_train_rows))  # bounded by its limit
     rows = (
-        stats.filter(~held_out(F.col("key")))
-        .join(known, F.col("key") == F.col("label_key"))
-        .select("stats", "label", F.xxhash64(F.col("key").cast("string")).alias("h"))
+        docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        .join(chosen, F.col("key") == F.col("label_key"))
+        .select(statistics_column(F.col("text")).alias("stats"), "label", "h")
         .orderBy("h", "stats")
         .limit(max_train_rows)
         .toArrow()
@@ -179,25 +174,23 @@ def train(stats: DataFrame, labels: DataFrame, key: str, label: str, max_train_r
     return fit(x, rows["label"].to_numpy().astype(float))
 
 
-def score(stats: DataFrame, model: Trees) -> DataFrame:
-    """key, score for every row of statistics."""
-    model = stats.sparkSession.sparkContext.broadcast(model)
+def score_column(model: Trees, text: Column) -> Column:
+    """Probability of label 1 for a text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.predict(x))], names=["key", "score"])
+    @F.arrow_udf(T.DoubleType())
+    def run(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t or b"") for t in texts.cast(pa.binary()).to_pylist()], float)
+        return pa.array(model.predict(x.reshape(-1, len(FEATURES))), pa.float64())
 
-    kind = stats.schema["key"].dataType.simpleString()
-    return stats.select("key", "stats").mapInArrow(run, f"key {kind}, score double")
+    return run(text.cast("string"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3
+) -> DataFrame:
     """key, held_out, score, predicted for every row of ``docs``."""
-    stats = store(document_statistics(docs, key, text), "quality")
-    return score(stats, train(stats, labels, key, label)).select(
-        F.col("key").alias(key),
-        held_out(F.col("key")).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    model = train(docs, labels, key, text, label)
+    scored = docs.select(F.col(key).alias(key), score_column(model, F.col(text)).alias("score"))
+    return scored.select(
+        key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import broadcast_within, held_out, label_of, store
+from sitelens.llm.common import broadcast_within, held_out, label_of, label_sample
 
 HASH_BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -123,22 +123,22 @@ def fit(texts: list[str], y: np.ndarray, ratio: np.ndarray, steps: int = 120, l2
     return out, float(b)
 
 
-def train(rows: DataFrame, max_train_rows: int = 4_000, max_chars: int = 12_000_000) -> tuple[np.ndarray, np.ndarray, float]:
+def train(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_train_rows: int = 4_000, max_chars: int = 12_000_000
+) -> tuple[np.ndarray, np.ndarray, float]:
     """(ratio, ratio x weight of each feature, intercept). Counts cover all labelled rows. The regression takes
-    at most ``max_train_rows`` of them, half from each class as far as there are, by a hash of the key,
-    and stops at ``max_chars`` characters (the row that passes it is the last, and whole)."""
-    counts = store(feature_counts(rows), "toxicity-counts")
-    ratio, n1, n0 = log_count_ratios(counts)
+    at most ``max_train_rows`` labels, half from each class as far as there are, by a hash of the key, and
+    of their rows as many whole texts as it takes to pass ``max_chars`` characters."""
+    ratio, n1, n0 = log_count_ratios(feature_counts(labelled(docs, labels, key, text, label)))
     if not n1 or not n0:
         return ratio, np.zeros(1 << HASH_BITS), float(np.log((n1 + 0.5) / (n0 + 0.5)))
-    by_hash = rows.withColumn("h", F.xxhash64(F.col("key").cast("string"), F.lit(10)))
     half = max_train_rows // 2
-    last = {  # the sample ends at this hash: found on hashes alone, so no text is sorted
-        k: by_hash.filter(F.col("label") == k).select("h").orderBy("h").limit(half).agg(F.max("h")).first()[0] for k in (0, 1)
-    }
-    picked = by_hash.filter(" OR ".join(f"(label = {k} AND h <= {h})" for k, h in last.items()))
+    sample = [label_sample(labels.filter(F.col(label) == k), key, label, half) for k in (0, 1)]
+    chosen = F.broadcast(sample[0].union(sample[1]))  # bounded by its limits
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    picked = rows.join(chosen, F.col("key") == F.col("label_key")).select("text", "label")
     texts, y, chars = [], [], 0
-    for r in picked.select("text", "label").toLocalIterator():
+    for r in picked.toLocalIterator():  # one partition at a time reaches the driver
         texts.append(r["text"])
         y.append(r["label"])
         chars += len(r["text"] or "")
@@ -165,7 +165,7 @@ class Scorer:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """key, held_out, score, predicted for every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled(docs, labels, key, text, label)))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
