@@ -11,8 +11,8 @@ modified Kneser-Ney model of characters, order 4, counted by Spark over every te
 Characters, not words, are the units: the model then stays small on any corpus, and the hash
 width (``HASH_BITS``) bounds the arrays that are sent to the tasks at 2**HASH_BITS entries.
 
-For each language, a document's log-perplexity must lie in a band around the language's median;
-the width is a multiple of the robust spread, wider for short texts, whose perplexity varies more.
+For each language, a document's log-perplexity must lie in a band around the language's median.
+Its width follows the language's own scatter, and is wider for short texts, whose mean varies more.
 
 Cases: null and empty texts have no words and fail the base rules; a null language is a language
 of its own; a language with few documents gets the same rule (a single document is its own
@@ -255,24 +255,30 @@ def score(docs: DataFrame, key: str, text: str, lang: str, arrays: tuple[np.ndar
     return narrow.mapInArrow(run, f"key {kind}, lang string, {', '.join(c + ' long' for c in columns)}, log_ppl double")
 
 
+def _per_language(scored: DataFrame, value: Column, name: str) -> DataFrame:
+    """lang -> median of ``value`` over the documents that pass the base rules."""
+    counted = scored.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull())
+    medians = counted.groupBy("lang").agg(F.percentile_approx(value, 0.5, 10_000).alias(name))
+    return broadcast_within(medians.select(F.col("lang").alias(f"{name}_lang"), name), 100_000)
+
+
 def bands(scored: DataFrame, width: float, least: float) -> DataFrame:
-    """lang -> median and spread of log-perplexity over the documents that pass the base rules.
-    Spread: interquartile range over that of a normal distribution, at least ``least``."""
-    q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000))
-    return (
-        scored.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull())
-        .groupBy("lang")
-        .agg(q.alias("q"))
-        .select(
-            F.col("lang").alias("band_lang"),
-            F.col("q")[1].alias("median"),
-            (F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(least)) * width).alias("width"),
-        )
-    )
+    """``scored`` with ``low`` and ``high`` log-perplexity for its language and length.
+
+    The mean over n characters scatters with one over the root of n: the language's scatter a
+    character is the median of the distances from the language's median times root n (times 1.4826,
+    which makes it a standard deviation), and ``least`` is what remains for endless texts."""
+    n = F.greatest(F.col("word_chars"), F.lit(1))
+    mid = _per_language(scored, F.col("log_ppl"), "median")
+    scored = scored.join(mid, F.col("lang").eqNullSafe(F.col("median_lang")), "left").drop("median_lang")
+    off = _per_language(scored, F.abs(F.col("log_ppl") - F.col("median")) * F.sqrt(n), "scatter")
+    scored = scored.join(off, F.col("lang").eqNullSafe(F.col("scatter_lang")), "left").drop("scatter_lang")
+    half = width * F.sqrt(F.lit(least**2) + (1.4826 * F.col("scatter")) ** 2 / n)
+    return scored.withColumn("low", F.col("median") - half).withColumn("high", F.col("median") + half)
 
 
 def judge(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 6.0, least: float = 0.02
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 5.5, least: float = 0.008
 ) -> DataFrame:
     """Base counts, ``base_failed``, ``log_ppl``, the band and ``kept`` for every row of ``docs``."""
     counts = store(gram_counts(docs, text), "grams")
@@ -280,13 +286,6 @@ def judge(
     scored = scored.withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )
-    scored = store(scored, "perplexity")
-    limits = broadcast_within(bands(scored, width, least), 100_000)
-    off = F.abs(F.col("log_ppl") - F.col("median")) / F.col("width")
-    slack = 1 + F.sqrt(F.lit(200.0) / F.greatest(F.col("word_chars"), F.lit(1)))
-    return (
-        scored.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(off <= slack, F.lit(True)))
-        .withColumnRenamed("key", key)
-        .drop("band_lang")
-    )
+    banded = bands(store(scored, "perplexity"), width, least)
+    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
+    return banded.withColumn("kept", ~F.col("base_failed") & inside).withColumnRenamed("key", key)

@@ -135,7 +135,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = perplexity.judge(read_table(spark, sf_dir, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *base, "base_failed", "kept", "log_ppl", "median", "width")
+    return judged.select("doc_id", *base, "base_failed", "kept", "log_ppl", "low", "high")
 
 
 #: verdict, host, path
