@@ -345,7 +345,7 @@ def test_groups_meet_again(spark):
     assert sorted((r.doc_id, r.length) for r in got) == rows
     check_places(got, 100)
     alone = packing.pack_lengths([n for _, n in rows], 100)  # all in one group
-    assert len({r.sequence_id for r in got}) <= len(alone) + 3
+    assert len({r.sequence_id for r in got}) <= 1.05 * len(alone)
 
 
 def test_local_search_dissolves_bins():
