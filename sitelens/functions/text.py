@@ -5,33 +5,17 @@ All are built from JVM built-ins so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# FIXED VALUES: named character references decoded JVM-side, in the order they
-# are applied ("&amp;" last so "&amp;lt;" decodes to "&lt;" as text).
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&trade;", "™"),
-    ("&euro;", "€"),
-    ("&#38;", "&"),
-    ("&amp;", "&"),
-]
+# Named character references come from the standard library's HTML5 table; the
+# names that HTML also accepts without a semicolon, longest first.
+NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+COMMON = ["amp", "lt", "gt", "quot", "nbsp", "copy"]  # tried before the table
 
 # FIXED VALUES: numeric references 0x80–0x9F name windows-1252 characters in
 # HTML (the standard remap); the five codes windows-1252 leaves undefined stay
@@ -42,7 +26,6 @@ CP1252_REMAP = {
     0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›",
     0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
 }
-NUM_REF = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 # Characters str.strip() removes (Unicode whitespace), as a regex class valid
 # for both Java regex and RE2.
@@ -66,37 +49,49 @@ def _utf8_char(cp: Column) -> Column:
     return F.decode(F.unhex(hexs), "UTF-8")
 
 
-def _numeric_char(ref: Column) -> Column:
-    body = F.regexp_extract(ref, r"^&#([xX]?)([0-9a-fA-F]+);$", 2)
-    is_hex = F.regexp_extract(ref, r"^&#([xX]?)", 1) != ""
-    cp = F.when(is_hex, F.conv(body, 16, 10)).otherwise(body).cast("long")
-    remap = None
-    for code, ch in CP1252_REMAP.items():
-        remap = F.when(cp == code, F.lit(ch)) if remap is None else remap.when(cp == code, F.lit(ch))
-    valid = (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF) & (cp != 0)
-    return F.coalesce(remap, F.when(valid, _utf8_char(cp)).otherwise(F.lit("\ufffd")))
-
+def _numeric(cp: Column) -> Column:
+    """The character of a numeric reference: windows-1252 names, '' for code points that
+    HTML forbids, the replacement character for what is no character."""
+    remap = F.element_at(F.create_map(*[x for k, v in CP1252_REMAP.items() for x in (F.lit(k), F.lit(v))]), cp.cast("int"))
+    forbidden = (
+        cp.between(1, 8) | (cp == 11) | cp.between(14, 31) | (cp == 127) | cp.between(0xFDD0, 0xFDEF)
+        | (cp.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE)
+    )
+    nothing = (cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
+    return F.when(nothing, F.lit("\ufffd")).otherwise(
+        F.coalesce(F.when(cp.between(0x80, 0x9F), remap), F.when(forbidden, F.lit("")).otherwise(_utf8_char(cp)))
+    )
 
-def decode_numeric(c: Column) -> Column:
-    """Decimal and hex character references, JVM-side."""
-    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(NUM_REF), 0))
-    return F.aggregate(refs, c, lambda acc, r: F.replace(acc, r, _numeric_char(r)))
 
+def _after_ampersand(p: Column) -> Column:
+    """Decode the reference, if any, at the start of a piece that followed an ampersand."""
+    digits = F.regexp_extract(p, r"^#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?", 1)
+    hexes = F.regexp_extract(p, r"^#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?", 2)
+    whole = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    cp = F.when(F.length(digits) + F.length(hexes) > 7, F.lit(0x110000).cast("long")).otherwise(
+        F.when(hexes != "", F.conv(hexes, 16, 10)).otherwise(F.nullif(digits, F.lit(""))).cast("long")
+    )
+    number = F.concat(_numeric(cp), F.substring(p, F.length(whole) + 1, F.length(p)))
 
-def _let(c: Column, body) -> Column:
-    """Evaluate ``c`` once and use it several times in ``body``: a lambda
-    variable is bound once, whereas a repeated expression inside a tree holding
-    higher-order functions is not shared by subexpression elimination."""
-    return F.element_at(F.transform(F.array(c), body), 1)
+    table = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # folded to one literal
+    bare = F.from_json(F.lit(json.dumps({k: html5[k] for k in BARE})), "map<string,string>")
+    name = F.regexp_extract(p, r"^([a-zA-Z][a-zA-Z0-9]{0,31});", 1)
+    start = F.regexp_extract(p, "^(?:" + "|".join(BARE) + ")", 0)
+    named = F.when((name != "") & F.map_contains_key(table, name), F.concat(F.element_at(table, name), F.substring(p, F.length(name) + 2, F.length(p))))
+    named = named.when(start != "", F.concat(F.element_at(bare, start), F.substring(p, F.length(start) + 1, F.length(p))))
+    out = F.when(p.startswith("#"), F.when(whole != "", number).otherwise(F.concat(F.lit("&"), p)))
+    for k in COMMON:
+        out = out.when(p.startswith(k + ";"), F.concat(F.lit(html5[k + ";"]), F.substring(p, len(k) + 2, F.length(p))))
+    return out.otherwise(named.otherwise(F.concat(F.lit("&"), p)))
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode numeric references, then the fixed named set ('&amp;' last, so
-    '&amp;#39;' stays the text '&#39;'). Strings without '&' skip it all."""
-    d = F.when(F.instr(c, "&#") > 0, decode_numeric(c)).otherwise(c)
-    for ent, ch in ENTITIES:
-        d = F.replace(d, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(c, "&") > 0, d).otherwise(c)
+    """``html.unescape``: every reference once, left to right. A text is cut at its
+    ampersands, and each piece is decoded at its start only, so what a reference
+    yields is never read again. Strings without '&' skip it all."""
+    pieces = F.split(c, "&", -1)
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _after_ampersand)
+    return F.when(F.instr(c, "&") > 0, F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(c)
 
 
 def strip_ws(c: Column) -> Column:

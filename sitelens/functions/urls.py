@@ -17,6 +17,10 @@ NETLOC_RE = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)"
 PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)"
 
 
+#: FIXED VALUES: second-level labels under which country registries register sites.
+REGISTRY_LABELS = "ac|co|com|edu|gob|gov|go|ltd|mil|ne|net|nom|or|org|plc|sch"
+
+
 def netloc(url: Column) -> Column:
     """``urlparse(url).netloc`` (with port and user info; '' when absent)."""
     return F.regexp_extract(url, NETLOC_RE, 1)
@@ -28,8 +32,9 @@ def host(url: Column) -> Column:
 
 
 def site_pattern() -> str:
+    """A label to drop, unless what is left would be a registry suffix such as ``co.uk``."""
     labels = "|".join(SUBDOMAIN_LABELS)
-    return rf"^(?:{labels})\.([^.]+\..+)$"
+    return rf"^(?:{labels})\.(?!(?:{REGISTRY_LABELS})\.[a-z][a-z]$)([^.]+\..+)$"
 
 
 def site_of(url: Column) -> Column:
@@ -70,21 +75,41 @@ def _remove_dots(segments: Column) -> Column:
     )
 
 
+def _bad_netloc(net: Column) -> Column:
+    """Brackets that do not hold an IPv6 (or future) address: the URL cannot be parsed."""
+    address = net.rlike(r"^(?:[^\[\]]*@)?\[(?:[0-9a-fA-F.]*:[0-9a-fA-F:.]*:[0-9a-fA-F:.]*|v[0-9a-fA-F]+\..+)(?:%[^\]]*)?\](?::.*)?$")
+    return net.rlike(r"[\[\]]") & ~address
+
+
 def resolve(base: Column, href: Column) -> Column:
     """``urllib.parse.urljoin(base, href)`` for an absolute http(s) base.
 
-    Fragments and trailing slashes are kept as they are (no normalisation).
+    Leading control characters and spaces, tabs and line ends are not part of a reference; empty
+    queries and fragments are dropped; a reference with the base's own scheme but no host
+    is relative; one with another scheme stays as it was written; NULL where the host
+    cannot be parsed. Trailing slashes are kept (no normalisation).
     """
-    # "//" with an empty host keeps the base host: resolve the rest as a path.
-    empty_net = href.rlike(r"^//([/?#]|$)")
-    raw_href = href
-    href = F.when(empty_net, F.substring(href, 3, 1 << 30)).otherwise(href)
-    origin = F.regexp_extract(base, ORIGIN_RE, 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
+    scheme_of = lambda u: F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
+    scheme, bnet = scheme_of(base), netloc(base)
     bpath = F.regexp_extract(base, PATH_RE, 1)
-    hpath = F.regexp_extract(href, r"^([^?#]*)", 1)
-    hrest = F.substring(href, F.length(hpath) + 1, 1 << 30)
+    bquery = F.regexp_extract(base, r"^[^?#]*\?([^#]*)", 1)
+    clean = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
+    hscheme = scheme_of(clean)
+    other = (hscheme != "") & (hscheme != scheme)
+    rel = F.when(hscheme == "", clean).otherwise(F.substring(clean, F.length(hscheme) + 2, 1 << 30))
+    net = F.regexp_extract(rel, r"^//([^/?#]*)", 1)
+    rest = F.regexp_replace(rel, r"^//[^/?#]*", "")
+    hpath = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    hquery = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(rest, r"(?s)^[^#]*#(.*)$", 1)
+
+    def tail(query: Column) -> Column:
+        return F.concat(
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+            F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
+        )
 
+    origin = F.concat(scheme, F.lit("://"), bnet)
     # Relative path: base directory + href path. The segment fold (empty middle
     # segments dropped, dot segments resolved) runs only when the joined path
     # has a dot segment or an empty segment; otherwise plain concatenation is exact.
@@ -103,15 +128,13 @@ def resolve(base: Column, href: Column) -> Column:
     rooted = F.when(needs_fold_abs, _remove_dots(F.split(hpath, "/"))).otherwise(hpath)
 
     return (
-        F.when(raw_href.isNull(), F.lit(None).cast("string"))
-        .when(empty_net & (href == ""), F.regexp_extract(base, r"^([^#]*)", 1))
+        F.when(href.isNull() | _bad_netloc(net), F.lit(None).cast("string"))
         .when(href == "", base)
-        .when(href.rlike(SCHEME_RE), href)
-        .when(~empty_net & href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
-        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .when(href.startswith("/"), F.concat(origin, rooted, hrest))
-        .otherwise(F.concat(origin, relative, hrest))
+        .when(other, href)
+        .when(net != "", F.concat(scheme, F.lit("://"), net, hpath, tail(hquery)))
+        .when(hpath == "", F.concat(origin, bpath, tail(F.when(hquery != "", hquery).otherwise(bquery))))
+        .when(hpath.startswith("/"), F.concat(origin, rooted, tail(hquery)))
+        .otherwise(F.concat(origin, relative, tail(hquery)))
     )
 
 

@@ -17,19 +17,18 @@ their final facts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import decode_entities, node_text
 
-# Attribute text of a tag: quote-aware for up to 50 quoted values (a quoted '>'
-# does not end the tag), then a plain fallback. The bound and the possessive
-# quantifiers keep java.util.regex from recursing once per attribute (a tag with
-# thousands of attributes would otherwise overflow the executor's stack) and
-# from backtracking. The alternatives are disjoint by first character, so the
-# possessive form matches exactly what the RE2 form (used by the SQL oracle) does.
-_Q = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+){0,50}+[^>]*+"""
-_Q_RE2 = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,50}[^>]*"""
+# Attribute text of a tag: quote-aware (a quoted '>' does not end the tag), then a
+# plain fallback for a stray quote. A possessive group is matched in a loop, not by
+# one recursion per value, so a tag may hold any number of attributes. The
+# alternatives are disjoint by first character, so the possessive form matches
+# exactly what the RE2 form (used by the SQL oracle) does.
+_Q = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+[^>]*+"""
+_Q_RE2 = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*[^>]*"""
 
 
 def _mask_re(q: str) -> str:
@@ -42,8 +41,6 @@ TAG_RE = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q})>"""
 TAG_RE2 = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q_RE2})>"""
 # Attribute name and its (possibly quoted) value as one group.
 ATTR_RE = r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
-COMMENT_RE = r"(?s)<!--(.*?)-->"
-SCRIPT_BODY_RE = rf"(?is)<script\b{_Q}>(.*?)</script\s*>"
 STYLE_BLANK_RE = rf"(?is)(<style\b{_Q}>).*?(</style\s*>)"
 SCRIPT_BLANK_RE = rf"(?is)(<script\b{_Q}>).*?(</script\s*>)"
 
@@ -90,15 +87,15 @@ def element_array(html: Column) -> Column:
     )
 
 
-def start_tags(html: Column, *names: str) -> Column:
-    """Only the start tags named, with their attributes (no text runs).
+def tags_in(masked: Column, *names: str) -> Column:
+    """Only the start tags named of masked markup, with their attributes (no text runs).
 
-    For extractors that need attribute values only: one targeted regex over
-    the masked page instead of parsing every tag. Entries look like those of
-    ``element_array`` (``seq`` is the position among the matched tags)."""
+    For extractors that need attribute values only: one targeted regex instead
+    of parsing every tag. Entries look like those of ``element_array``
+    (``seq`` is the position among the matched tags)."""
     alt = "|".join(names)
     pattern = rf"(?i)<({alt})(?=[\s/>]){_Q}>"
-    raw = F.regexp_extract_all(mask_html(html), F.lit(pattern), 0)
+    raw = F.regexp_extract_all(masked, F.lit(pattern), 0)
     return F.transform(
         raw,
         lambda r, k: F.struct(
@@ -110,9 +107,64 @@ def start_tags(html: Column, *names: str) -> Column:
     )
 
 
-def with_elements(pages: DataFrame) -> DataFrame:
-    """Add ``el`` to a page DataFrame (keeps every input column)."""
-    return pages.withColumn("el", element_array(F.col("html")))
+def start_tags(html: Column, *names: str) -> Column:
+    return tags_in(mask_html(html), *names)
+
+
+# Text runs after a start tag, looked ahead so that the match ends with the tag and
+# nested tags of the same name are found too: up to the first end tag of that name,
+# or, when there is none, up to the next tag.
+_RUN = r"(?:[^<]|<(?![a-zA-Z/]))*+"
+
+
+def _ahead(name: str, otherwise: str = _RUN) -> str:
+    return rf"(?=(.*?(?=</{name}[\s/>])|{otherwise}))"
+
+
+LINK_RE = rf"(?is)<(?:a(?=[\s/>])({_Q})>{_ahead('a')}|link(?=[\s/>])({_Q})>)"
+HEADING_RE = rf"(?is)<(h[1-6])(?=[\s/>]){_Q}>{_ahead(chr(92) + '1')}"
+TITLE_RE = rf"(?is)<title(?=[\s/>]){_Q}>{_ahead('title')}"
+FORM_RE = rf"(?is)<form(?=[\s/>])({_Q})>{_ahead('form', '.*')}"
+
+
+def run_text(markup: Column) -> Column:
+    """``tag.get_text().strip()`` of inner markup."""
+    return node_text(F.regexp_replace(markup, TAG_RE, ""))
+
+
+def link_tags(masked: Column) -> Column:
+    """array<struct<tag,attrs,inner>> of the a and link tags in document order."""
+    groups = [F.regexp_extract_all(masked, F.lit(LINK_RE), i) for i in (1, 2, 3)]
+    return F.transform(
+        F.arrays_zip(groups[0].alias("a"), groups[1].alias("inner"), groups[2].alias("link")),
+        lambda z: F.struct(
+            F.when(z["link"] != "", F.lit("link")).otherwise(F.lit("a")).alias("tag"),
+            _attrs(F.concat(z["a"], z["link"])).alias("attrs"),
+            z["inner"].alias("inner"),
+        ),
+    )
+
+
+def heading_tags(masked: Column) -> Column:
+    """array<struct<tag,text>> of h1..h6 in document order."""
+    tags, inner = (F.regexp_extract_all(masked, F.lit(HEADING_RE), i) for i in (1, 2))
+    return F.transform(
+        F.arrays_zip(tags.alias("t"), inner.alias("i")),
+        lambda z: F.struct(F.lower(z["t"]).alias("tag"), run_text(z["i"]).alias("text")),
+    )
+
+
+def title_text(masked: Column) -> Column:
+    """Text of the first title ('' without one)."""
+    return run_text(F.regexp_extract(masked, TITLE_RE, 1))
+
+
+def form_tags(masked: Column) -> Column:
+    """array<struct<attrs,inner>>: forms with their markup up to the end tag (or the end of the page)."""
+    attrs, inner = (F.regexp_extract_all(masked, F.lit(FORM_RE), i) for i in (1, 2))
+    return F.transform(
+        F.arrays_zip(attrs.alias("a"), inner.alias("i")), lambda z: F.struct(_attrs(z["a"]).alias("attrs"), z["i"].alias("inner"))
+    )
 
 
 # ---- element accessors (usable inside higher-order lambdas) ---------------------
@@ -130,21 +182,3 @@ def of_tag(el: Column, *tags: str) -> Column:
     if len(tags) == 1:
         return F.filter(el, lambda e: e["tag"] == tags[0])
     return F.filter(el, lambda e: e["tag"].isin(*tags))
-
-
-def inner_raw(el: Column, e: Column) -> Column:
-    """Raw markup-free text runs of element ``e`` up to its closing tag.
-
-    Concatenates the text that follows the start tag and every nested tag until
-    the first matching end tag; an unclosed element keeps only its own run.
-    """
-    close = F.concat(F.lit("/"), e["tag"])
-    rest = F.slice(el, e["seq"] + 2, 1 << 30)
-    off = F.array_position(F.transform(rest, lambda x: x["tag"]), close)
-    span = F.when(off > 0, F.slice(el, e["seq"] + 1, off.cast("int"))).otherwise(F.array(e))
-    return F.array_join(F.transform(span, lambda x: x["text"]), "")
-
-
-def inner_text(el: Column, e: Column) -> Column:
-    """``tag.get_text().strip()``."""
-    return node_text(inner_raw(el, e))

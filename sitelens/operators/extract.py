@@ -21,7 +21,7 @@ from sitelens.functions.lookups import (
     SOCIAL_PLATFORMS,
     TECH_FINGERPRINTS,
 )
-from sitelens.functions.text import decode_entities, node_text
+from sitelens.functions.text import decode_entities
 from sitelens.functions.urls import in_scope, resolve
 from sitelens.operators.elements import (
     SCRIPT_BLANK_RE,
@@ -30,13 +30,19 @@ from sitelens.operators.elements import (
     _Q,
     attr,
     element_array,
-    start_tags,
+    form_tags,
     has_attr,
-    inner_text,
+    heading_tags,
+    link_tags,
     mask_html,
     of_tag,
+    run_text,
+    start_tags,
+    tags_in,
+    title_text,
 )
 
+
 def el_col() -> Column:
     """The element array column (built lazily: no session needed at import)."""
     return F.col("el")
@@ -76,10 +82,10 @@ def _last_wins_map(entries: Column) -> Column:
 def metadata(pages: DataFrame) -> DataFrame:
     """One row per page with title, meta map, description, keywords,
     Open Graph and Twitter maps, canonical link and language."""
-    df = ensure_elements(pages)
+    masked = pages.select("page_id", "url", "site", mask_html(F.col("html")).alias("_m"))
+    df = masked.select("page_id", "url", "site", title_text(F.col("_m")).alias("_title"), tags_in(F.col("_m"), "meta", "link", "html").alias("el"))
     metas = of_tag(el_col(), "meta")
-    title_el = _first(of_tag(el_col(), "title"))
-    title = F.when(title_el.isNull(), F.lit("")).otherwise(inner_text(el_col(), title_el))
+    title = F.col("_title")
     meta_entries = F.filter(
         F.transform(metas, lambda e: F.struct(_meta_key(e).alias("k"), F.coalesce(attr(e, "content"), F.lit("")).alias("v"))),
         lambda x: (x["k"] != "") & (x["v"] != ""),
@@ -123,21 +129,20 @@ def metadata(pages: DataFrame) -> DataFrame:
 
 def headings(pages: DataFrame) -> DataFrame:
     """(page_id, level, ord, text) for h1..h6; ``ord`` is the position within its level."""
-    df = ensure_elements(pages)
+    df = pages.select("page_id", "url", "site", heading_tags(mask_html(F.col("html"))).alias("h"))
+
     def level(n: int) -> Column:
         return F.transform(
-            of_tag(el_col(), f"h{n}"),
-            lambda e, i: F.struct(F.lit(f"h{n}").alias("level"), i.alias("ord"), inner_text(el_col(), e).alias("text")),
+            F.filter("h", lambda e: e["tag"] == f"h{n}"),
+            lambda e, i: F.struct(F.lit(f"h{n}").alias("level"), i.alias("ord"), e["text"].alias("text")),
         )
 
-    per_level = [level(n) for n in range(1, 7)]
-    out = df.select("page_id", "url", "site", F.explode(F.concat(*per_level)).alias("h"))
+    out = df.select("page_id", "url", "site", F.explode(F.concat(*[level(n) for n in range(1, 7)])).alias("h"))
     return out.select("page_id", "url", "site", "h.level", "h.ord", "h.text")
 
 
-def h1_texts(el: Column | None = None) -> Column:
-    el = el_col() if el is None else el
-    return F.transform(of_tag(el, "h1"), lambda e: inner_text(el, e))
+def h1_texts(masked: Column) -> Column:
+    return F.transform(F.filter(heading_tags(masked), lambda e: e["tag"] == "h1"), lambda e: e["text"])
 
 
 # ---- E10, E11: e-mails and phone numbers over the raw response text -----------------
@@ -183,35 +188,23 @@ def social_links(pages: DataFrame) -> DataFrame:
 # ---- E13, E14: forms and fields (J11: field → enclosing form by position) ------------
 
 def forms(pages: DataFrame) -> DataFrame:
-    df = ensure_elements(pages)
-
-    def fields(f: Column) -> Column:
-        rest = F.slice(el_col(), f["seq"] + 2, 1 << 30)
-        off = F.array_position(F.transform(rest, lambda x: x["tag"]), "/form")
-        span = F.when(off > 0, F.slice(rest, 1, (off - 1).cast("int"))).otherwise(rest)
-        inputs = F.filter(span, lambda x: x["tag"].isin("input", "select", "textarea"))
-        return F.transform(
-            inputs,
-            lambda x: F.struct(
-                F.coalesce(attr(x, "type"), x["tag"]).alias("type"),
-                F.coalesce(attr(x, "name"), F.lit("")).alias("name"),
-                F.coalesce(attr(x, "id"), F.lit("")).alias("id"),
-                has_attr(x, "required").alias("required"),
-            ),
-        )
-
-    rows = F.transform(
-        of_tag(el_col(), "form"),
-        lambda f, i: F.struct(
-            f["seq"].alias("seq"),
-            i.alias("ord"),
-            F.coalesce(attr(f, "action"), F.lit("")).alias("action"),
-            F.upper(F.coalesce(attr(f, "method"), F.lit("get"))).alias("method"),
-            fields(f).alias("fields"),
+    """Each form with the fields that stand before its end tag."""
+    df = pages.select("page_id", "url", "site", F.posexplode(form_tags(mask_html(F.col("html")))).alias("ord", "f"))
+    fields = F.transform(
+        tags_in(F.col("f.inner"), "input", "select", "textarea"),
+        lambda x: F.struct(
+            F.coalesce(attr(x, "type"), x["tag"]).alias("type"),
+            F.coalesce(attr(x, "name"), F.lit("")).alias("name"),
+            F.coalesce(attr(x, "id"), F.lit("")).alias("id"),
+            has_attr(x, "required").alias("required"),
         ),
     )
-    out = df.select("page_id", "url", "site", F.explode(rows).alias("f"))
-    return out.select("page_id", "url", "site", "f.seq", "f.ord", "f.action", "f.method", "f.fields")
+    return df.select(
+        "page_id", "url", "site", F.col("ord").alias("seq"), "ord",
+        F.coalesce(attr(F.col("f"), "action"), F.lit("")).alias("action"),
+        F.upper(F.coalesce(attr(F.col("f"), "method"), F.lit("get"))).alias("method"),
+        fields.alias("fields"),
+    )
 
 
 def form_fields(forms_df: DataFrame) -> DataFrame:
@@ -312,18 +305,14 @@ def files(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """E19 + F12: every a/link with a non-empty href; duplicates kept."""
-    df = ensure_elements(pages)
+    df = pages.select("page_id", F.col("url").alias("source_url"), "site", mask_html(F.col("html")).alias("_m"))
     rows = F.transform(
-        F.filter(of_tag(el_col(), "a", "link"), lambda e: F.coalesce(attr(e, "href"), F.lit("")) != ""),
-        lambda e, i: F.struct(
-            i.alias("ord"),
-            attr(e, "href").alias("target_url"),
-            F.when(e["tag"] == "a", inner_text(el_col(), e)).otherwise(F.lit("")).alias("anchor_text"),
-        ),
+        F.filter(link_tags(F.col("_m")), lambda e: F.coalesce(attr(e, "href"), F.lit("")) != ""),
+        lambda e, i: F.struct(i.alias("ord"), attr(e, "href").alias("target_url"), e["inner"].alias("inner")),
     )
-    out = df.select("page_id", F.col("url").alias("source_url"), "site", F.explode(rows).alias("l"))
+    out = df.select("page_id", "source_url", "site", F.explode(rows).alias("l"))
     return out.select(
-        "page_id", "source_url", "site", "l.ord", "l.target_url", "l.anchor_text",
+        "page_id", "source_url", "site", "l.ord", "l.target_url", run_text(F.col("l.inner")).alias("anchor_text"),
         F.when(F.instr(F.col("l.target_url"), F.col("site")) > 0, F.lit("internal")).otherwise(F.lit("external")).alias("link_type"),
     )
 

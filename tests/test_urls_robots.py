@@ -15,7 +15,7 @@ BASES = ["https://a.com", "https://a.com/", "https://a.com/b/c", "https://a.com/
 SEG = st.sampled_from(["", ".", "..", "x", "y.html", "z"])
 HREF = st.builds(lambda segs, lead, tail: lead + "/".join(segs) + tail,
                  st.lists(SEG, min_size=1, max_size=4), st.sampled_from(["", "/", "./", "../", "//", "///"]),
-                 st.sampled_from(["", "?k=v", "#frag", "?a#b"]))
+                 st.sampled_from(["", "?k=v", "#frag", "?a#b", "?", "#", "?#", "\n", " "]))
 
 
 @settings(max_examples=8, deadline=None)
@@ -52,6 +52,29 @@ def test_robots_matches_stdlib(spark):
                 assert got[(f"s{i}.com", u)] == rp.can_fetch(agent, u), (agent, body, p)
 
 
+ODD = ["#", "?", "x#", "x?", "x?#", "?#f", " /x", "\n/x", " https://x.com/", "/a\nb", "https:g", "https:/g", "https:", "HTTPS://X.com/A", "HTTP://x.com",
+       "http://x.com/..", "mailto:a@b.c", "javascript:void(0)", " ", "\x01y", "a\tb", "//h", "//h?q", "//h#f", "//h/../x", "///", "//", "https://", "https:///p",
+       "http://[::1]/x", "https://[::1]:80/x", "x;p", "x;p?q", "a:b", "1:2", "./a:b", "x y", "é?ü#ö", "//u@h:1/x", "https:?q", "https:#f", "tel:1"]
+BROKEN = ["http://[bad", "https://bad]", "//[bad/x", "https://[bad]/", "http://a[b]c/"]
+
+
+def test_resolve_odd_references(spark):
+    pairs = [(b, h) for b in [*BASES, "https://a.com/b?q", "HTTPS://A.com/b"] for h in ODD + BROKEN]
+    got = spark.createDataFrame(pairs, "b string, h string").select("b", "h", resolve(F.col("b"), F.col("h")).alias("r")).collect()
+    bad = [(r.b, r.h, r.r, urljoin(r.b, r.h)) for r in got if r.h in ODD and r.r != urljoin(r.b, r.h)]
+    assert not bad, bad[:5]
+    assert all(r.r is None for r in got if r.h in BROKEN)
+
+
+def test_site_key_keeps_registered_names(spark):
+    from sitelens.functions.urls import site_of
+
+    urls = {"https://news.co.uk/x": "news.co.uk", "http://shop.com.au": "shop.com.au", "http://www.news.co.uk": "news.co.uk",
+            "http://blog.a.example.net": "a.example.net", "http://news.com": "news.com", "http://m.x.org:80/": "x.org"}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", site_of(F.col("u")).alias("s")).collect()
+    assert {r.u: r.s for r in rows} == urls
+
+
 def test_resolve_exhaustive_small_grammar(spark):
     import itertools
 
