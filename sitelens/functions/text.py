@@ -94,6 +94,13 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.instr(c, "&") > 0, F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(c)
 
 
+def let(c: Column, body) -> Column:
+    """Evaluate ``c`` once and use it any number of times in ``body``: a lambda variable
+    is bound once, whereas an expression that holds higher-order functions is
+    evaluated again at each of its uses."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def strip_ws(c: Column) -> Column:
     """Unicode-aware trim (Spark's trim only removes the space character)."""
     return F.regexp_replace(c, rf"^{WS_CLASS}+|{WS_CLASS}+$", "")

@@ -79,11 +79,12 @@ def _last_wins_map(entries: Column) -> Column:
     )
 
 
-def metadata(pages: DataFrame) -> DataFrame:
+def metadata(pages: DataFrame, keep: list = ()) -> DataFrame:
     """One row per page with title, meta map, description, keywords,
-    Open Graph and Twitter maps, canonical link and language."""
-    masked = pages.select("page_id", "url", "site", mask_html(F.col("html")).alias("_m"))
-    df = masked.select("page_id", "url", "site", title_text(F.col("_m")).alias("_title"), tags_in(F.col("_m"), "meta", "link", "html").alias("el"))
+    Open Graph and Twitter maps, canonical link and language (and the columns to ``keep``)."""
+    masked = pages.select("page_id", "url", "site", *keep, mask_html(F.col("html")).alias("_m"))
+    kept = [c for c in masked.columns if c not in ("page_id", "url", "site", "_m")]
+    df = masked.select("page_id", "url", "site", *kept, title_text(F.col("_m")).alias("_title"), tags_in(F.col("_m"), "meta", "link", "html").alias("el"))
     metas = of_tag(el_col(), "meta")
     title = F.col("_title")
     meta_entries = F.filter(
@@ -115,6 +116,7 @@ def metadata(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         "site",
+        *kept,
         title.alias("seo_title"),
         F.coalesce(meta_map["title"], title).alias("title"),
         meta_map.alias("meta"),
@@ -367,10 +369,10 @@ def endpoint_candidates(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "site", "c.kind", "c.raw")
 
 
-def in_scope_endpoint_array(el: Column, html: Column, url: Column, site: Column) -> Column:
-    """Distinct resolved in-scope endpoints of one page, as an array."""
-    raws = F.array_distinct(F.transform(F.filter(candidate_array(el, html), lambda c: c["raw"] != ""), lambda c: c["raw"]))
-    resolved = F.array_distinct(F.transform(raws, lambda r: resolve(url, r)))
+def in_scope_of(found: Column, url: Column, site: Column) -> Column:
+    """Distinct resolved in-scope endpoints (E24, E25) of a page's candidates."""
+    raws = F.array_distinct(F.transform(F.filter(found, lambda c: c["raw"] != ""), lambda c: c["raw"]))
+    resolved = F.array_compact(F.array_distinct(F.transform(raws, lambda r: resolve(url, r))))
     return F.filter(resolved, lambda u: in_scope(u, site))
 
 
@@ -383,7 +385,7 @@ def endpoints(pages: DataFrame) -> DataFrame:
     raws = F.array_distinct(
         F.transform(F.filter(candidate_array(tags, F.col("html")), lambda c: c["raw"] != ""), lambda c: c["raw"])
     )
-    resolved = F.array_distinct(F.transform(raws, lambda r: resolve(F.col("url"), r)))
+    resolved = F.array_compact(F.array_distinct(F.transform(raws, lambda r: resolve(F.col("url"), r))))
     out = pages.select("page_id", "url", "site", F.explode(resolved).alias("endpoint"))
     return out.withColumn("in_scope", in_scope(F.col("endpoint"), F.col("site")))
 

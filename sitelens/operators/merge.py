@@ -44,26 +44,32 @@ def add_counts(old: DataFrame, new: DataFrame, keys: list[str], value: str = "n"
     return old.select(*keys, value).unionByName(new.select(*keys, value)).groupBy(*keys).agg(F.sum(value).alias(value))
 
 
-def merge_statistics(old: DataFrame, new: DataFrame, mode: str = "compat") -> DataFrame:
+AVERAGED = ("average_response_time", "average_page_size")
+
+
+def merge_statistics(old: DataFrame, new: DataFrame, mode: str = "compat", weight: str = "total_urls_visited") -> DataFrame:
     """U9 over long-form statistics ``(site, stat, value)``.
 
     ``compat`` sums every numeric statistic — averages, minima and maxima
-    included — as the original merge does; ``recompute`` keeps sums for totals
-    and combines min/max properly (averages need the per-run counts and are
-    recomputed by callers from totals).
+    included — as the original merge does. ``recompute`` gives what one run over both
+    would: totals are summed, minima, maxima and the peak queue combined, and averages weighted
+    by each run's ``weight`` statistic (NULL when a run that has the average lacks its weight).
     """
     both = old.select("site", "stat", F.col("value").alias("old")).join(
         new.select("site", "stat", F.col("value").alias("new")), ["site", "stat"], "full"
     )
     o, n = F.coalesce(F.col("old"), F.lit(0.0)), F.coalesce(F.col("new"), F.lit(0.0))
     if mode == "compat":
-        val = o + n
-    else:
-        val = (
-            F.when(F.col("stat").startswith("min_"), F.least(F.col("old"), F.col("new")))
-            .when(F.col("stat").startswith("max_"), F.greatest(F.col("old"), F.col("new")))
-            .otherwise(o + n)
-        )
+        return both.select("site", "stat", (o + n).alias("value"))
+    pages = lambda run, name: run.where(F.col("stat") == weight).select("site", F.col("value").alias(name))
+    both = both.join(pages(old, "old_n"), "site", "left").join(pages(new, "new_n"), "site", "left")
+    wo, wn = F.when(F.col("old").isNotNull(), F.col("old_n")).otherwise(0.0), F.when(F.col("new").isNotNull(), F.col("new_n")).otherwise(0.0)
+    val = (
+        F.when(F.col("stat").startswith("min_"), F.least("old", "new"))
+        .when(F.col("stat").startswith("max_") | (F.col("stat") == "peak_queue_size"), F.greatest("old", "new"))
+        .when(F.col("stat").isin(*AVERAGED), F.try_divide(o * wo + n * wn, wo + wn))
+        .otherwise(o + n)
+    )
     return both.select("site", "stat", val.alias("value"))
 
 
@@ -86,3 +92,10 @@ def latest_wins(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     cols = [c for c in df.columns if c != key]
     latest = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order_cols)).alias("_r"))
     return latest.select(key, "_r.*")
+
+
+def latest_rows(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
+    """``latest_wins`` for keys of several columns."""
+    cols = [c for c in df.columns if c not in keys]
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order_cols)).alias("_r"))
+    return latest.select(*keys, "_r.*")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import let
 from sitelens.operators import extract as X
 from sitelens.operators import keywords as K
 from sitelens.sources.pages import page_bytes
@@ -41,13 +42,19 @@ def page_fact_rows(pages: DataFrame) -> DataFrame:
     def count_kind(kind: str, n) -> F.Column:
         return F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("value"), n.cast("bigint").alias("n")))
 
-    words = F.filter(K.tokens(html), lambda w: K.keep_keyword(w))
+    words = F.filter(F.array_distinct(K.tokens(html)), lambda w: K.keep_keyword(w))
     emails = F.regexp_extract_all(html, F.lit(EMAIL_PATTERN), 0)
     phones = F.concat(*[F.regexp_extract_all(html, F.lit(ph), 0) for ph in PHONE_PATTERNS])
-    eps = X.in_scope_endpoint_array(el, html, F.col("url"), F.col("site"))
-    api = F.transform(
-        F.filter(X.candidate_array(el, html), lambda c: c["kind"] == "api"), lambda c: c["raw"]
+    # candidates are found once and used for the endpoints and for the API set
+    both = let(
+        X.candidate_array(el, html),
+        lambda found: F.struct(
+            X.in_scope_of(found, F.col("url"), F.col("site")).alias("eps"),
+            F.transform(F.filter(found, lambda c: c["kind"] == "api"), lambda c: c["raw"]).alias("api"),
+        ),
     )
+    p = p.withColumn("_found", both)
+    eps, api = F.col("_found.eps"), F.col("_found.api")
     files = F.filter(X._a_hrefs(el), lambda e: X.file_type(attr(e, "href")).isNotNull())
     facts = F.concat(
         count_kind("pages", F.lit(1)),
@@ -108,10 +115,11 @@ def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetch
         )
     if peak_queue is not None:
         out = out.join(peak_queue, "site", "left")
-    for c in STAT_NAMES:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(0))
-    return out.fillna({c: 0 for c in STAT_NAMES}).select("site", *STAT_NAMES)
+    # A statistic whose input was passed is 0 where the site has no such row; without its
+    # input it is unknown.
+    known = set(out.columns)
+    measured = [F.coalesce(F.col(c), F.lit(0)).alias(c) if c in known else F.lit(None).cast("double").alias(c) for c in STAT_NAMES]
+    return out.select("site", *measured)
 
 
 def to_long(stats: DataFrame) -> DataFrame:

@@ -27,9 +27,12 @@ def resolve(domains: DataFrame, dns: DataFrame, labels=None) -> DataFrame:
     return candidates(domains, labels).join(first, F.col("subdomain") == F.col("name")).select("site", "subdomain", "ip")
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "subdomain") -> DataFrame:
-    """Keyed insert, first write wins (rows whose key already exists are ignored)."""
-    fresh = new.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "subdomain", order: str = "ip") -> DataFrame:
+    """Keyed insert, first write wins: rows whose key already exists are ignored, and of several
+    new rows of a key the first by ``order`` stays."""
+    rest = [c for c in new.columns if c != key]
+    first = new.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(key, "_r.*")
+    fresh = first.join(existing.select(key), key, "left_anti").select(*new.columns)
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

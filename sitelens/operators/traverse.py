@@ -2,15 +2,13 @@
 
 One Spark job per level (at most ``max_depth`` + 1 levels):
 
-    frontier ⋈ edges (on src)  →  distinct targets  →  anti-join every visited level
+    frontier ⋈ edges (on src)  →  distinct targets  →  anti-join the visited levels
 
-Edges are hash-partitioned on ``src`` and checkpointed once, so each level only
-shuffles the (usually much smaller) frontier. Each visited level is
-checkpointed hash-partitioned on ``url``; a new candidate set is shuffled once
-by ``url`` and anti-joined against every level without re-shuffling the levels.
-Lineage is cut with reliable checkpoints in the shared checkpoint folder, so
-plans stay flat and a lost executor recomputes at most one level. The driver
-only sees per-level row counts; no URL is collected.
+The distinct edges and each level are written below the shared checkpoint folder, so
+plans stay flat, a lost executor costs a re-read, and Spark plans every level's
+joins from measured sizes: a small frontier is broadcast, otherwise a hub page's edges
+are split. Duplicate links are removed before edges are shuffled. The driver only sees
+per-level row counts; no URL is collected.
 
 Depth is the exact BFS minimum (the threaded original only approximates it).
 """
@@ -19,11 +17,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.session import cut_lineage
+from sitelens.session import written
 
 
 @dataclass
@@ -44,48 +41,34 @@ class Traversal:
 
 
 def prepare_edges(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst), hash-partitioned on src, materialised once.
-
-    Persisted (memory and disk) rather than checkpointed: its lineage is just
-    scan + one shuffle, so a lost block is cheap to recompute, and nothing is
-    written to the shared folder."""
-    # Partitioning on src already clusters equal (src, dst) pairs, so the
-    # distinct reuses this single shuffle.
-    e = edges.select("src", "dst").where(F.col("dst").isNotNull()).repartition("src").distinct()
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
-    e.count()
-    return e
+    """Distinct (src, dst), written once. Equal links are reduced before the shuffle, and the
+    shuffle is by both ends, so a hub page's links lie in many tasks."""
+    return written(edges.select("src", "dst").where(F.col("dst").isNotNull()).distinct(), "edges")
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable: DataFrame | None = None,
-             prepared: bool = False, compact_after: int = 6) -> Traversal:
+             prepared: bool = False) -> Traversal:
     """BFS from ``seeds(url)`` over ``edges(src, dst)`` up to ``max_depth`` (inclusive).
 
     ``expandable(url)``, when given, limits which visited URLs emit links
     (fetched, HTML, allowed by robots, not a challenge page); the others are
-    visited but are leaves, as in the original crawler.
+    visited but are leaves, as in the original crawler. It is evaluated once.
     """
+    if expandable is not None:
+        edges = edges.join(expandable.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
+        prepared = False
     e = edges if prepared else prepare_edges(edges)
-    frontier = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)).repartition("url"))
+    frontier = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     t = Traversal([frontier], [frontier.count()])
     for d in range(max_depth):
-        src = frontier if expandable is None else frontier.join(expandable.select("url").distinct(), "url", "left_semi")
-        cand = src.join(e, src["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
-        for lv in t.levels:  # J1: candidates − visited
-            cand = cand.join(lv.select("url"), "url", "left_anti")
-        nxt = cut_lineage(cand.withColumn("depth", F.lit(d + 1)).repartition("url"))
-        n = nxt.count()
+        cand = frontier.join(e, frontier["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
+        cand = cand.join(t.visited.select("url"), "url", "left_anti")  # J1: candidates − visited
+        frontier = written(cand.withColumn("depth", F.lit(d + 1)), "level")
+        n = frontier.count()
         if n == 0:
             break
-        t.levels.append(nxt)
+        t.levels.append(frontier)
         t.sizes.append(n)
-        frontier = nxt
-        if len(t.levels) > compact_after:
-            # Deep traversals: fold the visited levels into one url-partitioned
-            # checkpoint so each level anti-joins a bounded number of tables.
-            t.levels = [cut_lineage(t.visited.repartition("url"))]
-    if not prepared:
-        e.unpersist()
     return t
 
 
@@ -107,22 +90,39 @@ def fetch_visited(t: Traversal, pages: DataFrame) -> DataFrame:
 
 def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 3, robots: DataFrame | None = None,
           agent: str | None = None, respect_robots: bool = True) -> tuple[DataFrame, Traversal]:
-    """Crawl a page store from ``seeds(url)``.
+    """Crawl a page store from ``seeds(url)``.
 
-    Links come from the in-scope endpoints (E25) of every stored page; only
-    pages that are stored, HTML, not challenge pages and allowed by robots
-    expand. Returns the result rows (J2: visited ⋈ page store) and the traversal.
+    Only stored pages of the seeds' sites take part: a link in scope of a site
+    leads to a page of that site. Links come from their in-scope endpoints (E25); pages that are
+    HTML, not challenge pages and allowed by robots expand. Returns the result rows
+    (J2: visited ⋈ page store) and the traversal.
     """
     from sitelens.functions.lookups import USER_AGENTS
+    from sitelens.functions.urls import site_of
     from sitelens.operators import challenge as C
     from sitelens.operators import extract as X
     from sitelens.operators import robots as RB
 
+    sites = seeds.select(site_of(F.col("url")).alias("site")).distinct()
+    pages = pages.withColumn("status_code", F.coalesce("status_code", F.lit(200))).join(sites, "site", "left_semi")
     html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(True))
-    ok = pages.where(html & ~C.is_challenge(F.coalesce(F.col("status_code"), F.lit(200)), F.col("html")))
-    allowed = RB.can_fetch(ok.select("site", "url"), robots, agent or USER_AGENTS["pc"], respect_robots)
-    expandable = allowed.where("allowed").select("url")
+    ok = pages.where(html & ~C.is_challenge(F.col("status_code"), F.col("html")))
+    ok = RB.can_fetch(ok, robots, agent or USER_AGENTS["pc"], respect_robots).where("allowed").drop("allowed")
     edges = X.endpoints(ok).where("in_scope").select(F.col("url").alias("src"), F.col("endpoint").alias("dst"))
-    t = traverse(edges, seeds, max_depth, expandable=expandable)
-    results = fetch_visited(t, C.drop_challenges(pages.withColumn("status_code", F.coalesce("status_code", F.lit(200)))))
-    return results, t
+    t = traverse(edges, seeds, max_depth)
+    return fetch_visited(t, C.drop_challenges(pages)), t
+
+
+def crawl_domains(pages: DataFrame, domains: DataFrame, dns: DataFrame, max_depth: int = 3, robots: DataFrame | None = None,
+                  agent: str | None = None, respect_robots: bool = True) -> tuple[DataFrame, DataFrame, Traversal]:
+    """The whole crawl of ``domains(site)``: enumerate subdomains (J4, J5), seed (U1), traverse, and
+    roll the result pages up into statistics (A20). Returns (results, statistics, traversal)."""
+    from sitelens.functions.urls import site_of
+    from sitelens.operators import stats as ST
+    from sitelens.operators import subdomains as SD
+
+    found = written(SD.resolve(domains, dns), "subdomains")
+    results, t = crawl(pages, SD.seeds(domains, found).select("url"), max_depth, robots, agent, respect_robots)
+    peaks = t.visited.groupBy(site_of(F.col("url")).alias("site"), "depth").agg(F.count("*").alias("n"))
+    peaks = peaks.groupBy("site").agg(F.max("n").alias("peak_queue_size"))
+    return results, ST.site_statistics(results.drop("depth"), subdomains=found, peak_queue=peaks), t

@@ -43,8 +43,8 @@ def stream_dedupe(spark, sf_dir):
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "dedupe-out"), scratch_path(spark, "dedupe-ck")
     with session_conf(spark, STATE_CONF):
-        ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, schema)), out, ck)
-    return spark.read.parquet(out)
+        ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, schema, 1)), out, ck)
+    return spark.read.parquet(out).select("url")
 
 
 @register(
@@ -52,13 +52,13 @@ def stream_dedupe(spark, sf_dir):
     f"WITH {FETCH_CTE} SELECT site, status_code, count(*) AS n FROM f WHERE error_type IS NULL GROUP BY ALL",
 )
 def stream_counts(spark, sf_dir):
-    """Running status-code histogram per site, complete mode."""
+    """Running status-code histogram per site."""
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
-    recs = FT.ok_rows(fetches_from_events(ST.file_stream(spark, src, schema)))
+    recs = FT.ok_rows(fetches_from_events(ST.file_stream(spark, src, schema, 1)))
     with session_conf(spark, STATE_CONF):
         ST.counts_stream(recs, ["site", "status_code"], out, ck)
-    return spark.read.parquet(out)
+    return ST.current(spark, out, ["site", "status_code"])
 
 
 @register("stream_upsert", UPSERT_SQL)
@@ -66,20 +66,34 @@ def stream_upsert(spark, sf_dir):
     """X3 + S8: urls table kept current per micro-batch (last write wins)."""
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "upsert-out"), scratch_path(spark, "upsert-ck")
-    recs = fetches_from_events(ST.file_stream(spark, src, schema)).select("url", "event_id", "status_code", "ts", "content_type", "error_type")
+    recs = fetches_from_events(ST.file_stream(spark, src, schema, 1)).select("url", "event_id", "status_code", "ts", "content_type", "error_type")
     with session_conf(spark, STATE_CONF):
-        versions = ST.upsert_stream(recs, out, ck, prepare=ST.html_latest)
-    return spark.read.parquet(versions[-1]).select("url", "event_id", "status_code", "ts")
+        ST.upsert_stream(recs, out, ck, prepare=ST.html_latest)
+    return ST.current(spark, out, ["url"], ["ts", "event_id"]).select("url", "event_id", "status_code", "ts")
 
 
-@register("stream_progress")
+PROGRESS_SQL = f"""
+WITH {FETCH_CTE}, s AS (SELECT *, event_id % {N_FILES} AS slice FROM f)
+SELECT slice, count(*) AS rows, count(DISTINCT url) AS keys FROM s GROUP BY slice
+"""
+
+
+@register("stream_progress", PROGRESS_SQL)
 def stream_progress(spark, sf_dir):
-    """One progress row per micro-batch (rows-only check: batch sizes depend on arrival)."""
-    src, schema = _arrivals(spark, sf_dir)
+    """One progress row per micro-batch. Arrival slices are fixed by the event id, one folder and so one
+    stream step each; the rows are the same whatever order the batches came in."""
+    e = read_table(spark, sf_dir, "events")
+    src = scratch_path(spark, "progress-src")
     out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
-    with session_conf(spark, STATE_CONF):
-        ST.progress_stream(fetches_from_events(ST.file_stream(spark, src, schema)), out, ck)
-    return spark.read.parquet(out)
+    made = None
+    for k in range(N_FILES):
+        e.where(F.col("event_id") % N_FILES == k).write.mode("append").parquet(os.path.join(src, f"slice={k}"))
+        with session_conf(spark, STATE_CONF):
+            ST.progress_stream(fetches_from_events(ST.file_stream(spark, src, e.schema)), out, ck)
+        step = spark.read.schema("rows long, keys long").parquet(os.path.join(out, f"batch_id={k}"))
+        step = step.select(F.lit(k).cast("long").alias("slice"), "rows", "keys")
+        made = step if made is None else made.unionByName(step)
+    return made
 
 
 @register("stream_resume", f"WITH {FETCH_CTE} SELECT DISTINCT url FROM f")
@@ -96,7 +110,7 @@ def stream_resume(spark, sf_dir):
     e.where(F.col("event_id") > cut).write.mode("append").parquet(os.path.join(src, "part=2"))
     with session_conf(spark, STATE_CONF):
         ST.dedupe_stream(fetches_from_events(ST.file_stream(spark, src, e.schema, 8)), out, ck)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("url")
 
 
 def _page_arrivals(spark, sf_dir):
@@ -120,11 +134,11 @@ def stream_keyword_counts(spark, sf_dir):
 
     src, schema = _page_arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "kwstream-out"), scratch_path(spark, "kwstream-ck")
-    pages = ST.file_stream(spark, src, schema).withColumn("site", site_of(F.col("url")))
+    pages = ST.file_stream(spark, src, schema, 1).withColumn("site", site_of(F.col("url")))
     toks = K.page_tokens(pages).select("site", "keyword")
     with session_conf(spark, STATE_CONF):
         ST.counts_stream(toks, ["site", "keyword"], out, ck)
-    return spark.read.parquet(out).withColumnRenamed("n", "frequency")
+    return ST.current(spark, out, ["site", "keyword"]).withColumnRenamed("n", "frequency")
 
 
 TYPE_ERR_SQL = f"""
@@ -139,9 +153,9 @@ def stream_type_error_counts(spark, sf_dir):
     """Running content-type and error-type counters per site."""
     src, schema = _arrivals(spark, sf_dir)
     out, ck = scratch_path(spark, "typeerr-out"), scratch_path(spark, "typeerr-ck")
-    recs = fetches_from_events(ST.file_stream(spark, src, schema)).select(
+    recs = fetches_from_events(ST.file_stream(spark, src, schema, 1)).select(
         "site", F.when(F.col("error_type").isNull(), FT.content_type_base(F.col("content_type"))).alias("content_type"), "error_type"
     )
     with session_conf(spark, STATE_CONF):
         ST.counts_stream(recs, ["site", "content_type", "error_type"], out, ck)
-    return spark.read.parquet(out)
+    return ST.current(spark, out, ["site", "content_type", "error_type"])

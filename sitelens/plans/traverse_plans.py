@@ -97,8 +97,8 @@ WHERE s.depth < {MAX_DEPTH} AND d.depth = s.depth + 1 GROUP BY e.src
 @register("bfs_new_per_page", NEW_SQL)
 def bfs_new_per_page(spark, sf_dir):
     """New URLs discovered per crawled page."""
-    edges = graph_edges(spark, sf_dir)
-    t = TR.traverse(edges, graph_seeds(spark, sf_dir), MAX_DEPTH)
+    edges = TR.prepare_edges(graph_edges(spark, sf_dir))
+    t = TR.traverse(edges, graph_seeds(spark, sf_dir), MAX_DEPTH, prepared=True)
     return TR.new_per_page(edges, t, MAX_DEPTH)
 
 
@@ -122,9 +122,7 @@ def graph_robots(spark, sf_dir):
 
 def graph_nodes(spark, sf_dir):
     e = graph_edges(spark, sf_dir)
-    return e.select(F.col("dst").alias("url")).unionByName(e.select(F.col("src").alias("url"))).distinct().withColumn(
-        "site", F.lit(GRAPH_SITE)
-    )
+    return e.select(F.explode(F.array("src", "dst")).alias("url")).distinct().withColumn("site", F.lit(GRAPH_SITE))
 
 
 ALLOWED_PC = "NOT (starts_with(regexp_extract(url, '^https://[^/]*(.*)$', 1), '/nation/') AND NOT starts_with(regexp_extract(url, '^https://[^/]*(.*)$', 1), '/nation/3/')) AND NOT starts_with(regexp_extract(url, '^https://[^/]*(.*)$', 1), '/order/')"
@@ -142,8 +140,7 @@ def robots_filter(spark, sf_dir):
     """Robots decision per URL for the desktop and mobile agents."""
     robots = graph_robots(spark, sf_dir)
     nodes = graph_nodes(spark, sf_dir)
-    both = RB.can_fetch(nodes, robots, USER_AGENTS["pc"], out="allowed_pc")
-    both = RB.can_fetch(both, robots, USER_AGENTS["mobile"], out="allowed_mobile")
+    both = RB.can_fetch_as(nodes, robots, {"allowed_pc": USER_AGENTS["pc"], "allowed_mobile": USER_AGENTS["mobile"]})
     return both.select("url", "allowed_pc", "allowed_mobile")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,52 +37,35 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    On a cluster this is set by the deployment and is only read here. Only when
-    it is unset (local tests) do we pick a scratch folder of our own.
+    On a cluster the deployment sets it and it is only read here; without it there is no
+    folder that all executors see, so the call fails. A local session (tests), where driver
+    and executors are one process, gets a scratch folder of its own.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="sitelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # pragma: no cover - Connect sessions have no SparkContext
-        pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Survives executor loss (unlike a local checkpoint), and keeps iterative
-    plans (one join per traversal level) from growing without bound.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back: lineage ends at files that
+    every executor can reach, and later plans know the table's size."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"sitelens-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give CPU-heavy per-page work enough tasks.
-
-    Page tables are few bytes per unit of regex work, so file-size based splits
-    can leave a small table in one task. When the input has fewer partitions
-    than ``per_core`` × the cluster's cores we redistribute it round-robin;
-    a large store (thousands of files) already has more and is left untouched,
-    so HTML is never shuffled at scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 class session_conf:
     """Temporarily set SQL confs (restored on exit), e.g. the number of state
     partitions a new streaming checkpoint is created with."""

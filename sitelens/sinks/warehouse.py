@@ -1,41 +1,43 @@
-"""The eight result tables written from one element build.
+"""The eight result tables.
 
-The element array is the expensive part of page analysis, so it is computed
-once, persisted (memory and disk — its lineage is one scan, so a lost block is
-recomputed cheaply) and every table is written from it.
+Every table has a dense ``id`` that goes on from the largest one already written, and the
+urls table holds HTML pages only. Tables are written one after the other from the page
+store; nothing larger than a table's own rows is kept on the way.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from sitelens.operators import extract as X
+from sitelens.operators import fetch as FT
 from sitelens.operators import keywords as K
+from sitelens.operators.elements import mask_html
 from sitelens.sinks.writers import with_ids, write_table
+from sitelens.sources.queue import path_exists
 
 TABLES = ["urls", "keywords", "links", "technologies", "files", "forms", "images", "subdomains"]
 
 
 def warehouse_tables(pages: DataFrame, subdomains: DataFrame | None = None) -> dict[str, DataFrame]:
     """The table DataFrames (columns of the original DDL, plus ``site``)."""
-    el = X.ensure_elements(pages)
-    meta = X.metadata(el)
-    urls = meta.join(
-        el.select("page_id", F.to_json(X.h1_texts()).alias("h1_tags"), F.octet_length("html").cast("bigint").alias("size"),
-                  "status_code", "content_type", "depth", "response_time", "fetched_at"),
-        "page_id",
-    ).select("site", "url", "status_code", "content_type", "size", "depth", "title", "description", "keywords", "h1_tags",
-             "response_time", F.col("fetched_at").alias("timestamp"))
+    stored = pages.where(FT.is_html(F.coalesce("content_type", F.lit("text/html"))))
+    facts = ["status_code", "content_type", "depth", "response_time", "fetched_at"]
+    carried = stored.withColumn("_h1", F.to_json(X.h1_texts(mask_html(F.col("html")))))
+    urls = X.metadata(carried, keep=["_h1", F.octet_length("html").cast("bigint").alias("size"), *facts]).select(
+        "site", "url", "status_code", "content_type", "size", "depth", "title", "description", "keywords",
+        F.col("_h1").alias("h1_tags"), "response_time", F.col("fetched_at").alias("timestamp"),
+    )
+    el = pages
     forms = X.forms(el).select("site", "url", "action", "method", F.to_json("fields").alias("fields"))
     subs = subdomains if subdomains is not None else pages.sparkSession.createDataFrame(
         [], "site string, subdomain string, ip string")
     return {
-        "urls": with_ids(urls, ["url"]),
+        "urls": urls,
         "keywords": K.page_top_keywords(el).select("site", "keyword", "frequency", "url"),
         "links": X.links(el).select("site", "source_url", "target_url", "anchor_text", "link_type"),
         "technologies": X.technologies(el).select("site", "url", "technology", F.lit("").alias("version")),
@@ -47,15 +49,23 @@ def warehouse_tables(pages: DataFrame, subdomains: DataFrame | None = None) -> d
     }
 
 
+def write_rows(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """S10 + S11: append (or overwrite) one table, ids going on from the largest stored one.
+    Returns the rows' frame for its schema."""
+    spark, start = df.sparkSession, 1
+    if mode == "append" and path_exists(spark, path):
+        stored = spark.read.schema("id long").parquet(path)
+        start = (stored.agg(F.max("id")).first()[0] or 0) + 1  # one scalar
+    numbered = with_ids(df, start)
+    write_table(numbered, path, mode=mode)
+    return numbered
+
+
 def write_warehouse(pages: DataFrame, path: str, mode: str = "overwrite", subdomains: DataFrame | None = None) -> dict:
     """Write all tables under ``path/<table>``; returns their schemas (with the
     bucket column) for reading back."""
-    el = X.ensure_elements(pages).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        schemas = {}
-        for name, df in warehouse_tables(el, subdomains).items():
-            write_table(df, os.path.join(path, name), mode=mode)
-            schemas[name] = df.schema.add("site_bucket", IntegerType()) if "site" in df.columns else df.schema
-        return schemas
-    finally:
-        el.unpersist()
+    schemas = {}
+    for name, df in warehouse_tables(pages, subdomains).items():
+        written = write_rows(df, os.path.join(path, name), mode)
+        schemas[name] = written.schema.add("site_bucket", IntegerType()) if "site" in written.columns else written.schema
+    return schemas

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sitelens.session import ensure_checkpoint_dir
 
+# FIXED VALUES: header of the URL CSV.
 URL_CSV_HEADER = ["URL", "Status Code", "Content Type", "Size (bytes)", "Depth", "Response Time", "Title"]
-REPORT_RULE = "=" * 80
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,12 +67,18 @@ def write_document(doc: DataFrame, path: str, sections: dict[str, DataFrame] | N
         out.write.mode("overwrite").partitionBy("output_name").json(os.path.join(path, name))
 
 
-def read_document(spark: SparkSession, path: str, schema=None, section: str = "document") -> DataFrame:
-    """Prior results; unreadable rows come back as NULLs (PERMISSIVE)."""
-    r = spark.read.option("mode", "PERMISSIVE")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(os.path.join(path, section))
+def read_document(spark: SparkSession, path: str, schema: str, section: str = "document") -> DataFrame:
+    """A section of prior results. A section that is missing, or that holds a line which is no
+    JSON, counts as no prior results, so a merge overwrites it, as the original does."""
+    from sitelens.sources.queue import path_exists
+
+    at = os.path.join(path, section)
+    if not path_exists(spark, at):
+        return spark.createDataFrame([], schema)
+    bad = "_bad_line"
+    rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(at)
+    broken = bool(rows.where(F.col(bad).isNotNull()).take(1))
+    return rows.drop(bad).limit(0) if broken else rows.drop(bad)
 
 
 # ---- S5: report lines ----------------------------------------------------------
@@ -126,11 +132,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 # ---- S7, S10, S11: warehouse tables ---------------------------------------------
 
-def with_ids(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Stable surrogate ids 1..n in ``order_cols`` order (distributed zipWithIndex)."""
+def with_ids(df: DataFrame, start: int = 1) -> DataFrame:
+    """Surrogate ids ``start``, ``start`` + 1, … in the order of the rows as they come."""
     from sitelens.sources.queue import number_rows
 
-    return number_rows(df, order_cols, name="id")
+    return number_rows(df, [], start=start, name="id")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", bucket_col: str = "site", buckets: int = 64) -> None:
@@ -139,6 +145,8 @@ def write_table(df: DataFrame, path: str, mode: str = "append", bucket_col: str
     out = df
     if bucket_col in df.columns:
         out = df.withColumn("site_bucket", F.pmod(F.xxhash64(bucket_col), F.lit(buckets)).cast("int"))
+        # one bucket's rows meet in few tasks (AQE splits a hot one), so files do not multiply
+        out = out.hint("rebalance", "site_bucket")
         out.write.mode(mode).partitionBy("site_bucket").parquet(path)
     else:
         out.write.mode(mode).parquet(path)
@@ -146,6 +154,7 @@ def write_table(df: DataFrame, path: str, mode: str = "append", bucket_col: str
 
 # ---- S3: queue file --------------------------------------------------------------
 
+# FIXED VALUES: comment lines of a queue file.
 QUEUE_HEADER = ["# Crawl queue - domains to process", "# Format: domain"]
 
 

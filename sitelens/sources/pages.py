@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.urls import site_of
-from sitelens.session import spread, table_path
+from sitelens.session import table_path
 
 OPTIONAL_COLUMNS = {
     "status_code": "int",
@@ -30,13 +30,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def conform_pages(pages: DataFrame, site: str | None = None, spread_out: bool = True) -> DataFrame:
+def conform_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
     """Add the ``site`` key and typed NULLs for absent fetch columns.
 
     ``site`` is a literal target domain when given (one crawl), otherwise it is
     derived per page from its URL (a page store holding many sites).
     """
-    df = spread(pages) if spread_out else pages
+    df = pages
     if "site" not in df.columns:
         df = df.withColumn("site", F.lit(site) if site else site_of(F.col("url")))
     for name, dtype in OPTIONAL_COLUMNS.items():

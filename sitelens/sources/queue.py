@@ -1,15 +1,17 @@
 """Domain queue source (S2) and queue operations.
 
 A queue is ``(pos, domain)``; ``pos`` orders it. Loading a text queue keeps
-file order with (part file, position in file) and numbers lines with
-``zipWithIndex`` (a distributed prefix count), never in a single task.
+file order with (part file, position in file) and numbers lines by a distributed
+prefix count, never in a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens.session import written
+
 QUEUE_SCHEMA = "pos long, domain string"
 
 
@@ -20,12 +22,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def number_rows(df: DataFrame, order_cols: list[str], start: int = 1, name: str = "pos") -> DataFrame:
-    """Dense global ordinals in ``order_cols`` order via zipWithIndex."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order_cols)
-    cols = df.columns
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1] + start,))
-    return spark.createDataFrame(rdd, ordered.schema.add(name, "long")).select(name, *[c for c in cols if c != name])
+    """Dense global ordinals in ``order_cols`` order (any order without columns), in the JVM: the
+    sorted rows are written with their place in their partition, and the partitions'
+    sizes (one row a partition) give each its offset."""
+    cols = [c for c in df.columns if c != name]
+    ordered = df.select(*cols).orderBy(*order_cols) if order_cols else df.select(*cols)
+    held = written(ordered.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = held.join(F.broadcast(offsets), part == F.col("_of"))  # one row a partition
+    return numbered.select((place + F.col("_before") + F.lit(start)).cast("long").alias(name), *cols)
 
 
 def load_queue(spark: SparkSession, path: str) -> DataFrame:
@@ -61,21 +70,30 @@ def listing(queue: DataFrame) -> DataFrame:
     return number_rows(queue.select("pos", "domain").withColumnRenamed("pos", "_p"), ["_p"], name="ordinal").select("ordinal", "domain")
 
 
-def batch_rollup(outcomes: DataFrame) -> DataFrame:
+def batch_rollup(outcomes: DataFrame, queue: DataFrame | None = None) -> DataFrame:
     """A19 over ``outcomes(domain, seconds, success)``: completed/failed counts
-    and seconds statistics of completed domains."""
+    and seconds statistics of completed domains; with the queue also how many
+    of its domains remain (those not completed)."""
     ok = F.col("success")
-    return outcomes.agg(
+    row = outcomes.agg(
         F.count_if(ok).alias("completed"),
         F.count_if(~ok).alias("failed"),
         F.avg(F.when(ok, F.col("seconds"))).alias("avg_seconds"),
         F.min(F.when(ok, F.col("seconds"))).alias("min_seconds"),
         F.max(F.when(ok, F.col("seconds"))).alias("max_seconds"),
     )
+    if queue is None:
+        return row
+    left = remaining(queue, outcomes.where("success")).agg(F.count("*").alias("remaining"))
+    return row.join(left)  # one row each
 
 
 def slowest(outcomes: DataFrame, k: int = 5, min_completed: int = 6) -> DataFrame:
-    """The k slowest completed domains, only when more than five completed."""
-    done = outcomes.where("success")
-    top = done.orderBy(F.col("seconds").desc(), F.col("domain")).limit(k).select("domain", "seconds")
-    return top if done.count() >= min_completed else top.limit(0)
+    """The k slowest completed domains, only when more than five completed. The ``k`` and
+    ``min_completed`` longest are enough to tell, so nothing is counted beforehand."""
+    top = outcomes.where("success").orderBy(F.col("seconds").desc(), F.col("domain")).limit(max(k, min_completed))
+    ranked = top.withColumns({
+        "_r": F.row_number().over(Window.orderBy(F.col("seconds").desc(), F.col("domain"))),
+        "_n": F.count("*").over(Window.partitionBy(F.lit(1))),
+    })
+    return ranked.where((F.col("_r") <= k) & (F.col("_n") >= min_completed)).select("domain", "seconds")

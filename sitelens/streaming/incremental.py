@@ -6,10 +6,10 @@ is there, stops, and resumes exactly where it left off on the next run.
 
 * X1 ``dedupe_stream``    – at-most-once per URL: ``dropDuplicates`` on the URL
   (state grows like the visited set; ``dropDuplicatesWithinWatermark`` bounds it).
-* X2 ``counts_stream``    – running histograms (status codes) in complete mode,
-  materialised by ``foreachBatch``.
-* X3 ``upsert_stream``    – keyed last-write-wins replace of the ``urls`` table
-  per micro-batch (``max_by`` per URL, then merge with the current version).
+* X2 ``counts_stream``    – running histograms (status codes) in update mode; each batch
+  writes its changed counts under its own number.
+* X3 ``upsert_stream``    – keyed last-write-wins replace of the ``urls`` table: each
+  batch writes its latest row per URL under its own number; ``current`` reads the table.
 * X4 ``progress_stream``  – one progress row per micro-batch.
 * X5 resume              – rerunning a query on the same checkpoint picks up
   only new files.
@@ -27,8 +27,10 @@ from sitelens.operators import fetch as FT
 from sitelens.operators import merge as M
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Files as they arrive; ``files_per_batch`` slices them into micro-batches (no limit by default)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def run_available(writer, checkpoint: str) -> None:
@@ -40,67 +42,57 @@ def run_available(writer, checkpoint: str) -> None:
 
 def dedupe_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url",
                   watermark: tuple[str, str] | None = None) -> None:
-    """Each key is emitted once, the first time it arrives."""
+    """The first record of each key is emitted, whole."""
     if watermark is not None:
         records = records.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
     else:
         records = records.dropDuplicates([key])
-    run_available(records.select(key).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    run_available(records.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
 
 
 def counts_stream(records: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Running counts; every micro-batch overwrites the materialised table."""
+    """Running counts. Each micro-batch appends the counts that changed under its own number (update
+    mode), so a retried batch replaces itself and no batch rewrites the others; ``current`` reads
+    the latest count of each key."""
     counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    run_available(counts.writeStream.outputMode("update").foreachBatch(_numbered(out)), checkpoint)
+
+
+def _numbered(out: str, change: Callable[[DataFrame], DataFrame] | None = None):
+    """A sink that writes each micro-batch to the partition of its number and to no other."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        rows = change(batch) if change is not None else batch
+        rows.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
 
-    run_available(counts.writeStream.outputMode("complete").foreachBatch(sink), checkpoint)
+    return sink
 
 
-def upsert_stream(records: DataFrame, out_base: str, checkpoint: str, key: str = "url",
-                  order_cols=("ts", "event_id"), prepare: Callable[[DataFrame], DataFrame] | None = None) -> list[str]:
-    """Keyed replace per micro-batch into versioned table folders.
+def current(spark: SparkSession, out: str, keys: list[str], order_cols: list[str] = ()) -> DataFrame:
+    """The table behind a numbered sink: for each key the row of its last batch (or greatest
+    ``order_cols``)."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    return M.latest_rows(rows, keys, [*order_cols, "batch_id"]).drop("batch_id")
 
-    Returns the written versions; the last one is the current table. (On a
-    lakehouse table format the same batch function is a single MERGE.)
-    """
-    versions: list[str] = _list_versions(records.sparkSession, out_base)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        b = prepare(batch) if prepare is not None else batch
-        b = M.latest_wins(b, key, list(order_cols))
-        spark = batch.sparkSession
-        if versions:
-            current = spark.read.parquet(versions[-1])
-            b = M.latest_wins(current.unionByName(b), key, list(order_cols))
-        path = os.path.join(out_base, f"v{batch_id:06d}")
-        b.write.mode("overwrite").parquet(path)
-        versions.append(path)
-
-    run_available(records.writeStream.foreachBatch(sink), checkpoint)
-    return versions
-
-
-def _list_versions(spark: SparkSession, base: str) -> list[str]:
-    """Existing table versions (a restarted query continues from the last one)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("v"))
-    return [os.path.join(base, n) for n in names]
+def upsert_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url",
+                  order_cols=("ts", "event_id"), prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Keyed replace, last write wins. A micro-batch reduces to its latest row per key and is
+    written under its number; ``current`` merges on reading."""
+
+    def change(batch: DataFrame) -> DataFrame:
+        return M.latest_wins(prepare(batch) if prepare is not None else batch, key, list(order_cols))
+
+    run_available(records.writeStream.foreachBatch(_numbered(out, change)), checkpoint)
 
 
 def progress_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url") -> None:
-    """Per micro-batch (batch_id, rows, distinct keys)."""
+    """Per micro-batch (batch_id, rows, distinct keys); a retried batch writes the same row again in place."""
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        row = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"))
-        row.select(F.lit(batch_id).cast("long").alias("batch_id"), "rows", "keys").write.mode("append").parquet(out)
+    def change(batch: DataFrame) -> DataFrame:
+        return batch.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"))
 
-    run_available(records.writeStream.foreachBatch(sink), checkpoint)
+    run_available(records.writeStream.foreachBatch(_numbered(out, change)), checkpoint)
 
 
 def html_latest(batch: DataFrame) -> DataFrame:

@@ -78,9 +78,9 @@ def test_statistics_approx_close_to_exact(spark):
         assert abs(exact[k] - approx[k]) <= max(3, 0.05 * exact[k])
 
 
-def test_bfs_deep_chain_compacts_levels(spark):
+def test_bfs_deep_chain(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "src string, dst string")
-    t = TR.traverse(edges, spark.createDataFrame([("n0",)], "url string"), max_depth=15, compact_after=3)
+    t = TR.traverse(edges, spark.createDataFrame([("n0",)], "url string"), max_depth=15)
     got = {r.url: r.depth for r in t.visited.collect()}
     assert got == {f"n{i}": i for i in range(16)}
     assert len(t.levels) <= 4 and t.sizes == [1] * 16

@@ -35,7 +35,11 @@ ROBOTS = [
     "User-agent: SitelensDesktop\nUser-agent: bot2\nDisallow:\n\nUser-agent: *\nDisallow: /\n",
     "User-agent: *\nDisallow: /a\nUser-agent: sitelensmobile\nDisallow: /b\n",
 ]
-PATHS = ["/", "/private/x", "/a/b/c", "/a/c", "/x1", "/y", "/after-blank", "/z", "/b", "/a"]
+ROBOTS += [
+    "User-agent: *\nDisallow: /a%3cd\nDisallow: /café\nDisallow: /a b\nAllow: /q?\nDisallow: /q\nDisallow: *\nDisallow: /100%\n",
+    "User-agent: *\nCrawl-delay: 5\nUser-agent: sitelensmobile\nDisallow: /y\nRequest-rate: 1/5\n\nUser-agent: x\nCrawl-delay: 3\n\nUser-agent: *\nDisallow: /z\n",
+]
+PATHS = ["/a%3Cd", "/a<d", "/a%3cd/x", "/caf%C3%A9", "/café/x", "/a%20b", "/a+b", "/q?k=1", "/q", "/100%25", "/100%", "/x?", "/y#", "/~u/*", "", "/", "/private/x", "/a/b/c", "/a/c", "/x1", "/y", "/after-blank", "/z", "/b", "/a"]
 
 
 def test_robots_matches_stdlib(spark):
@@ -58,6 +62,22 @@ ODD = ["#", "?", "x#", "x?", "x?#", "?#f", " /x", "\n/x", " https://x.com/", "/a
 BROKEN = ["http://[bad", "https://bad]", "//[bad/x", "https://[bad]/", "http://a[b]c/"]
 
 
+def test_many_robots_rules(spark):
+    import time
+
+    def seconds(n):
+        body = "User-agent: a\nDisallow: /\n\nUser-agent: *\n" + "".join(f"Disallow: /r{i}/\n" for i in range(n))
+        robots = spark.createDataFrame([("s.com", body)], "site string, body string")
+        urls = spark.createDataFrame([("s.com", f"https://s.com/r{n - 1}/x"), ("s.com", "https://s.com/x")], "site string, url string")
+        t = time.time()
+        both = RB.can_fetch_as(urls, robots, {"pc": "SitelensDesktop/1.0", "a": "a"}).orderBy("url").collect()
+        assert [(r.pc, r.a) for r in both] == [(False, False), (True, False)]
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(10_000) < 20
+
+
 def test_resolve_odd_references(spark):
     pairs = [(b, h) for b in [*BASES, "https://a.com/b?q", "HTTPS://A.com/b"] for h in ODD + BROKEN]
     got = spark.createDataFrame(pairs, "b string, h string").select("b", "h", resolve(F.col("b"), F.col("h")).alias("r")).collect()
