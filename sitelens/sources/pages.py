@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from sitelens.functions.urls import site_of
 from sitelens.session import table_path
 
+#: Session setting, unset by default: deal the page source to so many partitions. For a source that
+#: lies in fewer files or row groups than there are cores; a store of many files is read as it lies.
+PARTITIONS = "spark.sitelens.input.partitions"
+
 OPTIONAL_COLUMNS = {
     "status_code": "int",
     "content_type": "string",
@@ -37,6 +41,9 @@ def conform_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
     derived per page from its URL (a page store holding many sites).
     """
     df = pages
+    parts = df.sparkSession.conf.get(PARTITIONS, None)
+    if parts:
+        df = df.repartition(int(parts))
     if "site" not in df.columns:
         df = df.withColumn("site", F.lit(site) if site else site_of(F.col("url")))
     for name, dtype in OPTIONAL_COLUMNS.items():
