@@ -88,7 +88,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their places in sequences (operator 8)."""
     prepare(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(packing.tokenize(docs, "doc_id", "text", path, end_id=1, capacity=4096), capacity=4096)
+    # workers that served the earlier stages have less memory to spare than a fresh one
+    pieces = packing.tokenize(docs, "doc_id", "text", path, end_id=1, capacity=4096, words=250_000, pieces=250_000)
+    return packing.pack(pieces, capacity=4096)
 
 
 STAGES = [
