@@ -172,3 +172,71 @@ def merge_content_types(spark, sf_dir):
     return M.add_counts(hist(f.where(F.col("ts") < cut)), hist(f.where(F.col("ts") >= cut)), ["content_type"]).select(
         "content_type", F.col("n").cast("bigint").alias("n")
     )
+
+
+# The rows of both runs at once: what one run over all of them measures.
+MERGE_RECOMPUTE_SQL = f"""
+WITH {FETCH_CTE}, ok AS (SELECT * FROM f WHERE error_type IS NULL),
+st AS (SELECT site, avg(response_time) AS average_response_time, min(response_time) AS min_response_time,
+              max(response_time) AS max_response_time, sum(size)::DOUBLE AS total_data_downloaded, count(*)::DOUBLE AS total_urls_visited
+       FROM ok GROUP BY site)
+SELECT site, stat, round(value, 6) AS value
+FROM (UNPIVOT st ON average_response_time, min_response_time, max_response_time, total_data_downloaded, total_urls_visited INTO NAME stat VALUE value)
+"""
+
+
+@register("merge_statistics_recompute", MERGE_RECOMPUTE_SQL)
+def merge_statistics_recompute(spark, sf_dir):
+    """U9 (recompute): the merged statistics of two runs equal those of one run over all rows."""
+    f = FT.ok_rows(event_fetches(spark, sf_dir))
+    cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
+
+    def long(run):
+        t = FT.timing(run).join(run.groupBy("site").agg(F.count("*").alias("total_urls_visited")), "site")
+        cols = ["average_response_time", "min_response_time", "max_response_time", "total_data_downloaded", "total_urls_visited"]
+        arr = F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in cols])
+        return t.select("site", F.explode(arr).alias("p")).select("site", "p.stat", "p.value")
+
+    m = M.merge_statistics(long(f.where(F.col("ts") < cut)), long(f.where(F.col("ts") >= cut)), mode="recompute")
+    return m.select("site", "stat", F.round("value", 6).alias("value"))
+
+
+MERGE_PAGES_SQL = """
+SELECT 'https://www.shop.example.com/d/' || p_partkey AS url,
+       CASE WHEN p_partkey % 3 = 0 THEN 'New ' ELSE '' END || p_name || ' é&lt;→ A' AS title_text, 100 + p_partkey % 100 AS description_length
+FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0
+"""
+
+
+@register("merge_seo", MERGE_PAGES_SQL)
+def merge_seo(spark, sf_dir):
+    """U4: SEO facts of two runs by URL; pages of both runs keep the new facts (other titles)."""
+    from sitelens.operators import seo as SEO
+    from sitelens.plans.detail_plans import detail_pages
+
+    p = detail_pages(spark, sf_dir)
+    old = SEO.seo(p.where(F.col("page_id") % 2 == 0))
+    new = SEO.seo(p.where(F.col("page_id") % 3 == 0).withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))))
+    facts = ["url", "title_text", "description_length"]
+    return M.overwrite_by_key(old.select(*facts), new.select(*facts), ["url"])
+
+
+MERGE_PHONES_SQL = """
+SELECT 'shop.example.com' AS site, '(555) ' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '-0000' AS value FROM part WHERE p_partkey % 2 = 0
+UNION SELECT 'shop.example.com', '(555) ' || lpad((p_partkey % 500)::VARCHAR, 3, '0') || '-0000' FROM part WHERE p_partkey % 2 = 1
+"""
+
+
+@register("merge_phones", MERGE_PHONES_SQL)
+def merge_phones(spark, sf_dir):
+    """U2 on phone numbers found in two runs of pages."""
+    from sitelens.plans.detail_plans import detail_pages
+
+    p = detail_pages(spark, sf_dir)
+
+    def found(run, modulus):
+        number = F.concat(F.lit("<p>(555) "), F.lpad((F.col("page_id") % modulus).cast("string"), 3, "0"), F.lit("-0000</p>"))
+        return X.phones(run.withColumn("html", number)).select("site", F.col("phone").alias("value"))
+
+    old, new = found(p.where("page_id % 2 = 0"), 1000), found(p.where("page_id % 2 = 1"), 500)
+    return M.union_sets(old.distinct(), new, "value")

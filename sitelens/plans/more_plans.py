@@ -10,6 +10,7 @@ from sitelens.operators import merge as M
 from sitelens.operators import traverse as TR
 from sitelens.plans.compose import FILE_SAMPLES, SHOP, SOCIAL_SAMPLES, part_pages, tree_pages
 from sitelens.plans.registry import register
+from sitelens.sources.pages import conform_pages
 
 CRAWL_SQL = f"""
 SELECT '{SHOP}/t/' || p_partkey || '/index.html' AS url, CAST(floor(log2(p_partkey + 1)) AS INTEGER) AS depth, p_partkey AS page_id
@@ -27,6 +28,30 @@ def crawl_site(spark, sf_dir):
     return results.select("url", F.col("depth").cast("int").alias("depth"), "page_id")
 
 
+CRAWL_STATS_SQL = """
+SELECT 'shop.example.com' AS site, 1 + count(*) AS total_urls_visited, 1 + 2 * count(*) AS total_endpoints_found,
+       1 AS total_subdomains_found, count(*) FILTER (WHERE p_partkey >= 3) AS peak_queue_size
+FROM part WHERE p_partkey <= 6
+"""
+
+
+@register("crawl_statistics", CRAWL_STATS_SQL)
+def crawl_statistics(spark, sf_dir):
+    """Domain → subdomains → seeds → crawl to depth 3 → statistics. The stored front page of the found
+    subdomain leads to the page tree; the bare domain is visited but not stored."""
+    one = spark.range(1)
+    front = conform_pages(one.select(
+        F.lit(-1).cast("long").alias("page_id"), F.lit(SHOP).alias("url"),
+        F.lit('<a href="/t/0/index.html">start</a>').alias("html"), F.lit("text/html").alias("content_type"), F.lit(200).alias("status_code"),
+    ))
+    pages = tree_pages(spark, sf_dir).unionByName(front)
+    domains = one.select(F.lit("shop.example.com").alias("site"))
+    dns = one.select(F.lit("www.shop.example.com").alias("name"), F.lit("10.0.0.1").alias("ip"), F.lit(0).alias("pos"))
+    _, stats, _ = TR.crawl_domains(pages, domains, dns, max_depth=3)
+    names = ["total_urls_visited", "total_endpoints_found", "total_subdomains_found", "peak_queue_size"]
+    return stats.select("site", *[F.col(c).cast("long").alias(c) for c in names])
+
+
 def _files_sql() -> str:
     types = " ".join(f"WHEN {i} THEN {repr(t) if t else 'NULL'}" for i, (_, t) in enumerate(FILE_SAMPLES))
     cases = " ".join(f"WHEN {i} THEN '{s}'" for i, (s, _) in enumerate(FILE_SAMPLES))

@@ -96,16 +96,21 @@ ROLLUP_SQL = f"""
 WITH {OUTCOME_CTE}
 SELECT count(*) FILTER (WHERE success) AS completed, count(*) FILTER (WHERE NOT success) AS failed,
        round(avg(seconds) FILTER (WHERE success), 3) AS avg_seconds, round(min(seconds) FILTER (WHERE success), 3) AS min_seconds,
-       round(max(seconds) FILTER (WHERE success), 3) AS max_seconds
+       round(max(seconds) FILTER (WHERE success), 3) AS max_seconds,
+       (SELECT count(*) FROM customer WHERE 'u' || c_custkey || '.example.com' NOT IN (SELECT domain FROM o WHERE success)) AS remaining
 FROM o
 """
 
 
 @register("batch_rollup", ROLLUP_SQL)
 def batch_rollup(spark, sf_dir):
-    """Completed / failed domains and completed crawl seconds."""
-    r = QU.batch_rollup(_outcomes(spark, sf_dir))
-    return r.select("completed", "failed", *[F.round(c, 3).alias(c) for c in ("avg_seconds", "min_seconds", "max_seconds")])
+    """Completed / failed domains, completed crawl seconds, and what remains of a queue of one domain per customer."""
+    k = F.col("c_custkey")
+    queue = read_table(spark, sf_dir, "customer").select(
+        k.cast("long").alias("pos"), F.concat(F.lit("u"), k.cast("string"), F.lit(".example.com")).alias("domain")
+    )
+    r = QU.batch_rollup(_outcomes(spark, sf_dir), queue)
+    return r.select("completed", "failed", "remaining", *[F.round(c, 3).alias(c) for c in ("avg_seconds", "min_seconds", "max_seconds")])
 
 
 SLOW_SQL = f"""

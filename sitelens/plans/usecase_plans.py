@@ -8,6 +8,7 @@ from sitelens.functions.lookups import API_PATTERN, EMAIL_PATTERN, FILE_EXTENSIO
 from sitelens.operators import extract as X
 from sitelens.operators import fetch as FT
 from sitelens.operators import keywords as K
+from sitelens.operators import linkgraph as LG
 from sitelens.operators import merge as M
 from sitelens.operators import stats as ST
 from sitelens.operators.seo import seo
@@ -62,30 +63,37 @@ def site_statistics(spark, sf_dir):
 
 BROKEN_SQL = f"""
 WITH {FETCH_CTE},
-l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) = 1)
-SELECT url, status_code, error_type FROM l WHERE status_code >= 400 OR error_type IS NOT NULL
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) = 1),
+links AS (SELECT '/p/' || p_partkey AS source,
+                 'https://site' || (p_partkey % 5) || '.example.com/u/' || (p_partkey % 400) AS target FROM part)
+SELECT source, target, status_code, error_type,
+       CASE WHEN url IS NULL THEN 'missing' WHEN error_type IS NOT NULL THEN 'error' ELSE 'status' END AS reason
+FROM links LEFT JOIN l ON url = target WHERE url IS NULL OR error_type IS NOT NULL OR status_code >= 400
 """
 
 
 @register("broken_links", BROKEN_SQL)
 def broken_links(spark, sf_dir):
-    """URLs whose latest fetch failed or returned an error status."""
-    f = event_fetches(spark, sf_dir)
-    latest = M.latest_wins(f, "url", ["ts", "event_id"])
-    return latest.where((F.col("status_code") >= 400) | F.col("error_type").isNotNull()).select("url", "status_code", "error_type")
+    """Links whose target was never fetched, or whose latest fetch failed or has an error status."""
+    k = F.col("p_partkey")
+    links = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("/p/"), k.cast("string")).alias("source"),
+        F.concat(F.lit("https://site"), (k % 5).cast("string"), F.lit(".example.com/u/"), (k % 400).cast("string")).alias("target"),
+    )
+    return LG.broken_links(links, M.latest_wins(event_fetches(spark, sf_dir), "url", ["ts", "event_id"]))
 
 
 DEGREE_SQL = f"""
-WITH ep AS ({EP_SQL})
-SELECT endpoint, count(DISTINCT page_id) AS in_degree FROM ep WHERE in_scope GROUP BY endpoint
+WITH ep AS ({EP_SQL}), l AS (SELECT p.url, endpoint FROM ep JOIN pages p USING (page_id) WHERE in_scope),
+i AS (SELECT endpoint AS url, count(*) AS n FROM l GROUP BY 1), o AS (SELECT url, count(*) AS n FROM l GROUP BY 1)
+SELECT url, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM i FULL JOIN o USING (url)
 """
 
 
 @register("link_degrees", DEGREE_SQL)
 def link_degrees(spark, sf_dir):
-    """In-degree of every internal endpoint (pages linking to it)."""
-    e = X.endpoints(load_pages(spark, sf_dir)).where("in_scope")
-    return e.groupBy("endpoint").agg(F.count_distinct("page_id").alias("in_degree"))
+    """In- and out-degree over the internal links."""
+    return LG.degrees(X.endpoints(load_pages(spark, sf_dir)).where("in_scope"))
 
 
 MOBILE_SQL = """
