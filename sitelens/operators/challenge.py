@@ -26,7 +26,7 @@ def is_challenge(status: Column, html: Column) -> Column:
 def provider(html: Column) -> Column:
     low = F.lower(F.coalesce(html, F.lit("")))
     return (
-        F.when(low.contains("recaptcha") | low.contains("g-recaptcha"), F.lit("recaptcha"))
+        F.when(low.contains("recaptcha"), F.lit("recaptcha"))
         .when(low.contains("hcaptcha") | low.contains("h-captcha"), F.lit("hcaptcha"))
         .when(low.contains("cloudflare"), F.lit("cloudflare"))
     )
