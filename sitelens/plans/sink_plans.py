@@ -6,11 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from sitelens.functions.lookups import FILE_EXTENSIONS
 from sitelens.operators import extract as X
+from sitelens.operators import fetch as FT
 from sitelens.operators import keywords as K
 from sitelens.operators import stats as ST
 from sitelens.plans import sqlparts as S
 from sitelens.plans.extract_plans import EP_SQL, LINKS_SQL, META_SQL, TECH_SQL
+from sitelens.plans.compose import FILE_SAMPLES, SHOP, part_pages
+from sitelens.plans.fetch_plans import FETCH_CTE, event_fetches
 from sitelens.plans.keyword_plans import PAGE_TOP_SQL, SITE_TOP_SQL
 from sitelens.plans.registry import register
 from sitelens.sinks import writers as W
@@ -87,10 +91,103 @@ def report_lines(spark, sf_dir):
     stats = ST.site_statistics(p)
     arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("stat"), F.col(c).cast("bigint").alias("value")) for i, c in enumerate(INT_STATS)])
     long = stats.select("site", F.explode(arr).alias("s")).select("site", "s.ord", "s.stat", "s.value")
-    lines = W.report_lines(long, K.site_top_keywords(p, 100), X.emails(p), p.limit(0).select("site", F.lit("").alias("subdomain")))
+    lines = W.report_lines(long, K.site_top_keywords(p, 100), {"Emails": X.emails(p).select("site", F.col("email").alias("value"))})
     path = W.scratch_path(spark, "reports")
     W.write_report(lines, path)
-    return spark.read.text(path).select("output_name", F.col("value").alias("line"))
+    back = spark.read.text(path).select("output_name", F.col("value").alias("line"))
+    # titles and headers are compared by ``report_sections``
+    return back.where(F.col("line").startswith("  "))
+
+
+SECTIONS_SQL = f"""
+WITH f AS (SELECT p_partkey AS k, CASE p_partkey % 10 {" ".join(f"WHEN {i} THEN {repr(t) if t else 'NULL'}" for i, (_, t) in enumerate(FILE_SAMPLES))} END AS t,
+                  '{SHOP}/p/docs/' || p_partkey || CASE p_partkey % 10 {" ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(FILE_SAMPLES))} END AS path FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY k) AS rank FROM f WHERE t IS NOT NULL),
+place(t, p) AS (VALUES {", ".join(f"('{e[1:]}', {100 * (i + 1)})" for i, e in enumerate(FILE_EXTENSIONS))}),
+api AS (SELECT DISTINCT '/api/v1/items/' || p_partkey AS v FROM part),
+l AS (
+  SELECT 0 AS section, 0 AS ord, 'Crawl report: shop.example.com' AS line UNION ALL SELECT 0, 1, 'Generated: 2026-01-01T00:00:00'
+  UNION ALL SELECT 1, -1, 'Statistics:' UNION ALL SELECT 1, 0, '  Total Urls Visited: ' || count(*) FROM part
+  UNION ALL SELECT 8, -1, 'API Endpoints (' || count(*) || '):' FROM api UNION ALL SELECT 8, 0, '  - ' || v FROM api
+  UNION ALL SELECT 7, -1, 'Files (' || count(*) || '):' FROM r
+  UNION ALL SELECT 7, p, '  ' || upper(r.t) || ' (' || count(*) || '):' FROM r JOIN place ON place.t = r.t GROUP BY r.t, p
+  UNION ALL SELECT 7, p + rank, '    - ' || path FROM r JOIN place ON place.t = r.t WHERE rank <= 20)
+SELECT row_number() OVER (ORDER BY section, ord, line) AS n, line FROM l
+"""
+
+
+@register("report_sections", SECTIONS_SQL)
+def report_sections(spark, sf_dir):
+    """A report with header, titles, counts, files and API endpoints; its lines in the order they were written."""
+    from sitelens.sources.queue import load_lines
+
+    p = part_pages(spark, sf_dir)
+    long = p.groupBy("site").agg(F.count("*").alias("value")).select(
+        "site", F.lit(0).cast("long").alias("ord"), F.lit("total_urls_visited").alias("stat"), "value"
+    )
+    none = spark.createDataFrame([], "site string, keyword string, frequency long, rank int")
+    api = X.api_endpoints(p).select("site", F.col("api").alias("value"))
+    lines = W.report_lines(long, none, {"API Endpoints": api}, X.files(p), timestamp="2026-01-01T00:00:00")
+    path = W.scratch_path(spark, "report-sections")
+    W.write_report(lines, path)
+    return load_lines(spark, path).select(F.col("pos").alias("n"), F.col("value").alias("line"))
+
+
+DOCUMENT_SQL = f"""
+WITH {FETCH_CTE}, ok AS (SELECT * FROM f WHERE error_type IS NULL),
+u AS (SELECT site, url, status_code, row_number() OVER (PARTITION BY site ORDER BY ts, url, event_id) AS r FROM ok),
+t AS (SELECT * FROM u WHERE r <= 500)
+SELECT site, 'http_status_codes' AS section, status_code::VARCHAR AS item, count(*)::VARCHAR AS value FROM ok GROUP BY ALL
+UNION ALL SELECT site, 'errors', error_type, count(*)::VARCHAR FROM f WHERE error_type IS NOT NULL GROUP BY ALL
+UNION ALL SELECT site, 'content_types', split_part(content_type, ';', 1), count(*)::VARCHAR FROM ok GROUP BY ALL
+UNION ALL SELECT site, 'url_details', r::VARCHAR, url || ' ' || status_code FROM t
+UNION ALL SELECT site, 'urls', row_number() OVER (PARTITION BY site ORDER BY url)::VARCHAR, url FROM (SELECT DISTINCT site, url FROM ok)
+UNION ALL SELECT DISTINCT site, 'run', 'sitelens pc', '2026-01-01T00:00:00' FROM f
+"""
+
+
+@register("result_document", DOCUMENT_SQL)
+def result_document(spark, sf_dir):
+    """Result documents with histograms, sorted lists and the first 500 URL rows,
+    written as JSON, read back and compared item by item."""
+    f = event_fetches(spark, sf_dir)
+    ok = FT.ok_rows(f)
+    hist = lambda df, c: df.groupBy("site", c.alias("key")).agg(F.count("*").alias("n"))
+    base = W.result_document(f.groupBy("site").agg(F.count("*").alias("total_urls_visited")),
+                             spark.createDataFrame([], "site string, rank int, keyword string, frequency long"), {})
+    doc = W.full_document(
+        base.drop("top_keywords"),
+        maps={
+            "http_status_codes": hist(ok, F.col("status_code")),
+            "errors": hist(f.where(F.col("error_type").isNotNull()), F.col("error_type")),
+            "content_types": hist(ok, FT.content_type_base(F.col("content_type"))),
+        },
+        lists={"urls": ok.select("site", F.col("url").alias("value"))},
+        tables={"url_details": (ok.select("site", "ts", "url", "event_id", "status_code"), ["ts", "url", "event_id"], 500)},
+        crawler_name="sitelens", timestamp="2026-01-01T00:00:00",
+    )
+    path = W.scratch_path(spark, "full-documents")
+    W.write_document(doc, path)
+    schema = ", ".join([
+        "target_domain string, crawler_mode string, crawler_name string, timestamp string, urls array<string>",
+        *[f"{m} map<string,bigint>" for m in ("http_status_codes", "errors", "content_types")],
+        "url_details array<struct<url:string,status_code:int>>",
+    ])
+    back = W.read_document(spark, path, schema)
+    item = lambda s, i, v: F.struct(F.lit(s).alias("section"), i.cast("string").alias("item"), v.cast("string").alias("value"))
+    none = F.array().cast("array<struct<section:string,item:string,value:string>>")
+    parts = [
+        *[F.coalesce(_entries(m, item), none) for m in ("http_status_codes", "errors", "content_types")],
+        F.coalesce(F.transform("url_details", lambda x, i: item("url_details", i + 1, F.concat_ws(" ", x["url"], x["status_code"]))), none),
+        F.coalesce(F.transform("urls", lambda x, i: item("urls", i + 1, x)), none),
+        F.array(item("run", F.concat_ws(" ", "crawler_name", "crawler_mode"), F.col("timestamp"))),
+    ]
+    rows = back.select(F.col("target_domain").alias("site"), F.explode(F.concat(*parts)).alias("x"))
+    return rows.select("site", "x.section", "x.item", "x.value")
+
+
+def _entries(name: str, item):
+    return F.transform(F.map_entries(name), lambda e: item(name, e["key"], e["value"]))
 
 
 CSV_SQL = f"""

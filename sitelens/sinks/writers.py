@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions.lookups import FILE_EXTENSIONS
 from sitelens.session import ensure_checkpoint_dir
 
 # FIXED VALUES: header of the URL CSV.
@@ -57,6 +58,33 @@ def result_document(stats: DataFrame, top_keywords: DataFrame, bounded_sets: dic
     )
 
 
+def full_document(doc: DataFrame, maps: dict[str, DataFrame], lists: dict[str, DataFrame],
+                  tables: dict[str, tuple[DataFrame, list[str], int]], crawler_name: str, timestamp: str) -> DataFrame:
+    """S4 with its other bounded sections, joined to ``result_document`` rows by site:
+
+    * ``maps``: (site, key, n) histograms such as status codes, errors and content types, in key order (T7);
+    * ``lists``: (site, value) sorted distinct values, such as enumerated subdomains (T8);
+    * ``tables``: the first so many rows by the order given, such as 100 SEO rows and 500 URL rows (T4).
+
+    Histograms have a row per distinct key and tables a limit, so every section of a site is small."""
+    out = doc.withColumns({"crawler_name": F.lit(crawler_name), "timestamp": F.lit(timestamp)})
+    sections = {}
+    for name, df in maps.items():
+        entries = F.sort_array(F.collect_list(F.struct(F.col("key").cast("string").alias("key"), F.col("n").cast("bigint").alias("n"))))
+        sections[name] = df.groupBy("site").agg(F.map_from_entries(entries).alias(name))
+    for name, df in lists.items():
+        sections[name] = df.groupBy("site").agg(F.sort_array(F.collect_set("value")).alias(name))
+    for name, (df, order, limit) in tables.items():
+        rank = F.row_number().over(Window.partitionBy("site").orderBy(*order))
+        first = df.withColumn("_r", rank).where(F.col("_r") <= limit)
+        item = F.struct("_r", *[c for c in df.columns if c != "site"])
+        rows = F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("_r"))
+        sections[name] = first.groupBy("site").agg(rows.alias(name))
+    for name, df in sections.items():
+        out = out.join(df.withColumnRenamed("site", "target_domain"), "target_domain", "left")
+    return out
+
+
 def write_document(doc: DataFrame, path: str, sections: dict[str, DataFrame] | None = None) -> None:
     """S4 + S15: the bounded document per domain under ``document/``, and every
     unbounded section as JSON lines under ``<section>/``, all partitioned by the
@@ -83,38 +111,70 @@ def read_document(spark: SparkSession, path: str, schema: str, section: str = "d
 
 # ---- S5: report lines ----------------------------------------------------------
 
-def report_lines(stats_long: DataFrame, top_keywords: DataFrame, emails: DataFrame, subdomains: DataFrame) -> DataFrame:
-    """(site, section, ord, line) rows; a report is these lines in
-    (section, ord, line) order. Sorted lists (subdomains, e-mails) use ord 0 and
-    sort by the line itself, so no per-site window is needed."""
-    def title(stat):
-        return F.initcap(F.replace(stat, F.lit("_"), F.lit(" ")))
-
-    stat_lines = stats_long.select(
-        "site", F.lit(1).alias("section"), F.col("ord").cast("long").alias("ord"),
-        F.concat(F.lit("  "), title(F.col("stat")), F.lit(": "), F.col("value").cast("string")).alias("line"),
-    )
-    sub_lines = subdomains.select(
-        "site", F.lit(2).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("  - "), F.col("subdomain")).alias("line")
-    )
-    kw_lines = top_keywords.where(F.col("rank") <= 50).select(
-        "site", F.lit(3).alias("section"), F.col("rank").cast("long").alias("ord"),
-        F.concat(F.lit("  "), F.col("keyword"), F.lit(": "), F.col("frequency").cast("string")).alias("line"),
-    )
-    em_lines = emails.select("site", "email").distinct().select(
-        "site", F.lit(5).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("  - "), F.col("email")).alias("line")
-    )
-    return stat_lines.unionByName(sub_lines).unionByName(kw_lines).unionByName(em_lines)
+#: Sections of a report in order; the statistics have no count in their title.
+REPORT_SECTIONS = ["Statistics", "Subdomains", "Top Keywords", "Technologies", "Emails", "Social Media", "Files", "API Endpoints"]
+
+
+def report_lines(stats_long: DataFrame, top_keywords: DataFrame, lists: dict[str, DataFrame], files: DataFrame | None = None,
+                 timestamp: str = "") -> DataFrame:
+    """(site, section, ord, line) rows; a report is these lines in (section, ord, line) order.
+
+    Section 0 is the header, then come the sections of ``REPORT_SECTIONS``, each with its title (and count)
+    first: statistics, ``lists`` of (site, value) by section name, the first 50 keywords, and per file type its
+    count and first 20 files by position. Sorted lists use one ``ord`` and sort by the line itself, so no
+    per-site window is needed."""
+    number = {name: i for i, name in enumerate(REPORT_SECTIONS, 1)}
+
+    def rows(df: DataFrame, section: int, order, line) -> DataFrame:
+        return df.select("site", F.lit(section).alias("section"), order.cast("long").alias("ord"), line.alias("line"))
+
+    def titled(df: DataFrame, name: str, order, line) -> list[DataFrame]:
+        heads = df.groupBy("site").agg(F.count("*").alias("n"))
+        title = F.concat(F.lit(f"{name} ("), F.col("n").cast("string"), F.lit("):"))
+        return [rows(heads, number[name], F.lit(-1), title), rows(df, number[name], order, line)]
+
+    named = F.initcap(F.replace(F.col("stat"), F.lit("_"), F.lit(" ")))
+    sites = stats_long.select("site").distinct()
+    parts = [
+        rows(sites, 0, F.lit(0), F.concat(F.lit("Crawl report: "), F.col("site"))),
+        rows(sites, 0, F.lit(1), F.lit(f"Generated: {timestamp}")),
+        rows(sites, 1, F.lit(-1), F.lit("Statistics:")),
+        rows(stats_long, 1, F.col("ord"), F.concat(F.lit("  "), named, F.lit(": "), F.col("value").cast("string"))),
+        *titled(top_keywords.where(F.col("rank") <= 50), "Top Keywords", F.col("rank"),
+                F.concat(F.lit("  "), F.col("keyword"), F.lit(": "), F.col("frequency").cast("string"))),
+    ]
+    for name, df in lists.items():
+        parts += titled(df.select("site", "value").distinct(), name, F.lit(0), F.concat(F.lit("  - "), F.col("value")))
+    if files is not None:
+        kinds = files.groupBy("site", "file_type").agg(F.count("*").alias("n"))
+        order = Window.partitionBy("site", "file_type").orderBy("page_id", "seq")
+        first = files.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 20)
+        kind_line = F.concat(F.lit("  "), F.upper("file_type"), F.lit(" ("), F.col("n").cast("string"), F.lit("):"))
+        # one block of lines a type: ord is the type's place in the list of extensions
+        place = lambda c: 100 * F.array_position(F.array(*[F.lit(e[1:]) for e in FILE_EXTENSIONS]), c)
+        total = files.groupBy("site").agg(F.count("*").alias("n"))
+        parts += [
+            rows(total, number["Files"], F.lit(-1), F.concat(F.lit("Files ("), F.col("n").cast("string"), F.lit("):"))),
+            rows(kinds, number["Files"], place(F.col("file_type")), kind_line),
+            rows(first, number["Files"], place(F.col("file_type")) + F.col("_r"), F.concat(F.lit("    - "), F.col("file_path"))),
+        ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def write_report(lines: DataFrame, path: str, files: int | None = None) -> None:
-    """One text report per domain. Range partitioning on (site, section,
+    """One text report per domain. Range partitioning on (name, section,
     ord, line) keeps every part file in report order, and a large site spans
     several files instead of one task."""
     n = files or lines.sparkSession.sparkContext.defaultParallelism
-    keys = ["site", "section", "ord", "line"]
-    out = lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    out.select(output_name(F.col("site")).alias("output_name"), "line").write.mode("overwrite").partitionBy("output_name").text(path)
+    # the rows are sorted by the column that names their folder: the writer would otherwise sort
+    # them by it once more, and that sort does not keep the order of a report
+    keys = ["output_name", "section", "ord", "line"]
+    named = lines.withColumn("output_name", output_name(F.col("site")))
+    out = named.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    out.select("output_name", "line").write.mode("overwrite").partitionBy("output_name").text(path)
 
 
 # ---- S6: URL CSV -----------------------------------------------------------------

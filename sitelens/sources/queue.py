@@ -37,6 +37,12 @@ def number_rows(df: DataFrame, order_cols: list[str], start: int = 1, name: str
     return numbered.select((place + F.col("_before") + F.lit(start)).cast("long").alias(name), *cols)
 
 
+def load_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, value): the lines of a text folder in the order of its part files."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_m"), "value")
+    return number_rows(lines, ["_f", "_m"]).select("pos", "value")
+
+
 def load_queue(spark: SparkSession, path: str) -> DataFrame:
     """One domain per line, trimmed; blank and '#' lines dropped; a missing
     file is an empty queue."""
