@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitelens.functions.lookups import SUBDOMAIN_LABELS
+from sitelens.functions.text import let
 
 SCHEME_RE = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 ORIGIN_RE = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
@@ -89,52 +90,72 @@ def resolve(base: Column, href: Column) -> Column:
     is relative; one with another scheme stays as it was written; NULL where the host
     cannot be parsed. Trailing slashes are kept (no normalisation).
     """
-    scheme_of = lambda u: F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
-    scheme, bnet = scheme_of(base), netloc(base)
-    bpath = F.regexp_extract(base, PATH_RE, 1)
-    bquery = F.regexp_extract(base, r"^[^?#]*\?([^#]*)", 1)
+    def scheme_of(u: Column) -> Column:
+        return F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
+
+    base_parts = F.struct(
+        scheme_of(base).alias("scheme"), netloc(base).alias("net"), F.regexp_extract(base, PATH_RE, 1).alias("path"),
+        F.regexp_extract(base, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+    )
     clean = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
-    hscheme = scheme_of(clean)
-    other = (hscheme != "") & (hscheme != scheme)
-    rel = F.when(hscheme == "", clean).otherwise(F.substring(clean, F.length(hscheme) + 2, 1 << 30))
-    net = F.regexp_extract(rel, r"^//([^/?#]*)", 1)
-    rest = F.regexp_replace(rel, r"^//[^/?#]*", "")
-    hpath = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    hquery = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(rest, r"(?s)^[^#]*#(.*)$", 1)
+
+    def without_scheme(c: Column) -> Column:
+        return let(scheme_of(c), lambda s: F.struct(
+            s.alias("scheme"), F.when(s == "", c).otherwise(F.substring(c, F.length(s) + 2, 1 << 30)).alias("rel")
+        ))
+
+    def split(u: Column) -> Column:
+        rest = F.regexp_replace(u["rel"], r"^//[^/?#]*", "")
+        return let(rest, lambda r: F.struct(
+            u["scheme"].alias("scheme"), F.regexp_extract(u["rel"], r"^//([^/?#]*)", 1).alias("net"),
+            F.regexp_extract(r, r"^([^?#]*)", 1).alias("path"), F.regexp_extract(r, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+            F.regexp_extract(r, r"(?s)^[^#]*#(.*)$", 1).alias("fragment"),
+        ))
+
+    # Each part is bound once: the plan stays small and no regex runs twice.
+    joined = let(base_parts, lambda b: let(clean, lambda c: let(without_scheme(c), lambda u: let(split(u), lambda h: _join(b, h)))))
+    return F.when(href == "", base).otherwise(let(joined, lambda j: F.when(j == OTHER_SCHEME, href).otherwise(j)))
+
+
+OTHER_SCHEME = "\x00"  # no URL: a reference that is kept as it was written
+
+
+def _join(b: Column, h: Column) -> Column:
+    """A reference's parts joined to its base's."""
 
     def tail(query: Column) -> Column:
         return F.concat(
             F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-            F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
+            F.when(h["fragment"] != "", F.concat(F.lit("#"), h["fragment"])).otherwise(F.lit("")),
         )
 
-    origin = F.concat(scheme, F.lit("://"), bnet)
+    origin = F.concat(b["scheme"], F.lit("://"), b["net"])
     # Relative path: base directory + href path. The segment fold (empty middle
     # segments dropped, dot segments resolved) runs only when the joined path
     # has a dot segment or an empty segment; otherwise plain concatenation is exact.
-    bdir = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*/|/)?", 1)
-    joined = F.concat(F.when(bdir == "", F.lit("/")).otherwise(bdir), hpath)
-    bsegs = F.split(bpath, "/")
-    bdir_segs = F.when(F.element_at(bsegs, -1) != "", F.slice(bsegs, 1, F.greatest(F.size(bsegs) - 1, F.lit(0)))).otherwise(bsegs)
-    allsegs = F.concat(bdir_segs, F.split(hpath, "/"))
-    n = F.size(allsegs)
-    middle = F.filter(F.slice(allsegs, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    merged = F.when(n <= 2, allsegs).otherwise(
-        F.concat(F.slice(allsegs, 1, 1), middle, F.slice(allsegs, -1, 1))
-    )
-    relative = F.when(joined.rlike(r"(^|/)\.\.?(/|$)|//"), _remove_dots(merged)).otherwise(joined)
-    needs_fold_abs = hpath.rlike(r"(^|/)\.\.?(/|$)")
-    rooted = F.when(needs_fold_abs, _remove_dots(F.split(hpath, "/"))).otherwise(hpath)
+    bdir = F.regexp_extract(b["path"], r"^(/.*/|/)?", 1)
+
+    def folded(hpath: Column) -> Column:
+        bsegs = F.split(b["path"], "/")
+        bdir_segs = F.when(F.element_at(bsegs, -1) != "", F.slice(bsegs, 1, F.greatest(F.size(bsegs) - 1, F.lit(0)))).otherwise(bsegs)
+
+        def merged(segments: Column) -> Column:
+            n = F.size(segments)
+            middle = F.filter(F.slice(segments, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
+            return F.when(n <= 2, segments).otherwise(F.concat(F.slice(segments, 1, 1), middle, F.slice(segments, -1, 1)))
+
+        return let(let(F.concat(bdir_segs, F.split(hpath, "/")), merged), _remove_dots)
 
+    plain = F.concat(F.when(bdir == "", F.lit("/")).otherwise(bdir), h["path"])
+    relative = let(plain, lambda j: F.when(j.rlike(r"(^|/)\.\.?(/|$)|//"), folded(h["path"])).otherwise(j))
+    rooted = F.when(h["path"].rlike(r"(^|/)\.\.?(/|$)"), let(F.split(h["path"], "/"), _remove_dots)).otherwise(h["path"])
     return (
-        F.when(href.isNull() | _bad_netloc(net), F.lit(None).cast("string"))
-        .when(href == "", base)
-        .when(other, href)
-        .when(net != "", F.concat(scheme, F.lit("://"), net, hpath, tail(hquery)))
-        .when(hpath == "", F.concat(origin, bpath, tail(F.when(hquery != "", hquery).otherwise(bquery))))
-        .when(hpath.startswith("/"), F.concat(origin, rooted, tail(hquery)))
-        .otherwise(F.concat(origin, relative, tail(hquery)))
+        F.when(_bad_netloc(h["net"]), F.lit(None).cast("string"))
+        .when((h["scheme"] != "") & (h["scheme"] != b["scheme"]), F.lit(OTHER_SCHEME))
+        .when(h["net"] != "", F.concat(b["scheme"], F.lit("://"), h["net"], h["path"], tail(h["query"])))
+        .when(h["path"] == "", F.concat(origin, b["path"], tail(F.when(h["query"] != "", h["query"]).otherwise(b["query"]))))
+        .when(h["path"].startswith("/"), F.concat(origin, rooted, tail(h["query"])))
+        .otherwise(F.concat(origin, relative, tail(h["query"])))
     )
 
 
