@@ -4,8 +4,8 @@ One Spark job per level (at most ``max_depth`` + 1 levels):
 
     frontier ⋈ edges (on src)  →  distinct targets  →  anti-join the visited levels
 
-The distinct edges and each level are written below the shared checkpoint folder, so
-plans stay flat, a lost executor costs a re-read, and Spark plans every level's
+The distinct edges are written once below the shared checkpoint folder, and each level is a folder of
+one visited table, so plans stay flat, a lost executor costs a re-read, and Spark plans every level's
 joins from measured sizes: a small frontier is broadcast, otherwise a hub page's edges
 are split. Duplicate links are removed before edges are shuffled. The driver only sees
 per-level row counts; no URL is collected.
@@ -15,30 +15,41 @@ Depth is the exact BFS minimum (the threaded original only approximates it).
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.session import written
+from sitelens.session import ensure_checkpoint_dir, written
 
 
 @dataclass
 class Traversal:
-    levels: list[DataFrame] = field(default_factory=list)   # (url, depth) per level, disjoint
-    sizes: list[int] = field(default_factory=list)          # frontier rows per level
+    """The visited set, one table that grows by a folder a level, and the frontier's size at each level."""
+
+    spark: SparkSession
+    path: str
+    sizes: list[int] = field(default_factory=list)
 
     @property
     def visited(self) -> DataFrame:
-        out = self.levels[0]
-        for lv in self.levels[1:]:
-            out = out.unionByName(lv)
-        return out
+        """(url, depth) of all levels."""
+        return self.spark.read.schema("url string, depth int").parquet(self.path)
 
     @property
     def peak_frontier(self) -> int:
         return max(self.sizes) if self.sizes else 0
 
+    def add(self, urls: DataFrame) -> DataFrame:
+        """Write ``urls(url)`` as the next level and return it, read back."""
+        level = os.path.join(self.path, f"depth={len(self.sizes)}")
+        urls.select("url").write.parquet(level)
+        frontier = self.spark.read.schema("url string").parquet(level)
+        self.sizes.append(frontier.count())
+        return frontier
+
 
 def prepare_edges(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst), written once. Equal links are reduced before the shuffle, and the
@@ -58,17 +69,15 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable:
         edges = edges.join(expandable.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
         prepared = False
     e = edges if prepared else prepare_edges(edges)
-    frontier = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
-    t = Traversal([frontier], [frontier.count()])
-    for d in range(max_depth):
+    spark = e.sparkSession
+    t = Traversal(spark, os.path.join(ensure_checkpoint_dir(spark), f"sitelens-visited-{uuid.uuid4().hex}"))
+    frontier = t.add(seeds.select("url").distinct())
+    for _ in range(max_depth):
         cand = frontier.join(e, frontier["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
-        cand = cand.join(t.visited.select("url"), "url", "left_anti")  # J1: candidates − visited
-        frontier = written(cand.withColumn("depth", F.lit(d + 1)), "level")
-        n = frontier.count()
-        if n == 0:
+        frontier = t.add(cand.join(t.visited.select("url"), "url", "left_anti"))  # J1: candidates − visited
+        if t.sizes[-1] == 0:
+            t.sizes.pop()
             break
-        t.levels.append(frontier)
-        t.sizes.append(n)
     return t
 
 
