@@ -76,6 +76,24 @@ def queue_listing(spark, sf_dir):
     return QU.listing(q.where(F.col("pos") % 3 != 0))
 
 
+@register("queue_saved", """
+WITH l AS (SELECT -2 AS p, '# Crawl queue - domains to process' AS line UNION ALL SELECT -1, '# Format: domain'
+           UNION ALL SELECT c_custkey, 'u' || c_custkey || '.example.com' FROM customer)
+SELECT row_number() OVER (ORDER BY p) AS n, line FROM l
+""")
+def queue_saved(spark, sf_dir):
+    """A queue of one domain per customer, saved and read back line by line."""
+    from sitelens.sinks.writers import scratch_path, write_queue
+
+    k = F.col("c_custkey")
+    queue = read_table(spark, sf_dir, "customer").select(
+        k.cast("long").alias("pos"), F.concat(F.lit("u"), k.cast("string"), F.lit(".example.com")).alias("domain")
+    )
+    path = scratch_path(spark, "queue-saved")
+    write_queue(queue, path)
+    return QU.load_lines(spark, path).select(F.col("pos").alias("n"), F.col("value").alias("line"))
+
+
 OUTCOME_CTE = """o AS (
   SELECT 'u' || user_id || '.example.com' AS domain,
          (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds,

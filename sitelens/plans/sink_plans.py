@@ -10,6 +10,7 @@ from sitelens.functions.lookups import FILE_EXTENSIONS
 from sitelens.operators import extract as X
 from sitelens.operators import fetch as FT
 from sitelens.operators import keywords as K
+from sitelens.operators import merge as M
 from sitelens.operators import stats as ST
 from sitelens.plans import sqlparts as S
 from sitelens.plans.extract_plans import EP_SQL, LINKS_SQL, META_SQL, TECH_SQL
@@ -209,6 +210,28 @@ def csv_round_trip(spark, sf_dir):
     return spark.read.option("header", True).option("multiLine", True).csv(path).fillna("")
 
 
+CSV_LOG_SQL = f"""
+WITH {FETCH_CTE}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) = 1)
+SELECT url AS "URL", coalesce(status_code::VARCHAR, '') AS "Status Code", coalesce(content_type, '') AS "Content Type",
+       coalesce(size::VARCHAR, '') AS "Size (bytes)", depth::VARCHAR AS "Depth",
+       round(response_time::DOUBLE, 4) AS "Response Time",
+       CASE WHEN length(url) % 2 = 0 THEN 'Page, "' || url || '"' ELSE '' END AS "Title"
+FROM l
+"""
+
+
+@register("csv_fetch_log", CSV_LOG_SQL)
+def csv_fetch_log(spark, sf_dir):
+    """S6 + J6 over the fetch log: every column filled, error rows with blanks, titles that need quoting."""
+    latest = M.latest_wins(event_fetches(spark, sf_dir), "url", ["ts", "event_id"])
+    titles = latest.where(F.length("url") % 2 == 0).select("url", F.concat(F.lit('Page, "'), "url", F.lit('"')).alias("title"))
+    path = W.scratch_path(spark, "fetch-log-csv")
+    W.write_csv(W.url_csv_rows(latest, titles), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    text = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in W.URL_CSV_HEADER if c != "Response Time"]
+    return back.select(*text, F.round(F.col("`Response Time`").cast("double"), 4).alias("Response Time"))
+
+
 WAREHOUSE_SQL = f"""
 SELECT 'urls' AS table_name, count(*) AS n FROM pages
 UNION ALL SELECT 'keywords', 2 * count(*) FROM ({PAGE_TOP_SQL})

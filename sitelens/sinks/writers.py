@@ -187,7 +187,8 @@ def url_csv_rows(results: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    # quotes inside a value are doubled, as CSV readers expect
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 # ---- S7, S10, S11: warehouse tables ---------------------------------------------
@@ -224,8 +225,9 @@ def queue_text(queue: DataFrame) -> DataFrame:
     return head.unionByName(queue.select(F.col("pos").cast("long"), F.col("domain").alias("value")))
 
 
-def write_queue(queue: DataFrame, path: str, files: int = 4) -> None:
-    """Range-partitioned on position: part files are written in queue order and
-    lines keep their order inside each file (read back by ``load_queue``)."""
-    text = queue_text(queue).repartitionByRange(files, "pos").sortWithinPartitions("pos")
+def write_queue(queue: DataFrame, path: str, files: int | None = None) -> None:
+    """Range-partitioned on position (``files`` parts, or as many as Spark finds fit): part files are
+    written in queue order and lines keep their order inside each file (read back by ``load_queue``)."""
+    text = queue_text(queue)
+    text = (text.repartitionByRange(files, "pos") if files else text.repartitionByRange("pos")).sortWithinPartitions("pos")
     text.select("value").write.mode("overwrite").text(path)
