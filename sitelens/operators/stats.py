@@ -27,7 +27,7 @@ def page_fact_rows(pages: DataFrame) -> DataFrame:
     """One pass over each page's HTML: every fact the statistics need, as
     ``(site, kind, value, n)`` rows. Distinct kinds carry the value; count kinds
     carry ``n`` with a NULL value."""
-    from sitelens.functions.lookups import API_PATTERN, EMAIL_PATTERN, PHONE_PATTERNS
+    from sitelens.functions.lookups import EMAIL_PATTERN, PHONE_PATTERNS
     from sitelens.operators.elements import attr, of_tag
 
     p = pages

@@ -4,7 +4,6 @@ S10–S12, S15, J6, D7). Output goes below the shared checkpoint folder."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from sitelens.functions.lookups import FILE_EXTENSIONS
 from sitelens.operators import extract as X
