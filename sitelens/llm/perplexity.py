@@ -1,7 +1,7 @@
 """Quality rules with n-gram perplexity (operator 6).
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows. The method is a
-modified Kneser-Ney model of characters, order 4, counted by Spark over every text:
+modified Kneser-Ney model of characters, order 4, counted by Spark over every distinct text:
 
 * each task reduces its texts to distinct 4-grams with counts (numpy), Spark sums them;
 * lower orders use continuation counts, which Spark derives from the distinct 4-grams;
@@ -13,10 +13,13 @@ width (``HASH_BITS``) bounds the arrays that are sent to the tasks at 2**HASH_BI
 
 For each language, a document's log-perplexity must lie in a band around the language's median.
 Its width follows the language's own scatter, and is wider for short texts, whose mean varies more.
+The model and both figures are taken over distinct texts, so that copies of one text neither narrow the
+band for the others nor teach the model that text;
+a language with fewer than ``FEW_TEXTS`` of them, or without scatter, takes that of all languages.
 
 Cases: null and empty texts have no words and fail the base rules; a null language is a language
-of its own; a language with few documents gets the same rule (a single document is its own
-median and stays); repeated rows are counted and returned each; other columns are ignored.
+of its own; a single document is its own median and stays; repeated rows count once and are
+returned each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ ORDER = 4
 HASH_BITS = 22
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+FEW_TEXTS = 10  # distinct texts on which a language's own scatter must rest
 START, END = 0, 1  # code points that pad a text; as text they are read as 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,21 +116,24 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) of a partition: distinct grams of each batch, merged as they pile up."""
+    """(gram, n) of a partition: distinct grams of each batch, merged as they pile up. A text that stands
+    in ``copies`` rows counts for its share in each."""
     keys, counts, pending = [], [], 0
 
     def merged():
         k, where = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(where, np.concatenate(counts)).astype(np.int64)
+        return k, np.bincount(where, np.concatenate(counts))
 
     for batch in batches:
-        texts = [t for t in _texts(batch, "text") if t]
-        if not texts:
-            continue
-        k, c = np.unique(np.concatenate([grams(code_points(t)) for t in texts]), return_counts=True)
-        keys.append(k)
-        counts.append(c)
-        pending += len(k)
+        by_copies: dict[int, list[np.ndarray]] = {}
+        for text, copies in zip(_texts(batch, "text"), batch.column(1).to_pylist()):
+            if text:
+                by_copies.setdefault(copies, []).append(grams(code_points(text)))
+        for copies, found in by_copies.items():
+            k, c = np.unique(np.concatenate(found), return_counts=True)
+            keys.append(k)
+            counts.append(c / copies)
+            pending += len(k)
         if pending > 4_000_000:
             k, c = merged()
             keys, counts, pending = [k], [c], 0
@@ -135,10 +142,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"gram": k.view(np.int64), "n": c})
 
 
-def gram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """gram (long), n (long) over all texts of ``docs``."""
-    part = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "gram long, n long")
-    return part.groupBy("gram").agg(F.sum("n").alias("n"))
+def gram_counts(docs: DataFrame, text: str, distinct: bool = False) -> DataFrame:
+    """gram (long), n (long) over all texts of ``docs``, or over the distinct ones. Texts do not travel for
+    that: only the hashes of repeated ones do, with their numbers of rows."""
+    part = docs.select(F.col(text).cast("string").alias("text"))
+    copies = F.lit(1).cast("long")
+    if distinct:
+        repeated = part.groupBy(F.xxhash64("text").alias("same")).agg(F.count("*").alias("copies")).filter("copies > 1")
+        part = part.join(broadcast_within(repeated, 2_000_000), F.xxhash64("text") == F.col("same"), "left")
+        copies = F.coalesce("copies", copies)
+    part = part.select("text", copies.alias("copies")).mapInArrow(_count, "gram long, n double")
+    return part.groupBy("gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 # ---- model -----------------------------------------------------------------------------------
@@ -235,7 +249,7 @@ class Scorer:
 
 
 def score(docs: DataFrame, key: str, text: str, lang: str, arrays: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row a document: its key, language, base counts and log-perplexity (null without text)."""
+    """One row a document: its key, language, hash of the text, base counts and log-perplexity (null without text)."""
     arrays = docs.sparkSession.sparkContext.broadcast(arrays)
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -246,20 +260,20 @@ def score(docs: DataFrame, key: str, text: str, lang: str, arrays: tuple[np.ndar
             base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
             logp = pa.array(-model.mean_logp(texts), mask=np.array([not t for t in texts], bool))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(base[:, i]) for i in range(5)), logp],
-                names=["key", "lang", *columns, "log_ppl"],
+                [*batch.columns[:3], *(pa.array(base[:, i]) for i in range(5)), logp],
+                names=["key", "lang", "text_hash", *columns, "log_ppl"],
             )
 
-    narrow = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    words = F.col(text).cast("string")
+    narrow = docs.select(
+        F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.xxhash64(words).alias("text_hash"), words.alias("text")
+    )
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}, lang string, {', '.join(c + ' long' for c in columns)}, log_ppl double")
+    return narrow.mapInArrow(run, f"key {kind}, lang string, text_hash long, {', '.join(c + ' long' for c in columns)}, log_ppl double")
 
 
-def _per_language(scored: DataFrame, value: Column, name: str) -> DataFrame:
-    """lang -> median of ``value`` over the documents that pass the base rules."""
-    counted = scored.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull())
-    medians = counted.groupBy("lang").agg(F.percentile_approx(value, 0.5, 10_000).alias(name))
-    return broadcast_within(medians.select(F.col("lang").alias(f"{name}_lang"), name), 100_000)
+def _median(value: Column) -> Column:
+    return F.percentile_approx(value, 0.5, 10_000)
 
 
 def bands(scored: DataFrame, width: float, least: float) -> DataFrame:
@@ -267,12 +281,22 @@ def bands(scored: DataFrame, width: float, least: float) -> DataFrame:
 
     The mean over n characters scatters with one over the root of n: the language's scatter a
     character is the median of the distances from the language's median times root n (times 1.4826,
-    which makes it a standard deviation), and ``least`` is what remains for endless texts."""
+    which makes it a standard deviation), and ``least`` is what remains for endless texts. Medians are
+    over the distinct texts that pass the base rules. The pooled scatter leaves out distances of 0:
+    those of the texts that are themselves a median."""
+    passed = scored.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull())
+    texts = passed.groupBy("lang", "text_hash").agg(F.first("log_ppl").alias("log_ppl"), F.first("word_chars").alias("word_chars"))
+    texts = store(texts.withColumn("n", F.greatest("word_chars", F.lit(1))), "distinct-texts")
+    mid = texts.groupBy("lang").agg(_median(F.col("log_ppl")).alias("median"))
+    mid = broadcast_within(mid.select(F.col("lang").alias("mid_lang"), "median"), 100_000)
+    off = texts.join(mid, F.col("lang").eqNullSafe(F.col("mid_lang")))
+    off = off.select("lang", "median", (F.abs(F.col("log_ppl") - F.col("median")) * F.sqrt("n")).alias("off"))
+    own = off.groupBy("lang").agg(F.first("median").alias("median"), _median(F.col("off")).alias("own"), F.count("*").alias("texts"))
+    pooled = off.filter("off > 0").agg(_median(F.col("off"))).first()[0] or 0.0
+    scatter = F.when((F.col("texts") < FEW_TEXTS) | (F.col("own") == 0), F.lit(pooled)).otherwise(F.col("own"))
+    known = broadcast_within(own.select(F.col("lang").alias("known_lang"), "median", scatter.alias("scatter")), 100_000)
+    scored = scored.join(known, F.col("lang").eqNullSafe(F.col("known_lang")), "left").drop("known_lang")
     n = F.greatest(F.col("word_chars"), F.lit(1))
-    mid = _per_language(scored, F.col("log_ppl"), "median")
-    scored = scored.join(mid, F.col("lang").eqNullSafe(F.col("median_lang")), "left").drop("median_lang")
-    off = _per_language(scored, F.abs(F.col("log_ppl") - F.col("median")) * F.sqrt(n), "scatter")
-    scored = scored.join(off, F.col("lang").eqNullSafe(F.col("scatter_lang")), "left").drop("scatter_lang")
     half = width * F.sqrt(F.lit(least**2) + (1.4826 * F.col("scatter")) ** 2 / n)
     return scored.withColumn("low", F.col("median") - half).withColumn("high", F.col("median") + half)
 
@@ -281,11 +305,11 @@ def judge(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 5.5, least: float = 0.008
 ) -> DataFrame:
     """Base counts, ``base_failed``, ``log_ppl``, the band and ``kept`` for every row of ``docs``."""
-    counts = store(gram_counts(docs, text), "grams")
+    counts = store(gram_counts(docs, text, distinct=True), "grams")
     scored = score(docs, key, text, lang, hash_arrays(kneser_ney(counts)))
     scored = scored.withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )
     banded = bands(store(scored, "perplexity"), width, least)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return banded.withColumn("kept", ~F.col("base_failed") & inside).withColumnRenamed("key", key)
+    return banded.withColumn("kept", ~F.col("base_failed") & inside).drop("text_hash").withColumnRenamed("key", key)

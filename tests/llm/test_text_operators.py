@@ -169,6 +169,16 @@ def test_perplexity_bands(spark, documents):
     assert all(kept[i] for i in range(60)) and not kept[90]
 
 
+def test_copies_do_not_narrow_the_band(spark, documents):
+    rows = [(i, prose(60 + 5 * i, i)) for i in range(50)] + [(1000 + i, prose(150, 77)) for i in range(200)]
+    rows += [(2000, prose(90, 501), "two"), (2001, prose(140, 502), "two"), (2002, prose(90, 503), None), (2003, prose(80, 504), None)]
+    rows += [(3000 + i, prose(100, 600 + i % 2), "copies") for i in range(30)]
+    kept = {r.doc_id: r.kept for r in perplexity.judge(documents(rows)).collect()}
+    assert len(kept) == len(rows) and all(kept.values())
+    alone = {r.doc_id: r.kept for r in perplexity.judge(documents([(1, prose(90, 1)), (2, prose(140, 2))])).collect()}
+    assert alone == {1: True, 2: True}
+
+
 # ---- classifiers
 
 
