@@ -6,10 +6,11 @@ modified Kneser-Ney model of characters, order 4, counted by Spark over every di
 * each task reduces its texts to distinct 4-grams with counts (numpy), Spark sums them;
 * lower orders use continuation counts, which Spark derives from the distinct 4-grams;
 * discounts come from the counts of counts; interpolated probabilities are computed by joins
-  of the count tables, and kept as sorted arrays of hashes with log-probabilities.
+  of the count tables, and kept for each 4-gram by itself: its 64 bits are the key, nothing is hashed.
 
-Characters, not words, are the units: the model then stays small on any corpus, and the hash
-width (``HASH_BITS``) bounds the arrays that are sent to the tasks at 2**HASH_BITS entries.
+Characters, not words, are the units: distinct 4-grams grow far slower with the corpus than word
+n-grams. Still the model grows with it. Up to ``GATHERED`` entries travel to the tasks as sorted arrays;
+of a larger model the most frequent grams do, and what the texts hold of all others is joined in Spark.
 
 For each language, a document's log-perplexity must lie in a band around the language's median.
 Its width follows the language's own scatter, and is wider for short texts, whose mean varies more.
@@ -30,12 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitelens.llm.common import broadcast_within, store
 
 ORDER = 4
-HASH_BITS = 22
+GATHERED = 1 << 23  # entries (of 12 bytes) of a model that travels to the tasks
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 FEW_TEXTS = 10  # distinct texts on which a language's own scatter must rest
@@ -184,22 +184,6 @@ def _level(counts: DataFrame, order: int) -> DataFrame:
     return counts.withColumn("context", F.expr("shiftrightunsigned(gram, 16)") if order > 1 else F.lit(0).cast("long"))
 
 
-def hashed(keys: np.ndarray) -> np.ndarray:
-    """Hash of packed grams to HASH_BITS bits."""
-    h = keys ^ (keys >> np.uint64(32))
-    h = h * _MIX
-    h ^= h >> np.uint64(29)
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-
-
-@F.pandas_udf(T.IntegerType())
-def _hash_of(grams_):
-    import pandas as pd
-
-    return pd.Series(hashed(grams_.to_numpy().view(np.uint64)).astype(np.int32))
-
-
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """gram, logp: interpolated modified Kneser-Ney log-probability of each 4-gram's last character.
 
@@ -218,50 +202,74 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return below.select("gram", F.log("p").alias("logp"))
 
 
-def hash_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as sorted hashes and their log-probabilities: at most 2**HASH_BITS entries.
-    Grams that share a hash share the larger probability."""
-    rows = (
-        model.select(_hash_of("gram").alias("h"), "logp")
-        .groupBy("h")
-        .agg(F.max("logp").cast("float").alias("logp"))
-        .toArrow()
-    )
-    h, p = rows["h"].to_numpy(), rows["logp"].to_numpy()
-    order = np.argsort(h)
-    return h[order], p[order]
+def sorted_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The model as sorted grams and their log-probabilities."""
+    rows = model.select("gram", F.col("logp").cast("float").alias("logp")).toArrow()
+    gram, p = rows["gram"].to_numpy().view(np.uint64), rows["logp"].to_numpy()
+    order = np.argsort(gram)
+    return gram[order], p[order]
 
 
-class Scorer:
-    """Looks up hashes in the sorted arrays through a dense index (one slot for each hash)."""
-
-    def __init__(self, h: np.ndarray, p: np.ndarray):
-        self.floor = np.float32(p.min() - 1.0 if len(p) else -10.0)  # a gram the model has not seen
-        self.table = np.full(1 << HASH_BITS, self.floor, np.float32)
-        self.table[h] = p
+def split(model: DataFrame, counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(head, tail) of a model: at most ``most`` entries, and the others if there are any. The head holds the grams
+    that occur most often, so that none of the tail stands in many texts."""
+    if model.count() <= most:
+        return model, None
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = {r["power"]: r["size"] for r in counts.groupBy(power.alias("power")).agg(F.count("*").alias("size")).collect()}
+    least = held = 0
+    for p in sorted(sizes, reverse=True):
+        held += sizes[p]
+        if held > most:
+            least = p + 1
+            break
+    both = store(model.join(counts.select("gram", power.alias("power")), "gram"), "split-model")
+    return both.filter(F.col("power") >= least).drop("power"), both.filter(F.col("power") < least).drop("power")
 
-    def mean_logp(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            if text:
-                out[i] = self.table[hashed(grams(code_points(text)))].mean(dtype=np.float64)
-        return out
 
-
-def score(docs: DataFrame, key: str, text: str, lang: str, arrays: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row a document: its key, language, hash of the text, base counts and log-perplexity (null without text)."""
-    arrays = docs.sparkSession.sparkContext.broadcast(arrays)
+class Scorer:
+    """Looks up grams in the sorted arrays."""
+
+    def __init__(self, gram: np.ndarray, p: np.ndarray):
+        self.gram, self.p = gram, p
+
+    def __call__(self, text: bytes) -> tuple[float, int, np.ndarray]:
+        """Sum of the log-probabilities of a text's known grams, number of all its grams, and the unknown ones."""
+        found = grams(code_points(text))
+        if not len(self.gram):
+            return 0.0, len(found), found
+        at = np.searchsorted(self.gram, found)
+        at[at == len(self.gram)] = 0
+        known = self.gram[at] == found
+        if known.all():
+            return float(self.p[at].sum(dtype=np.float64)), len(found), found[:0]
+        return float(self.p[at[known]].sum(dtype=np.float64)), len(found), found[~known]
+
+
+def score(docs: DataFrame, key: str, text: str, lang: str, head: DataFrame, tail: DataFrame | None = None) -> DataFrame:
+    """One row a document: its key, language, hash of the text, base counts and log-perplexity (null without text).
+    ``head`` and ``tail`` hold every gram of the texts."""
+    arrays = docs.sparkSession.sparkContext.broadcast(sorted_arrays(head))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    partly = tail is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Scorer(*arrays.value)
+        scorer = Scorer(*arrays.value)
         for batch in batches:
             texts = _texts(batch, "text")
             base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            logp = pa.array(-model.mean_logp(texts), mask=np.array([not t for t in texts], bool))
+            total, size, rare, times = [], [], [], []
+            for t in texts:
+                logp, n, unknown = scorer(t) if t else (0.0, 0, np.zeros(0, np.uint64))
+                total.append(logp)
+                size.append(n)
+                k, c = np.unique(unknown, return_counts=True)
+                rare.append(k.view(np.int64))
+                times.append(c)
+            more = [pa.array(x, pa.list_(pa.int64())) for x in (rare, times)] if partly else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(base[:, i]) for i in range(5)), logp],
-                names=["key", "lang", "text_hash", *columns, "log_ppl"],
+                [*batch.columns[:3], *(pa.array(base[:, i]) for i in range(5)), pa.array(total, pa.float64()), pa.array(size, pa.int64()), *more],
+                names=["key", "lang", "text_hash", *columns, "total", "size", *["rare", "times"][: len(more)]],
             )
 
     words = F.col(text).cast("string")
@@ -269,7 +277,18 @@ def score(docs: DataFrame, key: str, text: str, lang: str, arrays: tuple[np.ndar
         F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.xxhash64(words).alias("text_hash"), words.alias("text")
     )
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}, lang string, text_hash long, {', '.join(c + ' long' for c in columns)}, log_ppl double")
+    schema = f"key {kind}, lang string, text_hash long, {', '.join(c + ' long' for c in columns)}, total double, size long"
+    if tail is None:
+        scored = narrow.mapInArrow(run, schema)
+    else:
+        scored = narrow.mapInArrow(run, f"{schema}, rare array<long>, times array<long>")
+        scored = store(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("g")).select("row", F.col("g.rare").alias("gram"), "g.times")
+        rest = each.join(tail, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("rest"))
+        scored = scored.drop("rare", "times").join(rest, "row", "left")
+        scored = scored.withColumn("total", F.col("total") + F.coalesce("rest", F.lit(0.0)))
+    log_ppl = F.when(F.col("size") > 0, -F.col("total") / F.col("size"))
+    return scored.select("key", "lang", "text_hash", *columns, log_ppl.alias("log_ppl"))
 
 
 def _median(value: Column) -> Column:
@@ -302,11 +321,14 @@ def bands(scored: DataFrame, width: float, least: float) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 5.5, least: float = 0.008
-) -> DataFrame:
-    """Base counts, ``base_failed``, ``log_ppl``, the band and ``kept`` for every row of ``docs``."""
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 5.5, least: float = 0.008,
+    gathered: int = GATHERED,
+) -> DataFrame:
+    """Base counts, ``base_failed``, ``log_ppl``, the band and ``kept`` for every row of ``docs``. At most
+    ``gathered`` entries of the model are gathered and sent to the tasks."""
     counts = store(gram_counts(docs, text, distinct=True), "grams")
-    scored = score(docs, key, text, lang, hash_arrays(kneser_ney(counts)))
+    head, tail = split(store(kneser_ney(counts), "model"), counts, gathered)
+    scored = score(docs, key, text, lang, head, tail)
     scored = scored.withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )

@@ -179,6 +179,22 @@ def test_copies_do_not_narrow_the_band(spark, documents):
     assert alone == {1: True, 2: True}
 
 
+def test_no_gram_takes_the_probability_of_another(spark, documents):
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 3000)))) for i in range(200)]  # 600 000 distinct grams
+    rows += [(1000, prose(100, 1)), (1001, None), (1002, "")]
+    docs = documents(rows)
+    counts = perplexity.gram_counts(docs, "text")
+    model = perplexity.kneser_ney(counts).cache()
+    exact = {r.gram & (1 << 64) - 1: r.logp for r in model.collect()}
+    logp = lambda t: -np.mean([exact[int(g)] for g in perplexity.grams(perplexity.code_points(t.encode()))])
+    for most in (1 << 23, 1_000, 0):  # gathered whole, in part and not at all
+        got = {r.key: r.log_ppl for r in perplexity.score(docs, "doc_id", "text", "lang", *perplexity.split(model, counts, most)).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            assert got[i] == (pytest.approx(logp(t), abs=1e-5) if t else None)
+
+
 # ---- classifiers
 
 
