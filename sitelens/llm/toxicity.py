@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelens.llm.common import broadcast_within, held_out, label_of, label_sample
 
@@ -123,28 +124,49 @@ def fit(texts: list[str], y: np.ndarray, ratio: np.ndarray, steps: int = 120, l2
     return out, float(b)
 
 
+def within_budget(lengths: list[int], most: int) -> list[int]:
+    """Numbers of the texts to read, in their order: each that fits in what is left of ``most``. One that does not fit
+    is passed over and ends nothing; if none fits, the shortest is read."""
+    out, left = [], most
+    for i, n in enumerate(lengths):
+        if n <= left:
+            out.append(i)
+            left -= n
+    return out or ([int(np.argmin(lengths))] if lengths else [])
+
+
+def regression_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int, max_chars: int) -> list:
+    """(text, label) of the regression's rows: one text a chosen label, in the order of the key's hash, from each class
+    within half of ``max_chars``. Lengths decide before any text is gathered, so the layout of ``docs`` does not matter."""
+    sample = [label_sample(labels.filter(F.col(label) == k), key, label, max_rows // 2) for k in (0, 1)]
+    chosen = F.broadcast(sample[0].union(sample[1]))  # bounded by its limits
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumns({"same": F.xxhash64("text"), "chars": F.coalesce(F.length("text"), F.lit(0))})
+    found = rows.join(chosen, F.col("key") == F.col("label_key")).groupBy("label_key", "label", "h").agg(F.min(F.struct("same", "chars")).alias("one"))
+    found = found.select("label_key", "label", "h", "one.*").orderBy("h", "label_key").collect()
+    read = []
+    for k in (0, 1):
+        mine = [r for r in found if r["label"] == k]
+        read += [mine[i] for i in within_budget([r["chars"] for r in mine], max_chars // 2)]
+    if not read:
+        return []
+    schema = T.StructType([rows.schema["key"], T.StructField("label", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("same", T.LongType())])
+    wanted = docs.sparkSession.createDataFrame([(r["label_key"], r["label"], i, r["same"]) for i, r in enumerate(read)], schema)
+    picked = rows.select("key", "text", "same").join(F.broadcast(wanted), ["key", "same"])
+    return picked.groupBy("place", "label").agg(F.first("text").alias("text")).orderBy("place").collect()
+
+
 def train(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_train_rows: int = 4_000, max_chars: int = 12_000_000
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(ratio, ratio x weight of each feature, intercept). Counts cover all labelled rows. The regression takes
     at most ``max_train_rows`` labels, half from each class as far as there are, by a hash of the key, and
-    of their rows as many whole texts as it takes to pass ``max_chars`` characters."""
+    of each class whole texts of at most half of ``max_chars`` characters together."""
     ratio, n1, n0 = log_count_ratios(feature_counts(labelled(docs, labels, key, text, label)))
     if not n1 or not n0:
         return ratio, np.zeros(1 << HASH_BITS), float(np.log((n1 + 0.5) / (n0 + 0.5)))
-    half = max_train_rows // 2
-    sample = [label_sample(labels.filter(F.col(label) == k), key, label, half) for k in (0, 1)]
-    chosen = F.broadcast(sample[0].union(sample[1]))  # bounded by its limits
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    picked = rows.join(chosen, F.col("key") == F.col("label_key")).select("text", "label")
-    texts, y, chars = [], [], 0
-    for r in picked.toLocalIterator():  # one partition at a time reaches the driver
-        texts.append(r["text"])
-        y.append(r["label"])
-        chars += len(r["text"] or "")
-        if chars > max_chars or len(y) >= 2 * max_train_rows:
-            break
-    weight, intercept = fit(texts, np.array(y, float), ratio)
+    picked = regression_rows(docs, labels, key, text, label, max_train_rows, max_chars)
+    weight, intercept = fit([r["text"] for r in picked], np.array([r["label"] for r in picked], float), ratio)
     return ratio, ratio * weight, intercept
 
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitelens.llm import main_text, packing, perplexity, quality_trees, queries, secret_scan, toxicity
@@ -249,6 +250,27 @@ def test_toxicity(spark, documents, sf):
     assert {r.doc_id: r.predicted for r in got}[5002] == 0
 
 
+def test_regression_rows_do_not_depend_on_the_layout(spark, documents):
+    bad_words = ["grumbleface", "snotwit", "dorkhead"]
+    rows = [(7000, prose(20, 5) + "word " * 2_400_000)]  # 12 M characters, first in the table
+    rows += [(i, prose(100, i)) for i in range(120)] + [(1000 + i, prose(100, i, bad_words)) for i in range(120)]  # by label
+    labels = spark.createDataFrame([(i, int(1000 <= i < 5000)) for i, _ in rows], "doc_id long, toxic int")
+    text_of = dict(rows)
+
+    def read(docs, most):
+        return [(r["text"], r["label"]) for r in toxicity.regression_rows(docs, labels, "doc_id", "text", "toxic", 4_000, most)]
+
+    first = documents(rows).coalesce(1).orderBy(F.col("doc_id") != 7000, "doc_id").coalesce(1)
+    got = read(first, 12_000_000)
+    assert sorted(y for _, y in got).count(1) == sum(1000 <= i < 5000 and zlib.crc32(str(i).encode()) % 5 != 0 for i in text_of)
+    assert sorted(y for _, y in got).count(0) == sum(i < 1000 and zlib.crc32(str(i).encode()) % 5 != 0 for i in text_of)
+    small = read(first, 20_000)
+    assert {y for _, y in small} == {0, 1} and max(sum(len(t) for t, y in small if y == k) for k in (0, 1)) <= 10_000
+    assert small == read(documents(rows, 7), 20_000)
+    assert toxicity.within_budget([9, 4, 8, 5], 9) == [0] and toxicity.within_budget([90, 4, 8, 5], 9) == [1, 3]
+    assert toxicity.within_budget([90, 70], 9) == [1] and toxicity.within_budget([], 9) == []
+
+
 def test_log_count_ratios(spark, documents):
     from sitelens.llm.common import prepare
 
