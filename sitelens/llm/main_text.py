@@ -5,7 +5,8 @@ for its length and commas, discounted by its share of link text: all of them to
 half to the next ancestor, a third to the one above, and so on. The container with most points wins;
 if an ``article`` encloses it, the article is taken. Siblings that score well (or are headings or solid
 paragraphs) are kept with it. Menus, headers, footers, side bars, notices, adverts, forms, scripts
-and reader comments are cut out of the tree by their element or by the words of class, id and role.
+and reader comments are cut out of the tree by their element or by the names in class, id and role; names never cut
+``article``, ``main`` or an element with a whole name of CONTENT, nor a ``main`` inside what they cut.
 
 Cases: null and empty html give an empty text; unclosed, mis-nested and cut-off markup is closed the
 way browsers do it (a new paragraph ends the open one, an end tag without a start is ignored); repeated
@@ -31,7 +32,7 @@ MARKUP = re.compile(
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CUT = frozenset("head nav footer aside form button select dialog menu object audio video canvas map math".split())
+CUT = frozenset("head nav footer aside form button select dialog menu object audio video canvas map".split())
 BLOCKS = frozenset(
     "html body main article section div header hgroup p pre blockquote ul ol li dl dt dd table caption thead tbody "
     "tfoot tr td th figure figcaption address details summary center fieldset legend h1 h2 h3 h4 h5 h6".split()
@@ -52,28 +53,36 @@ ALWAYS = frozenset(
 )
 MAYBE = frozenset("banner header masthead share sharing social related recommended recommendations widget toolbar tags search login signup aside meta byline".split())
 CONTENT = frozenset("article content main post story entry text body".split())
+#: First words of a name that tells how an element looks or is filed (no-sidebar, has-comments): it marks nothing.
+STATES = frozenset("no not non with without has have is hide show category tag format layout template".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "score", "depth", "good")
+    __slots__ = ("tag", "parent", "cut", "firm", "score", "depth", "good")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, good: bool):
         self.tag, self.parent, self.cut, self.good = tag, parent, cut, good
+        self.firm = False  # cut by an element, not only by a name
         self.score = 0.0
         self.depth = parent.depth + 1 if parent else 0
 
 
 def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     """(cut out, marked as content) for an element."""
-    words = set()
+    words, names = set(), set()
     if "=" in attrs:
         for m in NAMED.finditer(attrs):
-            words.update(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                names.add(name)
+                parts = re.split(r"[^a-z]+", name)
+                words.update(() if len(parts) > 1 and parts[0] in STATES else parts)
     good = bool(words & CONTENT) or tag in ("article", "main")
     if tag in ("html", "body"):
         return False, good
     if tag in CUT or (tag == "header" and not in_article):
         return True, False
+    if tag in ("article", "main") or names & CONTENT:
+        return False, True
     return bool(words & ALWAYS) or bool(words & MAYBE and not good), good
 
 
@@ -150,7 +159,9 @@ class Page:
         if tag in ("html", "body"):
             return
         top = self.open[-1]
-        self.open.append(Node(tag, top, top.cut or cut, good))
+        node = Node(tag, top, cut or top.cut and (tag != "main" or top.firm), good)
+        node.firm = top.firm or cut and (tag in CUT or tag == "header")
+        self.open.append(node)
 
     def ended(self, tag: str) -> None:
         if tag == "a":

@@ -321,6 +321,19 @@ def test_main_text_siblings():
     assert lines[0] == "Title" and len(lines) == 6 and "link" not in lines
 
 
+def test_names_do_not_cut_the_article():
+    body = "<p>One, two, three words of the article.</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold, here.</p>"
+    want = "One, two, three words of the article.\nLet x=2 hold, here."
+    for tag in (
+        'main class="content with-sidebar"', 'div class="content no-sidebar"', 'article class="post has-comments"', 'article class="category-alert"',
+        'div class="page no-sidebar"', 'div class="content sidebar"', "main id=menu",
+    ):
+        page = f"<body><div><h1>Title</h1></div><{tag}>{body}</{tag.split()[0]}><div class=left-sidebar><p>Side, bar, words</p></div>"
+        assert main_text.main_text(page).endswith(want), tag
+    wrapped = f"<div><h1>Title</h1><p>A line, before.</p></div><div class=sidebar><main>{body}</main><p>Side, bar</p></div>"
+    assert want in main_text.main_text(wrapped) and "Side" not in main_text.main_text(wrapped)
+
+
 def test_main_text_query(spark, sf):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE), (None, "w", "<p>" + "word, " * 20_000)]
     from pyspark.sql import functions as F
