@@ -3,8 +3,8 @@
 One pass over the markup builds the tree of block elements. Each paragraph-like block gives points
 for its length and commas, discounted by its share of link text: all of them to its container,
 half to the next ancestor, a third to the one above, and so on. The container with most points wins;
-if an ``article`` encloses it, the article is taken. Siblings that score well (or are headings or solid
-paragraphs) are kept with it. Menus, headers, footers, side bars, notices, adverts, forms, scripts
+if an ``article``, else a ``main`` or an element with a whole name of CONTENT encloses it, that is taken
+whole. Siblings of few links are kept with it, whatever their length; beside an article only those that score well. Menus, headers, footers, side bars, notices, adverts, forms, scripts
 and reader comments are cut out of the tree by their element or by the names in class, id and role; names never cut
 ``article``, ``main`` or an element with a whole name of CONTENT, nor a ``main`` inside what they cut.
 
@@ -58,17 +58,18 @@ STATES = frozenset("no not non with without has have is hide show category tag f
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "firm", "score", "depth", "good")
+    __slots__ = ("tag", "parent", "cut", "firm", "score", "depth", "good", "marked", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, good: bool):
         self.tag, self.parent, self.cut, self.good = tag, parent, cut, good
+        self.marked, self.chars, self.linked = False, 0, 0.0  # main or content by its name; text below and its links
         self.firm = False  # cut by an element, not only by a name
         self.score = 0.0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """(cut out, marked as content) for an element."""
+def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """(cut out, hinted as content, marked as content) for an element."""
     words, names = set(), set()
     if "=" in attrs:
         for m in NAMED.finditer(attrs):
@@ -78,12 +79,12 @@ def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
                 words.update(() if len(parts) > 1 and parts[0] in STATES else parts)
     good = bool(words & CONTENT) or tag in ("article", "main")
     if tag in ("html", "body"):
-        return False, good
+        return False, good, False
     if tag in CUT or (tag == "header" and not in_article):
-        return True, False
+        return True, False, False
     if tag in ("article", "main") or names & CONTENT:
-        return False, True
-    return bool(words & ALWAYS) or bool(words & MAYBE and not good), good
+        return False, True, True
+    return bool(words & ALWAYS) or bool(words & MAYBE and not good), good, False
 
 
 class Page:
@@ -145,7 +146,7 @@ class Page:
         block = tag in BLOCKS or tag in CUT
         if not block and "=" not in attrs:
             return
-        cut, good = is_cut(tag, attrs if by_name else "", any(n.tag in ("article", "main") for n in self.open))
+        cut, good, marked = is_cut(tag, attrs if by_name else "", any(n.tag in ("article", "main") for n in self.open))
         if not block and not cut:
             return
         if block:
@@ -160,6 +161,7 @@ class Page:
             return
         top = self.open[-1]
         node = Node(tag, top, cut or top.cut and (tag != "main" or top.firm), good)
+        node.marked = marked
         node.firm = top.firm or cut and (tag in CUT or tag == "header")
         self.open.append(node)
 
@@ -179,6 +181,11 @@ class Page:
 
     def score(self) -> None:
         for node, text, links in self.blocks:
+            above = node
+            while above:
+                above.chars += len(text)
+                above.linked += len(text) * links
+                above = above.parent
             if node.tag in HEADINGS:
                 continue
             points = (len(text) / 100 + text.count(",")) * (1 - links)
@@ -198,12 +205,13 @@ class Page:
         if not nodes:
             return ""
         best = max(nodes.values(), key=lambda n: (n.score, n.good, n.depth))
+        around = []  # the best container and what encloses it
         node = best
         while node:
-            if node.tag == "article":
-                best = node
-                break
+            around.append(node)
             node = node.parent
+        articles = [n for n in around if n.tag == "article"]
+        best = next(iter(articles or [n for n in around if n.marked and n.tag not in LEAVES]), best)
         kept = []
         for node, text, links in self.blocks:
             inner, below = node, None
@@ -219,8 +227,10 @@ class Page:
         if below is not None and below.tag in HEADINGS:
             return best.tag != "article"
         if below is not None and below.tag not in LEAVES:
-            return below.score >= max(0.2 * best.score, 1.0) and below.tag != "ul"
-        return best.tag != "article" and links < 0.25 and len(text) > 80
+            if best.tag == "article":
+                return below.score >= max(0.2 * best.score, 1.0) and below.tag != "ul"
+            return below.linked < 0.25 * below.chars
+        return best.tag != "article" and links < 0.25
 
 
 def main_text(html: str | None) -> str:

@@ -334,6 +334,19 @@ def test_names_do_not_cut_the_article():
     assert want in main_text.main_text(wrapped) and "Side" not in main_text.main_text(wrapped)
 
 
+def test_short_sections_stay_with_the_long_one():
+    def section(n, seed):
+        return f"<section><h2>Part {seed}</h2><p>{prose(n, seed)}</p></section>"
+
+    inner = section(500, 1) + section(40, 2) + "<ul><li>a point</li></ul><p>Short.</p>" + section(40, 3)
+    want = main_text.main_text(f"<article>{inner}</article>").split("\n")
+    assert len(want) == 8
+    menu = "<div><ul><li><a href=x>Link one</a><li><a href=y>Link two</a></ul></div>"
+    for start, end in (("<main>", "</main>"), ("<div id=content>", "</div>"), ("<div>", "</div>"), ("<div id=content><div>", "</div></div>")):
+        assert main_text.main_text(f"<body>{menu}{start}{inner}{end}").split("\n") == want, start
+    assert main_text.main_text(f"<body><div>{menu}{inner}</div>").split("\n") == want
+
+
 def test_main_text_query(spark, sf):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE), (None, "w", "<p>" + "word, " * 20_000)]
     from pyspark.sql import functions as F
