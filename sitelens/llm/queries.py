@@ -11,6 +11,7 @@ from sitelens.llm import (
     chat_rotation,
     decontaminate,
     main_text,
+    merkle_manifest,
     packing,
     perplexity,
     quality_trees,
@@ -19,7 +20,7 @@ from sitelens.llm import (
     toxicity,
     url_cascade,
 )
-from sitelens.llm.common import prepare, read_table
+from sitelens.llm.common import ascii_lower, prepare, read_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -184,3 +185,67 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_merkle_manifest",
+    """
+    WITH RECURSIVE raw AS (
+      SELECT row_number() OVER () AS rid, *,
+             coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+             || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+             -- crc32: each byte is mixed in, then eight shifts (marked by -1) follow
+             list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS mixed
+      FROM documents),
+    hashed AS (
+      SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(CASE WHEN xor(mixed, 4294967295) % 5 = 0 THEN strlen(lowered)::VARCHAR || ':' || lowered
+                                     ELSE strlen(text)::VARCHAR || ':' || text END, '-')) AS given FROM raw),
+    placed AS (
+      SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+             count(*) OVER (PARTITION BY source) AS size FROM hashed),
+    nodes(grp, level, idx, size, digest) AS (
+      SELECT grp, 0, idx, size, leaf FROM placed
+      UNION ALL
+      SELECT grp, level + 1, idx // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes
+      WHERE size > 1 GROUP BY grp, level, idx // 16, size),
+    runs AS (SELECT grp, level, idx // 16 AS parent, list(digest ORDER BY idx) AS run FROM nodes WHERE size > 1 GROUP BY ALL),
+    subroots AS (SELECT grp, level, digest, count(*) OVER () AS n FROM nodes WHERE size = 1),
+    top_nodes(level, idx, size, digest) AS (
+      SELECT 0, grp, n, digest FROM subroots
+      UNION ALL
+      SELECT level + 1, idx // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM top_nodes
+      WHERE size > 1 GROUP BY level, idx // 16, size),
+    top_runs AS (SELECT level, idx // 16 AS parent, list(digest ORDER BY idx) AS run FROM top_nodes WHERE size > 1 GROUP BY ALL),
+    climb(rid, grp, level, idx, cur, proof) AS (
+      SELECT rid, grp, 0, idx, given, '' FROM placed
+      UNION ALL
+      SELECT rid, c.grp, c.level + 1, idx // 16,
+             sha256(array_to_string(list_concat(list_append(run[1:idx % 16], cur), run[idx % 16 + 2:]), '')),
+             proof || array_to_string(list_concat(run[1:idx % 16], run[idx % 16 + 2:]), '')
+      FROM climb c JOIN runs r ON r.grp = c.grp AND r.level = c.level AND r.parent = c.idx // 16),
+    top_climb(rid, level, idx, cur, proof) AS (
+      SELECT rid, 0, grp, cur, proof FROM climb JOIN subroots USING (grp, level)
+      UNION ALL
+      SELECT rid, c.level + 1, idx // 16,
+             sha256(array_to_string(list_concat(list_append(run[1:idx % 16], cur), run[idx % 16 + 2:]), '')),
+             proof || array_to_string(list_concat(run[1:idx % 16], run[idx % 16 + 2:]), '')
+      FROM top_climb c JOIN top_runs r ON r.level = c.level AND r.parent = c.idx // 16),
+    roots AS (SELECT level, digest AS root FROM top_nodes WHERE size = 1)
+    SELECT doc_id, leaf, digest AS subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+    FROM top_climb JOIN roots USING (level) JOIN placed USING (rid) JOIN subroots USING (grp)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 5 divides come back with their text's A-Z lower-cased; a null id has no crc32."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = merkle_manifest.leaf_digest(*fields[:-1], ascii_lower(F.col("text")))
+    rows = docs.select("doc_id", "source", merkle_manifest.leaf_digest(*fields).alias("leaf"), F.when(tampered, lowered).alias("given"))
+    rows = rows.withColumn("given", F.coalesce("given", "leaf"))
+    return merkle_manifest.manifest(rows, "doc_id", "source", "leaf", "given")
