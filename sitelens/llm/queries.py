@@ -17,6 +17,7 @@ from sitelens.llm import (
     quality_trees,
     secret_scan,
     simhash,
+    token_alignment,
     toxicity,
     url_cascade,
 )
@@ -249,3 +250,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "source", merkle_manifest.leaf_digest(*fields).alias("leaf"), F.when(tampered, lowered).alias("given"))
     rows = rows.withColumn("given", F.coalesce("given", "leaf"))
     return merkle_manifest.manifest(rows, "doc_id", "source", "leaf", "given")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.report(docs, *paths).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
