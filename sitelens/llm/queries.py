@@ -15,6 +15,7 @@ from sitelens.llm import (
     packing,
     perplexity,
     quality_trees,
+    recurrent_lm,
     secret_scan,
     simhash,
     token_alignment,
@@ -188,6 +189,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op11_recurrent_lm")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    return recurrent_lm.report(read_table(spark, sf_dir, "documents"), remainder == 2)
+
+
 @query(
     "op12_merkle_manifest",
     """
