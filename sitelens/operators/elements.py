@@ -32,7 +32,8 @@ _Q_RE2 = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*[^>]*"""
 
 
 def _mask_re(q: str) -> str:
-    return rf"(?is)<!--.*?-->|(<script\b{q}>).*?(</script\s*>)|(<style\b{q}>).*?(</style\s*>)"
+    # what is never closed reaches to the end of the page (and is read once)
+    return rf"(?is)<!--.*?(?:-->|\z)|(<script\b{q}>).*?(</script\s*>|\z)|(<style\b{q}>).*?(</style\s*>|\z)"
 
 
 MASK_RE = _mask_re(_Q)
@@ -41,15 +42,15 @@ TAG_RE = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q})>"""
 TAG_RE2 = rf"""<(/?[a-zA-Z][^\s/>]*)({_Q_RE2})>"""
 # Attribute name and its (possibly quoted) value as one group.
 ATTR_RE = r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
-STYLE_BLANK_RE = rf"(?is)(<style\b{_Q}>).*?(</style\s*>)"
-SCRIPT_BLANK_RE = rf"(?is)(<script\b{_Q}>).*?(</script\s*>)"
+STYLE_BLANK_RE = rf"(?is)(<style\b{_Q}>).*?(</style\s*>|\z)"
+SCRIPT_BLANK_RE = rf"(?is)(<script\b{_Q}>).*?(</script\s*>|\z)"
 
 
 def mask_html(html: Column) -> Column:
     return F.regexp_replace(html, MASK_RE, "$1$2$3$4")
 
 
-def _attrs(attr_text: Column) -> Column:
+def tag_attrs(attr_text: Column) -> Column:
     names = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 1)
     vals = F.regexp_extract_all(attr_text, F.lit(ATTR_RE), 2)
 
@@ -81,7 +82,7 @@ def element_array(html: Column) -> Column:
             F.lower(F.regexp_extract(z["r"], r"^<(/?[a-zA-Z][^\s/>]*)", 1)).alias("tag"),
             # End tags and bare start tags carry no attributes: skip the regex work.
             F.when(z["r"].startswith("</") | ~z["r"].rlike(r"^<[a-zA-Z][^\s/>]*[\s/]"), empty)
-            .otherwise(_attrs(F.regexp_extract(z["r"], r"^<[a-zA-Z][^\s/>]*(.*)>$", 1))).alias("attrs"),
+            .otherwise(tag_attrs(F.regexp_extract(z["r"], r"^<[a-zA-Z][^\s/>]*(.*)>$", 1))).alias("attrs"),
             F.coalesce(z["t"], F.lit("")).alias("text"),
         ),
     )
@@ -101,7 +102,7 @@ def tags_in(masked: Column, *names: str) -> Column:
         lambda r, k: F.struct(
             k.alias("seq"),
             F.lower(F.regexp_extract(r, r"^<([a-zA-Z][^\s/>]*)", 1)).alias("tag"),
-            _attrs(F.regexp_extract(r, r"^<[a-zA-Z][^\s/>]*(.*)>$", 1)).alias("attrs"),
+            tag_attrs(F.regexp_extract(r, r"^<[a-zA-Z][^\s/>]*(.*)>$", 1)).alias("attrs"),
             F.lit("").alias("text"),
         ),
     )
@@ -111,20 +112,7 @@ def start_tags(html: Column, *names: str) -> Column:
     return tags_in(mask_html(html), *names)
 
 
-# Text runs after a start tag, looked ahead so that the match ends with the tag and
-# nested tags of the same name are found too: up to the first end tag of that name,
-# or, when there is none, up to the next tag.
-_RUN = r"(?:[^<]|<(?![a-zA-Z/]))*+"
-
-
-def _ahead(name: str, otherwise: str = _RUN) -> str:
-    return rf"(?=(.*?(?=</{name}[\s/>])|{otherwise}))"
-
-
-LINK_RE = rf"(?is)<(?:a(?=[\s/>])({_Q})>{_ahead('a')}|link(?=[\s/>])({_Q})>)"
-HEADING_RE = rf"(?is)<(h[1-6])(?=[\s/>]){_Q}>{_ahead(chr(92) + '1')}"
-TITLE_RE = rf"(?is)<title(?=[\s/>]){_Q}>{_ahead('title')}"
-FORM_RE = rf"(?is)<form(?=[\s/>])({_Q})>{_ahead('form', '.*')}"
+TITLE_RE = rf"(?is)<title(?=[\s/>]){_Q}>(.*?(?=</title[\s/>])|(?:[^<]|<(?![a-zA-Z/]))*+)"
 
 
 def run_text(markup: Column) -> Column:
@@ -132,41 +120,11 @@ def run_text(markup: Column) -> Column:
     return node_text(F.regexp_replace(markup, TAG_RE, ""))
 
 
-def link_tags(masked: Column) -> Column:
-    """array<struct<tag,attrs,inner>> of the a and link tags in document order."""
-    groups = [F.regexp_extract_all(masked, F.lit(LINK_RE), i) for i in (1, 2, 3)]
-    return F.transform(
-        F.arrays_zip(groups[0].alias("a"), groups[1].alias("inner"), groups[2].alias("link")),
-        lambda z: F.struct(
-            F.when(z["link"] != "", F.lit("link")).otherwise(F.lit("a")).alias("tag"),
-            _attrs(F.concat(z["a"], z["link"])).alias("attrs"),
-            z["inner"].alias("inner"),
-        ),
-    )
-
-
-def heading_tags(masked: Column) -> Column:
-    """array<struct<tag,text>> of h1..h6 in document order."""
-    tags, inner = (F.regexp_extract_all(masked, F.lit(HEADING_RE), i) for i in (1, 2))
-    return F.transform(
-        F.arrays_zip(tags.alias("t"), inner.alias("i")),
-        lambda z: F.struct(F.lower(z["t"]).alias("tag"), run_text(z["i"]).alias("text")),
-    )
-
-
 def title_text(masked: Column) -> Column:
-    """Text of the first title ('' without one)."""
+    """Text of the first title: up to its end tag, or without one up to the next tag ('' without a title)."""
     return run_text(F.regexp_extract(masked, TITLE_RE, 1))
 
 
-def form_tags(masked: Column) -> Column:
-    """array<struct<attrs,inner>>: forms with their markup up to the end tag (or the end of the page)."""
-    attrs, inner = (F.regexp_extract_all(masked, F.lit(FORM_RE), i) for i in (1, 2))
-    return F.transform(
-        F.arrays_zip(attrs.alias("a"), inner.alias("i")), lambda z: F.struct(_attrs(z["a"]).alias("attrs"), z["i"].alias("inner"))
-    )
-
-
 # ---- element accessors (usable inside higher-order lambdas) ---------------------
 
 def attr(e: Column, name: str) -> Column:

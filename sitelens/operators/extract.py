@@ -23,6 +23,7 @@ from sitelens.functions.lookups import (
 )
 from sitelens.functions.text import decode_entities
 from sitelens.functions.urls import in_scope, resolve
+from sitelens.operators.containment import HEADINGS, attributes, contained, numbered_tags, text_of
 from sitelens.operators.elements import (
     SCRIPT_BLANK_RE,
     STYLE_BLANK_RE,
@@ -30,13 +31,9 @@ from sitelens.operators.elements import (
     _Q,
     attr,
     element_array,
-    form_tags,
     has_attr,
-    heading_tags,
-    link_tags,
     mask_html,
     of_tag,
-    run_text,
     start_tags,
     tags_in,
     title_text,
@@ -129,22 +126,27 @@ def metadata(pages: DataFrame, keep: list = ()) -> DataFrame:
     )
 
 
+def _page_tags(pages: DataFrame) -> DataFrame:
+    return contained(pages.withColumn("_m", mask_html(F.col("html"))), "_m")
+
+
 def headings(pages: DataFrame) -> DataFrame:
     """(page_id, level, ord, text) for h1..h6; ``ord`` is the position within its level."""
-    df = pages.select("page_id", "url", "site", heading_tags(mask_html(F.col("html"))).alias("h"))
+    # texts are cut in the page's row: behind an explode each row would carry all runs of its page
+    texts = F.transform(numbered_tags(*HEADINGS), lambda e: F.struct(e["tag"].alias("level"), text_of(e).alias("text")))
+    df = _page_tags(pages).select("page_id", "url", "site", texts.alias("h"))
 
-    def level(n: int) -> Column:
-        return F.transform(
-            F.filter("h", lambda e: e["tag"] == f"h{n}"),
-            lambda e, i: F.struct(F.lit(f"h{n}").alias("level"), i.alias("ord"), e["text"].alias("text")),
-        )
+    def level(name: str) -> Column:
+        return F.transform(F.filter("h", lambda e: e["level"] == name), lambda e, i: F.struct(i.alias("ord"), e.alias("e")))
 
-    out = df.select("page_id", "url", "site", F.explode(F.concat(*[level(n) for n in range(1, 7)])).alias("h"))
-    return out.select("page_id", "url", "site", "h.level", "h.ord", "h.text")
+    out = df.select("page_id", "url", "site", F.explode(F.concat(*map(level, HEADINGS))).alias("h"))
+    return out.select("page_id", "url", "site", "h.e.level", "h.ord", "h.e.text")
 
 
-def h1_texts(masked: Column) -> Column:
-    return F.transform(F.filter(heading_tags(masked), lambda e: e["tag"] == "h1"), lambda e: e["text"])
+def with_h1(pages: DataFrame, masked: str, name: str) -> DataFrame:
+    """``pages`` with the texts of its h1 elements (of the markup in column ``masked``)."""
+    df = contained(pages, masked)
+    return df.withColumn(name, F.transform(numbered_tags("h1"), text_of)).drop("_tags", "_runs", "_in")
 
 
 # ---- E10, E11: e-mails and phone numbers over the raw response text -----------------
@@ -190,22 +192,33 @@ def social_links(pages: DataFrame) -> DataFrame:
 # ---- E13, E14: forms and fields (J11: field → enclosing form by position) ------------
 
 def forms(pages: DataFrame) -> DataFrame:
-    """Each form with the fields that stand before its end tag."""
-    df = pages.select("page_id", "url", "site", F.posexplode(form_tags(mask_html(F.col("html")))).alias("ord", "f"))
-    fields = F.transform(
-        tags_in(F.col("f.inner"), "input", "select", "textarea"),
-        lambda x: F.struct(
+    """Each form with the fields whose innermost open form it is."""
+
+    def element(seq: Column) -> Column:
+        tag = F.element_at("_tags", seq + 1)
+        return F.struct(tag["name"].alias("tag"), attributes(tag["raw"]).alias("attrs"))
+
+    def field(x: Column) -> Column:
+        return F.struct(
             F.coalesce(attr(x, "type"), x["tag"]).alias("type"),
             F.coalesce(attr(x, "name"), F.lit("")).alias("name"),
             F.coalesce(attr(x, "id"), F.lit("")).alias("id"),
             has_attr(x, "required").alias("required"),
+        )
+
+    rows = F.transform(
+        F.arrays_zip(F.col("_in.forms").alias("form"), F.col("_in.fields").alias("fields")),
+        lambda f: F.struct(
+            element(f["form"]).alias("form"), F.transform(F.transform(f["fields"], element), field).alias("fields")
         ),
     )
+    df = _page_tags(pages).select("page_id", "url", "site", F.posexplode(rows).alias("ord", "f"))
+    form = F.col("f.form")
     return df.select(
         "page_id", "url", "site", F.col("ord").alias("seq"), "ord",
-        F.coalesce(attr(F.col("f"), "action"), F.lit("")).alias("action"),
-        F.upper(F.coalesce(attr(F.col("f"), "method"), F.lit("get"))).alias("method"),
-        fields.alias("fields"),
+        F.coalesce(attr(form, "action"), F.lit("")).alias("action"),
+        F.upper(F.coalesce(attr(form, "method"), F.lit("get"))).alias("method"),
+        "f.fields",
     )
 
 
@@ -251,12 +264,12 @@ def videos(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "site", "v.seq", "v.src", "v.type", platform.alias("platform"))
 
 
-SCRIPT_RE = rf"(?is)<script\b({_Q})>(.*?)</script\s*>"
+SCRIPT_RE = rf"(?is)<script\b({_Q})>(.*?)(?:</script\s*>|\z)"
 
 
 def _unmask_comments(html: Column) -> Column:
     """HTML with comments removed but script bodies kept (script text is raw)."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|(<script\b" + _Q + r">.*?</script\s*>)", "$1")
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|(<script\b" + _Q + r">.*?(?:</script\s*>|\z))", "$1")
 
 
 def scripts(pages: DataFrame) -> DataFrame:
@@ -307,14 +320,17 @@ def files(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """E19 + F12: every a/link with a non-empty href; duplicates kept."""
-    df = pages.select("page_id", F.col("url").alias("source_url"), "site", mask_html(F.col("html")).alias("_m"))
+    found = F.transform(
+        numbered_tags("a", "link"),
+        lambda e: F.struct(e.alias("e"), attr(F.struct(attributes(e["raw"]).alias("attrs")), "href").alias("target_url")),
+    )
     rows = F.transform(
-        F.filter(link_tags(F.col("_m")), lambda e: F.coalesce(attr(e, "href"), F.lit("")) != ""),
-        lambda e, i: F.struct(i.alias("ord"), attr(e, "href").alias("target_url"), e["inner"].alias("inner")),
+        F.filter(found, lambda r: F.coalesce(r["target_url"], F.lit("")) != ""),
+        lambda r: F.struct(r["target_url"], F.when(r["e"]["tag"] == "a", text_of(r["e"])).otherwise(F.lit("")).alias("anchor_text")),
     )
-    out = df.select("page_id", "source_url", "site", F.explode(rows).alias("l"))
+    out = _page_tags(pages).select("page_id", F.col("url").alias("source_url"), "site", F.posexplode(rows).alias("ord", "l"))
     return out.select(
-        "page_id", "source_url", "site", "l.ord", "l.target_url", run_text(F.col("l.inner")).alias("anchor_text"),
+        "page_id", "source_url", "site", "ord", "l.target_url", "l.anchor_text",
         F.when(F.instr(F.col("l.target_url"), F.col("site")) > 0, F.lit("internal")).otherwise(F.lit("external")).alias("link_type"),
     )
 
@@ -327,7 +343,7 @@ def script_strings(html: Column) -> Column:
 
 def comment_bodies(html: Column) -> Column:
     no_code = F.regexp_replace(F.regexp_replace(html, SCRIPT_BLANK_RE, "$1$2"), STYLE_BLANK_RE, "$1$2")
-    return F.regexp_extract_all(no_code, F.lit(r"(?s)<!--(.*?)-->"), 1)
+    return F.regexp_extract_all(no_code, F.lit(r"(?s)<!--(.*?)(?:-->|\z)"), 1)
 
 
 def candidate_array(el: Column, html: Column) -> Column:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.lookups import SEO_DESCRIPTION_RANGE, SEO_MAX_PAGE_BYTES, SEO_MAX_SECONDS, SEO_TITLE_RANGE
 from sitelens.operators.elements import attr, has_attr, mask_html, of_tag, tags_in, title_text
-from sitelens.operators.extract import _first, el_col, h1_texts
+from sitelens.operators.extract import _first, el_col, with_h1
 from sitelens.sources.pages import page_bytes
 
 
 def seo(pages: DataFrame) -> DataFrame:
     masked = pages.withColumn("_m", mask_html(F.col("html")))
-    df = masked.withColumns({
+    df = with_h1(masked, "_m", "_h1").withColumns({
         "_title": title_text(F.col("_m")),
-        "_h1": h1_texts(F.col("_m")),
         "el": tags_in(F.col("_m"), "meta", "img", "a"),
     })
     title = F.col("_title")

@@ -26,6 +26,7 @@ def load_all() -> None:
     # Importing the plan modules fills the registry.
     from sitelens.plans import (  # noqa: F401
         composed_plans,
+        containment_plans,
         detail_plans,
         extract_plans,
         fetch_plans,

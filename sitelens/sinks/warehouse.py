@@ -27,7 +27,7 @@ def warehouse_tables(pages: DataFrame, subdomains: DataFrame | None = None) -> d
     """The table DataFrames (columns of the original DDL, plus ``site``)."""
     stored = pages.where(FT.is_html(F.coalesce("content_type", F.lit("text/html"))))
     facts = ["status_code", "content_type", "depth", "response_time", "fetched_at"]
-    carried = stored.withColumn("_h1", F.to_json(X.h1_texts(mask_html(F.col("html")))))
+    carried = X.with_h1(stored.withColumn("_m", mask_html(F.col("html"))), "_m", "_h1").withColumn("_h1", F.to_json("_h1"))
     urls = X.metadata(carried, keep=["_h1", F.octet_length("html").cast("bigint").alias("size"), *facts]).select(
         "site", "url", "status_code", "content_type", "size", "depth", "title", "description", "keywords",
         F.col("_h1").alias("h1_tags"), "response_time", F.col("fetched_at").alias("timestamp"),
