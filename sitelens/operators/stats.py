@@ -23,9 +23,9 @@ STAT_NAMES = [
 ]
 
 
-def page_fact_rows(pages: DataFrame) -> DataFrame:
+def page_fact_rows(pages: DataFrame, keep: tuple = ()) -> DataFrame:
     """One pass over each page's HTML: every fact the statistics need, as
-    ``(site, kind, value, n)`` rows. Distinct kinds carry the value; count kinds
+    ``(site, kind, value, n)`` rows, with the columns to ``keep``. Distinct kinds carry the value; count kinds
     carry ``n`` with a NULL value."""
     from sitelens.functions.lookups import EMAIL_PATTERN, PHONE_PATTERNS
     from sitelens.operators.elements import attr, of_tag
@@ -69,7 +69,7 @@ def page_fact_rows(pages: DataFrame) -> DataFrame:
         distinct_kind("endpoints", eps),
         distinct_kind("api", api),
     )
-    return p.select("site", F.explode(facts).alias("f")).select("site", "f.kind", "f.value", "f.n")
+    return p.select("site", *keep, F.explode(facts).alias("f")).select("site", *keep, "f.kind", "f.value", "f.n")
 
 
 FACT_TO_STAT = {
@@ -79,6 +79,45 @@ FACT_TO_STAT = {
 }
 
 
+# ---- facts and sketches that a run stores, so that later runs can be merged with it --------
+
+def count_facts(facts: DataFrame) -> DataFrame:
+    """(site, stat, value) of page facts (site, url, kind, value, n): the statistics of one run, or of the merged ones."""
+    per_value = facts.groupBy("site", "kind", "value").agg(F.sum("n").alias("n"))
+    per_kind = per_value.groupBy("site", "kind").agg(F.when(F.bool_or(F.col("value").isNull()), F.sum("n")).otherwise(F.count("value")).alias("value"))
+    return _named(per_kind)
+
+
+def sketch_facts(facts: DataFrame, lg_k: int = 12) -> DataFrame:
+    """(site, kind, sketch): an HLL sketch of 2^lg_k registers for each kind, whatever the number of pages. Counts are sketched
+    as the ordinals of each page's items, so that a page of two runs counts once. Bytes cannot be sketched."""
+    items = facts.where("kind <> 'bytes'").select(
+        "site", "kind",
+        F.explode(F.when(F.col("value").isNotNull(), F.array("value")).otherwise(
+            F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n")), lambda i: i > 0), lambda i: F.concat_ws(" ", i.cast("string"), "url"))
+        )).alias("item"),
+    )
+    return items.groupBy("site", "kind").agg(F.hll_sketch_agg("item", lg_k).alias("sketch"))
+
+
+def merge_sketches(*runs: DataFrame) -> DataFrame:
+    """The sketch of all runs together, of each site and kind."""
+    all_ = runs[0]
+    for run in runs[1:]:
+        all_ = all_.unionByName(run)
+    return all_.groupBy("site", "kind").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def count_sketches(sketches: DataFrame) -> DataFrame:
+    """(site, stat, value) as the sketches estimate them: with 2^lg_k registers the standard error is 1.04 / 2^(lg_k / 2)."""
+    return _named(sketches.select("site", "kind", F.hll_sketch_estimate("sketch").alias("value")))
+
+
+def _named(per_kind: DataFrame) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in FACT_TO_STAT.items() for x in pair])
+    return per_kind.select("site", F.element_at(names, F.col("kind")).alias("stat"), F.col("value").cast("long").alias("value"))
+
+
 def site_statistics(pages: DataFrame, subdomains: DataFrame | None = None, fetches: DataFrame | None = None,
                     peak_queue: DataFrame | None = None, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """The statistics block of the result document, per site.

@@ -4,11 +4,13 @@ One Spark job per level (at most ``max_depth`` + 1 levels):
 
     frontier ⋈ edges (on src)  →  distinct targets  →  anti-join the visited levels
 
-The distinct edges are written once below the shared checkpoint folder, and each level is a folder of
-one visited table, so plans stay flat, a lost executor costs a re-read, and Spark plans every level's
-joins from measured sizes: a small frontier is broadcast, otherwise a hub page's edges
-are split. Duplicate links are removed before edges are shuffled. The driver only sees
-per-level row counts; no URL is collected.
+The distinct edges are written once, as a table bucketed and sorted by source below the shared checkpoint folder: a level
+joins it in place, and only the frontier is shuffled (or broadcast while it is small). Each level is a folder of
+one visited table, so plans stay flat and a lost executor costs a re-read. A bucket holds whole pages, whose links their
+size bounds; equal targets are reduced before they are shuffled. The driver only sees per-level row counts; no URL is collected.
+
+Several domains are searched in one pass: seeds with a ``domain`` carry it along, each domain has its own visited set, and
+its links are kept by its own scope.
 
 Depth is the exact BFS minimum (the threaded original only approximates it).
 """
@@ -17,9 +19,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.session import ensure_checkpoint_dir, written
@@ -31,56 +34,79 @@ class Traversal:
 
     spark: SparkSession
     path: str
+    keys: tuple[str, ...] = ("url",)
     sizes: list[int] = field(default_factory=list)
 
     @property
     def visited(self) -> DataFrame:
-        """(url, depth) of all levels."""
-        return self.spark.read.schema("url string, depth int").parquet(self.path)
+        """(url, depth) of all levels, with the domain where there are several."""
+        return self.spark.read.schema(f"{self._columns()}, depth int").parquet(self.path)
+
+    def _columns(self) -> str:
+        return ", ".join(f"{k} string" for k in self.keys)
 
     @property
     def peak_frontier(self) -> int:
         return max(self.sizes) if self.sizes else 0
 
     def add(self, urls: DataFrame) -> DataFrame:
-        """Write ``urls(url)`` as the next level and return it, read back."""
+        """Write the keys in ``urls`` as the next level and return it, read back."""
         level = os.path.join(self.path, f"depth={len(self.sizes)}")
-        urls.select("url").write.parquet(level)
-        frontier = self.spark.read.schema("url string").parquet(level)
+        urls.select(*self.keys).write.parquet(level)
+        frontier = self.spark.read.schema(self._columns()).parquet(level)
         self.sizes.append(frontier.count())
         return frontier
 
 
 def prepare_edges(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst), written once. Equal links are reduced before the shuffle, and the
-    shuffle is by both ends, so a hub page's links lie in many tasks."""
-    return written(edges.select("src", "dst").where(F.col("dst").isNotNull()).distinct(), "edges")
+    """Distinct (src, dst) as a table bucketed and sorted by src. One shuffle, by src, serves the distinct rows, the
+    buckets and all levels; with as many buckets as shuffle partitions a join leaves it where it is."""
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sitelens_edges_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), name)
+    links = edges.select("src", "dst").where(F.col("dst").isNotNull()).repartition(buckets, "src").distinct()
+    links.write.bucketBy(buckets, "src").sortBy("src").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable: DataFrame | None = None,
-             prepared: bool = False) -> Traversal:
+             prepared: bool = False, in_scope: Callable[[Column, Column], Column] | None = None) -> Traversal:
     """BFS from ``seeds(url)`` over ``edges(src, dst)`` up to ``max_depth`` (inclusive).
 
     ``expandable(url)``, when given, limits which visited URLs emit links
     (fetched, HTML, allowed by robots, not a challenge page); the others are
     visited but are leaves, as in the original crawler. It is evaluated once.
+
+    Seeds (domain, url) start one search a domain: a page that several domains reach is visited by each at its own depth.
+    ``in_scope`` (target, domain) says which links a domain follows.
     """
     if expandable is not None:
         edges = edges.join(expandable.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
         prepared = False
     e = edges if prepared else prepare_edges(edges)
     spark = e.sparkSession
-    t = Traversal(spark, os.path.join(ensure_checkpoint_dir(spark), f"sitelens-visited-{uuid.uuid4().hex}"))
-    frontier = t.add(seeds.select("url").distinct())
+    keys = ("domain", "url") if "domain" in seeds.columns else ("url",)
+    t = Traversal(spark, os.path.join(ensure_checkpoint_dir(spark), f"sitelens-visited-{uuid.uuid4().hex}"), keys)
+    frontier = t.add(seeds.select(*keys).distinct())
     for _ in range(max_depth):
-        cand = frontier.join(e, frontier["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = t.add(cand.join(t.visited.select("url"), "url", "left_anti"))  # J1: candidates − visited
+        frontier = t.add(next_level(frontier, e, in_scope).join(t.visited.select(*keys), list(keys), "left_anti"))  # J1
         if t.sizes[-1] == 0:
             t.sizes.pop()
             break
     return t
 
 
+def next_level(frontier: DataFrame, edges: DataFrame, in_scope: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Distinct targets of the frontier's links (for each domain, those in its scope)."""
+    reached = frontier.join(edges, frontier["url"] == edges["src"])
+    if "domain" not in frontier.columns:
+        return reached.select(F.col("dst").alias("url")).distinct()
+    if in_scope is not None:
+        reached = reached.where(in_scope(F.col("dst"), F.col("domain")))
+    return reached.select("domain", F.col("dst").alias("url")).distinct()
+
+
 def new_per_page(edges: DataFrame, t: Traversal, max_depth: int) -> DataFrame:
     """Per expanded page, targets that were new when it was crawled
     (their BFS depth is one more than the page's)."""

@@ -175,14 +175,19 @@ def fetches_from_events(e: DataFrame) -> DataFrame:
 
 
 def tree_pages(spark, sf_dir: str) -> DataFrame:
-    """A binary tree of pages over ``part``: page k links to 2k+1 and 2k+2
-    (relative hrefs, one of them through ``./``) and back to the root."""
+    """A tree of pages over ``part``: with a fan-out f above the cube root of the pages, page k links to pages f*k+1 to
+    f*k+f (relative hrefs, every second one through ``./``) and back to the root, so that three steps from the root
+    reach every part."""
     p = read_table(spark, sf_dir, "part")
+    n = p.count()  # part keys are 0 to n-1
+    fan = int(n ** (1 / 3) + 1e-6) + 2
     k = F.col("p_partkey")
+    children = F.filter(F.sequence(fan * k + 1, fan * k + fan), lambda c: c < n)
+    link = lambda c: F.concat(
+        F.lit('<a href="'), F.when(c % 2 == 0, F.lit("./../")).otherwise(F.lit("../")), c.cast("string"), F.lit('/index.html">next</a>')
+    )
     html = F.concat(
-        F.lit("<html><head><title>"), F.col("p_name"), F.lit("</title></head><body>"),
-        F.lit('<a href="../'), (2 * k + 1).cast("string"), F.lit('/index.html">left</a>'),
-        F.lit('<a href="./../'), (2 * k + 2).cast("string"), F.lit('/index.html">right</a>'),
+        F.lit("<html><head><title>"), F.col("p_name"), F.lit("</title></head><body>"), F.array_join(F.transform(children, link), ""),
         F.lit('<a href="/t/0/index.html">home</a><a href="https://elsewhere.example.org/">out</a></body></html>'),
     )
     return conform_pages(

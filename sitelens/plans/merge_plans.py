@@ -203,20 +203,20 @@ def merge_statistics_recompute(spark, sf_dir):
 
 MERGE_PAGES_SQL = """
 SELECT 'https://www.shop.example.com/d/' || p_partkey AS url,
-       CASE WHEN p_partkey % 3 = 0 THEN 'New ' ELSE '' END || p_name || ' é&lt;→ A' AS title_text, 100 + p_partkey % 100 AS description_length
-FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0
+       CASE WHEN p_partkey % 3 <> 2 THEN 'New ' ELSE '' END || p_name || ' é&lt;→ A' AS title_text, 100 + p_partkey % 100 AS description_length
+FROM part
 """
 
 
 @register("merge_seo", MERGE_PAGES_SQL)
 def merge_seo(spark, sf_dir):
-    """U4: SEO facts of two runs by URL; pages of both runs keep the new facts (other titles)."""
+    """U4: SEO facts of two runs by URL that share a third of the pages and cover all; those keep the new facts (other titles)."""
     from sitelens.operators import seo as SEO
     from sitelens.plans.detail_plans import detail_pages
 
     p = detail_pages(spark, sf_dir)
-    old = SEO.seo(p.where(F.col("page_id") % 2 == 0))
-    new = SEO.seo(p.where(F.col("page_id") % 3 == 0).withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))))
+    old = SEO.seo(p.where(F.col("page_id") % 3 != 1))
+    new = SEO.seo(p.where(F.col("page_id") % 3 != 2).withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))))
     facts = ["url", "title_text", "description_length"]
     return M.overwrite_by_key(old.select(*facts), new.select(*facts), ["url"])
 

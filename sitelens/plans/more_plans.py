@@ -12,10 +12,10 @@ from sitelens.plans.compose import FILE_SAMPLES, SHOP, SOCIAL_SAMPLES, part_page
 from sitelens.plans.registry import register
 from sitelens.sources.pages import conform_pages
 
-CRAWL_SQL = f"""
-SELECT '{SHOP}/t/' || p_partkey || '/index.html' AS url, CAST(floor(log2(p_partkey + 1)) AS INTEGER) AS depth, p_partkey AS page_id
-FROM part WHERE floor(log2(p_partkey + 1)) <= 3
-"""
+# Page k of the tree lies at the depth that the fan-out f gives; three levels below the root hold all parts.
+TREE_CTE = """c AS (SELECT floor(count(*) ** (1.0 / 3) + 1e-6)::BIGINT + 2 AS f FROM part),
+tree AS (SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 0 WHEN p_partkey <= f THEN 1 WHEN p_partkey <= f + f * f THEN 2 ELSE 3 END AS depth FROM part, c)"""
+CRAWL_SQL = f"WITH {TREE_CTE} SELECT '{SHOP}/t/' || p_partkey || '/index.html' AS url, depth, p_partkey AS page_id FROM tree"
 
 
 @register("crawl_site", CRAWL_SQL)
@@ -28,16 +28,17 @@ def crawl_site(spark, sf_dir):
     return results.select("url", F.col("depth").cast("int").alias("depth"), "page_id")
 
 
-CRAWL_STATS_SQL = """
-SELECT 'shop.example.com' AS site, 1 + count(*) AS total_urls_visited, 1 + 2 * count(*) AS total_endpoints_found,
-       1 AS total_subdomains_found, count(*) FILTER (WHERE p_partkey >= 3) AS peak_queue_size
-FROM part WHERE p_partkey <= 6
+CRAWL_STATS_SQL = f"""
+WITH {TREE_CTE}, levels AS (SELECT depth, count(*) AS n FROM tree GROUP BY depth)
+SELECT 'shop.example.com' AS site, 1 + sum(n)::BIGINT AS total_urls_visited, sum(n)::BIGINT AS total_endpoints_found,
+       1::BIGINT AS total_subdomains_found, greatest(2, max(n))::BIGINT AS peak_queue_size
+FROM levels
 """
 
 
 @register("crawl_statistics", CRAWL_STATS_SQL)
 def crawl_statistics(spark, sf_dir):
-    """Domain → subdomains → seeds → crawl to depth 3 → statistics. The stored front page of the found
+    """Domain → subdomains → seeds → crawl to depth 4 → statistics. The stored front page of the found
     subdomain leads to the page tree; the bare domain is visited but not stored."""
     one = spark.range(1)
     front = conform_pages(one.select(
@@ -47,7 +48,7 @@ def crawl_statistics(spark, sf_dir):
     pages = tree_pages(spark, sf_dir).unionByName(front)
     domains = one.select(F.lit("shop.example.com").alias("site"))
     dns = one.select(F.lit("www.shop.example.com").alias("name"), F.lit("10.0.0.1").alias("ip"), F.lit(0).alias("pos"))
-    _, stats, _ = TR.crawl_domains(pages, domains, dns, max_depth=3)
+    _, stats, _ = TR.crawl_domains(pages, domains, dns, max_depth=4)
     names = ["total_urls_visited", "total_endpoints_found", "total_subdomains_found", "peak_queue_size"]
     return stats.select("site", *[F.col(c).cast("long").alias(c) for c in names])
 

@@ -31,6 +31,7 @@ def load_all() -> None:
         extract_plans,
         fetch_plans,
         keyword_plans,
+        link_plans,
         merge_plans,
         more_plans,
         queue_plans,

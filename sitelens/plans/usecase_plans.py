@@ -10,6 +10,7 @@ from sitelens.operators import fetch as FT
 from sitelens.operators import keywords as K
 from sitelens.operators import linkgraph as LG
 from sitelens.operators import merge as M
+from sitelens.operators import redirects as RD
 from sitelens.operators import stats as ST
 from sitelens.operators.seo import seo
 from sitelens.plans import sqlparts as S
@@ -62,25 +63,34 @@ def site_statistics(spark, sf_dir):
 
 
 BROKEN_SQL = f"""
-WITH {FETCH_CTE},
+WITH RECURSIVE {FETCH_CTE},
 l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) = 1),
-links AS (SELECT '/p/' || p_partkey AS source,
-                 'https://site' || (p_partkey % 5) || '.example.com/u/' || (p_partkey % 400) AS target FROM part)
-SELECT source, target, status_code, error_type,
+h AS (SELECT ts, event_id, unnest(redirects) AS src, unnest(list_append(redirects[2:], url)) AS dst FROM f WHERE len(redirects) > 0),
+nxt AS (SELECT src, dst FROM h WHERE true QUALIFY row_number() OVER (PARTITION BY src ORDER BY ts DESC, event_id DESC, dst DESC) = 1),
+links AS (SELECT '/p/' || p_partkey AS source, CASE WHEN p_partkey % 2 = 0 THEN 'https' ELSE 'http' END
+                 || '://site' || (p_partkey % 5) || '.example.com/u/' || (p_partkey % 400) || CASE WHEN p_partkey % 7 = 1 THEN '/' ELSE '' END AS target FROM part),
+walk(target, final, hops) AS (
+  SELECT DISTINCT target, target, 0 FROM links
+  UNION ALL SELECT target, dst, hops + 1 FROM walk JOIN nxt ON src = final WHERE hops < 20),
+ends AS (SELECT target, final, hops FROM walk QUALIFY row_number() OVER (PARTITION BY target ORDER BY hops DESC) = 1)
+SELECT source, links.target, final, hops::BIGINT AS hops, status_code, error_type,
        CASE WHEN url IS NULL THEN 'missing' WHEN error_type IS NOT NULL THEN 'error' ELSE 'status' END AS reason
-FROM links LEFT JOIN l ON url = target WHERE url IS NULL OR error_type IS NOT NULL OR status_code >= 400
+FROM links JOIN ends ON ends.target = links.target LEFT JOIN l ON url = final WHERE url IS NULL OR error_type IS NOT NULL OR status_code >= 400
 """
 
 
 @register("broken_links", BROKEN_SQL)
 def broken_links(spark, sf_dir):
-    """Links whose target was never fetched, or whose latest fetch failed or has an error status."""
+    """Links whose redirects end at a URL that was never fetched, or whose latest fetch failed or has an error status."""
     k = F.col("p_partkey")
-    links = read_table(spark, sf_dir, "part").select(
-        F.concat(F.lit("/p/"), k.cast("string")).alias("source"),
-        F.concat(F.lit("https://site"), (k % 5).cast("string"), F.lit(".example.com/u/"), (k % 400).cast("string")).alias("target"),
+    scheme = F.when(k % 2 == 0, F.lit("https")).otherwise(F.lit("http"))
+    target = F.concat(
+        scheme, F.lit("://site"), (k % 5).cast("string"), F.lit(".example.com/u/"), (k % 400).cast("string"), F.when(k % 7 == 1, F.lit("/")).otherwise(F.lit(""))
     )
-    return LG.broken_links(links, M.latest_wins(event_fetches(spark, sf_dir), "url", ["ts", "event_id"]))
+    links = read_table(spark, sf_dir, "part").select(F.concat(F.lit("/p/"), k.cast("string")).alias("source"), target.alias("target"))
+    fetches = event_fetches(spark, sf_dir)
+    targets = RD.final_targets(RD.next_hops(fetches))
+    return LG.broken_links(links, M.latest_wins(fetches, "url", ["ts", "event_id"]), targets)
 
 
 DEGREE_SQL = f"""
