@@ -14,11 +14,13 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,95 +28,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import store
+from sitelens.llm.common import byte_level, store
 
 #: Control characters that ``str.split`` takes for white space and the tokenizer does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class Generations:
-    """A bounded memory: at most ``size`` young entries; when they are full they become the old ones, and the
-    old ones that nobody asked for again are forgotten."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        """What of ``wanted`` has to be computed; the rest is young after this call."""
-        absent = wanted - self.young.keys()
-        if absent and len(self.young) + len(absent) > self.size:
-            self.old, self.young = self.young, {}
-            absent = wanted
-        out = []
-        for w in absent:
-            known = self.old.get(w)
-            if known is None:
-                out.append(w)
-            else:
-                self.young[w] = known
-        return out
-
-
 class WordIds:
-    """Token ids of texts as little-endian uint32 bytes, remembered by word and by piece of a word.
+    """Token ids of texts as little-endian uint32 bytes, remembered by word.
+
+    The tokenizer never joins tokens across white space, so a text's ids are the ids of its words in turn; and it
+    cuts words into runs of letters, single digits and runs of signs before it looks for tokens. New plain words (ASCII and
+    Latin letters) are cut here the same way, many at once, and merged by ``tiktoken`` with the same vocabulary: a sign
+    that plain words never hold (``MARK``) ends each run and stands for the end-of-word mark, whose merges come first.
+    Other words, texts with special tokens, and vocabularies built otherwise go through the tokenizer as they are.
 
-    The tokenizer never joins tokens across white space, so a text's ids are the ids of its
-    words in turn; and it cuts words into runs of letters, single digits and runs of signs before it looks
-    for tokens. Plain words (ASCII and Latin letters) are cut here the same way, and pieces not seen
-    before are encoded many at a time: each piece ends with a token that carries the end-of-word mark.
-    All other words, and texts with special tokens, go through the tokenizer as they are."""
+    At most ``words`` words are young; when they are full they become the old ones, and the old ones that nobody asked
+    for again are forgotten."""
 
-    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+    MARK = "\x7f"
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e ]*")
+    RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]| |[^ a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 
-    def __init__(self, path: str, words: int = 450_000, pieces: int = 350_000):
+    def __init__(self, path: str, words: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = Generations(words), Generations(pieces)
+        self.size = words
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # special tokens are found in the raw text, across word edges: such texts go through whole
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.fast, self.gap = self._marked()
+
+    def _marked(self):
+        """(encoder of marked runs, id of a marked space), or (None, 0) where the vocabulary does not allow it."""
+        import tiktoken
+
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
+        merges = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in json.loads(self.tokenizer.to_str())["model"]["merges"]]
+        byte_of = byte_level()
+        ranks: dict[bytes, int] = {}
+        for token, i in vocabulary.items():
+            ends = token.endswith("</w>")
+            stem = token[:-4] if ends else token
+            if not all(c in byte_of for c in stem):
+                return None, 0
+            ranks.setdefault(bytes(byte_of[c] for c in stem) + self.MARK.encode() * ends, i)
+        # single bytes, then single bytes that end a word, then merges in their order
+        ordered = merges == sorted(merges) and merges[0] >= 512 and all(ranks.get(bytes([b]) + self.MARK.encode(), 512) < 512 for b in range(256))
+        if not ordered or len(ranks) != len(vocabulary):
+            return None, 0
+        fast = tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks=ranks, special_tokens={})
+        return fast, ranks[b" " + self.MARK.encode()]
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str], at_once: int = 1_000) -> None:
+    def _plain(self, some: list[str]) -> None:
+        """Learn plain words."""
+        ids = np.array(self.fast.encode_ordinary(self.MARK.join([*self.RUN.findall(" ".join(some).lower()), ""])), "<u4")
+        ends = (np.flatnonzero(ids == self.gap) * 4).tolist()
+        data = ids.tobytes()
+        self.young.update((w, data[a:b]) for w, a, b in zip(some, [0, *[e + 4 for e in ends]], [*ends, len(data)]))
+
+    def _learn(self, wanted: set[str], at_once: int = 5_000) -> None:
+        """All of ``wanted`` are young after this call."""
+        absent = wanted - self.young.keys()
+        if absent and len(self.young) + len(absent) > self.size:
+            self.old, self.young = self.young, {}
+            absent = wanted
+        if self.old:
+            again = absent & self.old.keys()
+            self.young.update((w, self.old[w]) for w in again)
+            absent = absent - again
+        new = list(absent)
         for k in range(0, len(new), at_once):
             some = new[k : k + at_once]
-            [encoded] = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-            if len(ends) != len(some):  # a tokenizer without end-of-word marks
-                self.pieces.young.update((w, self.direct(w)) for w in some)
-                continue
-            data = ids.tobytes()
-            self.pieces.young.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
-
-    def _cut(self, word: str) -> list[str] | None:
-        """The pieces of a plain word, as the tokenizer cuts it; None for any other word."""
-        if word.isascii():  # most words: letters, perhaps with one sign at the end
-            if word.isalpha():
-                return [word.lower()]
-            if word[:-1].isalpha() and word[-1] in ".,!?;:)":
-                return [word[:-1].lower(), word[-1]]
-        return self.PIECE.findall(word.lower()) if self.PLAIN.fullmatch(word) else None
-
-    def _learn(self, new: list[str]) -> None:
-        plain = {w: parts for w in new if (parts := self._cut(w)) is not None}
-        wanted = set()
-        wanted.update(*plain.values())
-        self._learn_pieces(self.pieces.missing(wanted))
-        piece, word = self.pieces.young, self.words.young
-        for w, parts in plain.items():
-            word[w] = piece[parts[0]] if len(parts) == 1 else b"".join([piece[p] for p in parts])
-        for w in new:
-            if w not in plain:
-                word[w] = self.direct(w)
+            if self.fast is not None and not self.PLAIN.fullmatch(" ".join(some)):
+                odd = [w for w in some if not self.PLAIN.fullmatch(w)]
+                some = [w for w in some if self.PLAIN.fullmatch(w)]
+            else:
+                odd, some = ([], some) if self.fast is not None else (some, [])
+            for w in odd:
+                self.young[w] = self.direct(w)
+            if some:
+                self._plain(some)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text of a batch."""
@@ -128,23 +127,28 @@ class WordIds:
                 words = text.split()
                 wanted.update(words)
                 out.append(words)
-        self._learn(self.words.missing(wanted))
-        known = self.words.young.__getitem__
+        self._learn(wanted)
+        known = self.young.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(known, x)) for x in out]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str, words: int) -> WordIds:
+    """A worker's memory: it outlives a task, so that later ones need not learn again."""
+    return WordIds(path, words)
+
+
 def tokenize(
-    docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False,
-    words: int = 450_000, pieces: int = 350_000,
-) -> DataFrame:
+    docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, words: int = 450_000
+) -> DataFrame:
     """One row a piece: key, piece, start, length, ids_crc32 and, on request, ``ids`` (array<int>).
-    ``words`` and ``pieces`` bound what a worker remembers (some 300 bytes each, twice)."""
+    ``words`` bounds what a worker remembers (some 200 bytes each, twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids, end = WordIds(tokenizer, words, pieces), struct.pack("<I", end_id)
+        ids_of, end = word_ids(tokenizer, words), struct.pack("<I", end_id)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, data in enumerate(word_ids(batch.column(1).to_pylist())):
+            for i, data in enumerate(ids_of(batch.column(1).to_pylist())):
                 data += end
                 for p, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
@@ -198,55 +202,122 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Bin:
+    """Items by length, and the lengths that one item or two items have, as bits."""
+
+    def __init__(self, items: list[int], lengths: list[int]):
+        self.by_length: dict[int, list[int]] = {}
+        self.size, self.one, self._two = 0, 0, None
+        for i in items:
+            self.put(lengths[i], i)
+
+    def put(self, length: int, item: int) -> None:
+        self.by_length.setdefault(length, []).append(item)
+        self.size += length
+        self.one |= 1 << length
+        self._two = None
+
+    def take(self, length: int) -> int:
+        held = self.by_length[length]
+        item = held.pop()
+        if not held:
+            del self.by_length[length]
+            self.one ^= 1 << length
+        self.size -= length
+        self._two = None
+        return item
+
+    @property
+    def two(self) -> int:
+        if self._two is None:
+            self._two = 0
+            for length, held in self.by_length.items():
+                others = self.one if len(held) > 1 else self.one ^ (1 << length)
+                self._two |= others << length
+        return self._two
+
+    def pair(self, total: int) -> tuple[int, int]:
+        """Lengths of two items that have ``total`` together."""
+        for length, held in self.by_length.items():
+            other = total - length
+            if other in self.by_length and (other != length or len(held) > 1):
+                return length, other
+        raise KeyError(total)
+
+    def items(self) -> list[int]:
+        return [i for held in self.by_length.values() for i in held]
+
+
+def best_exchange(donor: Bin, receiver: Bin, free: int) -> tuple[int, tuple, tuple]:
+    """(gain, lengths to give, lengths to take) that bring the receiver the most tokens, at most ``free``: a move, one
+    for one, two for one or one for two; (0, (), ()) if none brings any. Lengths, not items, are searched, so
+    the work is bounded by the distinct lengths, however many items the bins hold."""
+    room = (1 << (free + 1)) - 2  # bits 1 to free
+    gain, kind, at = (donor.one & room).bit_length() - 1, 0, 0
+    for y in receiver.by_length:
+        if gain == free:
+            break
+        found = ((donor.one >> y) & room).bit_length() - 1
+        if found > gain:
+            gain, kind, at = found, 1, y
+        found = ((donor.two >> y) & room).bit_length() - 1
+        if found > gain:
+            gain, kind, at = found, 2, y
+    if gain < free:
+        for x in donor.by_length:  # two of the receiver's that are shorter than x, by as much as fits
+            low = max(x - free, 0)
+            fitting = receiver.two >> low
+            total = low + (fitting & -fitting).bit_length() - 1
+            if fitting and gain < x - total:
+                gain, kind, at = x - total, 3, x
+                if gain == free:
+                    break
+    if gain <= 0:
+        return 0, (), ()
+    if kind == 0:
+        return gain, (gain,), ()
+    if kind == 1:
+        return gain, (gain + at,), (at,)
+    if kind == 2:
+        return gain, donor.pair(gain + at), (at,)
+    return gain, (at,), receiver.pair(at - gain)
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Dissolve underfull bins: the emptiest bin gives its tokens to fuller ones by moves, one-for-one and
-    two-for-one exchanges, each of which increases the sum of squared fills. A bin that can give
-    nothing more is settled; the search ends when all underfull bins are."""
-    size = [sum(lengths[i] for i in b) for b in bins]
-    lively = {b for b in range(len(bins)) if size[b] < capacity}
-    while len(lively) > 1:
-        donor = min(lively, key=lambda b: (size[b], b))
-        others = sorted((b for b in lively if b != donor), key=lambda b: (-size[b], b))
-        if not _improve(donor, others, bins, size, lengths, capacity):
-            lively.remove(donor)
-            continue
-        lively -= {b for b in (donor, *others) if size[b] in (0, capacity)}
-    return [b for b in bins if b]
-
-
-def _improve(donor: int, others: list[int], bins: list[list[int]], size: list[int], lengths: list[int], capacity: int) -> bool:
-    """One step that takes tokens from the donor: the largest gain over the fuller bins, fullest first."""
-    mine = bins[donor]
-    pairs = [(lengths[a] + lengths[b], a, b) for i, a in enumerate(mine) for b in mine[i + 1 :]] if len(mine) <= 64 else []
-    for b in others:
-        free, best = capacity - size[b], (0, (), ())
-        for x in mine:  # moves
-            if best[0] < lengths[x] <= free:
-                best = (lengths[x], (x,), ())
-        if best[0] < free:
-            theirs = sorted(bins[b], key=lambda i: lengths[i])
-            for y in theirs:
-                for x in mine:  # one for one
-                    if best[0] < (gain := lengths[x] - lengths[y]) <= free:
-                        best = (gain, (x,), (y,))
-                for two, x1, x2 in pairs:  # two of the donor's for one
-                    if best[0] < (gain := two - lengths[y]) <= free:
-                        best = (gain, (x1, x2), (y,))
-            if len(theirs) <= 64:
-                for i, y1 in enumerate(theirs):
-                    for y2 in theirs[i + 1 :]:
-                        both = lengths[y1] + lengths[y2]
-                        for x in mine:  # one of the donor's for two
-                            if best[0] < (gain := lengths[x] - both) <= free:
-                                best = (gain, (x,), (y1, y2))
-        gain, give, take = best
-        if gain:
-            bins[donor] = [i for i in mine if i not in give] + list(take)
-            bins[b] = [i for i in bins[b] if i not in take] + list(give)
-            size[donor] -= gain
-            size[b] += gain
-            return True
-    return False
+    """Dissolve underfull bins: the emptiest bin gives its tokens to fuller ones by moves, one-for-one, two-for-one and
+    one-for-two exchanges, each of which increases the sum of squared fills. A bin that can give nothing is settled, until
+    some other bin has changed; the search ends when no bin can give anything to a fuller one."""
+    held = [Bin(b, lengths) for b in bins]
+    changed = [0] * len(held)  # when a bin was last changed
+    settled = [-1] * len(held)  # when a bin was last found to give nothing
+    clock, before = 0, -1
+    while clock > before:
+        before = clock
+        under = sorted((b for b in range(len(held)) if 0 < held[b].size < capacity), key=lambda b: (-held[b].size, b))
+        for d in reversed(under):  # the emptiest gives first
+            start = -1
+            while clock > start and 0 < held[d].size < capacity:
+                start = clock
+                for b in under:  # to the fullest that can take
+                    # what has not changed since this bin was settled need not be tried again
+                    if b != d and (changed[b] > settled[d] or changed[d] > settled[d]) and held[d].size <= held[b].size < capacity:
+                        clock += _exchange(held, changed, clock + 1, d, b, capacity)
+            settled[d] = clock
+    return [h.items() for h in held if h.size]
+
+
+def _exchange(held: list[Bin], changed: list[int], clock: int, d: int, b: int, capacity: int) -> bool:
+    """The best exchange between donor d and receiver b, if there is one."""
+    gain, give, take = best_exchange(held[d], held[b], capacity - held[b].size)
+    if not gain:
+        return False
+    given, taken = [(n, held[d].take(n)) for n in give], [(n, held[b].take(n)) for n in take]
+    for n, item in given:
+        held[b].put(n, item)
+    for n, item in taken:
+        held[d].put(n, item)
+    changed[d] = changed[b] = clock
+    return True
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:

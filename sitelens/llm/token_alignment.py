@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import broadcast_within, store
+from sitelens.llm.common import broadcast_within, byte_level, store
 
 GATHERED = 1 << 22  # entries (of 13 bytes) of the pair table that travel to the tasks
 STOPS = ".,;:!?"
@@ -44,14 +44,6 @@ LONG = 64  # characters of a stretch that is still remembered
 # ---- tokens and their bytes ------------------------------------------------------------------
 
 
-def byte_level() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 bytes stand for
-    themselves, the others for the code points from 256 on, in order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class SideA:
     """A byte-level BPE of the ``tokenizers`` library. Text of Latin letters, digits and signs, on whose classes all versions
     of Unicode agree, goes through the faster ``tiktoken`` with the same vocabulary, if its ids rise as its merges do."""

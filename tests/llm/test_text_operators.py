@@ -400,7 +400,7 @@ def test_round_trip_of_ids(spark, documents):
 
 
 def test_word_memory_is_bounded():
-    ids = packing.WordIds(PATH, words=40, pieces=30)
+    ids = packing.WordIds(PATH, words=40)
     tokenizer = Tokenizer.from_file(PATH)
     odd = ["It's 'tis don't I'll !'s ''s 12,5 a1b2 _x_ __ é'É", "ŉ ĸ Ŀ ſtop İı ß ẞ ΣΑΣ ﬁ 漢字 🎉 a\u0301 \u00aa\u00b2 x\u00b5", "%%% *** a&&&"]
     for i in range(20):
@@ -439,6 +439,45 @@ def test_local_search_dissolves_bins():
         assert all(sum(lengths[i] for i in b) <= 64 for b in after)
 
 
+def test_marked_runs_equal_the_tokenizer():
+    """Every entry of the vocabulary, as a word, gets the tokenizer's ids without it."""
+    ids, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    assert ids.fast is not None
+    words = [w for w in (t.removesuffix("</w>") for t in tokenizer.get_vocab()) if w.isascii() and "<|" not in w][::7]
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert ids(words) == [struct.pack(f"<{len(e)}I", *e) for e in want]
+
+
+def test_exchanges_of_bins_with_many_items():
+    """Bins of 200 items: the same gain as trying all moves and exchanges."""
+    rng = np.random.default_rng(3)
+    for n, free in ((200, 7), (200, 40), (5, 9), (3, 30), (1, 5)):
+        lengths = rng.integers(1, 50 if n > 100 else 30, 2 * n).tolist()
+        mine, theirs = list(range(n)), list(range(n, 2 * n))
+        one = [(lengths[x], (x,)) for x in mine]
+        two = {lengths[x] + lengths[y] for i, x in enumerate(mine) for y in mine[i + 1 :]}
+        other = {lengths[x] + lengths[y] for i, x in enumerate(theirs) for y in theirs[i + 1 :]}
+        gains = {g for g, _ in one} | {g - lengths[y] for g, _ in one for y in theirs} | {t - lengths[y] for t in two for y in theirs}
+        gains |= {g - t for g, _ in one for t in other}
+        best = max((g for g in gains if 0 < g <= free), default=0)
+        gain, give, take = packing.best_exchange(packing.Bin(mine, lengths), packing.Bin(theirs, lengths), free)
+        assert gain == best == sum(give) - sum(take)
+
+
+def test_settled_bins_come_back():
+    """No exchange between any two bins is left at the end, and 200 short items a bin are no hindrance."""
+    rng = np.random.default_rng(5)
+    lengths = [*rng.integers(1, 4, 800).tolist(), *rng.integers(150, 300, 30).tolist()]
+    end = packing.pack_lengths(lengths, 400)
+    assert max(map(len, end)) > 64 and len(end) == -(-sum(lengths) // 400)
+    lengths = rng.integers(100, 180, 300).tolist()
+    bins = [packing.Bin(b, lengths) for b in packing.pack_lengths(lengths, 400)]
+    for d in bins:
+        for b in bins:
+            if b is not d and d.size <= b.size < 400:
+                assert packing.best_exchange(d, b, 400 - b.size)[0] == 0
+
+
 def test_empty_tables(spark, documents, sf):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
