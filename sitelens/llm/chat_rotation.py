@@ -4,7 +4,7 @@ For every participant of a conversation the dialogue is rendered with that speak
 others as named users; only the assistant's words are trained on. The result has one row for each
 message and perspective, so no conversation is ever gathered: a conversation that holds a third of
 all messages is spread like any other rows. The rows of a perspective in the order of ``turn`` (ties by
-name, then text) are the dialogue; ``rendered`` holds a message with its header and end mark, and
+speaker, then text, which are the same in every perspective) are the dialogue; ``rendered`` holds a message with its header and end mark, and
 ``mask_start`` and ``mask_end`` the characters of it that count for the loss (equal: none).
 
 Cases: rows of a null conversation form one conversation of their own; a null speaker is rendered as the
@@ -22,7 +22,7 @@ BEGIN, FINISH = "<|im_start|>", "<|im_end|>\n"
 
 
 def rotate(messages: DataFrame, conv: str, turn: str, speaker: str, text: str, system: tuple[str, ...] = ("system",)) -> DataFrame:
-    """conv, perspective, turn, role, name, rendered, mask_start, mask_end, loss.
+    """conv, perspective, turn, speaker, role, name, rendered, mask_start, mask_end, loss.
 
     Participants are reduced to distinct (conversation, speaker) pairs before the shuffle. The messages
     meet them in a plain join by conversation, whose skewed side Spark splits."""
@@ -47,6 +47,7 @@ def rotate(messages: DataFrame, conv: str, turn: str, speaker: str, text: str, s
         F.col("conv").alias(conv),
         "perspective",
         F.col("turn").alias(turn),
+        "speaker",
         "role",
         "name",
         F.concat("header", "text", F.lit(FINISH)).alias("rendered"),
@@ -63,7 +64,7 @@ def dialogues(rotated: DataFrame, conv: str, turn: str, max_messages: int = 2_00
     size = rotated.groupBy(F.col(conv).alias("of"), F.col("perspective").alias("by")).agg(F.count("*").alias("n"))
     fits = size.filter(F.col("n") <= max_messages)
     rows = rotated.join(fits, F.col(conv).eqNullSafe(F.col("of")) & (F.col("perspective") == F.col("by")), "left_semi")
-    parts = F.sort_array(F.collect_list(F.struct(turn, "name", "rendered", "mask_start", "mask_end")))
+    parts = F.sort_array(F.collect_list(F.struct(turn, "speaker", "rendered", "mask_start", "mask_end")))
     lines = rows.groupBy(conv, "perspective").agg(parts.alias("parts"))
     walked = F.aggregate(
         "parts",

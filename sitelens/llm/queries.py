@@ -49,12 +49,12 @@ def query(name: str, sql: str | None = None):
     people AS (SELECT DISTINCT conv_id AS of, speaker AS perspective FROM said
                WHERE speaker IS NOT NULL AND speaker <> 'system'),
     cast_ AS (
-      SELECT conv_id, perspective, turn, text,
+      SELECT conv_id, perspective, turn, speaker, text,
              CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
              CASE WHEN coalesce(speaker, '') NOT IN ('system', perspective) THEN coalesce(speaker, 'unknown') END AS name
       FROM said JOIN people ON conv_id IS NOT DISTINCT FROM of),
     headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS header FROM cast_)
-    SELECT conv_id, perspective, turn, role, name, header || text || '<|im_end|>' || chr(10) AS rendered,
+    SELECT conv_id, perspective, turn, speaker, role, name, header || text || '<|im_end|>' || chr(10) AS rendered,
            length(header)::BIGINT AS mask_start,
            (CASE WHEN role = 'assistant' THEN length(header) + length(text) + 10 ELSE length(header) END)::BIGINT AS mask_end,
            role = 'assistant' AS loss

@@ -229,7 +229,7 @@ def brute_rotation(rows):
                 head = f"<|im_start|>{role}{' name=' + name if name else ''}\n"
                 whole = head + (text or "") + "<|im_end|>\n"
                 end = len(whole) - 1 if role == "assistant" else len(head)
-                out.append((conv, person, turn, role, name, whole, len(head), end, role == "assistant"))
+                out.append((conv, person, turn, s, role, name, whole, len(head), end, role == "assistant"))
     return sorted(out, key=str)
 
 
@@ -251,12 +251,24 @@ def test_whole_dialogues(spark):
     assert (1, "ann") not in {(r.conv_id, r.perspective) for r in chat_rotation.dialogues(rotated, "conv_id", "turn", 5).collect()}
 
 
+def test_every_perspective_has_one_order(spark):
+    """Messages of one turn, by two speakers and of equal text, stand in the same order for both; so they do in a long talk."""
+    rows = [(1, 5, "zoe", "b"), (1, 5, "ann", "z"), (1, 5, "zoe", "a"), (1, 5, "ann", "b"), (1, 5, None, "q"), (1, 5, "system", "s")]
+    rows += [(2, i // 3, "abc"[i * 7 % 3], f"m{i}") for i in range(1_900)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    rotated = chat_rotation.rotate(talk, "conv_id", "turn", "role", "text")
+    for conv, people in ((1, ["zoe", "ann"]), (2, ["a", "b", "c"])):
+        said = [(t, s is not None, s or "", x) for c, t, s, x in rows if c == conv]
+        want = [x for *_, x in sorted(said)]
+        for r in chat_rotation.dialogues(rotated.filter(F.col("conv_id") == conv), "conv_id", "turn").collect():
+            assert r.perspective in people
+            assert re.findall(r"\n(.*)<\|im_end\|>", r.rendered) == want
+
+
 # ---- pipeline
 
 
 def test_pipeline_stages(spark, documents, sf):
-    rng = np.random.default_rng(0)
-    del rng
     base = prose(400, 5)
     item = prose(40, 300)
     good = [(i, prose(60 + i % 40, i)) for i in range(120)]

@@ -408,7 +408,7 @@ def test_word_memory_is_bounded():
         want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert ids(texts) == [struct.pack(f"<{len(e)}I", *e) for e in want]
         distinct = {w for t in texts for w in (t or "").split()}
-        assert len(ids.words.young) <= max(40, len(distinct))
+        assert len(ids.young) <= max(40, len(distinct))
 
 
 def test_groups_meet_again(spark):
