@@ -2,11 +2,13 @@
 
 One pass over the markup builds the tree of block elements. Each paragraph-like block gives points
 for its length and commas, discounted by its share of link text: all of them to its container,
-half to the next ancestor, a third to the one above, and so on. The container with most points wins;
+half to the next ancestor, a third to the one above, and so on for REACH ancestors. The container with most points wins;
 if an ``article``, else a ``main`` or an element with a whole name of CONTENT encloses it, that is taken
 whole. Siblings of few links are kept with it, whatever their length; beside an article only those that score well. Menus, headers, footers, side bars, notices, adverts, forms, scripts
-and reader comments are cut out of the tree by their element or by the names in class, id and role; names never cut
-``article``, ``main`` or an element with a whole name of CONTENT, nor a ``main`` inside what they cut.
+and reader comments are cut out of the tree by their element or by the names in class, id and role. Names never cut
+``article``, ``main`` or an element with a whole name of CONTENT, nor a ``main`` inside what they cut; and a word that is only
+a part of a name (sidebar-right, nav-fixed, menu-open) says little of a container that holds most of the page's unlinked text, or
+an article or first heading: that stays. A pass over the tree takes time in proportion to its elements, however deep they lie.
 
 Cases: null and empty html give an empty text; unclosed, mis-nested and cut-off markup is closed the
 way browsers do it (a new paragraph ends the open one, an end tag without a start is ignored); repeated
@@ -57,19 +59,26 @@ CONTENT = frozenset("article content main post story entry text body".split())
 STATES = frozenset("no not non with without has have is hide show category tag format layout template".split())
 
 
+REACH = 32  # ancestors that a block's points reach
+MOST = 0.75  # share of the page's unlinked text whose container no part of a name cuts
+
+
 class Node:
-    __slots__ = ("tag", "parent", "cut", "firm", "score", "depth", "good", "marked", "chars", "linked")
+    __slots__ = ("tag", "parent", "cut", "named", "holds", "out", "score", "depth", "good", "marked", "chars", "linked", "place")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, good: bool):
         self.tag, self.parent, self.cut, self.good = tag, parent, cut, good
         self.marked, self.chars, self.linked = False, 0, 0.0  # main or content by its name; text below and its links
-        self.firm = False  # cut by an element, not only by a name
+        self.named = 0  # marked as no main text by a part of its name (1) or a whole name (2)
+        self.holds = tag in ("article", "main", "h1")  # has an article or first heading
+        self.out = False  # by its name, or by that of an element around it
+        self.place: Node | None = None  # best container, or the child of the one above it, that holds this node
         self.score = 0.0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """(cut out, hinted as content, marked as content) for an element."""
+def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, int, bool, bool]:
+    """(cut out by its element; by its names: 0 no, 1 by a part of one, 2 by a whole one; hinted as content; marked as content)."""
     words, names = set(), set()
     if "=" in attrs:
         for m in NAMED.finditer(attrs):
@@ -79,12 +88,13 @@ def is_cut(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
                 words.update(() if len(parts) > 1 and parts[0] in STATES else parts)
     good = bool(words & CONTENT) or tag in ("article", "main")
     if tag in ("html", "body"):
-        return False, good, False
+        return False, 0, good, False
     if tag in CUT or (tag == "header" and not in_article):
-        return True, False, False
+        return True, 0, False, False
     if tag in ("article", "main") or names & CONTENT:
-        return False, True, True
-    return bool(words & ALWAYS) or bool(words & MAYBE and not good), good, False
+        return False, 0, True, True
+    bad = ALWAYS if good else ALWAYS | MAYBE
+    return False, 2 if names & bad else 1 if words & bad else 0, good, False
 
 
 class Page:
@@ -92,8 +102,10 @@ class Page:
 
     def __init__(self, html: str, by_name: bool = True):
         self.root = Node("html", None, False, False)
+        self.nodes = [self.root]  # parents before children
         self.blocks: list[tuple[Node, str, float]] = []
         self.open = [self.root]
+        self.count: dict[str, int] = {}  # open elements by tag
         self.parts: list[str] = []
         self.linked = 0
         self.link = False
@@ -125,11 +137,19 @@ class Page:
                 self.blocks.append((self.open[-1], text, min(self.linked / len(text), 1.0)))
             self.parts, self.linked = [], 0
 
+    def drop(self, i: int) -> None:
+        """Close the open elements from number i on."""
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
+
     def close_to(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 self.flush()
-                del self.open[i:]
+                self.drop(i)
                 return
             if self.open[i].tag in stops:
                 return
@@ -144,11 +164,14 @@ class Page:
         if tag == "a":
             self.link = True
         block = tag in BLOCKS or tag in CUT
-        if not block and "=" not in attrs:
-            return
-        cut, good, marked = is_cut(tag, attrs if by_name else "", any(n.tag in ("article", "main") for n in self.open))
-        if not block and not cut:
+        if not block and ("=" not in attrs or "-" in tag):
             return
+        in_article = bool(self.count.get("article") or self.count.get("main"))
+        cut, named, good, marked = is_cut(tag, attrs if by_name else "", in_article)
+        if not block:  # a span or link inside a block: nothing of it is in the running text
+            cut, named = bool(named), 0
+            if not cut:
+                return
         if block:
             self.flush()
             self.close_to(("p",), ())
@@ -160,42 +183,64 @@ class Page:
         if tag in ("html", "body"):
             return
         top = self.open[-1]
-        node = Node(tag, top, cut or top.cut and (tag != "main" or top.firm), good)
-        node.marked = marked
-        node.firm = top.firm or cut and (tag in CUT or tag == "header")
+        node = Node(tag, top, cut or top.cut, good)
+        node.marked, node.named = marked, named
+        self.nodes.append(node)
         self.open.append(node)
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def ended(self, tag: str) -> None:
         if tag == "a":
             self.link = False
-        if tag in ("html", "body"):
+        if tag in ("html", "body") or not self.count.get(tag):
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 if tag in BLOCKS or tag in CUT:
                     self.flush()
-                del self.open[i:]
+                self.drop(i)
                 return
             if tag in LEAVES and self.open[i].tag not in LEAVES | {"ul", "ol", "dl"} and not self.open[i].cut:
                 return
 
+    def sums(self) -> None:
+        """Text and link text below each node, from the leaves up."""
+        for node in self.nodes:
+            node.chars, node.linked = 0, 0.0
+        for node, text, links in self.blocks:
+            node.chars += len(text)
+            node.linked += len(text) * links
+        for node in reversed(self.nodes):
+            if node.parent:
+                node.parent.chars += node.chars
+                node.parent.linked += node.linked
+                node.parent.holds |= node.holds and not node.cut
+
+    def leave_out(self) -> None:
+        """Drop the blocks of elements whose names say that they are no main text."""
+        if not any(node.named for node in self.nodes):
+            return
+        self.sums()
+        most = MOST * (self.root.chars - self.root.linked)
+        for node in self.nodes[1:]:
+            bad = node.named == 2 or node.named == 1 and node.chars - node.linked <= most and not node.holds
+            node.out = bad or node.parent.out and node.tag != "main"
+        self.blocks = [b for b in self.blocks if not b[0].out]
+
     def score(self) -> None:
+        self.sums()
         for node, text, links in self.blocks:
-            above = node
-            while above:
-                above.chars += len(text)
-                above.linked += len(text) * links
-                above = above.parent
             if node.tag in HEADINGS:
                 continue
             points = (len(text) / 100 + text.count(",")) * (1 - links)
             node = node.parent if node.tag in LEAVES and node.parent else node
             share = 1
-            while node:
+            while node and share <= REACH:
                 node.score += points / share * (1.25 if node.good else 1)
                 node, share = node.parent, share + 1
 
     def main(self) -> str:
+        self.leave_out()
         self.score()
         nodes = {}
         for node, _, _ in self.blocks:
@@ -212,17 +257,20 @@ class Page:
             node = node.parent
         articles = [n for n in around if n.tag == "article"]
         best = next(iter(articles or [n for n in around if n.marked and n.tag not in LEAVES]), best)
+        for node in self.nodes:  # parents first
+            beside = node.parent is not None and node.parent is best.parent
+            node.place = node if node is best or beside else node.parent.place if node.parent else None
         kept = []
         for node, text, links in self.blocks:
-            inner, below = node, None
-            while inner and inner is not best and inner is not best.parent:
-                inner, below = inner.parent, inner
-            if inner is best or inner is best.parent and inner and self.sibling(best, below, node, text, links):
+            if node.place is best:
                 kept.append(text)
+            elif node.place or node is best.parent:
+                if self.sibling(best, node.place, text, links):
+                    kept.append(text)
         return "\n".join(kept)
 
     @staticmethod
-    def sibling(best: Node, below: Node | None, node: Node, text: str, links: float) -> bool:
+    def sibling(best: Node, below: Node | None, text: str, links: float) -> bool:
         """Is a block beside the best container kept? ``below`` is the sibling that holds it, if any."""
         if below is not None and below.tag in HEADINGS:
             return best.tag != "article"

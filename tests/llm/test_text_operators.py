@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -347,6 +348,89 @@ def test_short_sections_stay_with_the_long_one():
     assert main_text.main_text(f"<body><div>{menu}{inner}</div>").split("\n") == want
 
 
+ARTICLE = "".join(f"<p>Sentence {i}, with some words, that tell a story of {i} things.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        '<div class="container sidebar-right">', '<div id=wrapper class="nav-fixed">', '<div class="page menu-open">',
+        '<main class="content with-sidebar">', '<article class="post has-comments">', '<section class="widget-area-1 full">',
+    ],
+)
+def test_a_part_of_a_name_cuts_no_article(start):
+    end = f"</{re.match('<([a-z]+)', start)[1]}>"
+    menu = '<nav><a href="/">Home</a></nav><div class="ad">Buy this now, really.</div>'
+    junk = '<div class="comment-list"><p>First!</p></div><div class="sidebar-box"><p>More to read, and more.</p></div><div class=comments><p>I, too, agree, and how.</p></div>'
+    want = "\n".join(f"Sentence {i}, with some words, that tell a story of {i} things." for i in range(12))
+    for head in ("", "<h1>Title</h1>"):
+        page = f"<body>{menu}{start}{head}{ARTICLE}{junk}{end}<p>Copyright</p><footer>Foot</footer></body>"
+        lines = main_text.main_text(page).split("\n")
+        assert "\n".join(x for x in lines if x not in ("Title", "Copyright")) == want
+        assert not head or "Title" in lines
+
+
+def test_long_reader_comments_stay_out():
+    talk = "".join(f"<p>I think, as reader {i}, that this, and that, are quite wrong, and so on, and on.</p>" for i in range(60))
+    for name in ('class="comments"', "id=comments", 'class="comment"', "id=disqus"):
+        page = f"<body><div><h1>Title</h1>{ARTICLE}</div><section {name}>{talk}</section></body>"
+        assert "reader" not in main_text.main_text(page) and "Sentence 3," in main_text.main_text(page)
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<section class=x>", "<blockquote>", "<ul><li>", "<b class=y>", "<p>", "<table><tr><td>"])
+def test_deep_pages_take_linear_time(tag):
+    page = (tag + "x, y ") * 20_000
+    start = time.process_time()
+    text = main_text.main_text(page)
+    assert time.process_time() - start < 4 and "x, y" in text
+
+
+def test_an_article_page_equals_a_second_reading():
+    """Pages of the driver's kind, against the standard library's parser: blocks of the article, in order."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines, self.now = 0, [], []
+
+        def end_block(self):
+            if text := " ".join("".join(self.now).split()):
+                self.lines.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "li", "article", "ul"):
+                self.end_block()
+            if tag == "article":
+                self.inside += 1
+            if tag == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "li", "article", "ul"):
+                if not self.inside:
+                    self.now = []
+                self.end_block()
+            if tag == "article":
+                self.inside -= 1
+
+        def handle_data(self, data):
+            if self.inside:
+                self.now.append(data)
+
+    rng = np.random.default_rng(2)
+    for i in range(60):
+        parts = [f"<p>{prose(int(rng.integers(3, 60)), i * 50 + k)}</p>" for k in range(int(rng.integers(1, 12)))]
+        parts += rng.choice(["<ul><li>one &amp; two<li>three</ul>", "<p><b>bold, </b>and<br>more", "<h2>Part &#65;</h2>"], 2).tolist()
+        rng.shuffle(parts)
+        page = f"<html><head><title>t</title><script>var x='<p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class=ad>Buy, buy, buy.</div><article><h1>Head {i}</h1>{''.join(parts)}</article><aside>Side</aside><footer>&copy; me</footer></body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert main_text.main_text(page).split("\n") == plain.lines
+
+
 def test_main_text_query(spark, sf):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE), (None, "w", "<p>" + "word, " * 20_000)]
     from pyspark.sql import functions as F
