@@ -89,7 +89,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     # workers that served the earlier stages have less memory to spare than a fresh one
-    pieces = packing.tokenize(docs, "doc_id", "text", path, end_id=1, capacity=4096, words=250_000)
+    pieces = packing.tokenize(docs, "doc_id", "text", path, end_id=1, capacity=4096, words=100_000)
     return packing.pack(pieces, capacity=4096)
 
 

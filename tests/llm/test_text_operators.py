@@ -163,6 +163,32 @@ def test_kneser_ney_model(spark, documents):
         assert got[packed] == pytest.approx(np.log(p), abs=1e-9)
 
 
+def test_junk_teaches_the_model_nothing(spark, documents):
+    """Half the texts hold signs at every word: the model rests on the others, unseen grams back off, and the bands reject them all."""
+    good = [(i, prose(100 + 3 * i, i)) for i in range(40)]
+    bad = [(500 + i, " ".join(w + "%*#"[i % 3] * 3 for w in prose(100 + i, i).split())) for i in range(40)]
+    bad += [(600 + i, " | ".join(prose(100 + i, 90 + i).split())) for i in range(20)]
+    short = [(700, "too short ###"), (701, "again " * 100)]
+    docs = documents(good + bad + short)
+    counts = perplexity.gram_counts(docs, "text", share=0.01).cache()
+    got = {r.gram: r.logp for r in perplexity.kneser_ney(counts, counts).collect()}
+    want = brute_kneser_ney([t for _, t in good])
+    packed = lambda g: (lambda x: x - (1 << 64) if x >= 1 << 63 else x)(sum(u << 16 * (3 - i) for i, u in enumerate(g)))
+    assert all(got[packed(g)] == pytest.approx(np.log(p), abs=1e-9) for g, p in want.items())
+    assert len(got) > len(want) and max(lp for lp in got.values()) <= 0
+    unseen = [lp for g, lp in got.items() if g not in {packed(g) for g in want}]
+    assert np.mean(unseen) < np.mean([got[packed(g)] for g in want]) - 2
+    kept = {r.doc_id: r.kept for r in perplexity.judge(docs).collect()}
+    assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad + short)
+
+
+def test_reference_texts():
+    text = prose(100, 3).encode()
+    assert perplexity.is_reference(text) and not perplexity.is_reference(text[:60]) and not perplexity.is_reference(b"")
+    assert not perplexity.is_reference(text + b" ###### $$$$ %%%") and perplexity.is_reference(text + b" #")
+    assert not perplexity.is_reference(text * 3)
+
+
 def test_perplexity_bands(spark, documents):
     rng = np.random.default_rng(0)
     noise = " ".join("".join(map(chr, rng.integers(33, 127, 6))) for _ in range(400))
