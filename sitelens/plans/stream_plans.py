@@ -57,8 +57,7 @@ def stream_counts(spark, sf_dir):
     out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
     recs = FT.ok_rows(fetches_from_events(ST.file_stream(spark, src, schema, 1)))
     with session_conf(spark, STATE_CONF):
-        ST.counts_stream(recs, ["site", "status_code"], out, ck)
-    return ST.current(spark, out, ["site", "status_code"])
+        return ST.counts_stream(recs, ["site", "status_code"], out, ck).current()
 
 
 @register("stream_upsert", UPSERT_SQL)
@@ -68,32 +67,29 @@ def stream_upsert(spark, sf_dir):
     out, ck = scratch_path(spark, "upsert-out"), scratch_path(spark, "upsert-ck")
     recs = fetches_from_events(ST.file_stream(spark, src, schema, 1)).select("url", "event_id", "status_code", "ts", "content_type", "error_type")
     with session_conf(spark, STATE_CONF):
-        ST.upsert_stream(recs, out, ck, prepare=ST.html_latest)
-    return ST.current(spark, out, ["url"], ["ts", "event_id"]).select("url", "event_id", "status_code", "ts")
+        urls = ST.upsert_stream(recs, out, ck, prepare=ST.html_latest)
+    return urls.current().select("url", "event_id", "status_code", "ts")
 
 
 PROGRESS_SQL = f"""
-WITH {FETCH_CTE}, s AS (SELECT *, event_id % {N_FILES} AS slice FROM f)
-SELECT slice, count(*) AS rows, count(DISTINCT url) AS keys FROM s GROUP BY slice
+WITH {FETCH_CTE}, s AS (SELECT *, event_id % {N_FILES} AS slice FROM f),
+first AS (SELECT url, min(slice) AS slice FROM s GROUP BY url)
+SELECT slice, count(*) AS rows, count(DISTINCT url) AS keys, (SELECT count(*) FROM first WHERE first.slice = s.slice) AS new_urls FROM s GROUP BY slice
 """
 
 
 @register("stream_progress", PROGRESS_SQL)
 def stream_progress(spark, sf_dir):
-    """One progress row per micro-batch. Arrival slices are fixed by the event id, one folder and so one
-    stream step each; the rows are the same whatever order the batches came in."""
+    """One progress row per micro-batch, with the URLs that no earlier batch had. Arrival slices are fixed by the event
+    id, one folder and so one stream step each."""
     e = read_table(spark, sf_dir, "events")
     src = scratch_path(spark, "progress-src")
     out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
-    made = None
     for k in range(N_FILES):
         e.where(F.col("event_id") % N_FILES == k).write.mode("append").parquet(os.path.join(src, f"slice={k}"))
         with session_conf(spark, STATE_CONF):
-            ST.progress_stream(fetches_from_events(ST.file_stream(spark, src, e.schema)), out, ck)
-        step = spark.read.schema("rows long, keys long").parquet(os.path.join(out, f"batch_id={k}"))
-        step = step.select(F.lit(k).cast("long").alias("slice"), "rows", "keys")
-        made = step if made is None else made.unionByName(step)
-    return made
+            progress = ST.progress_stream(fetches_from_events(ST.file_stream(spark, src, e.schema)), out, ck)
+    return progress.current().select(F.col("batch_id").alias("slice"), "rows", "keys", "new_urls")
 
 
 @register("stream_resume", f"WITH {FETCH_CTE} SELECT DISTINCT url FROM f")
@@ -137,8 +133,7 @@ def stream_keyword_counts(spark, sf_dir):
     pages = ST.file_stream(spark, src, schema, 1).withColumn("site", site_of(F.col("url")))
     toks = K.page_tokens(pages).select("site", "keyword")
     with session_conf(spark, STATE_CONF):
-        ST.counts_stream(toks, ["site", "keyword"], out, ck)
-    return ST.current(spark, out, ["site", "keyword"]).withColumnRenamed("n", "frequency")
+        return ST.counts_stream(toks, ["site", "keyword"], out, ck).current().withColumnRenamed("n", "frequency")
 
 
 TYPE_ERR_SQL = f"""
@@ -157,5 +152,62 @@ def stream_type_error_counts(spark, sf_dir):
         "site", F.when(F.col("error_type").isNull(), FT.content_type_base(F.col("content_type"))).alias("content_type"), "error_type"
     )
     with session_conf(spark, STATE_CONF):
-        ST.counts_stream(recs, ["site", "content_type", "error_type"], out, ck)
-    return ST.current(spark, out, ["site", "content_type", "error_type"])
+        return ST.counts_stream(recs, ["site", "content_type", "error_type"], out, ck).current()
+
+
+EXPIRY_SQL = f"""
+WITH {FETCH_CTE}, day AS (SELECT DISTINCT url, ts::DATE AS day FROM f)
+SELECT url, day FROM day
+"""
+
+
+@register("stream_dedupe_daily", EXPIRY_SQL)
+def stream_dedupe_daily(spark, sf_dir):
+    """X1 with expiry: each URL once a day. Records arrive day by day; the key holds the day, and the state drops the
+    keys of days that the watermark has passed, so it stays as large as a few days' URLs."""
+    recs = fetches_from_events(read_table(spark, sf_dir, "events")).select("url", F.col("ts").cast("timestamp").alias("at"))
+    recs = recs.withColumn("day", F.to_date("at"))
+    src = scratch_path(spark, "daily-src")
+    # one file an arrival slice of some days, in the order of time
+    recs.repartitionByRange(N_FILES, "day").sortWithinPartitions("at").write.parquet(src)
+    out, ck = scratch_path(spark, "daily-out"), scratch_path(spark, "daily-ck")
+    stream = ST.file_stream(spark, src, recs.schema, 1).withColumn("daily", F.struct("url", "day"))
+    with session_conf(spark, STATE_CONF):
+        ST.dedupe_stream(stream, out, ck, key="daily", watermark=("at", "31 days"))
+    return spark.read.parquet(out).select("url", "day")
+
+
+QUEUE_SQL = f"""
+WITH {S.pages_cte()}
+SELECT site AS domain, count(*) AS pages, 'completed' AS status, 1::BIGINT AS attempts FROM pg GROUP BY site
+"""
+
+
+@register("queue_resumed", QUEUE_SQL)
+def queue_resumed(spark, sf_dir):
+    """A queue of all sites, processed some domains at a time. The run breaks off half-way, and a second one goes on from the
+    ledger: together they do what one run does, each domain once."""
+    from sitelens.sources.pages import load_pages
+    from sitelens.sources.queue import number_rows
+    from sitelens.streaming import queue_run as QR
+
+    pages = load_pages(spark, sf_dir).select("site", "url")
+    queue = number_rows(pages.select(F.col("site").alias("domain")).distinct(), ["domain"])
+    half = queue.count() // 2
+    path = scratch_path(spark, "queue-run")
+    tries = []
+
+    def crawl(domains):
+        tries.append(domains.count())
+        if sum(tries) > half and len(tries) < 100:
+            tries.extend([0] * 100)
+            raise ConnectionError("the run breaks off")
+        return pages.join(domains, F.col("site") == F.col("domain")).select("domain", "url")
+
+    try:
+        QR.process_queue(queue, crawl, path, per_step=max(half // 2, 1))
+    except ConnectionError:
+        pass
+    run = QR.process_queue(queue, crawl, path, per_step=max(half // 2, 1))
+    found = run.results(spark.createDataFrame([], "domain string, url string").schema).groupBy("domain").agg(F.count("*").alias("pages"))
+    return run.ledger().groupBy("domain", "status").agg(F.count("*").alias("attempts")).join(found, "domain").select("domain", "pages", "status", "attempts")

@@ -49,23 +49,30 @@ def warehouse_tables(pages: DataFrame, subdomains: DataFrame | None = None) -> d
     }
 
 
-def write_rows(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def write_rows(df: DataFrame, path: str, mode: str = "append", run: int | None = None) -> DataFrame:
     """S10 + S11: append (or overwrite) one table, ids going on from the largest stored one.
-    Returns the rows' frame for its schema."""
+    With a ``run`` number the rows are that run's part of the table: written once more, they replace themselves,
+    with ids that go on from the runs before. Returns the rows' frame for its schema."""
     spark, start = df.sparkSession, 1
     if mode == "append" and path_exists(spark, path):
-        stored = spark.read.schema("id long").parquet(path)
+        stored = spark.read.schema("id long" if run is None else "id long, run int").parquet(path)
+        if run is not None:
+            stored = stored.where(F.col("run") < run)
         start = (stored.agg(F.max("id")).first()[0] or 0) + 1  # one scalar
     numbered = with_ids(df, start)
-    write_table(numbered, path, mode=mode)
+    write_table(numbered, path if run is None else os.path.join(path, f"run={run}"), mode=mode if run is None else "overwrite")
     return numbered
 
 
-def write_warehouse(pages: DataFrame, path: str, mode: str = "overwrite", subdomains: DataFrame | None = None) -> dict:
-    """Write all tables under ``path/<table>``; returns their schemas (with the
-    bucket column) for reading back."""
+def write_warehouse(
+    pages: DataFrame, path: str, mode: str = "overwrite", subdomains: DataFrame | None = None, run: int | None = None
+) -> dict:
+    """Write all tables under ``path/<table>``, or the part of run ``run``; returns their schemas (with the
+    bucket column, and the run's) for reading back."""
     schemas = {}
     for name, df in warehouse_tables(pages, subdomains).items():
-        written = write_rows(df, os.path.join(path, name), mode)
+        written = write_rows(df, os.path.join(path, name), mode, run)
         schemas[name] = written.schema.add("site_bucket", IntegerType()) if "site" in written.columns else written.schema
+        if run is not None:
+            schemas[name] = schemas[name].add("run", IntegerType())
     return schemas

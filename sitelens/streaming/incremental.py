@@ -4,15 +4,17 @@ Pages or fetch records arrive as files; each query runs with
 ``trigger(availableNow=True)`` and a checkpoint location, so it processes what
 is there, stops, and resumes exactly where it left off on the next run.
 
-* X1 ``dedupe_stream``    – at-most-once per URL: ``dropDuplicates`` on the URL
-  (state grows like the visited set; ``dropDuplicatesWithinWatermark`` bounds it).
-* X2 ``counts_stream``    – running histograms (status codes) in update mode; each batch
-  writes its changed counts under its own number.
-* X3 ``upsert_stream``    – keyed last-write-wins replace of the ``urls`` table: each
-  batch writes its latest row per URL under its own number; ``current`` reads the table.
-* X4 ``progress_stream``  – one progress row per micro-batch.
+* X1 ``dedupe_stream``    – at-most-once per URL: ``dropDuplicates`` on the URL (state grows like the visited
+  set), or with a watermark ``dropDuplicatesWithinWatermark``, whose state holds the keys of that time only.
+  State lives in RocksDB with changelog checkpoints, so a batch saves what it changed and not all keys.
+* X2 ``counts_stream``    – running histograms (status codes) in update mode; a batch replaces its
+  changed counts in a keyed table.
+* X3 ``upsert_stream``    – keyed last-write-wins replace of the ``urls`` table, bucket by bucket.
+* X4 ``progress_stream``  – one progress row per micro-batch: rows, keys and URLs never seen before.
 * X5 resume              – rerunning a query on the same checkpoint picks up
-  only new files.
+  only new files. Queues resume by their ledger (``queue_run``).
+
+Keyed tables (``sinks.keyed``) take a batch by its number: a retried batch replaces what its first try wrote.
 """
 
 from __future__ import annotations
@@ -25,6 +27,14 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import fetch as FT
 from sitelens.operators import merge as M
+from sitelens.session import session_conf, written
+from sitelens.sinks.keyed import KeyedTable, overwrite_keys, replace_by_key
+
+#: state store of every stateful query here; fixed when a checkpoint is created
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -33,66 +43,81 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def run_available(writer, checkpoint: str) -> None:
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_available(spark: SparkSession, writer, checkpoint: str) -> list[dict]:
+    """Run what has arrived to its end. Returns (batch_id, rows, state_rows) of each micro-batch: ``state_rows`` is what the
+    stateful operators hold after it."""
+    with session_conf(spark, STATE_STORE):
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover
         raise q.exception()
+    return [
+        {"batch_id": p["batchId"], "rows": p["numInputRows"], "state_rows": sum(o["numRowsTotal"] for o in p["stateOperators"])}
+        for p in q.recentProgress
+    ]
 
 
 def dedupe_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url",
-                  watermark: tuple[str, str] | None = None) -> None:
-    """The first record of each key is emitted, whole."""
+                  watermark: tuple[str, str] | None = None) -> list[dict]:
+    """The first record of each key is emitted, whole. With a ``watermark`` (time column, delay) a key is forgotten once
+    the watermark has passed its time, so the state holds the keys of that span and not of all time."""
     if watermark is not None:
         records = records.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
     else:
         records = records.dropDuplicates([key])
-    run_available(records.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    return run_available(records.sparkSession, records.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
 
 
-def counts_stream(records: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Running counts. Each micro-batch appends the counts that changed under its own number (update
-    mode), so a retried batch replaces itself and no batch rewrites the others; ``current`` reads
-    the latest count of each key."""
+def counts_stream(records: DataFrame, keys: list[str], out: str, checkpoint: str, buckets: int = 16) -> KeyedTable:
+    """Running counts. Each micro-batch replaces the counts that changed (update mode) in a keyed table."""
     counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    run_available(counts.writeStream.outputMode("update").foreachBatch(_numbered(out)), checkpoint)
-
-
-def _numbered(out: str, change: Callable[[DataFrame], DataFrame] | None = None):
-    """A sink that writes each micro-batch to the partition of its number and to no other."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = change(batch) if change is not None else batch
-        rows.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
-
-    return sink
-
-
-def current(spark: SparkSession, out: str, keys: list[str], order_cols: list[str] = ()) -> DataFrame:
-    """The table behind a numbered sink: for each key the row of its last batch (or greatest
-    ``order_cols``)."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    return M.latest_rows(rows, keys, [*order_cols, "batch_id"]).drop("batch_id")
-
-
-def upsert_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url",
-                  order_cols=("ts", "event_id"), prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Keyed replace, last write wins. A micro-batch reduces to its latest row per key and is
-    written under its number; ``current`` merges on reading."""
-
-    def change(batch: DataFrame) -> DataFrame:
-        return M.latest_wins(prepare(batch) if prepare is not None else batch, key, list(order_cols))
-
-    run_available(records.writeStream.foreachBatch(_numbered(out, change)), checkpoint)
-
-
-def progress_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url") -> None:
-    """Per micro-batch (batch_id, rows, distinct keys); a retried batch writes the same row again in place."""
-
-    def change(batch: DataFrame) -> DataFrame:
-        return batch.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"))
-
-    run_available(records.writeStream.foreachBatch(_numbered(out, change)), checkpoint)
+    table = KeyedTable(records.sparkSession, out, counts.schema, keys, buckets)
+    sink = lambda batch, number: table.put(batch, number, _null_safe(keys))
+    run_available(records.sparkSession, counts.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
+    return table
+
+
+def _null_safe(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Counts of keys with null parts: the larger count is the later one."""
+    return lambda held, rows: held.unionByName(rows).groupBy(*keys).agg(F.max("n").alias("n"))
+
+
+def upsert_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url", order_cols=("ts", "event_id"),
+                  prepare: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 16) -> KeyedTable:
+    """Keyed replace, last write wins. A micro-batch reduces to its latest row per key and is merged into
+    the buckets that it touches."""
+    order = list(order_cols)
+    table = KeyedTable(records.sparkSession, out, records.schema, [key], buckets)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        table.put(M.latest_wins(prepare(batch) if prepare is not None else batch, key, order), number, replace_by_key([key], order))
+
+    run_available(records.sparkSession, records.writeStream.foreachBatch(sink), checkpoint)
+    return table
+
+
+def progress_stream(records: DataFrame, out: str, checkpoint: str, key: str = "url", buckets: int = 16) -> KeyedTable:
+    """(batch_id, rows, keys, new_urls) of each micro-batch. New keys are those that no earlier batch stored; they are written
+    to the visited table. A retried batch counts and writes the same again."""
+    spark = records.sparkSession
+    visited = KeyedTable(spark, os.path.join(out, "visited"), f"{key} string", [key], buckets)
+    progress = KeyedTable(spark, os.path.join(out, "progress"), "batch_id long, rows long, keys long, new_urls long", ["batch_id"], 1)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        # the batch is read once; what is counted afterwards are its distinct keys
+        keys = written(batch.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "batch-keys")
+        _, held = visited.touched(keys, number)
+        known = held.select(F.col(key).alias("_held"))
+        marked = written(keys.join(known, F.col(key).eqNullSafe(F.col("_held")), "left").select(key, "n", F.col("_held").isNull().alias("new")), "batch-new")
+        made = marked.agg(
+            F.lit(number).cast("long").alias("batch_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("keys"),
+            F.count_if("new").alias("new_urls"),
+        )
+        visited.put(marked.where("new").select(key), number, lambda held, those: held.unionByName(those))
+        progress.put(made, number, overwrite_keys(["batch_id"]))
+
+    run_available(spark, records.writeStream.foreachBatch(sink), checkpoint)
+    return progress
 
 
 def html_latest(batch: DataFrame) -> DataFrame:
