@@ -111,10 +111,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit AS (SELECT rid, count(DISTINCT pos) AS n_hit
             FROM (SELECT rid, unnest(range(s, s + n)) AS pos FROM found) GROUP BY rid),
     named AS (SELECT rid, count(DISTINCT item_id) AS n_items,
-                     string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY rid)
+                     string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY rid),
+    -- proximity: places by the rarest two terms at which another of the rarest three is close, then all terms counted
+    words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+    win AS (SELECT p, row_number() OVER () AS wid FROM (SELECT DISTINCT p FROM phrases)),
+    freq AS (SELECT word, count(*) AS freq FROM words GROUP BY word),
+    ranked AS (SELECT wid, len(p) AS n, t.off, t.word, coalesce(freq, 0) AS freq,
+                      row_number() OVER (PARTITION BY wid ORDER BY coalesce(freq, 0) = 0, freq, t.off) AS rank
+               FROM (SELECT wid, p, unnest(p) AS word, generate_subscripts(p, 1) - 1 AS off FROM win) t LEFT JOIN freq USING (word)),
+    cand AS (SELECT rid, wid, n, rank, pos - off AS start FROM ranked JOIN words USING (word) WHERE rank <= 2),
+    place AS (SELECT DISTINCT c.rid, c.wid, c.n, c.start FROM cand c
+              LEFT JOIN ranked r ON r.wid = c.wid AND r.rank <= 3 AND r.rank > c.rank
+              LEFT JOIN words x ON x.rid = c.rid AND x.word = r.word AND abs(x.pos - (c.start + r.off)) <= 3
+              WHERE x.pos IS NOT NULL OR (c.n = 1 AND c.rank = 1)),
+    near AS (SELECT p.rid, p.wid, p.n, p.start, count(DISTINCT r.off) AS terms FROM place p JOIN ranked r USING (wid)
+             JOIN words x ON x.rid = p.rid AND x.word = r.word AND abs(x.pos - (p.start + r.off)) <= 3
+             GROUP BY ALL HAVING count(DISTINCT r.off) >= p.n - 2 AND count(DISTINCT r.off) >= least(p.n, 2)),
+    exactly AS (SELECT DISTINCT rid, wid FROM found JOIN phrases USING (item_id) JOIN win USING (p)
+                JOIN d USING (rid) WHERE d.w[found.s + 1:found.s + found.n] = p),
+    only_near AS (SELECT DISTINCT rid, wid FROM near ANTI JOIN exactly USING (rid, wid)),
+    close AS (SELECT rid, count(DISTINCT wid) AS n_near, count(DISTINCT item_id) AS n_near_items,
+                     string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS near_items
+              FROM only_near JOIN win USING (wid) JOIN phrases USING (p) GROUP BY rid)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-    FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near,
+           coalesce(n_near_items, 0)::BIGINT AS n_near_items, sha256(coalesce(near_items, '')) AS near_sha256
+    FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid) LEFT JOIN close USING (rid)
     """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +148,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"),
     )
 
 

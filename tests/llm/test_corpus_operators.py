@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,14 +151,88 @@ def test_decontamination_query(spark, documents, sf):
     assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
 
 
-def test_proximity(spark, documents):
+def brute_near(texts, items, slop=3, missing=2, window=10):
+    """Of each text the windows with a place near which all but ``missing`` terms stand, two of the three rarest among
+    them, and which it does not hold exactly."""
+    cut = lambda t: [w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
+    docs = [cut(t) for t in texts]
+    count = Counter(w for d in docs for w in d)
+    wins = {}
+    for item, t in items:
+        w = cut(t)
+        for i in range(max(len(w) - window, 0) + 1 if w else 0):
+            wins.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+    out = []
+    for d in docs:
+        at = {}
+        for i, w in enumerate(d):
+            at.setdefault(w, []).append(i)
+        found = set()
+        for win in wins:
+            n = len(win)
+            order = sorted((count[w] == 0, count[w], off, w) for off, w in enumerate(win))
+            rare = [(off, w) for none, _, off, w in order[:3] if not none]
+            close = lambda off, w, s: any(abs(x - s - off) <= slop for x in at.get(w, []))  # noqa: E731, B023
+            places = set()
+            for k, (off, w) in enumerate(rare[:2]):
+                for s in (x - off for x in at.get(w, [])):
+                    if n == 1 or any(close(o, v, s) for o, v in rare[k + 1 :]):
+                        places.add(s)
+            held = any(tuple(d[s : s + n]) == win for s in places if s >= 0)
+            near = any((t := sum(close(o, w, s) for o, w in enumerate(win))) >= n - missing and t >= min(n, 2) for s in places)
+            if near and not held:
+                found.add(win)
+        out.append((len(found), sorted({i for w in found for i in wins[w]})))
+    return out
+
+
+def test_proximity_equals_brute_force(spark, documents):
+    """Words inserted, dropped, replaced and moved: the matches of plain Python, and one changed word is always found."""
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(400)]
+    items = [(k, " ".join(rng.choice(pool, int(n)))) for k, n in enumerate([10, 14, 10, 30, 10, 4, 2, 1])]
+    texts, single = [], []
+    for k, (_, item) in enumerate(items[:5]):
+        words = item.split()[:10]
+        for i in range(10):
+            around = rng.choice(pool, 30).tolist()
+            for kind in ("replace", "drop", "insert", "move", "two"):
+                w = list(words)
+                if kind == "replace":
+                    w[i] = "zz"
+                elif kind == "drop":
+                    del w[i]
+                elif kind == "insert":
+                    w.insert(i or 5, "yy")
+                elif kind == "move":
+                    w.insert((i + 2) % 9, w.pop(i))
+                else:
+                    w[i], w[(i + 3) % 10] = "p", "q"
+                texts.append(" ".join(around[:15] + w + around[15:]))
+                single.append((kind, k))
+    texts += [t for _, t in items] + ["", None, "w1 w1 w1 " * 30, " ".join(rng.choice(pool, 3_000))]
+    want = brute_near(texts, items)
+    df = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_near, r.near_items) for r in decontaminate.report(docs, df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    hit = {kind: [str(k) in want[i][1] for i, (x, k) in enumerate(single) if x == kind] for kind in ("replace", "drop", "insert", "move", "two")}
+    assert all(np.mean(hit[k]) == 1 for k in ("replace", "drop", "insert", "move")) and np.mean(hit["two"]) > 0.8, {k: np.mean(v) for k, v in hit.items()}
+
+
+def test_matches_have_place_and_kind(spark, documents):
     prepare(spark)
     item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
-    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (9, item)], "item_id long, text string")
     w = item.split()
-    texts = {1: item, 2: " ".join(w[:4] + ["um"] + w[4:]), 3: " ".join(reversed(w)), 4: " ".join(w[:5] + ["x"] * 9 + w[5:]), 5: "x"}
+    texts = {1: "x y " + item, 2: " ".join(w[:4] + ["um"] + w[4:]), 3: " ".join(reversed(w)), 4: " ".join(w[:5] + ["x"] * 9 + w[5:]), 5: "x"}
+    rows = decontaminate.find(documents(list(texts.items())), items).collect()
+    assert {(r.item, r.kind, r.start, r.n_words, r.terms) for r in rows if r.doc_id == 1} == {(i, "exact", 2, 10, 10) for i in ("1", "9")}
+    near = {(r.item, r.kind, r.terms) for r in rows if r.doc_id == 2}
+    assert near == {("1", "near", 10), ("9", "near", 10)} and all(abs(r.start) <= 1 for r in rows if r.doc_id == 2)
+    assert {r.doc_id for r in rows} == {1, 2}
     got = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.report(documents(list(texts.items())), items).collect()}
-    assert got[1] == (10, 1) and got[2] == (0, 1) and got[4][0] == 0 and got[5] == (0, 0) and got[3][0] == 0
+    assert got == {1: (10, 0), 2: (0, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
 
 
 def test_decontamination_of_empty_tables(spark, documents, sf):
