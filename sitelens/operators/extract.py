@@ -21,6 +21,7 @@ from sitelens.functions.lookups import (
     SOCIAL_PLATFORMS,
     TECH_FINGERPRINTS,
 )
+from sitelens.functions.patterns import literals_of, names_matched
 from sitelens.functions.text import decode_entities
 from sitelens.functions.urls import in_scope, resolve
 from sitelens.operators.containment import HEADINGS, attributes, contained, numbered_tags, text_of
@@ -177,16 +178,17 @@ def _a_hrefs(el: Column | None = None) -> Column:
     return F.filter(of_tag(el, "a"), lambda e: has_attr(e, "href"))
 
 
-def social_links(pages: DataFrame) -> DataFrame:
+def social_links(pages: DataFrame, platforms: list[tuple[str, str]] = SOCIAL_PLATFORMS) -> DataFrame:
+    """Every anchor's link by platform, by (platform, pattern) ``platforms``; a link may match several."""
     anchors = F.filter(tags_of(pages, "a"), lambda e: has_attr(e, "href"))
     links = pages.select("page_id", "url", "site", F.explode(F.transform(anchors, lambda e: attr(e, "href"))).alias("href"))
     # Resolve once in its own projection: expressions holding higher-order
     # functions are not shared by subexpression elimination, and the resolved
     # link is tested against every platform.
     resolved = links.select("page_id", "url", "site", resolve(F.col("url"), F.col("href")).alias("link"))
-    full = F.col("link")
-    hits = F.array_compact(F.array(*[F.when(full.rlike("(?i)" + p), F.lit(name)) for name, p in SOCIAL_PLATFORMS]))
-    return resolved.select("page_id", "url", "site", "link", F.explode(hits).alias("platform"))
+    hits = F.array_compact(F.array(*names_matched(F.col("link"), F.col("_low"), platforms)))
+    low = resolved.withColumn("_low", F.lower("link"))
+    return low.select("page_id", "url", "site", "link", F.explode(hits).alias("platform"))
 
 
 # ---- E13, E14: forms and fields (J11: field → enclosing form by position) ------------
@@ -294,23 +296,24 @@ def json_ld(pages: DataFrame) -> DataFrame:
 
 # ---- E18: downloadable files (J9 ordered first match) ----------------------------
 
-def file_type(href: Column) -> Column:
+def file_type(href: Column, extensions: list[str] = FILE_EXTENSIONS) -> Column:
+    """The first of ``extensions`` that the link contains, without its dot; null if none."""
     low = F.lower(href)
-    expr = None
-    for ext in FILE_EXTENSIONS:
+    expr = F.when(F.lit(False), F.lit(""))
+    for ext in extensions:
         cond = low.contains(ext)
-        expr = F.when(cond, F.lit(ext[1:])) if expr is None else expr.when(cond, F.lit(ext[1:]))
+        expr = expr.when(cond, F.lit(ext[1:]))
     return expr
 
 
-def files(pages: DataFrame) -> DataFrame:
+def files(pages: DataFrame, extensions: list[str] = FILE_EXTENSIONS) -> DataFrame:
     anchors = F.filter(tags_of(pages, "a"), lambda e: has_attr(e, "href"))
     out = pages.select(
         "page_id", "url", "site",
         F.explode(F.transform(anchors, lambda e: F.struct(e["seq"].alias("seq"), attr(e, "href").alias("href")))).alias("a"),
     )
     return (
-        out.select("page_id", "url", "site", "a.seq", file_type(F.col("a.href")).alias("file_type"),
+        out.select("page_id", "url", "site", "a.seq", file_type(F.col("a.href"), extensions).alias("file_type"),
                    resolve(F.col("url"), F.col("a.href")).alias("file_path"))
         .where(F.col("file_type").isNotNull())
     )
@@ -412,16 +415,27 @@ def api_endpoints(pages: DataFrame) -> DataFrame:
 
 # ---- E27, E28: technologies ------------------------------------------------------
 
-def technologies(pages: DataFrame) -> DataFrame:
-    """E27 + E28: distinct technologies per page from the HTML and the headers."""
-    html_hits = [F.when(F.col("html").rlike("(?i)" + p), F.lit(t)) for t, p in TECH_FINGERPRINTS]
-    hdr = F.map_entries(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")))
-    def header_hit(t: str, p: str) -> Column:
-        return F.when(F.exists(hdr, lambda h: F.concat(h["key"], F.lit(": "), h["value"]).rlike("(?i)" + p)), F.lit(t))
-
-    hdr_hits = [header_hit(t, p) for t, p in TECH_FINGERPRINTS]
+def technologies(pages: DataFrame, fingerprints: list[tuple[str, str]] = TECH_FINGERPRINTS) -> DataFrame:
+    """E27 + E28: distinct technologies per page from the HTML and the headers, by (name, pattern) ``fingerprints``."""
+    lines = F.transform(F.map_entries(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))), lambda h: F.concat(h["key"], F.lit(": "), h["value"]))
+    df = pages.select("page_id", "url", "site", "html", lines.alias("_lines"))
+    df = df.withColumns({"_low": F.lower("html"), "_head": F.lower(F.array_join("_lines", "\n"))})
+    html_hits = names_matched(F.col("html"), F.col("_low"), fingerprints)
+
+    def header_hit(name: str, pattern: str) -> Column:
+        """A header matches; a page none of whose headers holds a literal of the pattern is not asked."""
+        known = literals_of(pattern)
+        some = F.exists("_lines", lambda h: h.rlike("(?i)" + pattern))
+        maybe = F.lit(True)
+        if known is not None:
+            maybe = F.lit(False)
+            for x in known:
+                maybe = maybe | F.col("_head").contains(x)
+        return F.when(maybe & some, F.lit(name))
+
+    hdr_hits = [header_hit(t, p) for t, p in fingerprints]
     techs = F.array_distinct(F.array_compact(F.array(*html_hits, *hdr_hits)))
-    return pages.select("page_id", "url", "site", F.explode(techs).alias("technology"))
+    return df.select("page_id", "url", "site", F.explode(techs).alias("technology"))
 
 
 # ---- E32: page text --------------------------------------------------------------

@@ -141,7 +141,7 @@ SELECT site, 'http_status_codes' AS section, status_code::VARCHAR AS item, count
 UNION ALL SELECT site, 'errors', error_type, count(*)::VARCHAR FROM f WHERE error_type IS NOT NULL GROUP BY ALL
 UNION ALL SELECT site, 'content_types', split_part(content_type, ';', 1), count(*)::VARCHAR FROM ok GROUP BY ALL
 UNION ALL SELECT site, 'url_details', r::VARCHAR, url || ' ' || status_code FROM t
-UNION ALL SELECT site, 'urls', row_number() OVER (PARTITION BY site ORDER BY url)::VARCHAR, url FROM (SELECT DISTINCT site, url FROM ok)
+UNION ALL SELECT site, 'urls', row_number() OVER (PARTITION BY site ORDER BY url)::VARCHAR, url FROM (SELECT DISTINCT site, url FROM ok) QUALIFY row_number() OVER (PARTITION BY site ORDER BY url) <= 1000
 UNION ALL SELECT DISTINCT site, 'run', 'sitelens pc', '2026-01-01T00:00:00' FROM f
 """
 
@@ -263,6 +263,58 @@ def warehouse_round_trip(spark, sf_dir):
     return out
 
 
+_TYPES = " ".join(f"WHEN {i} THEN {repr(t) if t else 'NULL'}" for i, (_, t) in enumerate(FILE_SAMPLES))
+_SUFFIX = " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(FILE_SAMPLES))
+VALUES_SQL = f"""
+WITH v AS (
+  SELECT 'urls' AS table_name, 1 AS run, url AS a, title AS b, octet_length(encode(html))::VARCHAR AS c FROM ({META_SQL}) JOIN pages USING (page_id, url)
+  UNION ALL SELECT 'keywords', 1, pages.url, keyword, frequency::VARCHAR FROM ({PAGE_TOP_SQL}) JOIN pages USING (page_id)
+  UNION ALL SELECT 'links', 1, pages.url, target_url, anchor_text || ' ' || link_type FROM ({LINKS_SQL}) JOIN pages USING (page_id)
+  UNION ALL SELECT 'technologies', 1, pages.url, technology, '' FROM ({TECH_SQL}) JOIN pages USING (page_id)
+  UNION ALL SELECT 'urls', 2, '{SHOP}/p/' || p_partkey || '/index.html', p_name, NULL FROM part
+  UNION ALL SELECT 'files', 2, '{SHOP}/p/' || p_partkey || '/index.html', CASE p_partkey % {len(FILE_SAMPLES)} {_TYPES} END,
+    '{SHOP}/p/docs/' || p_partkey || CASE p_partkey % {len(FILE_SAMPLES)} {_SUFFIX} END FROM part WHERE CASE p_partkey % {len(FILE_SAMPLES)} {_TYPES} END IS NOT NULL
+  UNION ALL SELECT 'forms', 2, '{SHOP}/p/' || p_partkey || '/index.html', '/cart/add/' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'GET' ELSE 'POST' END FROM part
+  UNION ALL SELECT 'forms', 2, '{SHOP}/p/' || p_partkey || '/index.html', '/search', 'GET' FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT 'images', 2, '{SHOP}/p/' || p_partkey || '/index.html', '{SHOP}/p/' || p_partkey || '/img/' || p_partkey || '.png', CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END FROM part
+  UNION ALL SELECT 'images', 2, '{SHOP}/p/' || p_partkey || '/index.html', '{SHOP}/p/shared/logo.png', '' FROM part WHERE p_partkey % 3 = 1
+  UNION ALL SELECT 'subdomains', 2, 'www.shop.example.com', '10.0.0.1', '')
+SELECT table_name, run, a, b, c, 1::BIGINT AS first_id, count(*) OVER (PARTITION BY table_name) AS last_id FROM v
+"""
+
+
+@register("warehouse_values", VALUES_SQL)
+def warehouse_values(spark, sf_dir):
+    """Keys and values of all eight tables after two runs, the second written twice in part; ids are dense over both."""
+    from sitelens.sinks.warehouse import warehouse_tables, write_rows, write_warehouse
+
+    base = W.scratch_path(spark, "warehouse-values")
+    subs = spark.range(1).select(F.lit("shop.example.com").alias("site"), F.lit("www.shop.example.com").alias("subdomain"), F.lit("10.0.0.1").alias("ip"))
+    stored, shop = load_pages(spark, sf_dir), part_pages(spark, sf_dir)
+    schemas = write_warehouse(stored, base, mode="append", run=1)
+    write_warehouse(shop, base, mode="append", run=2, subdomains=subs)
+    for name in ("forms", "images"):  # a retried append
+        write_rows(warehouse_tables(shop)[name], f"{base}/{name}", run=2)
+    named = {
+        "urls": ("url", "title", F.when(F.col("run") == 1, F.col("size").cast("string"))), "keywords": ("url", "keyword", F.col("frequency").cast("string")),
+        "links": ("source_url", "target_url", F.concat_ws(" ", "anchor_text", "link_type")), "technologies": ("url", "technology", F.lit("")),
+        "files": ("url", "file_type", F.col("file_path")), "forms": ("url", "action", F.col("method")), "images": ("url", "src", F.col("alt")),
+        "subdomains": ("subdomain", "ip_address", F.lit("")),
+    }
+    #: tables whose other run's rows other queries compare
+    once = {"keywords": 1, "links": 1, "technologies": 1, "files": 2, "forms": 2, "images": 2}
+    out = None
+    for name, (a, b, c) in named.items():
+        rows = spark.read.schema(schemas[name]).option("basePath", f"{base}/{name}").parquet(f"{base}/{name}")
+        if name in once:
+            rows = rows.where(F.col("run") == once[name])
+        ids = rows.agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.count_distinct("id").alias("_ids"))
+        # ids of a run are dense: they start after those of the run before
+        rows = rows.join(ids).select(F.lit(name).alias("table_name"), "run", F.col(a).alias("a"), F.col(b).alias("b"), c.alias("c"), F.lit(1).cast("long").alias("first_id"), (F.col("_last") - F.col("_first") + 1).alias("last_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 KWCSV_SQL = f"SELECT site, keyword, frequency FROM ({SITE_TOP_SQL})"
 
 

@@ -34,6 +34,16 @@ def output_name(site) -> F.Column:
 
 # ---- S4: result document -------------------------------------------------------
 
+LISTED = 1000  # values of a list in a document; all of them belong in a section of their own
+
+
+def first_values(df: DataFrame, value: str, name: str, limit: int = LISTED) -> DataFrame:
+    """(site, list): the first ``limit`` distinct values of each site in sort order."""
+    rank = F.row_number().over(Window.partitionBy("site").orderBy(value))
+    first = df.select("site", value).distinct().withColumn("_r", rank).where(F.col("_r") <= limit)
+    return first.groupBy("site").agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
 def result_document(stats: DataFrame, top_keywords: DataFrame, bounded_sets: dict[str, DataFrame],
                     agent_mode: str = "pc") -> DataFrame:
     """One JSON-able row per site holding only bounded sections: the statistics
@@ -51,7 +61,7 @@ def result_document(stats: DataFrame, top_keywords: DataFrame, bounded_sets: dic
     doc = doc.join(kw, "site", "left")
     for name, df in bounded_sets.items():
         value = [c for c in df.columns if c != "site"][0]
-        doc = doc.join(df.groupBy("site").agg(F.sort_array(F.collect_set(value)).alias(name)), "site", "left")
+        doc = doc.join(first_values(df, value, name), "site", "left")
     return doc.select(
         F.col("site").alias("target_domain"), F.lit(agent_mode).alias("crawler_mode"),
         *[c for c in doc.columns if c != "site"], output_name(F.col("site")).alias("output_name"),
@@ -63,7 +73,7 @@ def full_document(doc: DataFrame, maps: dict[str, DataFrame], lists: dict[str, D
     """S4 with its other bounded sections, joined to ``result_document`` rows by site:
 
     * ``maps``: (site, key, n) histograms such as status codes, errors and content types, in key order (T7);
-    * ``lists``: (site, value) sorted distinct values, such as enumerated subdomains (T8);
+    * ``lists``: (site, value) the first ``LISTED`` distinct values in sort order, such as enumerated subdomains (T8);
     * ``tables``: the first so many rows by the order given, such as 100 SEO rows and 500 URL rows (T4).
 
     Histograms have a row per distinct key and tables a limit, so every section of a site is small."""
@@ -73,7 +83,7 @@ def full_document(doc: DataFrame, maps: dict[str, DataFrame], lists: dict[str, D
         entries = F.sort_array(F.collect_list(F.struct(F.col("key").cast("string").alias("key"), F.col("n").cast("bigint").alias("n"))))
         sections[name] = df.groupBy("site").agg(F.map_from_entries(entries).alias(name))
     for name, df in lists.items():
-        sections[name] = df.groupBy("site").agg(F.sort_array(F.collect_set("value")).alias(name))
+        sections[name] = first_values(df, "value", name)
     for name, (df, order, limit) in tables.items():
         rank = F.row_number().over(Window.partitionBy("site").orderBy(*order))
         first = df.withColumn("_r", rank).where(F.col("_r") <= limit)
