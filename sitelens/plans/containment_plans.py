@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sitelens.operators import extract as X
 from sitelens.plans.compose import SHOP
 from sitelens.plans.registry import register
-from sitelens.sources.pages import conform_pages, read_table
+from sitelens.sources.pages import conform_pages, dealt, read_table
 
 
 def soup_pages(spark, sf_dir: str) -> DataFrame:
     """One page a part: nested anchors, anchors and headings without end tags, forms inside forms and one
     left open, end tags that close nothing, void and self-closed tags."""
-    p = read_table(spark, sf_dir, "part")
+    p = dealt(read_table(spark, sf_dir, "part"), "p_partkey")
     ks = F.col("p_partkey").cast("string")
     name, brand, typ, box = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_type")
     many = (F.col("p_partkey") % 3 + 1).cast("int")  # unclosed items of a list

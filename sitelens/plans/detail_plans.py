@@ -10,13 +10,13 @@ from sitelens.operators import extract as X
 from sitelens.operators import seo as SEO
 from sitelens.plans.compose import SHOP
 from sitelens.plans.registry import register
-from sitelens.sources.pages import conform_pages, read_table
+from sitelens.sources.pages import conform_pages, dealt, read_table
 
 MANY = " ".join(f'data-{i}="v>{i}"' for i in range(60))
 
 
 def detail_pages(spark, sf_dir):
-    p = read_table(spark, sf_dir, "part")
+    p = dealt(read_table(spark, sf_dir, "part"), "p_partkey")
     ks, name, brand, typ = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("p_type")
     html = F.concat(
         F.lit("<html><head><title>"), name, F.lit(" &eacute;&#38;lt;&rarr; &#65</title>"),
