@@ -8,7 +8,8 @@ A text is its words (A-Z lower-cased) and one end mark, each a token.
   softmax, or in the last class the smoothed count. So every token has a probability, and they sum to one.
 * A gated recurrent unit carries the state. It is trained in numpy by backpropagation through windows of ``STEPS`` tokens; the
   state goes on across windows, the gradient does not. Each task trains on its own rows and Spark averages the
-  parameters by tokens (``ROUNDS`` times). Every training document passes through; the gradient is taken in one window of ``EVERY``.
+  parameters by tokens (``ROUNDS`` times). Every training document passes through, and the gradient is taken in every window
+  (``EVERY`` above 1 would take it in one of so many). Lanes without documents left are dropped.
 * Scoring runs documents side by side in lanes. A lane goes on with the next document when one ends, so a very long
   document holds one lane and no other; its state is carried from its first token to its last.
 
@@ -38,7 +39,7 @@ GATHERED = 1 << 18  # tokens whose counts travel to the tasks
 CLASSES, MEMBERS = 64, 64  # modelled tokens: 4096
 HIDDEN = 16
 STEPS, LANES = 32, 128  # window and side-by-side documents in training
-EVERY, ROUNDS = 4, 1
+EVERY, ROUNDS = 1, 1
 RATE = 0.02
 END = b""  # the end mark as a token: no word is empty
 BLOCK = 4096  # parameters in a row on their way to be averaged
@@ -116,7 +117,7 @@ class Network:
             c += g[:, 2 * n :]
             np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, zr[:, :n], zr[:, n:], c, a[:, 2 * n :], fresh[t]))
+                keep.append((h, zr[:, :n], zr[:, n:], c, a[:, 2 * n :], fresh[t] if some[t] else None))
             d = h - c
             d *= zr[:, :n]
             h = np.add(c, d, out=out[t])
@@ -142,9 +143,10 @@ class Network:
         logp, e, total = self._softmax(states, p["wc"], p["bc"], cls)
         out = np.where(valid, logp, 0).astype(np.float64)
         if back is not None:
-            d = e / total[:, None]
+            d = np.divide(e, total[:, None], out=e)
             d[np.arange(len(y)), cls] -= 1
-            d[~valid] = 0
+            if not valid.all():
+                d[~valid] = 0
             back["wc"] += states.T @ d
             back["bc"] += d.sum(0)
             back["states"] = d @ p["wc"].T
@@ -158,7 +160,7 @@ class Network:
             logp, e, total = self._softmax(states[i:j], p["ww"][c].T, p["bw"][c], member[i:j])
             out[inner[i:j]] += logp
             if back is not None:
-                d = e / total[:, None]
+                d = np.divide(e, total[:, None], out=e)
                 d[np.arange(j - i), member[i:j]] -= 1
                 back["ww"][c] += d.T @ states[i:j]
                 back["bw"][c] += d.sum(0)
@@ -179,22 +181,32 @@ class Network:
         dh = np.zeros((lanes, n), self.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, c, own, fresh = kept[t]
-            dh = dh + d_out[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            d_in[t, :, :n] = dh * (before - c) * z * (1 - z)
-            d_in[t, :, n : 2 * n] = dc * own * r * (1 - r)
+            dh += d_out[t]
+            kz = dh * z
+            dz = dh - kz  # dh * (1 - z)
+            dc = 1 - c * c
+            dc *= dz
+            dz *= z
+            dz *= before - c
+            dr = dc * r
+            d_state[t, :, 2 * n :] = dr
+            dr -= dr * r
+            dr *= own
+            d_in[t, :, :n] = d_state[t, :, :n] = dz
+            d_in[t, :, n : 2 * n] = d_state[t, :, n : 2 * n] = dr
             d_in[t, :, 2 * n :] = dc
-            d_state[t] = d_in[t]
-            d_state[t, :, 2 * n :] *= r
-            dh = dh * z + d_state[t] @ p["u"].T
-            dh[fresh] = 0
+            dh = d_state[t] @ p["u"].T
+            dh += kz
+            if fresh is not None:
+                dh[fresh] = 0
         d_in, d_state, x = d_in.reshape(-1, 3 * n), d_state.reshape(-1, 3 * n), x.ravel()
         before = np.concatenate([k[0] for k in kept])
         back["u"] += before.T @ d_state
         back["bu"] += d_state.sum(0)
         back["wx"] += p["embed"][x].T @ d_in
         back["bx"] += d_in.sum(0)
-        np.add.at(back["embed"], x, d_in @ p["wx"].T)
+        at = (x[:, None] * n + np.arange(n)).ravel()  # a sum by input; adding at repeated places is slower
+        back["embed"] += np.bincount(at, (d_in @ p["wx"].T).ravel(), back["embed"].size).reshape(-1, n)
         flat /= max(int((y >= 0).sum()), 1)
         return flat, float(loss), states[-1]
 
@@ -206,7 +218,7 @@ class Lanes:
     """Documents side by side. ``docs`` yields (handle, ids); each window continues every lane's document, or the next."""
 
     def __init__(self, docs: Iterator[tuple], lanes: int, start: int):
-        self.docs, self.start = docs, start
+        self.docs, self.start, self.more = docs, start, True
         self.now: list = [None] * lanes
 
     def window(self, steps: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -221,6 +233,7 @@ class Lanes:
                 if now is None:
                     now = next(self.docs, None)
                     if now is None:
+                        self.more = False
                         break
                     now = (*now, 0)
                 handle, ids, at = now
@@ -237,20 +250,25 @@ class Lanes:
             self.now[lane] = now
         return x.T, y.T, pieces
 
-    def used(self) -> list[int]:
-        return [i for i, now in enumerate(self.now) if now is not None]
+    def narrowed(self, h: np.ndarray) -> np.ndarray:
+        """Lane states ``h`` without the lanes that stay idle: once no documents are left, those that hold none are dropped."""
+        if self.more:
+            return h
+        used = [i for i, now in enumerate(self.now) if now is not None]
+        self.now = [self.now[i] for i in used]
+        return h[used]
 
 
 def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int = EVERY, rate: float = RATE) -> tuple[np.ndarray, int]:
     """(parameters, tokens in trained windows) after one pass over ``docs``: Adam with a falling rate, the gradient's norm at most 1.
     The parameters are averaged over the steps, later ones weighing more, so that the last rows' texts do not decide."""
-    lanes = Lanes(((None, ids) for ids in docs), LANES, net.start)
+    side = Lanes(((None, ids) for ids in docs), LANES, net.start)
     flat, mean, m, v = flat.copy(), flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
     steps = seen = number = 0
     p = net.parts(flat)
     table, h = net.table(p), np.zeros((LANES, net.hidden), net.dtype)
     while True:
-        x, y, pieces = lanes.window(STEPS)
+        x, y, pieces = side.window(STEPS)
         if not pieces:
             return mean, seen
         if number % every == 0:
@@ -267,6 +285,7 @@ def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int =
         else:
             h = net.states(p, table, x, h)[-1]
         number += 1
+        h = side.narrowed(h)
 
 
 def log_probabilities(net: Network, flat: np.ndarray, docs: Iterator[tuple], lanes: int = 256, steps: int = 64) -> Iterator[tuple]:
@@ -289,9 +308,7 @@ def log_probabilities(net: Network, flat: np.ndarray, docs: Iterator[tuple], lan
                 yield handle, s
             else:
                 sums[handle] = s
-        h, used = states[-1], side.used()
-        if len(used) < len(side.now) and len(pieces) < len(side.now):  # no documents are left for the idle lanes
-            side.now, h = [side.now[i] for i in used], h[used]
+        h = side.narrowed(states[-1])
 
 
 # ---- counts ----------------------------------------------------------------------------------

@@ -157,3 +157,18 @@ def test_training_learns_an_order():
     other = [rng.permutation(d) for d in docs[:50]]
     before, good, bad = (sum(dict(log_probabilities(net, f, enumerate(d))).values()) for f, d in ((flat, docs[:50]), (after, docs[:50]), (after, other)))
     assert good > 0.5 * before > bad
+
+
+def test_every_window_of_every_text_is_trained():
+    """By default no window is passed over, and lanes that run idle change nothing."""
+    net, flat, rng = small(np.float32)
+    docs = [rng.integers(0, 11, n) for n in (700, 1, 2, 65, 33, 64, 900, 5)]
+    assert fit(net, flat, iter(docs))[1] == sum(map(len, docs))
+    side = Lanes(enumerate(docs), 4, net.start)
+    h = np.arange(4)[:, None]
+    widths = []
+    while side.window(32)[2]:
+        h = side.narrowed(h)
+        assert len(h) == len(side.now) and (side.more or None not in side.now)
+        widths.append(len(h))
+    assert widths[0] == 4 and widths[-1] == 0 and widths == sorted(widths, reverse=True)
