@@ -81,15 +81,16 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, expandable:
     Seeds (domain, url) start one search a domain: a page that several domains reach is visited by each at its own depth.
     ``in_scope`` (target, domain) says which links a domain follows.
     """
-    if expandable is not None:
-        edges = edges.join(expandable.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
-        prepared = False
     e = edges if prepared else prepare_edges(edges)
     spark = e.sparkSession
+    if expandable is not None:
+        expandable = written(expandable.select("url").distinct(), "expandable")
     keys = ("domain", "url") if "domain" in seeds.columns else ("url",)
     t = Traversal(spark, os.path.join(ensure_checkpoint_dir(spark), f"sitelens-visited-{uuid.uuid4().hex}"), keys)
     frontier = t.add(seeds.select(*keys).distinct())
     for _ in range(max_depth):
+        if expandable is not None:  # the frontier is asked, not all edges
+            frontier = frontier.join(expandable, "url", "left_semi").select(*keys)
         frontier = t.add(next_level(frontier, e, in_scope).join(t.visited.select(*keys), list(keys), "left_anti"))  # J1
         if t.sizes[-1] == 0:
             t.sizes.pop()
@@ -113,8 +114,8 @@ def new_per_page(edges: DataFrame, t: Traversal, max_depth: int) -> DataFrame:
     v = t.visited
     src = v.where(F.col("depth") < max_depth).select(F.col("url").alias("src"), F.col("depth").alias("src_depth"))
     dst = v.select(F.col("url").alias("dst"), F.col("depth").alias("dst_depth"))
-    e = edges.select("src", "dst").distinct()
-    j = e.join(src, "src").join(dst, "dst").where(F.col("dst_depth") == F.col("src_depth") + 1)
+    e = edges.select("src", "dst").join(src, "src").distinct()  # links of pages that were not expanded go first
+    j = e.join(dst, "dst").where(F.col("dst_depth") == F.col("src_depth") + 1)
     return j.groupBy("src").agg(F.count(F.lit(1)).alias("new_urls"))
 
 
