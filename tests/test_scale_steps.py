@@ -61,3 +61,53 @@ def test_references_of_every_kind(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(decode_entities(F.col("t"))).collect()]
     assert got == [H.unescape(t) for t in texts]
+
+
+def test_a_search_asks_the_frontier_whether_it_expands(spark, monkeypatch):
+    from sitelens.operators import traverse as TR
+
+    rows = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "e"), ("d", "f")]
+    edges = TR.prepare_edges(spark.createDataFrame(rows, "src string, dst string"))
+    monkeypatch.setattr(TR, "prepare_edges", lambda e: pytest.fail("all edges are written again"))
+    allowed = spark.createDataFrame([("a",), ("c",), ("c",), ("d",)], "url string")
+    t = TR.traverse(edges, spark.createDataFrame([("a",)], "url string"), 3, expandable=allowed, prepared=True)
+    assert sorted(map(tuple, t.visited.collect())) == [("a", 0), ("b", 1), ("c", 1), ("e", 2)]
+
+
+def test_redirects_are_not_sent_through_the_driver(spark, capsys):
+    from sitelens.operators import redirects as RD
+
+    hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
+    found = RD.targets_with_status(RD.final_targets(hops), spark.createDataFrame([("c", 200, None)], "url string, status_code int, error_type string"))
+    assert sorted((r["url"], r["final"], r["hops"], r["loop"], r["final_status"]) for r in found.collect()) == [
+        ("a", "c", 2, False, 200), ("b", "c", 1, False, 200), ("x", None, None, True, None), ("y", None, None, True, None)]
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_an_arrival_slice_has_as_many_files_as_its_rows_need(spark, monkeypatch):
+    import os
+
+    from sitelens.plans import stream_plans as SP
+    from sitelens.streaming import incremental as ST
+
+    monkeypatch.setattr(SP, "ROWS_A_TASK", 3)
+    path, schema, files = SP._page_arrivals(spark, SF)
+    n = spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert files == -(-n // 12) > 1
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 4 * files
+    seen = []
+    pages = ST.file_stream(spark, path, schema, files)
+    writer = pages.writeStream.foreachBatch(lambda batch, i: seen.append((batch.count(), batch.rdd.getNumPartitions())))
+    ST.run_available(spark, writer, path + "-ck")
+    assert len(seen) == 4 and sum(c for c, _ in seen) == n
+
+
+def test_report_lines_read_no_page_twice(spark, capsys):
+    from sitelens.sinks import writers as W
+
+    p = compose.part_pages(spark, SF)
+    long = p.groupBy("site").agg(F.count("*").alias("value")).select("site", F.lit(0).cast("long").alias("ord"), F.lit("pages").alias("stat"), "value")
+    none = spark.createDataFrame([], "site string, keyword string, frequency long, rank int")
+    lines = W.report_lines(long, none, {"API Endpoints": X.api_endpoints(p).select("site", F.col("api").alias("value"))}, X.files(p))
+    assert "regexp_extract_all" not in _plan(lines, capsys)
