@@ -134,6 +134,29 @@ class Network:
         total = e @ np.ones(e.shape[1], self.dtype)
         return np.minimum(own - np.log(total), 0), e, total
 
+    def _together(self, p, states, member, cls, start, size, most, inner, out, back) -> None:
+        """Shares in several classes at once; ``states`` and ``member`` lie by class, ``inner`` says whose they are."""
+        place = np.arange(most)
+        real = place < size[:, None]
+        at = np.where(real, start[:, None] + place, start[:, None])
+        s, w = states[at], p["ww"][cls]
+        logits = s @ w.transpose(0, 2, 1)
+        logits += p["bw"][cls][:, None, :]
+        logits -= logits.max(2, keepdims=True)
+        target = member[at][:, :, None]
+        own = np.take_along_axis(logits, target, 2)
+        e = np.exp(logits, out=logits)
+        total = (e @ np.ones(self.members, self.dtype))[:, :, None]
+        to = inner[at[real]]
+        out[to] += np.minimum(own - np.log(total), 0)[:, :, 0][real]
+        if back is not None:
+            d = np.divide(e, total, out=e)
+            np.put_along_axis(d, target, np.take_along_axis(d, target, 2) - 1, 2)
+            d *= real[:, :, None]
+            back["ww"][cls] += d.transpose(0, 2, 1) @ s
+            back["bw"][cls] += d.sum(1)
+            back["states"][to] += (d @ w)[real]
+
     def log_probability(self, p, states: np.ndarray, y: np.ndarray, back: dict | None = None) -> np.ndarray:
         """Natural log of each target's class and share (0 where y < 0). States and y are flat. The open class has no share here.
         With ``back``, adds the gradients of the negative sum to its arrays and returns the states' gradient in it."""
@@ -154,8 +177,13 @@ class Network:
         inner = inner[np.argsort(cls[inner].astype(np.int16), kind="stable")]
         bounds = np.searchsorted(cls[inner], np.arange(self.classes)).tolist()
         states, member = states[inner], y[inner] % self.members
+        sizes, starts = np.diff(bounds), np.array(bounds[:-1])
+        for most in (8, 16, 32, 64):  # classes with few tokens here go together, filled up to as many
+            these = np.flatnonzero((sizes <= most) & (sizes > (most // 2 if most > 8 else 0)))
+            if len(these):
+                self._together(p, states, member, these, starts[these], sizes[these], most, inner, out, back)
         for c, (i, j) in enumerate(zip(bounds, bounds[1:])):
-            if i == j:
+            if j - i <= 64:
                 continue
             logp, e, total = self._softmax(states[i:j], p["ww"][c].T, p["bw"][c], member[i:j])
             out[inner[i:j]] += logp
@@ -167,10 +195,10 @@ class Network:
                 back["states"][inner[i:j]] += d @ p["ww"][c]
         return out
 
-    def gradient(self, p, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    def gradient(self, p, x: np.ndarray, y: np.ndarray, h: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
         """(gradient of the mean negative log-probability, its sum, last states) of one window."""
         kept: list = []
-        states = self.states(p, self.table(p), x, h, kept)
+        states = self.states(p, self.table(p) if table is None else table, x, h, kept)
         steps, lanes, n = states.shape
         flat = np.zeros(sum(math.prod(s) for s in self.shapes.values()), self.dtype)
         back = self.parts(flat)
@@ -272,7 +300,7 @@ def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int =
         if not pieces:
             return mean, seen
         if number % every == 0:
-            g, _, h = net.gradient(p, x, y, h)
+            g, _, h = net.gradient(p, x, y, h, table)
             g /= max(1.0, float(np.sqrt((g * g).sum())))
             steps += 1
             m += 0.1 * (g - m)
