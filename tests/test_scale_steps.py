@@ -52,6 +52,32 @@ def test_only_the_attributes_asked_for(spark):
     assert [(a["k"], a["v"]) for a in kept] == [("src", "2"), ("src", "")]
 
 
+def test_attributes_of_any_text(spark):
+    """The match that runs over attributes nobody asks for ends and begins them where reading all of them does."""
+    import random
+
+    rng = random.Random(6)
+    pieces = ["alt", "ALT", "href", "data-alt", "altx", "x", "=", "=", '"', '"', "'", "'", " ", "\n", "\x0b", ">", "/", "&amp;", "\u00a0", " alt=", ' href="']
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(24))) for _ in range(4_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    asked = lambda a: a["k"].isin("alt", "href")
+    rows = df.select("t", F.filter(tag_attrs(F.col("t")), asked).alias("every"), tag_attrs(F.col("t"), ("alt", "href")).alias("some")).collect()
+    assert [r["t"] for r in rows if r["every"] != r["some"]] == []
+    assert sum(len(r["some"]) for r in rows) > 4_000
+
+
+def test_a_reference_is_parsed_once(spark, capsys):
+    """However often the character's bytes are asked for; and attributes nobody asks for make no strings."""
+    from sitelens.functions.text import decode_entities
+    from sitelens.operators.elements import ATTR_RE
+
+    pages = P.conform_pages(spark.read.parquet(f"{SF}/pages.parquet"), site="example.com")
+    plan = _plan(pages.select(decode_entities(F.col("html")).alias("t")), capsys)
+    assert plan.count("^#(?:0*([0-9]+)") == 2 and plan.count("^#(?:[0-9]+|") == 1
+    plan = _plan(pages.select(start_tags(F.col("html"), "img", attrs=("alt",)).alias("t")), capsys)
+    assert f", {ATTR_RE}, 0" not in plan and plan.count("(?i:alt)") == 1
+
+
 def test_references_of_every_kind(spark):
     import html as H
 
