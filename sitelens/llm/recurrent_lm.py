@@ -92,36 +92,53 @@ class Network:
         return out
 
     def table(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        """What each input adds to the gates."""
-        return p["embed"] @ p["wx"] + p["bx"]
+        """What each input adds to the gates; for the two that are logistic, the negative of that and of the state's bias."""
+        n = 2 * self.hidden
+        w, b = p["wx"].copy(), p["bx"].copy()
+        b[:n] += p["bu"][:n]
+        w[:, :n] *= -1
+        b[:n] *= -1
+        out = p["embed"] @ w
+        out += b
+        return out
 
-    def states(self, p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (steps, lanes, hidden) over inputs x (steps, lanes) from state h. ``keep`` collects what the way back needs."""
-        n, u, bu = self.hidden, p["u"], p["bu"]
+    def states(self, p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """States (steps, lanes, hidden) over inputs x (steps, lanes) from state h. ``keep`` collects what the way back needs.
+        Inside, the lanes come last, so that each gate of a step is one run of memory."""
+        n = self.hidden
         steps, lanes = x.shape
-        out = np.empty((steps, lanes, n), self.dtype)
-        fresh = x == self.start
-        some = fresh.any(1).tolist()
-        g = np.empty((lanes, 3 * n), self.dtype)
+        alive = (x != self.start).astype(self.dtype)
+        some = (alive == 0).any(1).tolist()
+        given = np.ascontiguousarray(np.take(table, x, 0, mode="clip").transpose(0, 2, 1))
+        u, bu = np.ascontiguousarray(p["u"].T), p["bu"][2 * n :, None]
+        u[: 2 * n] *= -1
+        out = np.empty((steps, n, lanes), self.dtype)
+        a = np.empty((3 * n, lanes), self.dtype)
+        held = 1 if keep is None else steps
+        zrs, cs, owns = (np.empty((held, k, lanes), self.dtype) for k in (2 * n, n, n))
+        h = first = np.ascontiguousarray(h.T)
         for t in range(steps):
             if some[t]:
-                h = np.where(fresh[t][:, None], self.dtype(0), h)
-            np.take(table, x[t], 0, out=g, mode="clip")
-            a = h @ u
-            a += bu
-            zr = g[:, : 2 * n] + a[:, : 2 * n]
-            np.exp(np.negative(zr, out=zr), out=zr)
+                h = h * alive[t]
+            zr, c, own = (k[t % held] for k in (zrs, cs, owns))
+            np.matmul(u, h, out=a)
+            np.add(given[t, : 2 * n], a[: 2 * n], out=zr)
+            np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            c = zr[:, n:] * a[:, 2 * n :]
-            c += g[:, 2 * n :]
+            np.add(a[2 * n :], bu, out=own)
+            np.multiply(zr[n:], own, out=c)
+            c += given[t, 2 * n :]
             np.tanh(c, out=c)
-            if keep is not None:
-                keep.append((h, zr[:, :n], zr[:, n:], c, a[:, 2 * n :], fresh[t] if some[t] else None))
-            d = h - c
-            d *= zr[:, :n]
-            h = np.add(c, d, out=out[t])
-        return out
+            d = np.subtract(h, c, out=out[t])
+            d *= zr[:n]
+            d += c
+            h = d
+        if keep is not None:
+            before = np.concatenate([first[None], out[:-1]])
+            before *= alive[:, None, :]
+            keep |= {"before": before, "z": zrs[:, :n], "r": zrs[:, n:], "c": cs, "own": owns, "alive": alive, "some": some}
+        return out.transpose(0, 2, 1)
 
     def _softmax(self, states: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(targets' log-probabilities, exponentials, their sums) of a softmax layer with weights w (hidden, outputs)."""
@@ -155,7 +172,7 @@ class Network:
             d *= real[:, :, None]
             back["ww"][cls] += d.transpose(0, 2, 1) @ s
             back["bw"][cls] += d.sum(1)
-            back["states"][to] += (d @ w)[real]
+            back["inner"][at[real]] = (d @ w)[real]
 
     def log_probability(self, p, states: np.ndarray, y: np.ndarray, back: dict | None = None) -> np.ndarray:
         """Natural log of each target's class and share (0 where y < 0). States and y are flat. The open class has no share here.
@@ -171,12 +188,14 @@ class Network:
             if not valid.all():
                 d[~valid] = 0
             back["wc"] += states.T @ d
-            back["bc"] += d.sum(0)
+            back["bc"] += np.ones(len(d), self.dtype) @ d  # faster than a sum down the rows
             back["states"] = d @ p["wc"].T
         inner = np.flatnonzero(valid & (cls < self.classes - 1))
         inner = inner[np.argsort(cls[inner].astype(np.int16), kind="stable")]
         bounds = np.searchsorted(cls[inner], np.arange(self.classes)).tolist()
         states, member = states[inner], y[inner] % self.members
+        if back is not None:
+            back["inner"] = np.empty_like(states)  # what these add to the states' gradient
         sizes, starts = np.diff(bounds), np.array(bounds[:-1])
         for most in (8, 16, 32, 64):  # classes with few tokens here go together, filled up to as many
             these = np.flatnonzero((sizes <= most) & (sizes > (most // 2 if most > 8 else 0)))
@@ -191,50 +210,54 @@ class Network:
                 d = np.divide(e, total[:, None], out=e)
                 d[np.arange(j - i), member[i:j]] -= 1
                 back["ww"][c] += d.T @ states[i:j]
-                back["bw"][c] += d.sum(0)
-                back["states"][inner[i:j]] += d @ p["ww"][c]
+                back["bw"][c] += np.ones(len(d), self.dtype) @ d
+                np.matmul(d, p["ww"][c], out=back["inner"][i:j])
+        if back is not None:
+            back["states"][inner] += back.pop("inner")
         return out
 
     def gradient(self, p, x: np.ndarray, y: np.ndarray, h: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
         """(gradient of the mean negative log-probability, its sum, last states) of one window."""
-        kept: list = []
+        kept: dict = {}
         states = self.states(p, self.table(p) if table is None else table, x, h, kept)
         steps, lanes, n = states.shape
         flat = np.zeros(sum(math.prod(s) for s in self.shapes.values()), self.dtype)
         back = self.parts(flat)
         loss = -self.log_probability(p, states.reshape(-1, n), y.ravel(), back).sum()
-        d_out = back.pop("states").reshape(steps, lanes, n)
-        d_in = np.empty((steps, lanes, 3 * n), self.dtype)
-        d_state = np.empty((steps, lanes, 3 * n), self.dtype)
-        dh = np.zeros((lanes, n), self.dtype)
+        d_out = np.ascontiguousarray(back.pop("states").reshape(steps, lanes, n).transpose(0, 2, 1))
+        before, z, r, c, own, alive, some = kept.values()
+        # each gate's gradient is the state's times what does not depend on it: only that product is left to the steps
+        by = np.empty((steps, 3, n, lanes), self.dtype)
+        rest = 1 - z
+        by_c = 1 - c * c
+        by_c *= rest
+        rest *= z
+        np.multiply(rest, before - c, out=by[:, 0])
+        np.multiply(by_c, r, out=by[:, 2])
+        np.multiply(by[:, 2], 1 - r, out=by[:, 1])
+        by[:, 1] *= own
+        d_state, u = by, p["u"]  # a step's factors give way to its gradients
+        dh = np.zeros((n, lanes), self.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, c, own, fresh = kept[t]
             dh += d_out[t]
-            kz = dh * z
-            dz = dh - kz  # dh * (1 - z)
-            dc = 1 - c * c
-            dc *= dz
-            dz *= z
-            dz *= before - c
-            dr = dc * r
-            d_state[t, :, 2 * n :] = dr
-            dr -= dr * r
-            dr *= own
-            d_in[t, :, :n] = d_state[t, :, :n] = dz
-            d_in[t, :, n : 2 * n] = d_state[t, :, n : 2 * n] = dr
-            d_in[t, :, 2 * n :] = dc
-            dh = d_state[t] @ p["u"].T
-            dh += kz
-            if fresh is not None:
-                dh[fresh] = 0
-        d_in, d_state, x = d_in.reshape(-1, 3 * n), d_state.reshape(-1, 3 * n), x.ravel()
-        before = np.concatenate([k[0] for k in kept])
-        back["u"] += before.T @ d_state
-        back["bu"] += d_state.sum(0)
+            by_c[t] *= dh
+            d_state[t] *= dh
+            dh *= z[t]
+            dh += u @ d_state[t].reshape(3 * n, lanes)
+            if some[t]:
+                dh *= alive[t]
+        d_state, x = d_state.reshape(steps, 3 * n, lanes), x.ravel()
+        back["u"] += np.matmul(before, d_state.transpose(0, 2, 1)).sum(0)
+        back["bu"] += d_state.sum((0, 2))
+        d_state[:, 2 * n :] = by_c
+        d_in = d_state.transpose(0, 2, 1).reshape(-1, 3 * n)
         back["wx"] += p["embed"][x].T @ d_in
         back["bx"] += d_in.sum(0)
-        at = (x[:, None] * n + np.arange(n)).ravel()  # a sum by input; adding at repeated places is slower
-        back["embed"] += np.bincount(at, (d_in @ p["wx"].T).ravel(), back["embed"].size).reshape(-1, n)
+        # a sum by input: equal inputs lie together
+        order = np.argsort(x.astype(np.int16) if self.start < 1 << 15 else x, kind="stable")
+        inputs = x[order]
+        starts = np.flatnonzero(np.diff(inputs, prepend=-1))
+        back["embed"][inputs[starts]] += np.add.reduceat((d_in @ p["wx"].T)[order], starts, 0)
         flat /= max(int((y >= 0).sum()), 1)
         return flat, float(loss), states[-1]
 
@@ -287,11 +310,18 @@ class Lanes:
         return h[used]
 
 
+def _keep_memory() -> None:
+    """The C library gives arrays of some hundred KB back to the system and fetches them again, page by page, for the next window.
+    It keeps such sizes once a block as large as this was freed."""
+    np.empty(1 << 24, np.uint8)
+
+
 def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int = EVERY, rate: float = RATE) -> tuple[np.ndarray, int]:
     """(parameters, tokens in trained windows) after one pass over ``docs``: Adam with a falling rate, the gradient's norm at most 1.
     The parameters are averaged over the steps, later ones weighing more, so that the last rows' texts do not decide."""
+    _keep_memory()
     side = Lanes(((None, ids) for ids in docs), LANES, net.start)
-    flat, mean, m, v = flat.copy(), flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
+    flat, mean, m, v, space = flat.copy(), flat.copy(), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     steps = seen = number = 0
     p = net.parts(flat)
     table, h = net.table(p), np.zeros((LANES, net.hidden), net.dtype)
@@ -301,13 +331,27 @@ def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int =
             return mean, seen
         if number % every == 0:
             g, _, h = net.gradient(p, x, y, h, table)
-            g /= max(1.0, float(np.sqrt((g * g).sum())))
+            norm = math.sqrt(g @ g)
+            if norm > 1:
+                g /= norm
             steps += 1
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
             now = rate / math.sqrt(1 + steps / 50)
-            flat -= now * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-6)
-            mean += 3 / (steps + 2) * (flat - mean)
+            # m += 0.1 (g - m), v += 0.001 (g^2 - v), and a step by the ratio of their unbiased forms, without temporary arrays
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=space)
+            g *= g
+            g *= 0.001
+            v *= 0.999
+            v += g
+            np.sqrt(v, out=space)
+            space *= (1 - 0.999**steps) ** -0.5
+            space += 1e-6
+            np.divide(m, space, out=space)
+            space *= now / (1 - 0.9**steps)
+            flat -= space
+            np.subtract(flat, mean, out=space)
+            space *= 3 / (steps + 2)
+            mean += space
             table = net.table(p)
             seen += int((y >= 0).sum())
         else:
@@ -318,6 +362,7 @@ def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int =
 
 def log_probabilities(net: Network, flat: np.ndarray, docs: Iterator[tuple], lanes: int = 256, steps: int = 64) -> Iterator[tuple]:
     """(handle, natural log-probability without the open class's shares) of each document, as they end."""
+    _keep_memory()
     p = net.parts(flat)
     table, side = net.table(p), Lanes(docs, lanes, net.start)
     h = np.zeros((lanes, net.hidden), net.dtype)

@@ -172,3 +172,25 @@ def test_every_window_of_every_text_is_trained():
         assert len(h) == len(side.now) and (side.more or None not in side.now)
         widths.append(len(h))
     assert widths[0] == 4 and widths[-1] == 0 and widths == sorted(widths, reverse=True)
+
+
+def test_windows_reuse_their_memory():
+    """A window's arrays are not given back to the system and fetched again, page by page, for the next one."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from sitelens.llm.recurrent_lm import LANES, STEPS, Network, fit
+net = Network(4096)
+flat = net.initial(np.arange(4096, 0, -1.0), 9.0)
+faults = []
+for n in (5, 45):
+    rng = np.random.default_rng(0)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    fit(net, flat, (rng.integers(0, 4097, STEPS) for _ in range(n * LANES)))
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+print((faults[1] - faults[0]) / 40)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120)
+    assert float(done.stdout) < 100
