@@ -189,7 +189,7 @@ class Network:
                 d[~valid] = 0
             back["wc"] += states.T @ d
             back["bc"] += np.ones(len(d), self.dtype) @ d  # faster than a sum down the rows
-            back["states"] = d @ p["wc"].T
+            back["states"] = d @ np.ascontiguousarray(p["wc"].T)
         inner = np.flatnonzero(valid & (cls < self.classes - 1))
         inner = inner[np.argsort(cls[inner].astype(np.int16), kind="stable")]
         bounds = np.searchsorted(cls[inner], np.arange(self.classes)).tolist()
@@ -197,8 +197,10 @@ class Network:
         if back is not None:
             back["inner"] = np.empty_like(states)  # what these add to the states' gradient
         sizes, starts = np.diff(bounds), np.array(bounds[:-1])
-        for most in (8, 16, 32, 64):  # classes with few tokens here go together, filled up to as many
-            these = np.flatnonzero((sizes <= most) & (sizes > (most // 2 if most > 8 else 0)))
+        least = 0
+        for most in (12, 64):  # classes with few tokens here go together, filled up to as many
+            these = np.flatnonzero((sizes <= most) & (sizes > least))
+            least = most
             if len(these):
                 self._together(p, states, member, these, starts[these], sizes[these], most, inner, out, back)
         for c, (i, j) in enumerate(zip(bounds, bounds[1:])):
@@ -250,14 +252,15 @@ class Network:
         back["u"] += np.matmul(before, d_state.transpose(0, 2, 1)).sum(0)
         back["bu"] += d_state.sum((0, 2))
         d_state[:, 2 * n :] = by_c
-        d_in = d_state.transpose(0, 2, 1).reshape(-1, 3 * n)
-        back["wx"] += p["embed"][x].T @ d_in
-        back["bx"] += d_in.sum(0)
+        given = p["embed"][x].reshape(steps, lanes, n)
+        back["wx"] += np.matmul(given.transpose(0, 2, 1), d_state.transpose(0, 2, 1)).sum(0)
+        back["bx"] += d_state.sum((0, 2))
+        d_given = np.matmul(p["wx"], d_state).transpose(0, 2, 1).reshape(-1, n)
         # a sum by input: equal inputs lie together
         order = np.argsort(x.astype(np.int16) if self.start < 1 << 15 else x, kind="stable")
         inputs = x[order]
         starts = np.flatnonzero(np.diff(inputs, prepend=-1))
-        back["embed"][inputs[starts]] += np.add.reduceat((d_in @ p["wx"].T)[order], starts, 0)
+        back["embed"][inputs[starts]] += np.add.reduceat(d_given[order], starts, 0)
         flat /= max(int((y >= 0).sum()), 1)
         return flat, float(loss), states[-1]
 
