@@ -24,12 +24,12 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +43,9 @@ EVERY, ROUNDS = 1, 1
 RATE = 0.02
 END = b""  # the end mark as a token: no word is empty
 BLOCK = 4096  # parameters in a row on their way to be averaged
+AHEAD = 16  # windows that a lane is filled for at once
+HELD = 1 << 25  # bytes of words counted at once
+ROWS, NEAR = 1024, 1 << 14  # softmax rows, and parameters, that go through all passes before the next do
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -56,213 +59,223 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class Network:
-    """Shapes of the parameters, windows forward and backward. Every class has ``members`` tokens but the last, which is open."""
+    """Shapes of the parameters, windows forward and backward. Every class has ``members`` tokens but the last, which is open.
+
+    A layer's bias is the last row of its weights, and a state ends in a one."""
 
     def __init__(self, n_tokens: int, hidden: int = HIDDEN, members: int = MEMBERS, dtype=np.float32):
         self.n, self.hidden, self.members, self.dtype = n_tokens, hidden, members, dtype
         self.classes = -(-n_tokens // members) + 1
         self.open, self.start = n_tokens, n_tokens + 1  # ids of any other token, and of what stands before the first
         c, h = self.classes, hidden
-        self.shapes = {
-            "embed": (n_tokens + 2, h), "wx": (h, 3 * h), "bx": (3 * h,), "u": (h, 3 * h), "bu": (3 * h,),
-            "wc": (h, c), "bc": (c,), "ww": (c - 1, members, h), "bw": (c - 1, members),
-        }
+        self.shapes = {"embed": (n_tokens + 2, h), "input": (h + 1, 3 * h), "state": (h + 1, 3 * h), "class": (h + 1, c), "member": (c - 1, h + 1, members)}
+        self.size = sum(math.prod(s) for s in self.shapes.values())
 
     def initial(self, counts: np.ndarray, other: float) -> np.ndarray:
         """Small random weights; biases that reproduce the counts, so that training starts at the token frequencies."""
         rng = np.random.default_rng(11)
-        p = {k: np.zeros(s) for k, s in self.shapes.items()}
+        flat = np.zeros(self.size)
+        p = self.parts(flat)
         for k, scale in (("embed", 0.5), ("wx", self.hidden**-0.5), ("u", self.hidden**-0.5), ("wc", 0.1)):
-            p[k] = rng.normal(0, scale, self.shapes[k])
+            p[k][:] = rng.normal(0, scale, p[k].shape)
         padded = np.full((self.classes - 1) * self.members, 1e-9)
         padded[: self.n] = counts
         padded = padded.reshape(-1, self.members)
         mass = np.append(padded.sum(1), max(other, 0.5))
-        p["bc"] = np.log(mass / mass.sum())
-        p["bw"] = np.log(padded / padded.sum(1, keepdims=True))
-        return np.concatenate([p[k].ravel() for k in self.shapes]).astype(self.dtype)
+        p["bc"][:] = np.log(mass / mass.sum())
+        p["bw"][:] = np.log(padded / padded.sum(1, keepdims=True))
+        return flat.astype(self.dtype)
 
     def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        """Views of the flat parameters by name."""
+        """Views of the flat parameters by name: whole layers, and their weights and biases."""
         out, at = {}, 0
         for k, shape in self.shapes.items():
             n = math.prod(shape)
             out[k] = flat[at : at + n].reshape(shape)
             at += n
+        for layer, w, b in (("input", "wx", "bx"), ("state", "u", "bu"), ("class", "wc", "bc")):
+            out |= {w: out[layer][:-1], b: out[layer][-1]}
+        return out | {"ww": out["member"][:, :-1].transpose(0, 2, 1), "bw": out["member"][:, -1]}
+
+    def table(self, p: dict[str, np.ndarray], embed: np.ndarray) -> np.ndarray:
+        """What inputs with these embeddings add to the gates; for the two that are logistic, the negative of that."""
+        w = p["input"].copy()
+        w[:, : 2 * self.hidden] *= -1
+        out = embed @ w[:-1]
+        out += w[-1]
         return out
 
-    def table(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        """What each input adds to the gates; for the two that are logistic, the negative of that and of the state's bias."""
-        n = 2 * self.hidden
-        w, b = p["wx"].copy(), p["bx"].copy()
-        b[:n] += p["bu"][:n]
-        w[:, :n] *= -1
-        b[:n] *= -1
-        out = p["embed"] @ w
-        out += b
-        return out
-
-    def states(self, p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """States (steps, lanes, hidden) over inputs x (steps, lanes) from state h. ``keep`` collects what the way back needs.
-        Inside, the lanes come last, so that each gate of a step is one run of memory."""
+    def states(self, p: dict[str, np.ndarray], table: np.ndarray, at: np.ndarray, alive: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """States (steps, hidden + 1, lanes) from state h (lanes, hidden) over inputs, which are rows ``at`` (steps, lanes) of the
+        table; where not ``alive``, a document starts. ``keep`` collects what the way back needs. The lanes come last, so that
+        each gate of a step is one run of memory."""
         n = self.hidden
-        steps, lanes = x.shape
-        alive = (x != self.start).astype(self.dtype)
-        some = (alive == 0).any(1).tolist()
-        given = np.ascontiguousarray(np.take(table, x, 0, mode="clip").transpose(0, 2, 1))
-        u, bu = np.ascontiguousarray(p["u"].T), p["bu"][2 * n :, None]
+        steps, lanes = at.shape
+        some, alive = (~alive).any(1).tolist(), alive.astype(self.dtype)
+        given = np.ascontiguousarray(np.take(table, at, 0, mode="clip").transpose(0, 2, 1))
+        u = np.ascontiguousarray(p["state"].T)
         u[: 2 * n] *= -1
-        out = np.empty((steps, n, lanes), self.dtype)
-        a = np.empty((3 * n, lanes), self.dtype)
+        out = np.empty((steps + 1, n + 1, lanes), self.dtype)
+        out[:, n] = 1
+        out[0, :n] = h.T
         held = 1 if keep is None else steps
-        zrs, cs, owns = (np.empty((held, k, lanes), self.dtype) for k in (2 * n, n, n))
-        h = first = np.ascontiguousarray(h.T)
+        gates, cs = (np.empty((held, k * n, lanes), self.dtype) for k in (3, 1))
+        views = [(g, g[: 2 * n], g[:n], g[n : 2 * n], g[2 * n :], c) for g, c in zip(gates, cs)]
+        h = out[0]
         for t in range(steps):
             if some[t]:
-                h = h * alive[t]
-            zr, c, own = (k[t % held] for k in (zrs, cs, owns))
-            np.matmul(u, h, out=a)
-            np.add(given[t, : 2 * n], a[: 2 * n], out=zr)
+                h = h.copy()
+                h[:n] *= alive[t]
+            gate, zr, z, r, own, c = views[t % held]
+            np.matmul(u, h, out=gate)
+            x = given[t]
+            zr += x[: 2 * n]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            np.add(a[2 * n :], bu, out=own)
-            np.multiply(zr[n:], own, out=c)
-            c += given[t, 2 * n :]
+            np.multiply(r, own, out=c)
+            c += x[2 * n :]
             np.tanh(c, out=c)
-            d = np.subtract(h, c, out=out[t])
-            d *= zr[:n]
+            after = out[t + 1]
+            d = np.subtract(h[:n], c, out=after[:n])
+            d *= z
             d += c
-            h = d
+            h = after
         if keep is not None:
-            before = np.concatenate([first[None], out[:-1]])
-            before *= alive[:, None, :]
-            keep |= {"before": before, "z": zrs[:, :n], "r": zrs[:, n:], "c": cs, "own": owns, "alive": alive, "some": some}
-        return out.transpose(0, 2, 1)
-
-    def _softmax(self, states: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(targets' log-probabilities, exponentials, their sums) of a softmax layer with weights w (hidden, outputs)."""
-        logits = states @ w
-        logits += b
-        if float((np.abs(w).sum(0) + np.abs(b)).max()) > 60:  # states are within -1 and 1, so below that nothing overflows
+            before = out[:-1].copy()
+            before[:, :n] *= alive[:, None, :]
+            keep |= {"before": before, "z": gates[:, :n], "r": gates[:, n : 2 * n], "own": gates[:, 2 * n :], "c": cs, "alive": alive, "some": some}
+        return out[1:]
+
+    def _shares(self, logits: np.ndarray, most: float, target: np.ndarray, scale: float | None) -> np.ndarray:
+        """Targets' log-probabilities; with ``scale``, the logits give way to their gradients, times scale."""
+        if most > 60:  # the logits are within +-most; below that nothing overflows
             logits -= logits.max(1, keepdims=True)
-        own = logits.ravel()[np.arange(len(target)) * logits.shape[1] + target]
+        at = np.arange(0, logits.size, logits.shape[1]) + target
+        flat = logits.ravel()
+        own = flat[at]
         e = np.exp(logits, out=logits)
         total = e @ np.ones(e.shape[1], self.dtype)
-        return np.minimum(own - np.log(total), 0), e, total
-
-    def _together(self, p, states, member, cls, start, size, most, inner, out, back) -> None:
-        """Shares in several classes at once; ``states`` and ``member`` lie by class, ``inner`` says whose they are."""
-        place = np.arange(most)
-        real = place < size[:, None]
-        at = np.where(real, start[:, None] + place, start[:, None])
-        s, w = states[at], p["ww"][cls]
-        logits = s @ w.transpose(0, 2, 1)
-        logits += p["bw"][cls][:, None, :]
-        logits -= logits.max(2, keepdims=True)
-        target = member[at][:, :, None]
-        own = np.take_along_axis(logits, target, 2)
-        e = np.exp(logits, out=logits)
-        total = (e @ np.ones(self.members, self.dtype))[:, :, None]
-        to = inner[at[real]]
-        out[to] += np.minimum(own - np.log(total), 0)[:, :, 0][real]
-        if back is not None:
-            d = np.divide(e, total, out=e)
-            np.put_along_axis(d, target, np.take_along_axis(d, target, 2) - 1, 2)
-            d *= real[:, :, None]
-            back["ww"][cls] += d.transpose(0, 2, 1) @ s
-            back["bw"][cls] += d.sum(1)
-            back["inner"][at[real]] = (d @ w)[real]
-
-    def log_probability(self, p, states: np.ndarray, y: np.ndarray, back: dict | None = None) -> np.ndarray:
-        """Natural log of each target's class and share (0 where y < 0). States and y are flat. The open class has no share here.
-        With ``back``, adds the gradients of the negative sum to its arrays and returns the states' gradient in it."""
+        if scale is not None:
+            e *= (scale / total)[:, None]
+            flat[at] -= scale
+        return np.minimum(own - np.log(total), 0)
+
+    def log_probability(self, p, states: np.ndarray, y: np.ndarray, back: dict | None = None, scale: float = 1.0) -> np.ndarray:
+        """Natural log of each target's class and share (0 where y < 0). States (rows ending in a one) and y are flat. The open
+        class has no share here. With ``back``, adds the gradients of the negative sum, times ``scale``, to its arrays and
+        leaves the states' gradient in it."""
         valid = y >= 0
         cls = np.where(valid, y // self.members, 0)
         cls[y == self.open] = self.classes - 1
-        logp, e, total = self._softmax(states, p["wc"], p["bc"], cls)
-        out = np.where(valid, logp, 0).astype(np.float64)
+        out = np.empty(len(y), np.float64)
+        w = p["class"]
+        most = float(np.abs(w).sum(0).max())  # states are within -1 and 1
         if back is not None:
-            d = np.divide(e, total[:, None], out=e)
-            d[np.arange(len(y)), cls] -= 1
-            if not valid.all():
-                d[~valid] = 0
-            back["wc"] += states.T @ d
-            back["bc"] += np.ones(len(d), self.dtype) @ d  # faster than a sum down the rows
-            back["states"] = d @ np.ascontiguousarray(p["wc"].T)
+            scale = self.dtype(scale)
+            back["states"] = np.empty_like(states)
+        logits = np.empty((min(len(y), ROWS), self.classes), self.dtype)
+        for i in range(0, len(y), ROWS):  # few rows at once stay near the processor
+            s = states[i : i + ROWS]
+            d = np.matmul(s, w, out=logits[: len(s)])
+            out[i : i + ROWS] = self._shares(d, most, cls[i : i + ROWS], None if back is None else scale)
+            if back is not None:
+                d[~valid[i : i + ROWS]] = 0
+                back["class"] += (d.T @ s).T
+                np.matmul(d, w.T, out=back["states"][i : i + ROWS])
+        out[~valid] = 0
         inner = np.flatnonzero(valid & (cls < self.classes - 1))
+        if not len(inner):
+            return out
         inner = inner[np.argsort(cls[inner].astype(np.int16), kind="stable")]
         bounds = np.searchsorted(cls[inner], np.arange(self.classes)).tolist()
-        states, member = states[inner], y[inner] % self.members
-        if back is not None:
-            back["inner"] = np.empty_like(states)  # what these add to the states' gradient
-        sizes, starts = np.diff(bounds), np.array(bounds[:-1])
-        least = 0
-        for most in (12, 64):  # classes with few tokens here go together, filled up to as many
-            these = np.flatnonzero((sizes <= most) & (sizes > least))
-            least = most
-            if len(these):
-                self._together(p, states, member, these, starts[these], sizes[these], most, inner, out, back)
-        for c, (i, j) in enumerate(zip(bounds, bounds[1:])):
-            if j - i <= 64:
-                continue
-            logp, e, total = self._softmax(states[i:j], p["ww"][c].T, p["bw"][c], member[i:j])
-            out[inner[i:j]] += logp
-            if back is not None:
-                d = np.divide(e, total[:, None], out=e)
-                d[np.arange(j - i), member[i:j]] -= 1
-                back["ww"][c] += d.T @ states[i:j]
-                back["bw"][c] += np.ones(len(d), self.dtype) @ d
-                np.matmul(d, p["ww"][c], out=back["inner"][i:j])
+        runs = [(c, i, j) for c, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+        states, w = states[inner], p["member"]
+        # one product a class; all else goes over the tokens of all classes at once
+        d = np.empty((len(inner), self.members), self.dtype)
+        runs = [(c, states[i:j], d[i:j], i, j) for c, i, j in runs]
+        for c, s, e, *_ in runs:
+            np.matmul(s, w[c], out=e)
+        out[inner] += self._shares(d, float(np.abs(w).sum(1).max()), y[inner] % self.members, None if back is None else scale)
         if back is not None:
-            back["states"][inner] += back.pop("inner")
+            more, turned, to = np.empty_like(states), w.transpose(0, 2, 1), back["member"]
+            for c, s, e, i, j in runs:
+                np.matmul(e, turned[c], out=more[i:j])
+                np.matmul(s.T, e, out=to[c])
+            back["states"][inner] += more
         return out
 
-    def gradient(self, p, x: np.ndarray, y: np.ndarray, h: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
-        """(gradient of the mean negative log-probability, its sum, last states) of one window."""
+    def _sums(self, rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sums of rows[order] from each start to the next."""
+        sizes = np.diff(starts, append=len(order))
+        few = sizes <= 32
+        out = np.empty((len(starts), rows.shape[1]), self.dtype)
+        for k in np.flatnonzero(~few).tolist():  # of many rows a product is faster
+            i, m = int(starts[k]), int(sizes[k])
+            np.matmul(np.ones(m, self.dtype), rows.take(order[i : i + m], 0), out=out[k])
+        if few.any():
+            ends = np.cumsum(sizes[few])
+            out[few] = np.add.reduceat(rows.take(order[np.repeat(few, sizes)], 0), ends - sizes[few], 0)
+        return out
+
+    def gradient(self, p, x: np.ndarray, y: np.ndarray, h: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+        """(gradient of the mean negative log-probability, its sum, last states) of one window. ``space`` may hold the gradient."""
         kept: dict = {}
-        states = self.states(p, self.table(p) if table is None else table, x, h, kept)
-        steps, lanes, n = states.shape
-        flat = np.zeros(sum(math.prod(s) for s in self.shapes.values()), self.dtype)
+        n, (steps, lanes) = self.hidden, x.shape
+        # equal inputs lie together: the gates' share of each is computed once, and so is its gradient
+        inputs = x.ravel()
+        order = np.argsort(inputs.astype(np.int16) if self.start < 1 << 15 else inputs, kind="stable")
+        lying = inputs[order]
+        first = np.empty(len(lying), bool)
+        first[0] = True
+        np.not_equal(lying[1:], lying[:-1], out=first[1:])
+        starts = np.flatnonzero(first)
+        which = np.empty(len(lying), np.int64)
+        which[order] = np.cumsum(first) - 1
+        unique = lying[starts]
+        embed = p["embed"].take(unique, 0)
+        out = self.states(p, self.table(p, embed), which.reshape(x.shape), x != self.start, h, kept)
+        flat = np.empty(self.size, self.dtype) if space is None else space
+        flat.fill(0)
         back = self.parts(flat)
-        loss = -self.log_probability(p, states.reshape(-1, n), y.ravel(), back).sum()
-        d_out = np.ascontiguousarray(back.pop("states").reshape(steps, lanes, n).transpose(0, 2, 1))
-        before, z, r, c, own, alive, some = kept.values()
-        # each gate's gradient is the state's times what does not depend on it: only that product is left to the steps
-        by = np.empty((steps, 3, n, lanes), self.dtype)
+        rows = np.ascontiguousarray(out.transpose(0, 2, 1)).reshape(-1, n + 1)
+        loss = -self.log_probability(p, rows, y.ravel(), back, 1 / max(int((y >= 0).sum()), 1)).sum()
+        d_out = np.ascontiguousarray(back.pop("states").reshape(steps, lanes, n + 1).transpose(0, 2, 1)[:, :n])
+        before, z, r, own, c, alive, some = kept.values()
+        # each gate's gradient is the state's times what does not depend on it: only that product is left to the steps.
+        # In this order the first three gates go back to the state and the last three to the input.
+        by = np.empty((steps, 4, n, lanes), self.dtype)
+        own_by, z_by, r_by, c_by = (by[:, k] for k in range(4))
         rest = 1 - z
-        by_c = 1 - c * c
-        by_c *= rest
-        rest *= z
-        np.multiply(rest, before - c, out=by[:, 0])
-        np.multiply(by_c, r, out=by[:, 2])
-        np.multiply(by[:, 2], 1 - r, out=by[:, 1])
-        by[:, 1] *= own
-        d_state, u = by, p["u"]  # a step's factors give way to its gradients
-        dh = np.zeros((n, lanes), self.dtype)
+        np.multiply(c, c, out=c_by)
+        np.subtract(1, c_by, out=c_by)
+        c_by *= rest
+        np.subtract(before[:, :n], c, out=z_by)
+        z_by *= rest
+        z_by *= z
+        np.multiply(c_by, r, out=own_by)
+        np.subtract(1, r, out=r_by)
+        r_by *= own
+        r_by *= own_by
+        u = np.concatenate([p["u"][:, 2 * n :], p["u"][:, : 2 * n]], 1)
+        to_state, to_input = by[:, :3].reshape(steps, 3 * n, lanes), by[:, 1:].reshape(steps, 3 * n, lanes)
+        dh, through = np.zeros((n, lanes), self.dtype), np.empty((n, lanes), self.dtype)
         for t in range(steps - 1, -1, -1):
             dh += d_out[t]
-            by_c[t] *= dh
-            d_state[t] *= dh
+            by[t] *= dh  # a step's factors give way to its gradients
             dh *= z[t]
-            dh += u @ d_state[t].reshape(3 * n, lanes)
+            dh += np.matmul(u, to_state[t], out=through)
             if some[t]:
                 dh *= alive[t]
-        d_state, x = d_state.reshape(steps, 3 * n, lanes), x.ravel()
-        back["u"] += np.matmul(before, d_state.transpose(0, 2, 1)).sum(0)
-        back["bu"] += d_state.sum((0, 2))
-        d_state[:, 2 * n :] = by_c
-        given = p["embed"][x].reshape(steps, lanes, n)
-        back["wx"] += np.matmul(given.transpose(0, 2, 1), d_state.transpose(0, 2, 1)).sum(0)
-        back["bx"] += d_state.sum((0, 2))
-        d_given = np.matmul(p["wx"], d_state).transpose(0, 2, 1).reshape(-1, n)
-        # a sum by input: equal inputs lie together
-        order = np.argsort(x.astype(np.int16) if self.start < 1 << 15 else x, kind="stable")
-        inputs = x[order]
-        starts = np.flatnonzero(np.diff(inputs, prepend=-1))
-        back["embed"][inputs[starts]] += np.add.reduceat(d_given[order], starts, 0)
-        flat /= max(int((y >= 0).sum()), 1)
-        return flat, float(loss), states[-1]
+        d = np.matmul(to_state, before.transpose(0, 2, 1)).sum(0).T
+        back["state"][:, 2 * n :] = d[:, :n]
+        back["state"][:, : 2 * n] = d[:, n:]
+        rows = np.ascontiguousarray(to_input.transpose(0, 2, 1)).reshape(-1, 3 * n)
+        d = self._sums(rows, order, starts)
+        back["wx"][:] = embed.T @ d
+        back["bx"][:] = d.sum(0)
+        back["embed"][unique] = d @ p["wx"].T
+        return flat, float(loss), out[-1, :n].T
 
 
 # ---- lanes -----------------------------------------------------------------------------------
@@ -304,6 +317,15 @@ class Lanes:
             self.now[lane] = now
         return x.T, y.T, pieces
 
+    def cut(self, x: np.ndarray, y: np.ndarray, steps: int) -> Iterator[tuple]:
+        """(from, lanes, inputs, targets) of the short windows in a long one, without the lanes that stay idle from there on."""
+        filled = None if self.more else (y >= 0).sum(0)  # idle places are a lane's last
+        for t in range(0, len(x), steps):
+            used = slice(None) if filled is None else np.flatnonzero(filled > t)
+            if filled is not None and not len(used):
+                return
+            yield t, used, x[t : t + steps, used], y[t : t + steps, used]
+
     def narrowed(self, h: np.ndarray) -> np.ndarray:
         """Lane states ``h`` without the lanes that stay idle: once no documents are left, those that hold none are dropped."""
         if self.more:
@@ -319,47 +341,65 @@ def _keep_memory() -> None:
     np.empty(1 << 24, np.uint8)
 
 
-def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int = EVERY, rate: float = RATE) -> tuple[np.ndarray, int]:
-    """(parameters, tokens in trained windows) after one pass over ``docs``: Adam with a falling rate, the gradient's norm at most 1.
-    The parameters are averaged over the steps, later ones weighing more, so that the last rows' texts do not decide."""
-    _keep_memory()
-    side = Lanes(((None, ids) for ids in docs), LANES, net.start)
-    flat, mean, m, v, space = flat.copy(), flat.copy(), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    steps = seen = number = 0
-    p = net.parts(flat)
-    table, h = net.table(p), np.zeros((LANES, net.hidden), net.dtype)
-    while True:
-        x, y, pieces = side.window(STEPS)
-        if not pieces:
-            return mean, seen
-        if number % every == 0:
-            g, _, h = net.gradient(p, x, y, h, table)
-            norm = math.sqrt(g @ g)
+class Adam:
+    """Adam with a falling rate, the gradient's norm at most 1, on ``flat`` in place. ``mean`` averages the parameters over the
+    steps, later ones weighing more, so that the last rows' texts do not decide."""
+
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.flat, self.rate, self.steps = flat, rate, 0
+        self.m, self.v, self.away = (np.zeros_like(flat) for _ in range(3))  # sums of gradients and squares, flat - mean
+        self.space = np.empty(min(len(flat), NEAR), flat.dtype)
+
+    def step(self, g: np.ndarray) -> None:
+        self.steps += 1
+        norm = max(math.sqrt(g @ g), 1.0)
+        # with sums instead of means, m is 10 and v 1000 times what Adam has; both are for gradients of any norm
+        root = (0.001 / (1 - 0.999**self.steps)) ** 0.5
+        now = self.rate / math.sqrt(1 + self.steps / 50) * 0.1 / (1 - 0.9**self.steps) / root
+        kept = 1 - 3 / (self.steps + 2)
+        for i in range(0, len(g), NEAR):  # all passes over some parameters, then the next
+            d, m, v, flat, away = (a[i : i + NEAR] for a in (g, self.m, self.v, self.flat, self.away))
+            space = self.space[: len(d)]
             if norm > 1:
-                g /= norm
-            steps += 1
-            now = rate / math.sqrt(1 + steps / 50)
-            # m += 0.1 (g - m), v += 0.001 (g^2 - v), and a step by the ratio of their unbiased forms, without temporary arrays
+                d /= norm
             m *= 0.9
-            m += np.multiply(g, 0.1, out=space)
-            g *= g
-            g *= 0.001
+            m += d
+            d *= d
             v *= 0.999
-            v += g
+            v += d
             np.sqrt(v, out=space)
-            space *= (1 - 0.999**steps) ** -0.5
-            space += 1e-6
+            space += 1e-6 / root
             np.divide(m, space, out=space)
-            space *= now / (1 - 0.9**steps)
+            space *= now
             flat -= space
-            np.subtract(flat, mean, out=space)
-            space *= 3 / (steps + 2)
-            mean += space
-            table = net.table(p)
-            seen += int((y >= 0).sum())
-        else:
-            h = net.states(p, table, x, h)[-1]
-        number += 1
+            away -= space
+            away *= kept
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.flat - self.away
+
+
+def fit(net: Network, flat: np.ndarray, docs: Iterator[np.ndarray], every: int = EVERY, rate: float = RATE) -> tuple[np.ndarray, int]:
+    """(parameters, tokens in trained windows) after one pass over ``docs``."""
+    _keep_memory()
+    side = Lanes(((None, ids) for ids in docs), LANES, net.start)
+    adam, space = Adam(flat.copy(), rate), np.empty_like(flat)
+    p = net.parts(adam.flat)
+    h = np.zeros((LANES, net.hidden), net.dtype)
+    seen = number = 0
+    while True:
+        xs, ys, pieces = side.window(STEPS * AHEAD)
+        if not pieces:
+            return adam.mean, seen
+        for _, used, x, y in side.cut(xs, ys, STEPS):
+            if number % every == 0:
+                g, _, h[used] = net.gradient(p, x, y, h[used], space)
+                adam.step(g)
+                seen += int((y >= 0).sum())
+            else:
+                h[used] = net.states(p, net.table(p, p["embed"]), x, x != net.start, h[used])[-1, : net.hidden].T
+            number += 1
         h = side.narrowed(h)
 
 
@@ -367,16 +407,20 @@ def log_probabilities(net: Network, flat: np.ndarray, docs: Iterator[tuple], lan
     """(handle, natural log-probability without the open class's shares) of each document, as they end."""
     _keep_memory()
     p = net.parts(flat)
-    table, side = net.table(p), Lanes(docs, lanes, net.start)
+    table, side = net.table(p, p["embed"]), Lanes(docs, lanes, net.start)
     h = np.zeros((lanes, net.hidden), net.dtype)
     sums: dict = {}
     while True:
-        x, y, pieces = side.window(steps)
+        xs, ys, pieces = side.window(steps * AHEAD)
         if not pieces:
             return
-        states = net.states(p, table, x, h)
-        logp = net.log_probability(p, states.reshape(-1, net.hidden), y.ravel()).reshape(y.shape)
-        upto = np.concatenate([np.zeros((1, logp.shape[1])), np.cumsum(logp, 0)])
+        upto = np.zeros((len(ys) + 1, ys.shape[1]))
+        for t, used, x, y in side.cut(xs, ys, steps):
+            states = net.states(p, table, x, x != net.start, h[used])
+            rows = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, net.hidden + 1)
+            upto[t + 1 : t + 1 + len(y), used] = net.log_probability(p, rows, y.ravel()).reshape(y.shape)
+            h[used] = states[-1, : net.hidden].T
+        np.cumsum(upto, 0, out=upto)
         lane, a, b = (np.array([q[i] for q in pieces]) for i in (1, 2, 3))
         for (handle, *_, ended), s in zip(pieces, (upto[b, lane] - upto[a, lane]).tolist()):
             s += sums.pop(handle, 0.0)
@@ -384,26 +428,40 @@ def log_probabilities(net: Network, flat: np.ndarray, docs: Iterator[tuple], lan
                 yield handle, s
             else:
                 sums[handle] = s
-        h = side.narrowed(states[-1])
+        h = side.narrowed(h)
 
 
 # ---- counts ----------------------------------------------------------------------------------
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, none empty, as binary; how many each text has), the same as of ``tokens`` without the end marks."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])]
+    return words.filter(real).cast(pa.binary()), np.diff(upto)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n) of a partition, emitted whenever many are held."""
-    held: Counter = Counter()
+    """(token, n) of a partition, emitted whenever the words of many bytes are held."""
+    held: list[pa.Array] = []
+    size = texts = 0
 
     def emit():
-        return pa.record_batch({"token": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())})
+        found = pa.chunked_array(held, pa.binary()).value_counts()
+        token, n = (pa.concat_arrays([found.field(i), pa.array([last], found.field(i).type)]) for i, last in enumerate((END, texts)))
+        return pa.record_batch({"token": token, "n": n})
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            held.update(tokens(text))
-        if len(held) > 500_000:
+        words, _ = _words(batch.column(0))
+        held.append(words)
+        size += words.nbytes
+        texts += len(batch)
+        if size > HELD:
             yield emit()
-            held = Counter()
-    if held:
+            held, size, texts = [], 0, 0
+    if texts:
         yield emit()
 
 
@@ -445,23 +503,35 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, head: list[tu
         find = {token: i for i, (token, _) in enumerate(sent.value)}.get
         logs = np.log10(np.array([n + 1 for _, n in sent.value] + [1], np.float64))
         for batch in batches:
-            columns: dict[str, list] = {c: [] for c in _ENCODED}
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                words = tokens(t)
-                at = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
-                known = at >= 0
-                log = logs[at]  # the last one, 0, for unknown tokens
-                open_ = (at < 0) | (at >= modelled)
-                rare = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
-                columns["ids"].append(np.where(open_, modelled, at).astype(np.int32))
-                columns["n_tokens"].append(len(words))
-                columns["n_known"].append(int(known.sum()))
-                columns["logs"].append(float(log.sum()))
-                columns["open_logs"].append(float(log[open_].sum()))
-                columns["n_open"].append(int(open_.sum()))
-                columns["rare"].append(list(rare.keys()))
-                columns["times"].append(list(rare.values()))
-            arrays = [pa.array(columns[c], kind) for c, kind in _ENCODED.items()]
+            words, lengths = _words(batch.column(2))
+            if not len(batch):
+                continue
+            # each different word is looked up once; after the words of a document comes the end mark
+            coded = words.dictionary_encode()
+            different = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+            ends = np.cumsum(lengths + 1)
+            code = np.full(ends[-1], len(different) - 1, np.int64)
+            is_word = np.ones(len(code), bool)
+            is_word[ends - 1] = False
+            code[is_word] = coded.indices.to_numpy()
+            at = np.fromiter(map(find, different.to_pylist(), repeat(-1)), np.int64, len(different))[code]
+            known, open_, log = at >= 0, (at < 0) | (at >= modelled), logs[at]  # the last log, 0, for unknown tokens
+            starts = ends - lengths - 1
+            # (document, token) pairs outside the head, with their numbers
+            of = np.repeat(np.arange(len(ends)), lengths + 1)[~known]
+            pairs, times = np.unique(of * len(different) + code[~known], return_counts=True)
+            upto = pa.array(np.searchsorted(pairs, np.arange(len(ends) + 1) * len(different)), pa.int32())
+            found = {
+                "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.where(open_, modelled, at), pa.int32())),
+                "n_tokens": lengths + 1,
+                "n_known": np.add.reduceat(known, starts, dtype=np.int64),
+                "logs": np.add.reduceat(log, starts),
+                "open_logs": np.add.reduceat(np.where(open_, log, 0), starts),
+                "n_open": np.add.reduceat(open_, starts, dtype=np.int64),
+                "rare": pa.ListArray.from_arrays(upto, different.take(pa.array(pairs % len(different)))),
+                "times": pa.ListArray.from_arrays(upto, pa.array(times, pa.int64())),
+            }
+            arrays = [pa.array(found[c], kind) for c, kind in _ENCODED.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["key", "held_out", *_ENCODED])
 
     narrow = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
@@ -509,36 +579,20 @@ def train(encoded: DataFrame, net: Network, flat: np.ndarray, rounds: int = ROUN
 
 
 def score(encoded: DataFrame, net: Network, flat: np.ndarray) -> DataFrame:
-    """``encoded`` without ids, with ``network``: the natural log-probability of each document but for its open tokens' shares."""
+    """row, network: the natural log-probability of each document of ``encoded`` but for its open tokens' shares."""
     sent = encoded.sparkSession.sparkContext.broadcast(flat)
-    kept = [c for c in encoded.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple] = {}
-
         def numbered():
-            for number, (batch, i, ids) in enumerate(_documents(batches, len(kept))):
-                waiting[number] = (batch, i)
-                yield number, ids
-
-        done: list[tuple] = []
-
-        def emit():
-            rows = [batch.slice(i, 1) for batch, i, _ in done]
-            table = pa.Table.from_batches(rows).drop_columns("ids").combine_chunks()
-            return table.append_column("network", pa.array([s for *_, s in done], pa.float64())).to_batches()
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), (ids for *_, ids in _documents([batch], 1)))
 
-        for number, s in log_probabilities(net, sent.value, numbered()):
-            done.append((*waiting.pop(number), s))
-            if len(done) == 1_000:
-                yield from emit()
-                done = []
-        if done:
-            yield from emit()
+        scored = log_probabilities(net, sent.value, numbered())
+        while some := list(islice(scored, 10_000)):
+            rows, logs = zip(*some)
+            yield pa.record_batch({"row": pa.array(rows, pa.int64()), "network": pa.array(logs, pa.float64())})
 
-    narrow = encoded.select(*kept, "ids")
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
-    return narrow.mapInArrow(run, f"{schema}, network double")
+    return encoded.select("row", "ids").mapInArrow(run, "row long, network double")
 
 
 def report(
@@ -557,10 +611,10 @@ def report(
     flat = train(encoded, net, net.initial(frequent, other), rounds, every)
     scored = store(score(encoded, net, flat), "recurrent")
     # tokens outside the head: their counts are joined, and those without any add nothing
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("g")).select("row", F.col("g.rare").alias("token"), "g.times")
+    each = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("g")).select("row", F.col("g.rare").alias("token"), "g.times")
     tail = counts.filter(F.floor(8 * F.log2("n")).cast("int") <= least)
     rest = each.join(tail, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    all_ = scored.drop("rare", "times").join(rest, "row", "left")
+    all_ = encoded.drop("ids", "rare", "times").join(scored, "row").join(rest, "row", "left")
     more, logs = F.coalesce("more", F.lit(0).cast("long")), F.coalesce("more_logs", F.lit(0.0))
     base = math.log10(n + v + 1)
     open_ = math.log10(other + (v - net.n) + 1)  # all tokens of the last class, and one for any unknown

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm import queries, recurrent_lm
 from sitelens.llm.common import prepare
-from sitelens.llm.recurrent_lm import Lanes, Network, fit, log_probabilities
+from sitelens.llm.recurrent_lm import LANES, STEPS, Lanes, Network, fit, log_probabilities
 
 from .test_text_operators import prose
 
@@ -194,3 +194,71 @@ print((faults[1] - faults[0]) / 40)
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120)
     assert float(done.stdout) < 100
+
+
+def test_words_of_a_column_are_the_tokens_of_each_text():
+    """The Arrow kernels cut texts like ``tokens``: only A-Z is lowered, only six characters part words, any bytes pass."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    signs = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x1f", b"\x00", b"\x85", b"\xff", b"\xc2\xa0", "é".encode(), "É".encode(), "İ".encode(), b"A", b"Z", b"[", b"@", b"a"]
+    raw = [b"".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(0, 25))) for _ in range(2_000)] + [None, b"", b" ", None]
+    plain = pa.array(raw, pa.binary())
+    texts = pa.Array.from_buffers(pa.string(), len(plain), plain.buffers())
+    words, lengths = recurrent_lm._words(texts)
+    want = [recurrent_lm.tokens(t)[:-1] for t in raw]
+    assert words.to_pylist() == [w for ws in want for w in ws] and lengths.tolist() == list(map(len, want))
+    for held in (1, 1 << 25):
+        count, before = Counter(), recurrent_lm.HELD
+        recurrent_lm.HELD = held
+        try:
+            for part in recurrent_lm._count(iter([pa.record_batch({"t": texts}), pa.record_batch({"t": texts.slice(0, 0)}), pa.record_batch({"t": texts[:7]})])):
+                for token, n in zip(*(c.to_pylist() for c in part.columns)):
+                    count[token] += n
+        finally:
+            recurrent_lm.HELD = before
+        assert count == Counter(w for t in raw + raw[:7] for w in recurrent_lm.tokens(t))
+
+
+def test_a_window_computes_no_more_than_its_tokens_need():
+    """Softmaxes run over real tokens only, without filling up classes, and the gates' input once for each different input."""
+    net, rng = Network(4096), np.random.default_rng(0)
+    p = net.parts(net.initial(np.arange(4096, 0, -1.0), 9.0))
+    x, y = (np.minimum(rng.zipf(1.2, (STEPS, LANES)), 4096) for _ in range(2))
+    cells, inputs = [], []
+    shares, table = net._shares, net.table
+    net._shares = lambda logits, *rest: cells.append(logits.size) or shares(logits, *rest)
+    net.table = lambda q, embed: inputs.append(len(embed)) or table(q, embed)
+    net.gradient(p, x, y, np.zeros((LANES, net.hidden), np.float32))
+    assert sum(cells) == y.size * net.classes + int((y < net.open).sum()) * net.members
+    assert inputs == [len(np.unique(x))]
+
+
+def test_windows_of_a_long_window_hold_the_same():
+    docs = [np.arange(n) + 1000 * i for i, n in enumerate((5, 1, 120, 3, 8, 40, 7))]
+    whole, parts = (Lanes(((i, d) for i, d in enumerate(docs)), 3, -5) for _ in range(2))
+    while True:
+        x, y, pieces = whole.window(16)
+        xs, ys, _ = parts.window(16)
+        if not pieces:
+            break
+        got = np.full(y.shape, -1)
+        for t, used, a, b in parts.cut(xs, ys, 4):
+            got[t : t + 4, used] = b
+            assert (a == x[t : t + 4, used]).all() and (b >= 0).any(0).all()
+        assert (got == y).all()
+
+
+def test_steps_are_those_of_adam():
+    rng = np.random.default_rng(5)
+    start = rng.normal(0, 1, 40_000)
+    adam = recurrent_lm.Adam(start.copy(), 0.02)
+    flat, mean, m, v = start.copy(), start.copy(), 0.0, 0.0
+    for k in range(1, 8):
+        g = rng.normal(0, 10.0 ** -(k % 4 + 2), len(flat))
+        adam.step(g.copy())
+        g /= max(np.linalg.norm(g), 1)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat - 0.02 / math.sqrt(1 + k / 50) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
+        mean = mean + 3 / (k + 2) * (flat - mean)
+    assert np.allclose(adam.flat, flat, rtol=0, atol=1e-10) and np.allclose(adam.mean, mean, rtol=0, atol=1e-10)
