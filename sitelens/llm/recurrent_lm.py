@@ -44,7 +44,7 @@ RATE = 0.02
 END = b""  # the end mark as a token: no word is empty
 BLOCK = 4096  # parameters in a row on their way to be averaged
 AHEAD = 16  # windows that a lane is filled for at once
-HELD = 1 << 25  # bytes of words counted at once
+HELD, PIECE = 1 << 25, 1 << 22  # bytes of words counted at once, and of texts cut at once
 ROWS, NEAR = 1024, 1 << 14  # softmax rows, and parameters, that go through all passes before the next do
 
 
@@ -443,6 +443,15 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real).cast(pa.binary()), np.diff(upto)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in their order, of no more than ``PIECE`` bytes of text at once and one text beyond, however long the texts are."""
+    for batch in batches:
+        piece = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64) // PIECE
+        starts = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(batch)]):
+            yield batch.slice(a, b - a)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, n) of a partition, emitted whenever the words of many bytes are held."""
     held: list[pa.Array] = []
@@ -453,7 +462,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, n = (pa.concat_arrays([found.field(i), pa.array([last], found.field(i).type)]) for i, last in enumerate((END, texts)))
         return pa.record_batch({"token": token, "n": n})
 
-    for batch in batches:
+    for batch in _pieces(batches, 0):
         words, _ = _words(batch.column(0))
         held.append(words)
         size += words.nbytes
@@ -489,23 +498,26 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[int, list[tuple[bytes,
 # ---- documents -------------------------------------------------------------------------------
 
 _ENCODED = {
-    "ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "n_known": pa.int64(), "logs": pa.float64(), "open_logs": pa.float64(),
+    "ids": pa.binary(), "n_tokens": pa.int64(), "n_known": pa.int64(), "logs": pa.float64(), "open_logs": pa.float64(),
     "n_open": pa.int64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64()),
 }
 
 
+def _stored(modelled: int) -> np.dtype:
+    """How ids lie in a document's bytes. As bytes they pass through Spark whole, as an array number by number."""
+    return np.dtype("<i2" if modelled < 1 << 15 else "<i4")
+
+
 def encode(docs: DataFrame, key: str, text: str, held_out: Column, head: list[tuple[bytes, int]], modelled: int) -> DataFrame:
-    """One row a document: key, held_out, the ids of its tokens (``modelled``: any other), sums of log10(count + 1) over all tokens
+    """One row a document: key, held_out, the ids of its tokens (``modelled``: any other) as bytes, sums of log10(count + 1) over all tokens
     and over those that are not modelled, and the tokens outside ``head`` with their numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = {token: i for i, (token, _) in enumerate(sent.value)}.get
         logs = np.log10(np.array([n + 1 for _, n in sent.value] + [1], np.float64))
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             words, lengths = _words(batch.column(2))
-            if not len(batch):
-                continue
             # each different word is looked up once; after the words of a document comes the end mark
             coded = words.dictionary_encode()
             different = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
@@ -517,12 +529,14 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, head: list[tu
             at = np.fromiter(map(find, different.to_pylist(), repeat(-1)), np.int64, len(different))[code]
             known, open_, log = at >= 0, (at < 0) | (at >= modelled), logs[at]  # the last log, 0, for unknown tokens
             starts = ends - lengths - 1
+            ids = np.where(open_, modelled, at).astype(_stored(modelled))
+            places = (np.append(0, ends) * ids.itemsize).astype(np.int32)
             # (document, token) pairs outside the head, with their numbers
             of = np.repeat(np.arange(len(ends)), lengths + 1)[~known]
             pairs, times = np.unique(of * len(different) + code[~known], return_counts=True)
             upto = pa.array(np.searchsorted(pairs, np.arange(len(ends) + 1) * len(different)), pa.int32())
             found = {
-                "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.where(open_, modelled, at), pa.int32())),
+                "ids": pa.Array.from_buffers(pa.binary(), len(ends), [None, *map(pa.py_buffer, (places, ids))]),
                 "n_tokens": lengths + 1,
                 "n_known": np.add.reduceat(known, starts, dtype=np.int64),
                 "logs": np.add.reduceat(log, starts),
@@ -538,18 +552,16 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, head: list[tu
     kind = narrow.schema["key"].dataType.simpleString()
     found = narrow.mapInArrow(
         run,
-        f"key {kind}, held_out boolean, ids array<int>, n_tokens long, n_known long, logs double, open_logs double, n_open long, "
+        f"key {kind}, held_out boolean, ids binary, n_tokens long, n_known long, logs double, open_logs double, n_open long, "
         "rare array<binary>, times array<long>",
     )
     return store(found.withColumn("row", F.monotonically_increasing_id()), "encoded")
 
 
-def _documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    for batch in batches:
-        lists = batch.column(column)
-        values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-            yield batch, i, values[a:b]
+def _documents(column: pa.Array, modelled: int) -> Iterator[np.ndarray]:
+    """The ids of each document."""
+    for ids in column:
+        yield np.frombuffer(ids.as_buffer(), _stored(modelled))
 
 
 def train(encoded: DataFrame, net: Network, flat: np.ndarray, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarray:
@@ -560,7 +572,7 @@ def train(encoded: DataFrame, net: Network, flat: np.ndarray, rounds: int = ROUN
         sent = context.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            mine, seen = fit(net, sent.value, (x for _, _, x in _documents(batches, 0)), every)
+            mine, seen = fit(net, sent.value, (ids for batch in batches for ids in _documents(batch.column(0), net.n)), every)
             if seen:
                 blocks = [mine[i : i + BLOCK].astype(np.float64) * seen for i in range(0, len(mine), BLOCK)]
                 yield pa.record_batch(
@@ -585,7 +597,7 @@ def score(encoded: DataFrame, net: Network, flat: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbered():
             for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), (ids for *_, ids in _documents([batch], 1)))
+                yield from zip(batch.column(0).to_pylist(), _documents(batch.column(1), net.n))
 
         scored = log_probabilities(net, sent.value, numbered())
         while some := list(islice(scored, 10_000)):

@@ -208,15 +208,15 @@ def test_words_of_a_column_are_the_tokens_of_each_text():
     words, lengths = recurrent_lm._words(texts)
     want = [recurrent_lm.tokens(t)[:-1] for t in raw]
     assert words.to_pylist() == [w for ws in want for w in ws] and lengths.tolist() == list(map(len, want))
-    for held in (1, 1 << 25):
-        count, before = Counter(), recurrent_lm.HELD
-        recurrent_lm.HELD = held
+    for held, piece in ((1, 1), (1 << 25, 1 << 22), (1000, 50)):
+        count, before = Counter(), (recurrent_lm.HELD, recurrent_lm.PIECE)
+        recurrent_lm.HELD, recurrent_lm.PIECE = held, piece
         try:
             for part in recurrent_lm._count(iter([pa.record_batch({"t": texts}), pa.record_batch({"t": texts.slice(0, 0)}), pa.record_batch({"t": texts[:7]})])):
                 for token, n in zip(*(c.to_pylist() for c in part.columns)):
                     count[token] += n
         finally:
-            recurrent_lm.HELD = before
+            recurrent_lm.HELD, recurrent_lm.PIECE = before
         assert count == Counter(w for t in raw + raw[:7] for w in recurrent_lm.tokens(t))
 
 
@@ -262,3 +262,34 @@ def test_steps_are_those_of_adam():
         flat = flat - 0.02 / math.sqrt(1 + k / 50) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
         mean = mean + 3 / (k + 2) * (flat - mean)
     assert np.allclose(adam.flat, flat, rtol=0, atol=1e-10) and np.allclose(adam.mean, mean, rtol=0, atol=1e-10)
+
+
+@pytest.mark.parametrize("modelled", [3, 40_000])
+def test_ids_pass_through_spark_as_bytes(spark, documents, modelled):
+    """Two bytes an id, or four where two are too few; a document's ids are those of its tokens."""
+    prepare(spark)
+    head = [(b"a", 5), (b"", 4), (b"b", 3), (b"c", 2)]
+    texts = {1: "A b c d", 2: None, 3: " c\nc ", 4: "d d e"}
+    made = recurrent_lm.encode(documents(list(texts.items())), "doc_id", "text", F.lit(False), head, modelled)
+    assert made.schema["ids"].dataType.simpleString() == "binary"
+    place = {t: i for i, (t, _) in enumerate(head)}
+    for r in made.collect():
+        words = recurrent_lm.tokens((texts[r["key"]] or "").encode())
+        ids = [place.get(w, modelled) if place.get(w, modelled) < modelled else modelled for w in words]
+        assert np.frombuffer(r["ids"], "<i2" if modelled == 3 else "<i4").tolist() == ids
+        assert dict(zip(map(bytes, r["rare"]), r["times"])) == Counter(w for w in words if w not in place)
+        assert (r["n_tokens"], r["n_known"], r["n_open"]) == (len(words), sum(w in place for w in words), sum(i == modelled for i in ids))
+        assert math.isclose(r["logs"], sum(math.log10(dict(head)[w] + 1) for w in words if w in place), abs_tol=1e-12)
+
+
+def test_long_texts_are_cut_few_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(recurrent_lm, "PIECE", 100)
+    texts = [None, "", "a" * 60, "b" * 60, "c" * 1_000, None, *["d" * 9] * 50, ""]
+    batch = pa.record_batch({"i": pa.array(range(len(texts))), "t": pa.array(texts)})
+    pieces = list(recurrent_lm._pieces(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), 1))
+    assert [t for b in pieces for t in b.column(1).to_pylist()] == texts + texts[3:5]
+    for b in pieces:
+        sizes = [len(t or "") for t in b.column(1).to_pylist()]
+        assert sum(sizes) - max(sizes) <= 100
