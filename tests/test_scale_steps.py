@@ -137,3 +137,29 @@ def test_report_lines_read_no_page_twice(spark, capsys):
     none = spark.createDataFrame([], "site string, keyword string, frequency long, rank int")
     lines = W.report_lines(long, none, {"API Endpoints": X.api_endpoints(p).select("site", F.col("api").alias("value"))}, X.files(p))
     assert "regexp_extract_all" not in _plan(lines, capsys)
+
+
+def test_a_run_of_tables_reads_its_pages_once(spark, capsys, monkeypatch):
+    from sitelens.sinks import warehouse as WH
+    from sitelens.sinks.writers import scratch_path
+
+    asked, write = {}, WH.write_rows
+    monkeypatch.setattr(WH, "write_rows", lambda df, path, *a: asked.update({path.rsplit("/", 1)[1]: _plan(df, capsys)}) or write(df, path, *a))
+    p = compose.part_pages(spark, SF)
+    WH.write_warehouse(p, scratch_path(spark, "t-once"))
+    # words are counted over rows, all else was found in one pass before
+    assert [name for name, plan in asked.items() if "regexp_extract_all" in plan] == ["keywords"]
+    facts = WH.page_facts(p)
+    for name in ("urls", "links", "technologies", "files", "forms", "images"):
+        one, each = WH.warehouse_table(name, p, facts), WH.warehouse_table(name, p)
+        assert one.count() == each.count() > 0 and one.exceptAll(each).isEmpty()
+    monkeypatch.setattr(WH, "written", lambda df, name: df)
+    assert _plan(WH.page_facts(p), capsys).count("(?is)(?=<[!s])") == 1
+
+
+def test_literals_of_patterns_stand_for_themselves(spark):
+    from sitelens.functions.patterns import holds_any
+
+    df = spark.createDataFrame([("a.b*c-d_e ünd\n(x)[y]",), ("axbbc",), ("",), (None,)], "t string")
+    for literals in (["a.b"], ["b*c-d_e"], ["nothing", "(x)[y]"], ["a.b*c-d_e", "axb+"]):
+        assert [r[0] for r in df.select(holds_any(F.col("t"), literals)).collect()] == [True, False, False, None]
