@@ -163,3 +163,21 @@ def test_literals_of_patterns_stand_for_themselves(spark):
     df = spark.createDataFrame([("a.b*c-d_e ünd\n(x)[y]",), ("axbbc",), ("",), (None,)], "t string")
     for literals in (["a.b"], ["b*c-d_e"], ["nothing", "(x)[y]"], ["a.b*c-d_e", "axb+"]):
         assert [r[0] for r in df.select(holds_any(F.col("t"), literals)).collect()] == [True, False, False, None]
+
+
+def test_plain_references_are_not_parsed(spark):
+    """What needs no parsing comes to the same as what is parsed, and nothing else is taken for it."""
+    from urllib.parse import urljoin
+
+    from sitelens.functions.urls import _resolved_as_written, resolve
+
+    bases = ["https://h.example/p/1/index.html?q#f", "https://h.example", "https://h.example/", "https://h.example/a//b", "https://h.example/a/../b/c"]
+    plain = ["img/1.png", "../docs/2.pdf", "/css/site.css", "https://o.example/x/", "..a/b", "a/"]
+    other = ["", "./a", "a/../b", "../../a", "..", "a//b", "/a/./b", "//h/x", "a?b", "#f", "mailto:x", " a", "a\n", "https://o.example/?"]
+    rows = [(b, h) for b in bases for h in plain + other]
+    df = spark.createDataFrame(rows, "base string, href string")
+    got = df.select("base", "href", resolve(F.col("base"), F.col("href")).alias("r"), _resolved_as_written(F.col("base"), F.col("href")).alias("w")).collect()
+    for r in got:
+        assert r["r"] == urljoin(r["base"], r["href"]), r
+        assert r["w"] is None or (r["w"] == r["r"] and r["href"] in plain), r
+    assert all(r["w"] is not None for r in got if r["base"] == bases[0] and r["href"] in plain)
